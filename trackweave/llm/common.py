@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch; with texts of some kilobytes a batch stays at a few megabytes.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +53,20 @@ def dropped(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with small batches."""
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH_BYTES`` at most; ``fn`` gets batches of ``rows`` rows at most."""
     spark = df.sparkSession
-    with contextlib.suppress(Exception):
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(key, None)
+        if have is None or not have.isdigit() or not 0 < int(have) <= bound:
+            spark.conf.set(key, str(bound))
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow((lambda batches: fn(small(batches))) if rows < BATCH_ROWS else fn, schema)
 
 
 def hash_share(column: str, seed: int = 17) -> F.Column:
