@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, url_filter
+from . import near_dedup, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
 }
