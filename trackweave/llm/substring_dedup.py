@@ -138,20 +138,18 @@ def _sketch(chunks: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array((r << 40) + block[c]), pa.array([low[x:y].tobytes() for x, y in zip(c, e, strict=True)], pa.binary())], names=["block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
+        blocks: dict[int, list[bytes]] = {}
         for batch in batches:
-            for b, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b not in blocks:
-                    blocks[b] = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
-                add = np.bincount(np.frombuffer(cells.as_buffer(), dtype=np.uint16), minlength=1 << BLOCK_BITS)
-                blocks[b] = np.minimum(blocks[b] + np.minimum(add, 2), 2).astype(np.uint8)
-        for b, counts in blocks.items():
+            for b, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blocks.setdefault(b, []).append(cells)
+        for b, cells in blocks.items():
+            counts = np.bincount(np.frombuffer(b"".join(cells), dtype=np.uint16), minlength=1 << BLOCK_BITS)
             yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.packbits(counts >= 2, bitorder="little").tobytes()], pa.binary())], names=["block", "cells"])
 
     parts = map_batches(chunks.select("texts"), partial, "block long, cells binary").repartition(F.col("block"))
     out = np.zeros((2, (1 << bits) // 8), dtype=np.uint8)
     step = (1 << BLOCK_BITS) // 8
-    for row in map_batches(parts, merge, "block long, cells binary").toLocalIterator():
+    for row in map_batches(parts, merge, "block long, cells binary").collect():
         r, b = row.block >> 40, row.block & ((1 << 40) - 1)
         out[r, b * step : (b + 1) * step] = np.frombuffer(bytes(row.cells), dtype=np.uint8)
     return out
@@ -191,7 +189,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys[:, 0] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 35, gram: int = 16, max_cells: int = 1 << 28, chunk_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 35, gram: int = 16, max_cells: int = 1 << 28, chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text.
 
     Words are runs of anything but space and 0x09-0x0D.  A word goes if a window over it also starts anywhere else.  Null
