@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORD = 64
 
@@ -52,7 +52,7 @@ def _positions(key: Column, seed: int, bits: int, probes: int) -> list[Column]:
 
 
 def _passes(level: Level, key: Column) -> Column:
-    words = F.array(*(F.lit(w) for w in level.words)) if len(level.words) < 64 else F.lit(list(level.words))
+    words = F.expr("array(" + ", ".join("bigint('%d')" % w for w in level.words) + ")")
     tests = [F.getbit(F.element_at(words, (F.floor(p / WORD) + 1).cast("int")), (p % WORD).cast("int")) == 1 for p in _positions(key, level.seed, level.bits, level.probes)]
     return key.isNotNull() & reduce(lambda a, b: a & b, tests)
 
@@ -85,10 +85,10 @@ def build(universe: DataFrame, listed: DataFrame, *, max_bits: int = 1 << 26, ma
         return Cascade((), listed)
     levels = [_level(listed, count, rate, seed)]
     mistaken = universe.select("key").where(_passes(levels[0], F.col("key"))).distinct().join(listed, "key", "left_anti")
-    rest, other = mistaken, listed
+    rest, other = written(mistaken, "mistaken"), listed
     while len(levels) < max_levels and (n := rest.count()):
         levels.append(_level(rest, n, 0.5, seed + 31 * len(levels)))
-        rest, other = other.where(_passes(levels[-1], F.col("key"))), rest
+        rest, other = written(other.where(_passes(levels[-1], F.col("key"))), "mistaken"), rest
     if len(levels) == max_levels:
         return Cascade((), listed)
     return Cascade(tuple(levels))
@@ -145,7 +145,7 @@ def judge(pages: DataFrame, rules: UrlRules, blocked_hosts: DataFrame, *, url: s
     hosts = blocked_hosts.select("key")
     depths = sorted(r.n for r in hosts.where("key is not null").select(F.size(F.split("key", r"\.")).alias("n")).distinct().limit(max_shapes + 1).collect())
     base = base.withColumn("__hosts", _suffixes(depths))
-    universe = base.select(F.explode("__candidates").alias("key"))
+    universe = written(base.select(F.explode("__candidates").alias("key")).distinct(), "universe")
     allow, block = build(universe, rules.allow, seed=11), build(universe, rules.block, seed=101)
     listed = build(base.select(F.explode("__hosts").alias("key")), hosts, seed=1009)
     if any(c.keys is not None for c in (allow, block, listed)):
