@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, substring_dedup, url_filter
+from . import decontamination, near_dedup, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_decontamination": decontamination.op7_decontamination,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_near_dedup": near_dedup.OP5_SQL,
+    "op7_decontamination": decontamination.OP7_SQL,
 }
