@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, substring_dedup, url_filter
+from . import decontamination, fingerprint, near_dedup, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
