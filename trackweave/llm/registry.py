@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprint, near_dedup, packing, substring_dedup, url_filter
+from . import decontamination, fingerprint, language_id, near_dedup, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_language_id": language_id.op8_language_id,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
