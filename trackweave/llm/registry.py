@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprint, language_id, near_dedup, packing, substring_dedup, url_filter
+from . import decontamination, fingerprint, language_id, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,8 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_language_id": language_id.op8_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
