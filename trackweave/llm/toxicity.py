@@ -1,6 +1,6 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic model over the distinct words of a text.  Labelled sentences that name a group get counterfactuals: the same
+A logistic model over the words of a text and their beginnings, told apart by whether they occur once, twice or more.  Labelled sentences that name a group get counterfactuals: the same
 words with the identity term exchanged for another of its kind.  The squared change of the score's logit between a sentence
 and its counterfactual is added to the loss, so the weight that labels put on a group's name by accident is taken away
 and neutral mentions of a group aren't held against a text.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_ids, map_batches, table
 from .language_id import remainder
-from .textops import LOWER, NOT_ALNUM, chunks, split_words
+from .textops import LOWER, NOT_ALNUM, Words, chunks, mix64, split_words
 
 #: Labelled rows used for training at most, chosen by hash; the model is fitted from their words on the driver.
 TRAIN_ROWS = 12_000
@@ -49,13 +49,29 @@ def _cells_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (words.hashes() >> np.uint64(64 - HASH_BITS)).astype(np.int64), words.bounds
 
 
+#: Bytes of the word beginnings that are features too, and the counts of a feature that are told apart.
+PREFIXES, LEVELS = (5, 6, 7), 3
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words of each document, and their bounds."""
-    cells, bounds = _cells_of(data, offsets)
+    """Distinct hashed features of each document, and their bounds: words, beginnings of longer words, and for those that
+    occur twice or three times one more feature each."""
     n = len(offsets) - 1
-    doc = np.repeat(np.arange(n), np.diff(bounds))
-    key = np.unique((doc << HASH_BITS) | cells)
-    return key & ((1 << HASH_BITS) - 1), np.searchsorted(key >> HASH_BITS, np.arange(n + 1))
+    words = split_words(LOWER[data], offsets, NOT_ALNUM)
+    mask = (1 << HASH_BITS) - 1
+    cells, docs = [(words.hashes() >> np.uint64(64 - HASH_BITS)).astype(np.int64)], [words.doc]
+    for k in PREFIXES:
+        own = words.end - words.start > k
+        part = Words(words.data, words.start[own], words.start[own] + k, words.bounds)
+        cells.append((mix64(part.hashes() + np.uint64(k)) >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+        docs.append(docs[0][own])
+    key, count = np.unique((np.concatenate(docs) << HASH_BITS) | np.concatenate(cells), return_counts=True)
+    more = [key]
+    for level in range(2, LEVELS + 1):
+        again = key[count >= level]
+        more.append((again & ~np.int64(mask)) | (mix64((again & mask).astype(np.uint64) + np.uint64(level << 32)) >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+    key = np.unique(np.concatenate(more))
+    return key & mask, np.searchsorted(key >> HASH_BITS, np.arange(n + 1))
 
 
 @dataclass(frozen=True)
