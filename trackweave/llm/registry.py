@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprint, language_id, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from . import decontamination, fingerprint, language_id, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_decontamination": decontamination.op7_decontamination,
