@@ -3,13 +3,14 @@
 Documents with the same shingle set form a class; everything after works on one document of each class.  Of each minimum
 only ``BITS`` low bits are kept, packed; bands of four whole minima give candidate buckets.
 
-1. In each bucket every member is paired with the bucket's hub, the member with the smallest hash of its id.  A pair whose
-   estimate (equal packed values, corrected for chance collisions) is far below the threshold is dropped; the others are
-   confirmed on full sets.
-2. Links give components.  A bucket that still holds several components is compared further: its members outside the
-   largest component against all its members, in blocks, on packed signatures inside the tasks; of the pairs that pass
-   the estimate a few for each two components are confirmed first.  This repeats until nothing is left to compare, so no
-   pair of a bucket is skipped unless its documents are already connected.
+1. In each bucket every member is paired with the bucket's hub, the member with the smallest hash of its id.  Pairs whose
+   estimate (equal packed values, corrected for chance collisions) isn't far below the threshold make *families*, the
+   connected parts of the likely pairs; the likely pairs are confirmed on full sets and give components.
+2. A bucket that holds several families is searched for likely pairs between them, in blocks, on packed signatures.
+3. A family that holds several components is searched for links between them, in blocks, on full sets: its members outside
+   the largest component against all its members.  Only links that connect something leave a task.
+
+So no likely pair of a bucket is skipped unless its documents are already connected, and nothing is emitted for pairs.
 
 The chance to miss a pair at the threshold in every band is (1 - t**4)**24, 2e-8 at 0.85 and 3e-6 at 0.8; that of a wrong
 drop by the estimate is below 1e-5 (``MARGIN`` is over four standard deviations).
@@ -31,7 +32,8 @@ from .textops import LOWER, chunks, mix64, shingle_sets, split_words
 
 MINIMA, BANDS, ROWS, BITS = 128, 24, 4, 4
 MARGIN = 0.15
-LEFT_BLOCK, RIGHT_BLOCK = 512, 4096
+#: Members of a block, of either side, at most on average.
+BLOCK = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(1, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -154,29 +156,71 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def _cross_pairs(groups: DataFrame, cut: float, most: int) -> DataFrame:
-    """Pairs of different components in one block whose estimate reaches ``cut``: the ``most`` best for each two
-    components; ``more`` tells that there were more."""
+def _blocks(member: DataFrame, group: str) -> DataFrame | None:
+    """The rows of groups with several values of ``comp`` and more than two members, dealt into blocks.
+
+    Members outside the group's largest component (side 0) meet all members (side 1) in blocks of bounded size.  None if
+    there is no such group.
+    """
+    parts = member.groupBy(group, "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy(group).agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1 and n > 2")
+    mixed = written(mixed.select(group, "n", (F.col("n") - F.col("top.n")).alias("out"), F.col("top.comp").alias("top")), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    rows = member.join(mixed, group).withColumns({"lbs": F.ceil(F.col("out") / BLOCK), "rbs": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("rep")})
+    zero = F.lit(0).cast("long")
+    right = rows.select(F.col(group).alias("group"), F.explode(F.sequence(zero, F.col("lbs") - 1)).alias("lb"), F.pmod("h", "rbs").alias("rb"), "rep", "comp", F.lit(1).alias("side"))
+    left = rows.where("comp != top").select(F.col(group).alias("group"), F.pmod("h", "lbs").alias("lb"), F.explode(F.sequence(zero, F.col("rbs") - 1)).alias("rb"), "rep", "comp", F.lit(0).alias("side"))
+    return left.unionByName(right)
+
+
+def _connecting(blocks: DataFrame, cut: float, percent: int | None) -> DataFrame:
+    """Pairs (a, b) that connect components: with an estimate of ``cut`` or more and, if ``percent`` is given (column items:
+    full sets), enough in common.  A block emits fewer pairs than it has components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out = []
+        found: list[tuple[int, int]] = []
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
         if len(left) and len(right):
             r_sig = np.frombuffer(b"".join(right.sig), dtype=np.uint8).reshape(len(right), -1)
             r_id, r_comp = right.rep.to_numpy(), right.comp.to_numpy()
-            for rep, comp, sig in zip(left.rep, left.comp, left.sig, strict=True):
-                est = _estimate(r_sig, np.frombuffer(sig, dtype=np.uint8))
-                hit = np.flatnonzero((est >= cut) & (r_comp != comp))
-                if len(hit):
-                    out.append(pd.DataFrame({"a": np.minimum(rep, r_id[hit]), "b": np.maximum(rep, r_id[hit]), "c": np.minimum(comp, r_comp[hit]), "d": np.maximum(comp, r_comp[hit]), "est": est[hit]}))
-        if not out:
-            return pd.DataFrame({"a": [], "b": [], "more": []}).astype({"a": "int64", "b": "int64", "more": "bool"})
-        found = pd.concat(out).drop_duplicates(["a", "b"]).sort_values(["est", "a", "b"], ascending=[False, True, True])
-        rank = found.groupby(["c", "d"]).cumcount()
-        many = found.groupby(["c", "d"])["a"].transform("size") > most
-        return found.assign(more=many)[rank < most][["a", "b", "more"]]
-
-    return groups.groupBy("band", "lb", "rb").applyInPandas(run, "a long, b long, more boolean")
+            if percent is not None:
+                both = [np.frombuffer(x, dtype=np.uint64) for x in [*left["items"], *right["items"]]]
+                sizes = np.array([len(x) for x in both])
+                distinct, code = np.unique(np.concatenate(both), return_inverse=True)
+                codes = np.split(code, np.cumsum(sizes)[:-1])
+                mark = np.zeros(len(distinct), dtype=bool)
+            for i, (rep, comp, sig) in enumerate(zip(left.rep.tolist(), left.comp.tolist(), left.sig, strict=True)):
+                hit = np.flatnonzero((_estimate(r_sig, np.frombuffer(sig, dtype=np.uint8)) >= cut) & (r_comp != comp))
+                if percent is not None and len(hit):
+                    own = sizes[len(left) + hit]
+                    fit = 100 * np.minimum(own, sizes[i]) >= percent * np.maximum(own, sizes[i])
+                    hit, own = hit[fit], own[fit]
+                    if len(hit):
+                        mark[codes[i]] = True
+                        common = np.add.reduceat(mark[np.concatenate([codes[len(left) + j] for j in hit])].astype(np.int64), np.concatenate(([0], np.cumsum(own)[:-1])))
+                        mark[codes[i]] = False
+                        hit = hit[100 * common >= percent * (own + sizes[i] - common)]
+                for j in hit.tolist():
+                    x, y = root(comp), root(int(r_comp[j]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((min(rep, int(r_id[j])), max(rep, int(r_id[j]))))
+        return pd.DataFrame({"a": np.array([f[0] for f in found], dtype=np.int64), "b": np.array([f[1] for f in found], dtype=np.int64)})
+
+    return blocks.groupBy("group", "lb", "rb").applyInPandas(run, "a long, b long")
+
+
+def _labelled(frame: DataFrame, comps: DataFrame) -> DataFrame:
+    """``frame`` (column rep) with its component; a document without links is its own."""
+    return frame.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -203,49 +247,32 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_estimate(x, y) >= cut)], names=["a", "b", "likely"])
 
     pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
-    pairs = written(map_batches(pairs.select("a", "b", "x", "y"), likely, "a long, b long, likely boolean"), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = written(_set_table(df, ids, doc_id, text, width), "sets")
-    tested = pairs.select("a", "b")
-    edges = written(_confirmed(pairs.where("likely"), sets, percent), "links")
-    comps = components(edges)
-    most = 16
+    pairs = map_batches(pairs.select("a", "b", "x", "y"), likely, "a long, b long, likely boolean").where("likely")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    near = pairs
     while True:
-        crossed = _unsettled(buckets, comps, sig)
-        if crossed is None:
+        families = components(near)
+        blocks = _blocks(_labelled(buckets, families), "band")
+        if blocks is None:
             break
-        found = written(_cross_pairs(crossed, cut, most).groupBy("a", "b").agg(F.max("more").alias("more")), "crossed")
-        fresh = found.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        links = written(_confirmed(fresh, sets, percent), "links")
-        more = found.where("more").limit(1).count() > 0
-        tested = written(tested.unionByName(fresh), "tested")
-        if links.limit(1).count():
-            edges = written(edges.unionByName(links), "links")
-            comps = components(edges)
-        elif not more:
+        found = written(_connecting(blocks.join(sig, "rep"), cut, None).distinct(), "found")
+        if not found.limit(1).count():
             break
-        most *= 16 if more else 1
+        near = written(near.unionByName(found), "pairs")
+    sets = written(_set_table(df, families.select(F.col("node").alias("rep")), doc_id, text, width).dropDuplicates(["rep"]), "sets")
+    edges = written(_confirmed(near, sets, percent), "links")
+    comps = components(edges)
+    member = _labelled(families.select(F.col("node").alias("rep"), F.col("comp").alias("family")), comps)
+    blocks = _blocks(member, "family")
+    if blocks is not None:
+        links = written(_connecting(blocks.join(sig, "rep").join(sets, "rep"), cut, percent).distinct(), "links")
+        comps = components(edges.unionByName(links))
     rep_of = classes.select("s1", "s2", "rep").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(rep_of, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _unsettled(buckets: DataFrame, comps: DataFrame, sig: DataFrame) -> DataFrame | None:
-    """Blocks of buckets that hold several components and more than one pair; None if there are none."""
-    member = buckets.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    parts = member.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1 and n > 2")
-    mixed = written(mixed.select("band", "n", (F.col("n") - F.col("top.n")).alias("out"), F.col("top.comp").alias("top")), "mixed")
-    if not mixed.limit(1).count():
-        return None
-    lb, rb = F.ceil(F.col("out") / LEFT_BLOCK), F.ceil(F.col("n") / RIGHT_BLOCK)
-    rows = member.join(mixed, "band").join(sig, "rep").withColumns({"lbs": lb, "rbs": rb, "h": F.xxhash64("rep")})
-    right = rows.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lbs") - 1)).alias("lb"), F.pmod("h", "rbs").alias("rb"), "rep", "comp", "sig", F.lit(1).alias("side"))
-    left = rows.where("comp != top").select("band", F.pmod("h", "lbs").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rbs") - 1)).alias("rb"), "rep", "comp", "sig", F.lit(0).alias("side"))
-    return left.unionByName(right)
-
-
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
