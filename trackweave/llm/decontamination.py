@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, table, written
 from .textops import LOWER, NOT_ALNUM, Words, chunks, split_words, text_buffer, window_hashes
@@ -161,8 +162,9 @@ def _plan(test: TestSet, counts: np.ndarray, lists: int) -> tuple[list[tuple], n
     return rows, of
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, lists: int = 3, share: int = 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted item ids with a window in it), contaminated.
+def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, lists: int = 3, share: int = 20, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, items (sorted item ids with a window in it), contaminated; with
+    ``keep`` also the text and these columns.
 
     Words are runs of ASCII letters and digits and of everything outside ASCII, lower-cased (A-Z).  A window is ``width``
     words of an item, or the whole item if shorter; a document's word inside an occurrence of a window is hit;
@@ -200,14 +202,18 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                             mine.update(owners[place[s]])
                     names[i] = sorted({test.ids[o] for o in mine} - {None})
                 n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), words.bounds[:-1]) * (words.counts > 0)
+                own = [] if keep is None else [batch.column(i).slice(a, b - a) for i in (1, *range(3, batch.num_columns))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(words.counts), pa.array(n_hit), pa.array(names, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= words.counts))],
-                    names=["doc_id", "n_words", "n_hit", "items", "contaminated"],
+                    [batch.column(0).slice(a, b - a), *own, pa.array(words.counts), pa.array(n_hit), pa.array(names, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= words.counts))],
+                    names=["doc_id", *([] if keep is None else ["text", *keep]), "n_words", "n_hit", "items", "contaminated"],
                 )
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = source.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "text", "__likely")
-    return map_batches(marked, confirm, "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(keep or ()))
+    marked = source.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "text", "__likely", *(keep or ()))
+    schema = source.select("doc_id", *([] if keep is None else ["text", *keep])).schema
+    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("items", T.ArrayType(T.StringType())), ("contaminated", "boolean")):
+        schema = schema.add(name, kind)
+    return map_batches(marked, confirm, schema)
 
 
 def _windows(test: TestSet) -> dict[int, tuple[np.ndarray, list[list[int]]]]:
