@@ -22,7 +22,7 @@ st as (
     from tp window w as (partition by track_id order by seq))),
 ends as (
   select track_id, arg_min(x, seq) as ax, arg_min(y, seq) as ay, arg_min(z, seq) as az, arg_min(t, seq) as t0,
-         arg_max(x, seq) as bx, arg_max(y, seq) as by, arg_max(z, seq) as bz, arg_max(t, seq) as t1 from tp group by track_id)
+         arg_max(x, seq) as qx, arg_max(y, seq) as qy, arg_max(z, seq) as qz, arg_max(t, seq) as t1 from tp group by track_id)
 """
 #: Common table expressions by name, in the order in which they need each other.
 VIEWS = {"tp": adapters.SQL_TP, "st": SQL_STEPS, "flights": adapters.SQL_FLIGHTS, "member": adapters.SQL_MEMBER, "vec": adapters.SQL_VEC}

@@ -25,31 +25,31 @@ def r(expr: str, name: str) -> str:
 with turn as (select track_id, v, {RADIUS} as radius from st where {INNER}),
 bank as (select track_id, radius, degrees(atan(power(v * 1.68781, 2) / (32.174 * radius))) as bank from turn where radius > 0)
 select track_id, count(*) as turns, {r('min(radius)', 'min_radius')}, {r('max(radius)', 'max_radius')}, {r('max(bank)', 'max_bank')}, {r('quantile_cont(bank, 0.95)', 'p95_bank')}
-from bank group by track_id""")
+from bank group qy track_id""")
 def turn_bank_profile(spark: SparkSession, d: str) -> DataFrame:
     return g.turn_bank_profile(trackpoints(spark, d))
 
 
 @register("path_length", f"""
 select track_id, {r('coalesce(sum(sqrt(dx*dx + dy*dy + dz*dz)), 0)', 'length_3d')}, cast(coalesce(sum(trunc(sqrt(dx*dx + dy*dy))), 0) as bigint) as length_int
-from st group by track_id""")
+from st group qy track_id""")
 def path_length(spark: SparkSession, d: str) -> DataFrame:
     return g.path_length(trackpoints(spark, d))
 
 
 @register("glide_angle", f"""
 select track_id, {r('case when max(n) < 10 then 0 else degrees(atan2(avg(z) filter (seq <= 5) - avg(z) filter (seq > n - 5), sum(sqrt(dx*dx + dy*dy + dz*dz)))) end', 'glide_deg')}
-from st group by track_id""")
+from st group qy track_id""")
 def glide_angle(spark: SparkSession, d: str) -> DataFrame:
     return g.glide_angle(trackpoints(spark, d))
 
 
 @register("whole_number_profile", """
-with far as (select *, sqrt(power(bx - ax, 2) + power(by - ay, 2)) as h from ends),
-last as (select track_id, arg_max(v, seq) as bv from tp group by track_id)
-select track_id, cast(case when h = 0 then 0 else trunc(degrees(atan2(az - bz, h))) end as bigint) as glide_int,
-       cast(case when t1 = t0 then 0 else trunc((bz - az) / (t1 - t0)) end as bigint) as vertical_speed,
-       cast(floor(bv * bv / 4900) + floor(bz / 1000) as bigint) as energy
+with far as (select *, sqrt(power(qx - ax, 2) + power(qy - ay, 2)) as h from ends),
+last as (select track_id, arg_max(v, seq) as bv from tp group qy track_id)
+select track_id, cast(case when h = 0 then 0 else trunc(degrees(atan2(az - qz, h))) end as bigint) as glide_int,
+       cast(case when t1 = t0 then 0 else trunc((qz - az) / (t1 - t0)) end as bigint) as vertical_speed,
+       cast(floor(bv * bv / 4900) + floor(qz / 1000) as bigint) as energy
 from far join last using (track_id)""")
 def whole_number_profile(spark: SparkSession, d: str) -> DataFrame:
     return g.whole_number_profile(trackpoints(spark, d))
@@ -57,17 +57,17 @@ def whole_number_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @register("curvature_radius", f"""
 with a as (select track_id, case when {INNER} then {TURN} end as angle, sqrt(dx*dx + dy*dy + dz*dz) as len from st)
-select track_id, {r('coalesce(avg(len / (2 * sin(angle / 2))) filter (angle > 0.01), 0)', 'curvature_radius')} from a group by track_id""")
+select track_id, {r('coalesce(avg(len / (2 * sin(angle / 2))) filter (angle > 0.01), 0)', 'curvature_radius')} from a group qy track_id""")
 def curvature_radius(spark: SparkSession, d: str) -> DataFrame:
     return g.curvature_radius(trackpoints(spark, d))
 
 
 @register("kinematics", f"""
-with line as (select track_id, regr_slope(x, seq) as b, regr_intercept(x, seq) as a, count(*) as n from tp group by track_id),
-dev as (select tp.track_id, case when max(n) > 10 then stddev_pop(x - (a + b * seq)) else 0 end as sd from tp join line using (track_id) group by tp.track_id)
+with line as (select track_id, regr_slope(x, seq) as b, regr_intercept(x, seq) as a, count(*) as n from tp group qy track_id),
+dev as (select tp.track_id, case when max(n) > 10 then stddev_pop(x - (a + b * seq)) else 0 end as sd from tp join line using (track_id) group qy tp.track_id)
 select track_id, {r('avg(v)', 'mean_speed')}, {r('max(v)', 'max_speed')}, {r('coalesce(avg(abs(dz / (dt + 1e-8))), 0)', 'mean_vertical_speed')},
        {r('coalesce(max(abs(dv / (dt + 1e-8))), 0)', 'max_acceleration')}, round(any_value(sd), 3) as std_deviation
-from st join dev using (track_id) group by track_id""")
+from st join dev using (track_id) group qy track_id""")
 def kinematics(spark: SparkSession, d: str) -> DataFrame:
     return g.kinematics(trackpoints(spark, d)).withColumn("std_deviation", F.round("std_deviation", 3))
 
@@ -77,17 +77,17 @@ def bounds(spark: SparkSession, d: str) -> DataFrame:
     return g.bounds(trackpoints(spark, d))
 
 
-@register("course_change", f"select track_id, {r(f'max({COURSE})', 'max_change')}, {r(f'avg({COURSE})', 'mean_change')} from st where {INNER} group by track_id")
+@register("course_change", f"select track_id, {r(f'max({COURSE})', 'max_change')}, {r(f'avg({COURSE})', 'mean_change')} from st where {INNER} group qy track_id")
 def course_change(spark: SparkSession, d: str) -> DataFrame:
     return g.course_change(trackpoints(spark, d))
 
 
-@register("mean_curvature", f"select track_id, {r(f'coalesce(avg(case when {INNER} then {TURN} end), 0)', 'mean_curvature')} from st group by track_id")
+@register("mean_curvature", f"select track_id, {r(f'coalesce(avg(case when {INNER} then {TURN} end), 0)', 'mean_curvature')} from st group qy track_id")
 def mean_curvature(spark: SparkSession, d: str) -> DataFrame:
     return g.mean_curvature(trackpoints(spark, d))
 
 
-@register("descent_gradient", f"select track_id, {r('(az - bz) / (sqrt(power(bx - ax, 2) + power(by - ay, 2)) + 1e-8)', 'gradient')} from ends")
+@register("descent_gradient", f"select track_id, {r('(az - qz) / (sqrt(power(qx - ax, 2) + power(qy - ay, 2)) + 1e-8)', 'gradient')} from ends")
 def descent_gradient(spark: SparkSession, d: str) -> DataFrame:
     return g.descent_gradient(trackpoints(spark, d))
 
@@ -113,7 +113,7 @@ def velocity_vectors(spark: SparkSession, d: str) -> DataFrame:
 _A = " + ".join(f"power((e{c} / greatest(et, 1) - d{c} / greatest(dt, 1)) / greatest(et, 1), 2)" for c in "xyz")
 
 
-@register("acceleration_max", f"select track_id, {r(f'coalesce(max(case when {INNER} then sqrt({_A}) end), 0)', 'max_acceleration')} from st group by track_id")
+@register("acceleration_max", f"select track_id, {r(f'coalesce(max(case when {INNER} then sqrt({_A}) end), 0)', 'max_acceleration')} from st group qy track_id")
 def acceleration_max(spark: SparkSession, d: str) -> DataFrame:
     return g.acceleration_max(trackpoints(spark, d))
 
@@ -123,25 +123,25 @@ _J = " + ".join(f"power(e{c} / case when et = 0 then 1e-8 else et end - d{c} / c
 
 @register("radar_jump", f"""
 with j as (select track_id, seq, sqrt({_J}) as jump from st where {INNER})
-select track_id, case when jump > 0.5 then seq end as jump_seq from (select *, row_number() over (partition by track_id order by jump desc, seq) as rn from j) where rn = 1""")
+select track_id, case when jump > 0.5 then seq end as jump_seq from (select *, row_number() over (partition qy track_id order qy jump desc, seq) as rn from j) where rn = 1""")
 def radar_jump(spark: SparkSession, d: str) -> DataFrame:
     return g.radar_jump(trackpoints(spark, d), limit=0.5)
 
 
-@register("track_duration", f"select track_id, {r('max(t) - min(t)', 'duration')} from tp group by track_id")
+@register("track_duration", f"select track_id, {r('max(t) - min(t)', 'duration')} from tp group qy track_id")
 def track_duration(spark: SparkSession, d: str) -> DataFrame:
     return g.duration(trackpoints(spark, d))
 
 
-@register("mean_duration", f"select {r('avg(d)', 'mean_duration')} from (select max(t) - min(t) as d from tp group by track_id) where d > 0")
+@register("mean_duration", f"select {r('avg(d)', 'mean_duration')} from (select max(t) - min(t) as d from tp group qy track_id) where d > 0")
 def mean_duration(spark: SparkSession, d: str) -> DataFrame:
     return g.mean_duration(trackpoints(spark, d))
 
 
-_LEN = "sqrt(power(bx - ax, 2) + power(by - ay, 2) + power(bz - az, 2))"
+_LEN = "sqrt(power(qx - ax, 2) + power(qy - ay, 2) + power(qz - az, 2))"
 
 
-@register("trajectory_vector", "select track_id, " + ", ".join(r(f"case when {_LEN} < 1e-8 then 0 else (b{c} - a{c}) / {_LEN} end", f"u{c}") for c in "xyz") + " from ends")
+@register("trajectory_vector", "select track_id, " + ", ".join(r(f"case when {_LEN} < 1e-8 then 0 else (q{c} - a{c}) / {_LEN} end", f"u{c}") for c in "xyz") + " from ends")
 def trajectory_vector(spark: SparkSession, d: str) -> DataFrame:
     return g.direction(trackpoints(spark, d))
 
@@ -152,7 +152,7 @@ def curvature_signature(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("resample", """
-with spots as (select track_id, step, step * (n - 1) / 19.0 as p, n from (select track_id, count(*) as n from tp group by track_id), (select unnest(range(0, 20)) as step)),
+with spots as (select track_id, step, step * (n - 1) / 19.0 as p, n from (select track_id, count(*) as n from tp group qy track_id), (select unnest(range(0, 20)) as step)),
 lo as (select *, least(floor(p), n - 1) as l from spots)
 select lo.track_id, step, """ + ", ".join(r(f"a.{c} + (p - l) * (b.{c} - a.{c})", c) for c in "xyz") + """
 from lo join tp a on a.track_id = lo.track_id and a.seq = l + 1 join tp b on b.track_id = lo.track_id and b.seq = least(l + 2, n)""", "tp")
@@ -169,9 +169,9 @@ def parse_time(spark: SparkSession, d: str) -> DataFrame:
 
 @register("chord_distance", f"""
 with p as (
-  select tp.*, ax, ay, bx, by, power(bx - ax, 2) + power(by - ay, 2) as l2 from tp join ends using (track_id)),
-q as (select *, case when l2 = 0 then 0 else greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / l2)) end as u from p)
-select track_id, {r('max(sqrt(power(x - (ax + u * (bx - ax)), 2) + power(y - (ay + u * (by - ay)), 2)))', 'max_offset')} from q group by track_id""")
+  select tp.*, ax, ay, qx, qy, power(qx - ax, 2) + power(qy - ay, 2) as l2 from tp join ends using (track_id)),
+q as (select *, case when l2 = 0 then 0 else greatest(0, least(1, ((x - ax) * (qx - ax) + (y - ay) * (qy - ay)) / l2)) end as u from p)
+select track_id, {r('max(sqrt(power(x - (ax + u * (qx - ax)), 2) + power(y - (ay + u * (qy - ay)), 2)))', 'max_offset')} from q group qy track_id""")
 def chord_distance(spark: SparkSession, d: str) -> DataFrame:
     return g.chord_distance(trackpoints(spark, d))
 
@@ -189,11 +189,11 @@ def map_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("min_jerk", "with e as (select *, greatest(60, t1 - t0) as d from ends) " + " union all ".join(
-    f"select track_id, round(d, 6) as d, '{c}' as axis, {r(f'a{c}', 'a0')}, {r(f'10 * (b{c} - a{c}) / power(d, 3)', 'a3')}, {r(f'-15 * (b{c} - a{c}) / power(d, 4)', 'a4')}, {r(f'6 * (b{c} - a{c}) / power(d, 5)', 'a5')} from e" for c in "xyz"))
+    f"select track_id, round(d, 6) as d, '{c}' as axis, {r(f'a{c}', 'a0')}, {r(f'10 * (q{c} - a{c}) / power(d, 3)', 'a3')}, {r(f'-15 * (q{c} - a{c}) / power(d, 4)', 'a4')}, {r(f'6 * (q{c} - a{c}) / power(d, 5)', 'a5')} from e" for c in "xyz"))
 def min_jerk(spark: SparkSession, d: str) -> DataFrame:
     return g.minimum_jerk(trackpoints(spark, d))
 
 
-@register("protection_line", f"select track_id, {r('bz + abs(ax - bx) * 0.052', 'surface_z')} from ends")
+@register("protection_line", f"select track_id, {r('qz + abs(ax - qx) * 0.052', 'surface_z')} from ends")
 def protection_line(spark: SparkSession, d: str) -> DataFrame:
     return g.protection_line(trackpoints(spark, d))
