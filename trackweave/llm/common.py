@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch; with texts of some kilobytes a batch stays at a few megabytes.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

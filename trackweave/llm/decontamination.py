@@ -24,6 +24,8 @@ from .textops import LOWER, NOT_ALNUM, Words, chunks, split_words, text_buffer,
 
 #: Most words of all test phrases together; a larger test set is refused, it has to come in parts.
 MAX_TEST_WORDS = 20_000_000
+#: Documents with likely matches are broadcast up to this number; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -162,7 +164,7 @@ def _plan(test: TestSet, counts: np.ndarray, lists: int) -> tuple[list[tuple], n
     return rows, of
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, lists: int = 3, share: int = 20, keep: tuple[str, ...] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, lists: int = 2, share: int = 20, keep: tuple[str, ...] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted item ids with a window in it), contaminated; with
     ``keep`` also the text and these columns.
 
@@ -178,7 +180,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     needed = np.array(sorted({r[1] for r in rows}), dtype=np.int64)
     index = written(build_index(docs, doc_id, text, test.terms[needed]), "postings")
     phrases = spark.createDataFrame([(p, int(np.searchsorted(needed, t)), o, r, n) for p, t, o, r, n in rows], "phrase long, term long, offset int, rank int, terms int")
-    found = phrase_starts(index, phrases).select(F.col("doc_id").alias("__doc")).distinct().withColumn("__likely", F.lit(True))
+    found = written(phrase_starts(index, phrases).select(F.col("doc_id").alias("__doc")).distinct().withColumn("__likely", F.lit(True)), "found")
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
     known = spark.sparkContext.broadcast(_windows(test))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

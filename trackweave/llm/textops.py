@@ -1,7 +1,7 @@
 """Vectorised text kernels that run inside Spark tasks on Arrow batches.
 
 Texts are handled as the UTF-8 bytes of an Arrow string column.  A polynomial prefix hash gives every word, and every
-run of consecutive words, a 64-bit hash without a Python loop over words.  Work is done in chunks of about a megabyte
+run of consecutive words, a 64-bit hash without a Python loop over words.  Work is done in chunks of about half a megabyte
 of whole documents, so memory follows the longest document, not the batch.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 LONG_WORD = 64
 
 SPACE = np.zeros(256, dtype=bool)
