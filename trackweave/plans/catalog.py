@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import selection_queries, track_queries  # noqa: F401
+from . import selection_queries, track_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
