@@ -39,10 +39,11 @@ def register(name: str, sql: str | None = None, views: str = "tp st") -> Callabl
     def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
         if sql:
+            recursive = "recursive" if sql.strip().startswith("with recursive ") else ""
             prelude = ",".join(VIEWS[v].strip() for v in VIEWS if v in views.split())
-            body = sql.strip()
+            body = sql.strip().replace("with recursive ", "with ", 1)
             joined = f"{prelude},{body.removeprefix('with ')}" if body.startswith("with ") and prelude else f"{prelude} {body}" if prelude else body
-            text = f"with {joined}" if prelude else joined
+            text = f"with {recursive} {joined}" if prelude else joined
             ORACLES[name] = f"select columns(*) from ({text})"
         return fn
 
