@@ -121,7 +121,7 @@ def quality(points: DataFrame, centroid: DataFrame) -> DataFrame:
 
 def radius_consistency(centroid: DataFrame) -> DataFrame:
     """Share of turn radii within 0.1 NM of their median; 1 below two radii."""
-    t = g.turns(centroid.select("cluster_id", F.col("step").alias("seq"), "x", "y", "z", F.lit(0.0).alias("v"), F.lit(0.0).alias("t")), ("cluster_id",)).where("radius > 0")
+    t = g.turns(centroid.select("cluster_id", F.col("step").alias("seq"), "x", "y", "z", F.lit(0.0).alias("v"), F.lit(0.0).alias("t")), ("cluster_id",)).where("radius > 0").select("cluster_id", "radius")
     med = t.groupBy("cluster_id").agg(F.median("radius").alias("med"), F.count("*").alias("n"))
     share = t.join(med, "cluster_id").groupBy("cluster_id").agg(F.max("n").alias("n"), F.avg(e("if(abs(radius - med) <= 607.612D, 1D, 0D)")).alias("c"))
     return centroid.select("cluster_id").distinct().join(share, "cluster_id", "left").select("cluster_id", e("if(coalesce(n, 0) < 2, 1D, c)").alias("consistency"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cluster_queries, selection_queries, track_queries, vector_queries  # noqa: F401
+from . import cluster_queries, procedure_queries, selection_queries, track_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
