@@ -36,14 +36,6 @@ IDENTITY_TERMS = {
 }
 
 
-def _term_cells() -> list[np.ndarray]:
-    out = []
-    for terms in IDENTITY_TERMS.values():
-        raw = " ".join(terms).encode()
-        out.append(_cells_of(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0])
-    return out
-
-
 def _cells_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = split_words(LOWER[data], offsets, NOT_ALNUM)
     return (words.hashes() >> np.uint64(64 - HASH_BITS)).astype(np.int64), words.bounds
@@ -74,6 +66,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key & mask, np.searchsorted(key >> HASH_BITS, np.arange(n + 1))
 
 
+def term_features() -> list[list[np.ndarray]]:
+    """By kind, each identity term's features: all that a counterfactual exchanges."""
+    out = []
+    for terms in IDENTITY_TERMS.values():
+        raw = "".join(terms).encode()
+        offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in terms])))
+        cells, bounds = features(np.frombuffer(raw, dtype=np.uint8), offsets)
+        out.append([cells[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
@@ -96,47 +99,43 @@ def chosen(cells: np.ndarray, rows: np.ndarray, labels: np.ndarray, least: int =
     return np.flatnonzero((np.abs(score) > z) & (ones + zeros >= least))
 
 
-def fit(cells: np.ndarray, bounds: np.ndarray, labels: np.ndarray, *, fairness: float = 1.0, decay: float = 1e-4, steps: int = 300, swaps: int = 2) -> Model:
-    """The model by Adam on all rows; ``fairness`` weighs the counterfactual term."""
+def fit(cells: np.ndarray, bounds: np.ndarray, labels: np.ndarray, *, fairness: float = 1.0, decay: float = 1e-4, steps: int = 300) -> Model:
+    """The model by Adam on all rows.
+
+    ``fairness`` weighs the mean squared change of the logit over all counterfactuals of the rows that name a group: each of
+    its terms exchanged for each other term of the kind.
+    """
     n = len(labels)
     if not n or labels.min() == labels.max():
         rate = float(labels.mean()) if n else 0.5
         return Model(np.zeros(1 << HASH_BITS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     rows = np.repeat(np.arange(n), np.diff(bounds))
-    kinds = [np.unique(k) for k in _term_cells()]
+    kinds = term_features()
+    words = [np.array([_cells_of(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))[0][0] for t in terms]) for terms in IDENTITY_TERMS.values()]
+    share = np.bincount(cells, minlength=1 << HASH_BITS) / n
+    active = np.unique(np.concatenate([chosen(cells, rows, labels), *(c for k in kinds for c in k)]))
     keep = np.zeros(1 << HASH_BITS, dtype=bool)
-    keep[chosen(cells, rows, labels)] = True
-    have = np.zeros(1 << HASH_BITS, dtype=bool)
-    have[cells] = True
-    for k in kinds:
-        keep[k[have[k]]] = True
+    keep[active] = True
     used = keep[cells]
-    cells, rows = cells[used], rows[used]
-    pairs = []
-    for kind in kinds:
-        own = np.flatnonzero(np.isin(cells, kind))
-        for s in range(swaps):
-            other = kind[(np.searchsorted(kind, cells[own]) + 1 + s * 7) % len(kind)]
-            pairs.append(np.column_stack((cells[own], other)))
-    swap = np.concatenate(pairs) if pairs else np.zeros((0, 2), dtype=np.int64)
-    w, b = np.zeros(1 << HASH_BITS), 0.0
-    active = np.unique(np.concatenate((cells, swap.ravel()))) if len(swap) else np.unique(cells)
+    rows, local = rows[used], np.searchsorted(active, cells[used])
+    named = [(np.stack([np.isin(active, c).astype(float) for c in k]), share[w]) for k, w in zip(kinds, words, strict=True)]
+    named = [(m, s) for m, s in named if s.any()]
+    wa, b = np.zeros(len(active)), 0.0
     m, v, mb, vb = np.zeros(len(active)), np.zeros(len(active)), 0.0, 0.0
-    local = np.searchsorted(active, cells)
-    one, two = np.searchsorted(active, swap[:, 0]), np.searchsorted(active, swap[:, 1])
-    wa = np.zeros(len(active))
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=wa[local], minlength=n) + b, -30, 30)))
         err = (p - labels) / n
         grad = np.bincount(local, weights=err[rows], minlength=len(active)) + decay * wa
-        if len(swap):
-            gap = 2 * fairness * (wa[one] - wa[two]) / n
-            grad += np.bincount(one, weights=gap, minlength=len(active)) - np.bincount(two, weights=gap, minlength=len(active))
+        for terms, often in named:
+            gap = (terms @ wa)[:, None] - (terms @ wa)[None, :]
+            pull = 2 * fairness * often[:, None] * gap / max(1, len(often) - 1)
+            grad += terms.T @ (pull.sum(axis=1) - pull.sum(axis=0))
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         wa = wa - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+    w = np.zeros(1 << HASH_BITS)
     w[active] = wa
     return Model(w, float(b))
 
