@@ -30,11 +30,11 @@ def norm(*parts: str) -> Column:
     return e("sqrt(" + " + ".join(f"{p} * {p}" for p in parts) + ")")
 
 
-TURN_3D = e("acos(greatest(-1D, least(1D, (dx * ex + dy * ey + dz * ez) / (sqrt(dx * dx + dy * dy + dz * dz) * sqrt(ex * ex + ey * ey + ez * ez) + 1e-8D))))")
-COURSE = e("degrees(acos(greatest(-1D, least(1D, (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) + 1e-8D)))))")
+TURN_3D = "acos(greatest(-1D, least(1D, (dx * ex + dy * ey + dz * ez) / (sqrt(dx * dx + dy * dy + dz * dz) * sqrt(ex * ex + ey * ey + ez * ez) + 1e-8D))))"
+COURSE = "degrees(acos(greatest(-1D, least(1D, (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) + 1e-8D)))))"
 _AREA = "(abs(dx * (dy + ey) - dy * (dx + ex)) / 2)"
-RADIUS = e(f"if({_AREA} < 1e-8D, 0D, sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) * sqrt((dx + ex) * (dx + ex) + (dy + ey) * (dy + ey)) / (4 * {_AREA}))")
-BANK = e("degrees(atan(v * 1.68781D * v * 1.68781D / (32.174D * radius)))")
+RADIUS = f"if({_AREA} < 1e-8D, 0D, sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) * sqrt((dx + ex) * (dx + ex) + (dy + ey) * (dy + ey)) / (4 * {_AREA}))"
+BANK = "degrees(atan(v * 1.68781D * v * 1.68781D / (32.174D * radius)))"
 INNER = "px is not null and fx is not null"
 
 
@@ -64,7 +64,7 @@ def whole_number_profile(points: DataFrame, reference_speed: int = 70) -> DataFr
 
 def curvature_radius(points: DataFrame) -> DataFrame:
     """Mean of step / (2 sin(angle / 2)) over turns above 0.01; 0 without one."""
-    s = steps(points).where(INNER).withColumn("angle", TURN_3D)
+    s = steps(points).where(INNER).withColumn("angle", e(TURN_3D))
     radius = e("if(angle > 0.01D, sqrt(dx * dx + dy * dy + dz * dz) / (2 * sin(angle / 2)), null)")
     every = points.select("track_id").distinct()
     return every.join(s.groupBy("track_id").agg(F.avg(radius).alias("r")), "track_id", "left").select("track_id", F.coalesce("r", F.lit(0.0)).alias("curvature_radius"))
@@ -93,8 +93,8 @@ def bounds(points: DataFrame) -> DataFrame:
 
 def turns(points: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """Inner points with circumradius in the plane, course change and bank at the point's speed (0 where the radius is 0)."""
-    s = steps(points, keys).where(INNER).withColumns({"radius": RADIUS, "course_change": COURSE})
-    return s.withColumn("bank", F.when(F.col("radius") > 0, BANK).otherwise(F.lit(0.0)))
+    s = steps(points, keys).where(INNER).withColumns({"radius": e(RADIUS), "course_change": e(COURSE)})
+    return s.withColumn("bank", F.when(F.col("radius") > 0, e(BANK)).otherwise(F.lit(0.0)))
 
 
 def turn_bank_profile(points: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def course_change(points: DataFrame) -> DataFrame:
 
 def mean_curvature(points: DataFrame) -> DataFrame:
     """Mean 3-D turn; 0 below three points."""
-    return steps(points).groupBy("track_id").agg(F.coalesce(F.avg(F.when(e(INNER), TURN_3D)), F.lit(0.0)).alias("mean_curvature"))
+    return steps(points).groupBy("track_id").agg(F.coalesce(F.avg(F.when(e(INNER), e(TURN_3D))), F.lit(0.0)).alias("mean_curvature"))
 
 
 def ends(points: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
@@ -170,7 +170,7 @@ def direction(points: DataFrame) -> DataFrame:
 
 def curvature_signature(points: DataFrame) -> DataFrame:
     """3-D turn at every inner point."""
-    return steps(points).where(INNER).select("track_id", "seq", TURN_3D.alias("turn"))
+    return steps(points).where(INNER).select("track_id", "seq", e(TURN_3D).alias("turn"))
 
 
 def resample(points: DataFrame, target: int, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:

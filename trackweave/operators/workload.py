@@ -30,7 +30,7 @@ def track_metrics(inside: DataFrame, tracks: DataFrame) -> DataFrame:
     s = g.steps(inside.select(*keys, "seq", "x", "y", "z", "v", "t", "t_abs"), keys)
     agg = s.groupBy(*keys).agg(
         (F.max_by("t", "seq") - F.min_by("t", "seq")).alias("dwell"),
-        F.coalesce(F.avg(F.when(e(g.INNER), g.TURN_3D)), F.lit(0.0)).alias("curvature"),
+        F.coalesce(F.avg(F.when(e(g.INNER), e(g.TURN_3D))), F.lit(0.0)).alias("curvature"),
         *(F.min_by(c, "seq").alias(f"a{c}") for c in "xyz"),
         *(F.max_by(c, "seq").alias(f"b{c}") for c in "xyz"),
         F.min_by("t_abs", "seq").alias("entry_time"),
