@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +54,14 @@ def blocks(name: str, text: str) -> Iterator[dict]:
         yield row | {"lines": [line for line in rest if "," in line]}
 
 
-def _rows(frames: Iterator[pd.DataFrame], texts) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    for pdf in frames:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+def _rows(batches: Iterator[pa.RecordBatch], texts) -> Iterator[pa.RecordBatch]:
+    """The blocks of the files in batches of (path, content); ``texts`` gives a file's parts as (name, text)."""
+    kinds = [pa.field(c.split()[0], pa.list_(pa.string()) if "array" in c else pa.string()) for c in SCHEMA.split(", ")]
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = [row for name, text in texts(path, content) for row in blocks(name, text)]
             if found:
-                yield pd.DataFrame(found, columns=columns)
+                yield pa.RecordBatch.from_pylist(found, schema=pa.schema(kinds))
 
 
 def _named(path: str) -> str:
@@ -69,7 +71,7 @@ def _named(path: str) -> str:
 def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Raw blocks of ``.lt6`` files or folders of them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lt6").load(paths).select("path", "content")
-    return files.mapInPandas(lambda frames: _rows(frames, lambda path, content: [(_named(path), bytes(content).decode("utf-8", "replace"))]), SCHEMA)
+    return files.mapInArrow(lambda batches: _rows(batches, lambda path, content: [(_named(path), content.decode("utf-8", "replace"))]), SCHEMA)
 
 
 def read_archives(spark: SparkSession, paths: list[str] | str, members: list[str] | None = None) -> DataFrame:
@@ -82,7 +84,7 @@ def read_archives(spark: SparkSession, paths: list[str] | str, members: list[str
             return [(_named(n), z.read(n).decode("utf-8", "replace")) for n in names]
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path", "content")
-    return files.mapInPandas(lambda frames: _rows(frames, texts), SCHEMA)
+    return files.mapInArrow(lambda batches: _rows(batches, texts), SCHEMA)
 
 
 def archive_members(spark: SparkSession, paths: list[str] | str) -> DataFrame:

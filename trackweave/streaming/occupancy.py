@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 
 def occupancy(points: DataFrame, *, late: str = "10 minutes", window: str = "300 seconds") -> DataFrame:
-    """cluster_id, window, aircraft: approximate distinct tracks of each closed window; points later than ``late`` are dropped.
+    """cluster_id, window, aircraft: distinct tracks of each closed window; points later than ``late`` are dropped.
 
-    ``points`` has event time ``ts``, cluster_id and track_id.  Exact distinct counts aren't possible in one streaming
-    aggregation, so tracks are first made distinct by (cluster, window, track) inside the watermark.
+    ``points`` has event time ``ts``, cluster_id and track_id.  A distinct count isn't possible in one streaming
+    aggregation, so tracks are first made distinct by (cluster, window, track); the watermark frees that state.
     """
-    w = F.window("ts", window)
-    own = points.withWatermark("ts", late).select("cluster_id", "track_id", "ts", w.alias("window")).dropDuplicatesWithinWatermark(["cluster_id", "track_id", "window"])
+    own = points.withWatermark("ts", late).select("cluster_id", "track_id", F.window("ts", window).alias("window")).dropDuplicates(["cluster_id", "track_id", "window"])
     return own.groupBy("cluster_id", "window").agg(F.count("*").alias("aircraft"))
