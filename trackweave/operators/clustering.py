@@ -99,3 +99,57 @@ def centres(points: DataFrame) -> DataFrame:
     """Mean of the tracks' means by cluster (points with cluster_id)."""
     per = points.groupBy("cluster_id", "track_id").agg(*(F.avg(c).alias(c) for c in "xyz"))
     return per.groupBy("cluster_id").agg(*(F.avg(c).alias(c) for c in "xyz"))
+
+
+def similarities(points: DataFrame, group: str = "grp", most: int = EXACT) -> DataFrame:
+    """(i, j, curvature, spatial, shape, polar, multiscale) of the pairs of tracks in each group of ``most`` at most."""
+    largest = points.groupBy(group).agg(F.countDistinct("track_id").alias("n")).agg(F.max("n").alias("m")).first().m or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} tracks; {most} at most are compared")
+    measures = {"curvature": k.curvature_similarity, "spatial": k.spatial_similarity, "shape": k.shape_similarity, "polar": k.polar_similarity, "multiscale": k.multiscale_affinity}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [(i, t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.sort_values(["track_id", "seq"]).groupby("track_id")]
+        rows = [(a, b, *(float(f(p, q)) for f in measures.values())) for x, (a, p) in enumerate(own) for b, q in own[x + 1 :]]
+        return pd.DataFrame(rows, columns=["i", "j", *measures])
+
+    return points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, "i long, j long, " + ", ".join(f"{m} double" for m in measures))
+
+
+def representative_lines(points: DataFrame, tracks: int = 30, steps: int = 60) -> DataFrame:
+    """(cluster_id, step, x, y, z): the mean of each cluster's first ``tracks`` tracks brought to ``steps`` points."""
+    from pyspark.sql import Window
+
+    from .geometry import resample
+
+    own = points.select("cluster_id", "track_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("track_id"))).where(F.col("r") <= tracks)
+    return resample(points.join(own, ["cluster_id", "track_id"], "left_semi"), steps, ("cluster_id", "track_id")).groupBy("cluster_id", "step").agg(*(F.avg(c).alias(c) for c in "xyz"))
+
+
+def zones_of(centre: DataFrame, cells: int = 20) -> DataFrame:
+    """(gx, gy, cluster_id): the nearest centre of every cell of a grid over the centres' extent; centres are few."""
+    box = centre.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    axis = F.sequence(F.lit(0), F.lit(cells - 1))
+    grid = box.select("*", F.explode(axis).alias("gx")).select("*", F.explode(axis).alias("gy"))
+    grid = grid.select("gx", "gy", F.expr(f"x0 + (x1 - x0) * (gx + 0.5D) / {cells}").alias("px"), F.expr(f"y0 + (y1 - y0) * (gy + 0.5D) / {cells}").alias("py"))
+    near = grid.join(F.broadcast(centre.select("cluster_id", "x", "y").limit(100_000)))
+    return near.groupBy("gx", "gy").agg(F.min_by("cluster_id", F.struct(F.expr("pow(x - px, 2) + pow(y - py, 2)"), "cluster_id")).alias("cluster_id"))
+
+
+def adaptive_mean_shift(points: DataFrame, group: str = "grp", widths: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)) -> DataFrame:
+    """The mean-shift labels of the quantile in ``widths`` with the best 0.6 * mean share + 0.4 / (1 + var(size) / n), by group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, tracks = zip(*((i, t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.sort_values(["track_id", "seq"]).groupby("track_id")), strict=True)
+        best = None
+        for w in widths:
+            label = k.mean_shift(list(tracks), quantile=w)
+            sizes = np.bincount(label[label >= 0]) if (label >= 0).any() else np.zeros(0)
+            sizes = sizes[sizes > 0]
+            score = 0.6 * float((sizes / len(label)).mean()) + 0.4 / (1 + float(sizes.var()) / len(label)) if len(sizes) else 0.0
+            if best is None or score > best[0]:
+                best = (score, label)
+        return pd.DataFrame({group: pdf[group].iloc[0], "track_id": ids, "cluster_id": best[1].astype("int32"), "score": best[0]})
+
+    kind = dict(points.dtypes)[group]
+    return points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, track_id long, cluster_id int, score double")

@@ -241,7 +241,8 @@ def parallel_runways(spark: SparkSession, d: str) -> DataFrame:
 
 @register("runway_reassignment")
 def runway_reassignment(spark: SparkSession, d: str) -> DataFrame:
-    return rw.reassignment(_arrivals(spark, d), overload=0.05)
+    crowded = _arrivals(spark, d).withColumn("eta", F.col("eta") % 3600)
+    return rw.reassignment(crowded, overload=0.5)
 
 
 _JERK = " union all ".join(f"select track_id, runway, '{c}' as axis, {r(f'a{c}', 'a0')}, {r(f'10 * (q{c} - a{c}) / power(d, 3)', 'a3')}, {r(f'-15 * (q{c} - a{c}) / power(d, 4)', 'a4')}, {r(f'6 * (q{c} - a{c}) / power(d, 5)', 'a5')} from e" for c in "xyz")

@@ -53,3 +53,37 @@ select s.cluster_id, case when s.cluster_id in (select kept from kept) then s.cl
 def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
     m = members(flights(spark, d))
     return cl.merge_small(m, cl.centres(sc.cluster_points(trackpoints(spark, d), m)), 4)
+
+
+@register("track_similarities")
+def track_similarities(spark: SparkSession, d: str) -> DataFrame:
+    return cl.similarities(_grouped(spark, d))
+
+
+@register("adaptive_mean_shift")
+def adaptive_mean_shift(spark: SparkSession, d: str) -> DataFrame:
+    return cl.adaptive_mean_shift(_grouped(spark, d))
+
+
+@register("best_algorithm")
+def best_algorithm(spark: SparkSession, d: str) -> DataFrame:
+    return cl.best_algorithm(cl.compare(_grouped(spark, d), ("RANSAC", "MLESAC")))
+
+
+@register("representative_lines", """
+with l0 as (select cluster_id, track_id, count(*) as n from tp join member using (track_id) group by all),
+l as (select *, row_number() over (partition by cluster_id order by track_id) as k from l0),
+s as (select cluster_id, track_id, n, unnest(range(0, 60)) as step from l where k <= 30),
+p as (select *, step * (n - 1) / 59.0 as p, least(floor(step * (n - 1) / 59.0), n - 1) as l from s)
+select cluster_id, step, """ + ", ".join(r(f"avg(a.{c} + (p - l) * (b.{c} - a.{c}))", c) for c in "xyz") + """
+from p join tp a on a.track_id = p.track_id and a.seq = l + 1 join tp b on b.track_id = p.track_id and b.seq = least(l + 2, n) group by cluster_id, step""", "tp member")
+def representative_lines(spark: SparkSession, d: str) -> DataFrame:
+    return cl.representative_lines(sc.cluster_points(trackpoints(spark, d), members(flights(spark, d))))
+
+
+@register("cluster_zones", f"""
+with {CENTRES}, box as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from cen2),
+g as (select gx, gy, x0 + (x1 - x0) * (gx + 0.5) / 20 as px, y0 + (y1 - y0) * (gy + 0.5) / 20 as py from box, (select unnest(range(0, 20)) as gx), (select unnest(range(0, 20)) as gy))
+select gx, gy, arg_min(cluster_id, power(x - px, 2) + power(y - py, 2)) as cluster_id from g, cen2 group by gx, gy""", "tp member")
+def cluster_zones(spark: SparkSession, d: str) -> DataFrame:
+    return cl.zones_of(cl.centres(sc.cluster_points(trackpoints(spark, d), members(flights(spark, d)))))
