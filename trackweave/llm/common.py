@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,19 +37,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Remove a table made by ``written`` that nothing reads any more."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        spark = df.sparkSession
-        with contextlib.suppress(Exception):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:

@@ -181,7 +181,7 @@ def scored(df: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
     """Documents with a label outside the held-out remainder; of a doc_id that repeats among the labels one is taken."""
     own = labels.where(F.col(label).isNotNull() & (remainder("doc_id", modulus) != held)).groupBy("doc_id").agg(F.max(label).alias("__label"))
-    return docs.select("doc_id", "text").join(bounded_ids(own, "doc_id", TRAIN_ROWS), "doc_id").select("doc_id", "text", F.col("__label").alias(label))
+    return docs.select("doc_id", "text").join(F.broadcast(bounded_ids(own, "doc_id", TRAIN_ROWS)), "doc_id").select("doc_id", "text", F.col("__label").alias(label))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
