@@ -153,3 +153,15 @@ def adaptive_mean_shift(points: DataFrame, group: str = "grp", widths: tuple[flo
 
     kind = dict(points.dtypes)[group]
     return points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, track_id long, cluster_id int, score double")
+
+
+def merged_sums(values: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    """merged_id, total: a column summed over the clusters that were merged."""
+    return values.join(merged.select("cluster_id", "merged_id"), "cluster_id").groupBy("merged_id").agg(F.sum(column).alias("total"))
+
+
+def representative_track(members: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """One row: the top anomaly of the first cluster that has one, else the first track of the largest cluster."""
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("track_id").alias("track_id"))
+    first = anomalies.where("rank = 1").select(F.lit(0).alias("turn"), F.col("cluster_id").cast("long").alias("place"), "track_id")
+    return first.unionByName(sizes.select(F.lit(1).alias("turn"), (-F.col("size")).alias("place"), "track_id")).orderBy("turn", "place", "track_id").limit(1).select("track_id")

@@ -103,3 +103,10 @@ def hulls(points: DataFrame, most: int = 5000) -> DataFrame:
     sample = even_sample(points, most, ("cluster_id",), ("track_id", "seq")).select("cluster_id", "track_id", "seq", "x", "y", "z")
     schema = "cluster_id int, volume double, vertices array<array<double>>, equations array<array<double>>, area_xy double, area_xz double, area_yz double, degenerate boolean"
     return sample.groupBy("cluster_id").applyInPandas(kernels.hull_rows, schema)
+
+
+def inside_hull(points: DataFrame, hull: DataFrame, buffer: float = XY_BUFFER) -> DataFrame:
+    """Points (with cluster_id) no further than ``buffer`` outside any face of their cluster's hull; a degenerate hull has no
+    faces and holds no point back."""
+    faces = hull.select("cluster_id", "equations")
+    return points.join(faces, "cluster_id").where(f"forall(equations, q -> q[0] * x + q[1] * y + q[2] * z + q[3] <= {buffer})").drop("equations")

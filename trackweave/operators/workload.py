@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import geometry as g
 
 BIN, CONFLICT_BIN, HORIZONTAL, VERTICAL = 300.0, 60.0, 18228.0, 1000.0
+#: Markers of aircraft that need more attention.
 ATTENTION = "heavy|b747|b777|a340|a380|mil|military|ввс"
 
 e = F.expr

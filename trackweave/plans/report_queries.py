@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.operators import clustering as cl
 from trackweave.operators import rules as ru
+from trackweave.operators import sector as sc
+from trackweave.operators import selection as sl
 from trackweave.sources import sinks
 from trackweave.sources.adapters import flights, members, trackpoints
 
@@ -42,3 +45,36 @@ def run_history(spark: SparkSession, d: str) -> DataFrame:
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     tracks = flights(spark, d)
     return analyse(trackpoints(spark, d), tracks, members(tracks), conflict_window=864000.0).statistics
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return pr.anomalies(pr.deviations(*_centroid(spark, d)))
+
+
+@register("visible_tracks", f"with {ANOM} select track_id from (select track_id, min(turn) as turn from (select track_id, 0 as turn from an where rank = 1 union all select track_id, 1 from member) group by track_id) order by turn, track_id limit 80", "tp member")
+def visible_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return sl.visible_tracks(members(flights(spark, d)), _found(spark, d)).select("track_id")
+
+
+@register("representative_track", f"with {ANOM} select track_id from an where rank = 1 order by cluster_id limit 1", "tp member")
+def representative_track(spark: SparkSession, d: str) -> DataFrame:
+    return cl.representative_track(members(flights(spark, d)), _found(spark, d))
+
+
+@register("context_totals", f"with {ANOM},{RISK} select (select count(*) from an where is_anomaly) as anomalies, (select count(*) from risk) as risks", "tp st flights member")
+def context_totals(spark: SparkSession, d: str) -> DataFrame:
+    found = _found(spark, d).agg(F.sum(F.col("is_anomaly").cast("long")).alias("anomalies"))
+    return found.crossJoin(ru.risks(trackpoints(spark, d), flights(spark, d), with_plane=False).agg(F.count("*").alias("risks")))
+
+
+@register("hull_membership")
+def hull_membership(spark: SparkSession, d: str) -> DataFrame:
+    p = sc.cluster_points(trackpoints(spark, d), members(flights(spark, d)))
+    return sc.inside_hull(p, sc.hulls(p), 0.001).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@register("merged_anomalies", f"with {ANOM} select cluster_id // 5 as merged_id, count(*) filter (is_anomaly) as total from an group by 1", "tp member")
+def merged_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    counts = pr.anomaly_statistics(_found(spark, d)).select("cluster_id", "anomalies")
+    merged = counts.select("cluster_id", F.floor(F.col("cluster_id") / 5).alias("merged_id"))
+    return cl.merged_sums(counts, merged, "anomalies")

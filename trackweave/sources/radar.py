@@ -120,6 +120,18 @@ def read_tracks(spark: SparkSession, mode: str, paths: list[str] | str, *, membe
     raise ValueError(f"unknown mode {mode}")
 
 
+def read_default(spark: SparkSession, config: str, table: str | None = None) -> DataFrame:
+    """The stored table if it has rows, else what a JSON file names: mode ``files`` (files) or ``archive`` (archive, files)."""
+    if table is not None:
+        stored = spark.read.parquet(table)
+        if stored.limit(1).count():
+            return stored
+    c = spark.read.schema("mode string, files array<string>, archive string").json(config, multiLine=True).first()
+    if c.mode == "archive":
+        return read_archives(spark, c.archive, c.files)
+    return read_tracks(spark, c.mode, c.files)
+
+
 def tracks(raw: DataFrame) -> DataFrame:
     """One row per track with typed header fields; of a repeated track_id the last in load order, with the number of copies.
 
