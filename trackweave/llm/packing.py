@@ -219,7 +219,8 @@ def empty_bins(bins: list[list[int]], lengths: list[int], capacity: int, tries:
 def packed(parts: DataFrame, *, capacity: int = 4096, group_rows: int = 20_000) -> DataFrame:
     """``parts`` (doc_id, piece, length and more) with sequence_id and offset; sequences are filled gapless from 0.
 
-    Full pieces are sequences of their own.  Rows that repeat, and null ids, are pieces like any other; an empty input gives an
+    ``parts`` has to be a stored table, so that its rows come in the same order when a task runs again: groups and numbers
+    follow the row numbers, which also deals out rows that repeat.  Full pieces are sequences of their own.  Rows that repeat, and null ids, are pieces like any other; an empty input gives an
     empty result; lengths are from 1 to ``capacity``.
     """
     names = parts.columns
@@ -227,7 +228,7 @@ def packed(parts: DataFrame, *, capacity: int = 4096, group_rows: int = 20_000)
     full = part.where(F.col("length") == capacity)
     rest = part.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_rows))
-    group = F.pmod(F.xxhash64("doc_id", "piece", "length", *(["ids_crc32"] if "ids_crc32" in names else [])), F.lit(groups))
+    group = F.pmod(F.xxhash64("__row"), F.lit(groups))
     schema = rest.select(*names).withColumn("group", F.lit(0).cast("long")).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +245,7 @@ def packed(parts: DataFrame, *, capacity: int = 4096, group_rows: int = 20_000)
 
     out = rest.withColumn("__group", group).drop("__row").groupBy("__group").applyInPandas(run, schema)
     out = out.withColumn("sequence_id", (F.col("group") + 1) * F.lit(1 << 32) + F.col("sequence_id")).drop("group")
-    alone = full.withColumns({"sequence_id": -1 - F.xxhash64("doc_id", "piece", "__row").bitwiseAND(F.lit((1 << 62) - 1)), "offset": F.lit(0).cast("long")}).drop("__row")
+    alone = full.withColumns({"sequence_id": -1 - F.col("__row"), "offset": F.lit(0).cast("long")}).drop("__row")
     return out.unionByName(alone)
 
 
