@@ -36,7 +36,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: the rows as a table in the shared folder, which a lost executor cannot take along."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

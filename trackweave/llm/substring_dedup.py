@@ -29,6 +29,8 @@ from .common import map_batches, table, written
 from .textops import Words, mix64, split_words, text_buffer, window_hashes
 
 BLOCK_BITS = 16
+#: Answers are broadcast to the chunks up to this size; beyond it chunks and answers are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 CHUNK_SCHEMA = "chunk long, words long, ids array<long>, texts array<string>"
 
 
@@ -274,7 +276,10 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     parts = map_batches(chunks.select("chunk", "texts"), send, "bucket long, chunk long, keys binary, twice binary")
     replies = map_batches(parts.repartition(F.col("bucket")).sortWithinPartitions("bucket"), answer, "chunk long, bucket long, again binary")
-    replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("replies"))
+    replies = written(replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("replies")), "replies")
+    size = replies.agg(F.coalesce(F.sum(F.expr("aggregate(replies, 0L, (a, r) -> a + length(r.again) + 32)")), F.lit(0)).alias("n")).first().n
+    if size <= BROADCAST_BYTES:
+        replies = F.broadcast(replies)
     joined = chunks.drop("words").join(replies, "chunk", "left").select("ids", "texts", "replies")
     return map_batches(joined, finish, "doc_id long, n_words long, n_removed long, kept_text string", rows=4)
 
