@@ -64,10 +64,9 @@ def whole_number_profile(points: DataFrame, reference_speed: int = 70) -> DataFr
 
 def curvature_radius(points: DataFrame) -> DataFrame:
     """Mean of step / (2 sin(angle / 2)) over turns above 0.01; 0 without one."""
-    s = steps(points).where(INNER).withColumn("angle", e(TURN_3D))
+    s = steps(points).withColumn("angle", F.when(e(INNER), e(TURN_3D)))
     radius = e("if(angle > 0.01D, sqrt(dx * dx + dy * dy + dz * dz) / (2 * sin(angle / 2)), null)")
-    every = points.select("track_id").distinct()
-    return every.join(s.groupBy("track_id").agg(F.avg(radius).alias("r")), "track_id", "left").select("track_id", F.coalesce("r", F.lit(0.0)).alias("curvature_radius"))
+    return s.groupBy("track_id").agg(F.coalesce(F.avg(radius), F.lit(0.0)).alias("curvature_radius"))
 
 
 def kinematics(points: DataFrame) -> DataFrame:
@@ -140,10 +139,10 @@ def velocities(points: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> Data
 
 def acceleration_max(points: DataFrame, least_dt: float = 1.0) -> DataFrame:
     """Largest norm of velocity change over time, with times floored; 0 below three points."""
-    s = steps(points).where(INNER)
+    s = steps(points)
     a, b = f"greatest(dt, {least_dt}D)", f"greatest(et, {least_dt}D)"
     norm_ = "sqrt(" + " + ".join(f"pow((e{c} / {b} - d{c} / {a}) / {b}, 2)" for c in "xyz") + ")"
-    return points.select("track_id").distinct().join(s.groupBy("track_id").agg(F.max(e(norm_)).alias("m")), "track_id", "left").select("track_id", F.coalesce("m", F.lit(0.0)).alias("max_acceleration"))
+    return s.groupBy("track_id").agg(F.coalesce(F.max(F.when(e(INNER), e(norm_))), F.lit(0.0)).alias("max_acceleration"))
 
 
 def radar_jump(points: DataFrame, limit: float = 96.5) -> DataFrame:
