@@ -1,6 +1,6 @@
 """Distances, reference directions and affinities of vectors and tracks.
 
-Pairs are made inside a group (a cluster, a sample of bounded size): the reference compares at most some hundred tracks.
+Pairs are made inside a group (a cluster, a sample of bounded size), some hundred tracks at most.
 ``pairs`` refuses larger groups unless told otherwise, so that no query turns quadratic by accident.
 """
 
