@@ -81,11 +81,13 @@ def _moves(matched: DataFrame) -> DataFrame:
     return matched.withColumns({f"d{c}": F.col(c) - F.lag(c).over(w) for c in ("x", "y", "z", "cx", "cy", "cz")})
 
 
-def deviations(points: DataFrame, centroid: DataFrame) -> DataFrame:
-    """(cluster_id, track_id, cosine_distance, squared_sum): per-step cosine distances of the directions of a track (with
-    cluster_id) and its centroid; 1 and infinity below two points."""
+def deviations(points: DataFrame, centroid: DataFrame, cosine: bool = True) -> DataFrame:
+    """(cluster_id, track_id, cosine_distance, squared_sum): per-step cosine distances (or lengths of the difference) of the
+    directions of a track (with cluster_id) and its centroid; 1 and infinity below two points."""
     s = _moves(_matched(points, centroid))
     dist = e("1 - (dx * dcx + dy * dcy + dz * dcz) / ((sqrt(dx * dx + dy * dy + dz * dz) + 1e-8D) * (sqrt(dcx * dcx + dcy * dcy + dcz * dcz) + 1e-8D))")
+    if not cosine:
+        dist = e("sqrt(pow(dx - dcx, 2) + pow(dy - dcy, 2) + pow(dz - dcz, 2))")
     agg = s.groupBy("cluster_id", "track_id").agg(F.max("m").alias("m"), F.avg(dist).alias("d"), F.sum(dist * dist).alias("q"))
     return agg.select("cluster_id", "track_id", e("if(m < 2, 1D, d)").alias("cosine_distance"), e("if(m < 2, double('inf'), q)").alias("squared_sum"))
 
@@ -99,6 +101,13 @@ def anomalies(deviation: DataFrame, percentile: float = 0.95) -> DataFrame:
     return out.withColumn("level", e("case when rank = 1 or score > 0.7D then 'high' when score > 0.4D then 'medium' else 'low' end")).drop("threshold", "top")
 
 
+def assessment(found: DataFrame) -> DataFrame:
+    """cluster_id, track_id, finding, advice of every ranked track, by its level."""
+    finding = e("case level when 'high' then 'CRITICAL' when 'medium' then 'SIGNIFICANT' else 'MINOR' end")
+    advice = e("case level when 'high' then 'ANALYSE_NOW' when 'medium' then 'WATCH_CLOSELY' else 'MONITOR' end")
+    return found.select("cluster_id", "track_id", finding.alias("finding"), advice.alias("advice"))
+
+
 def anomaly_statistics(found: DataFrame) -> DataFrame:
     return found.groupBy("cluster_id").agg(F.count("*").alias("tracks"), F.sum(F.col("is_anomaly").cast("long")).alias("anomalies"), (F.avg(F.col("is_anomaly").cast("double")) * 100).alias("percent"), F.max("cosine_distance").alias("max_distance"), F.avg("cosine_distance").alias("mean_distance"), F.stddev_pop("cosine_distance").alias("std_distance"))
 

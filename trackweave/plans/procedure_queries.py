@@ -321,3 +321,18 @@ with {IDX} select count(*) as clusters, (select count(*) from member) as tracks,
 def global_statistics(spark: SparkSession, d: str) -> DataFrame:
     tracks = members(flights(spark, d)).agg(F.count("*").alias("tracks"))
     return _workload(spark, d).agg(F.count("*").alias("clusters"), F.sum("conflicts").alias("conflicts"), F.max("workload").alias("max_workload")).crossJoin(tracks)
+
+
+@register("track_deviation_euclid", f"""
+with {DEV} select cluster_id, track_id, round(avg(sqrt(power(dx - dcx, 2) + power(dy - dcy, 2) + power(dz - dcz, 2))), 4) as cosine_distance,
+       round(sum(power(dx - dcx, 2) + power(dy - dcy, 2) + power(dz - dcz, 2)) / 1e6, 4) as squared_sum from mv where dx is not null group by cluster_id, track_id""", "tp member")
+def track_deviation_euclid(spark: SparkSession, d: str) -> DataFrame:
+    out = pr.deviations(*_centroid(spark, d), cosine=False)
+    return out.select("cluster_id", "track_id", F.round("cosine_distance", 4).alias("cosine_distance"), F.round(F.col("squared_sum") / 1e6, 4).alias("squared_sum"))
+
+
+@register("anomaly_assessment", f"""
+with {ANOM}, lv as (select cluster_id, track_id, case when rank = 1 or score > 0.7 then 1 when score > 0.4 then 2 else 3 end as k from an)
+select cluster_id, track_id, ['CRITICAL', 'SIGNIFICANT', 'MINOR'][k] as finding, ['ANALYSE_NOW', 'WATCH_CLOSELY', 'MONITOR'][k] as advice from lv""", "tp member")
+def anomaly_assessment(spark: SparkSession, d: str) -> DataFrame:
+    return pr.assessment(pr.anomalies(pr.deviations(*_centroid(spark, d))))
