@@ -15,9 +15,10 @@ def trackpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("track_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     since = F.expr("ts - timestamp_ntz'1970-01-01 00:00:00'")
     seconds = F.expr("extract(day from d) * 86400D + extract(hour from d) * 3600D + extract(minute from d) * 60D + cast(extract(second from d) as double)")
-    base = parquet(spark, sf_dir, "events").select(
-        F.col("user_id").alias("track_id"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
+    events = parquet(spark, sf_dir, "events").withColumnRenamed("user_id", "track_id")
+    base = events.select(
+        "track_id",
+        F.row_number().over(Window.partitionBy("track_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.round(F.col("value") * 100).cast("long").alias("c"),
         since.alias("d"),
