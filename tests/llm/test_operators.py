@@ -141,6 +141,15 @@ def test_contamination(spark, docs, rows, empty):
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_of_rows_that_share_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(7, passage), (7, passage), (7, "clean words"), (None, passage), (None, f"x {passage}"), (None, "lost words"), (8, passage), (9, "p0 p1 p2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = decontamination.contamination(docs, spark.createDataFrame([("a", passage)], "item_id string, text string"), keep=()).collect()
+    assert len(found) == len(rows)
+    assert all(r.contaminated == ("p19" in r.text) and r.n_hit == 20 * r.contaminated for r in found)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d a"), (2, "b x x x x a")], "doc_id long, text string")
     data, offsets = decontamination.text_buffer(decontamination.pa.array(["a b"]))

@@ -131,11 +131,12 @@ def phrase_starts(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, doc_id, start) where all listed terms of a phrase stand at their offsets.
 
     ``phrases`` has phrase, term, offset, rank (0: the rarest) and terms, the number of listed terms; it is the small side, and
-    its size has been checked.  The rarest term's lists give the places; the others' are intersected with them.
+    its size has been checked.  The rarest term's lists give the places; the others' are intersected with them.  Rows that
+    repeat a doc_id give a start once for each, so the distinct terms are counted.
     """
     places = index.select("term", "doc_id", F.explode("positions").alias("position")).join(F.broadcast(phrases), "term")
     places = places.select("phrase", "doc_id", (F.col("position") - F.col("offset")).alias("start"), "rank", "terms").where("start >= 0")
-    return places.groupBy("phrase", "doc_id", "start").agg(F.count("*").alias("n"), F.max("terms").alias("terms")).where("n = terms").select("phrase", "doc_id", "start")
+    return places.groupBy("phrase", "doc_id", "start").agg(F.countDistinct("rank").alias("n"), F.max("terms").alias("terms")).where("n = terms").select("phrase", "doc_id", "start")
 
 
 def proximity_matches(index: DataFrame, first: int, second: int, within: int) -> DataFrame:
