@@ -197,6 +197,33 @@ def test_cluster_operator(spark):
         clustering.cluster(df, "MLESAC", most=3)
 
 
+def test_groups_are_whole(spark):
+    from trackweave.plans.catalog import QUERIES
+
+    found = QUERIES["mean_shift_clusters"](spark, "/root/testdata/sf0.01").groupBy("grp").count().collect()
+    assert sorted((r.grp, r["count"]) for r in found) == [("OAK", 50), ("SFO", 50), ("SJC", 50)]
+    compared = {r.algorithm for r in QUERIES["algorithm_comparison"](spark, "/root/testdata/sf0.001").collect()}
+    assert {"RANSAC", "MLESAC", "SCC", "LSCC"} <= compared <= set(clustering.ALGORITHMS)
+
+
+def test_large_groups(spark):
+    rows = [("g", i, k + 1, *map(float, p)) for i, t in enumerate(two_bundles()) for k, p in enumerate(t)]
+    df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")
+    whole = sorted(map(tuple, clustering.similarities(df).collect()))
+    assert len(whole) == 105
+    assert np.allclose(whole, sorted(map(tuple, clustering.similarities(df, most=6).collect())))
+    label = {r.track_id: r.cluster_id for r in clustering.cluster(df, "SCC", most=3).collect()}
+    assert len(label) == 15 and len({label[i] for i in range(8)} | {label[i] for i in range(8, 15)}) == 2
+
+
+def test_adaptive_mean_shift_takes_bandwidths(spark):
+    rows = [("g", i, k + 1, 1000.0 * k, 300.0 * k * (i // 5), 50.0 * k) for i in range(10) for k in range(10)]
+    df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")
+    found = {r.track_id: (r.cluster_id, r.score) for r in clustering.adaptive_mean_shift(df).collect()}
+    assert len({found[i][0] for i in range(5)}) == len({found[i][0] for i in range(5, 10)}) == 1 and found[0][0] != found[5][0]
+    assert abs(found[0][1] - 0.7) < 1e-9
+
+
 def test_components_and_eps(spark):
     rng = random.Random(2)
     rows = [(f"n{i:03d}", "k", rng.random() * 30, rng.random() * 30, 0.0) for i in range(120)]

@@ -158,15 +158,17 @@ def features(p: np.ndarray) -> np.ndarray:
     return np.concatenate((direction(p), p[0], p[-1], p.mean(axis=0), [s.mean() if len(s) else 0.0, s.std() if len(s) else 0.0, len(p)]))
 
 
-def mean_shift(tracks: list[np.ndarray], quantile: float = 0.2, rounds: int = 300, least: int = 3) -> np.ndarray:
-    """Flat-kernel mean shift on standardised features; -1 for tracks in no cluster of ``least``."""
+def mean_shift(tracks: list[np.ndarray], quantile: float = 0.2, rounds: int = 300, least: int = 3, width: float | None = None) -> np.ndarray:
+    """Flat-kernel mean shift on standardised features; -1 for tracks in no cluster of ``least``.  Without a ``width`` it comes
+    from the ``quantile`` of neighbours."""
     if not tracks:
         return np.zeros(0, dtype=int)
     x = np.array([features(p) for p in tracks])
     sd = x.std(axis=0)
     x = (x - x.mean(axis=0)) / np.where(sd == 0, 1, sd)
-    d = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)
-    width = max(0.05, float(d[:, max(1, int(len(x) * quantile)) - 1].mean())) if len(x) > 1 else 0.1
+    if width is None:
+        d = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)
+        width = max(0.05, float(d[:, max(1, int(len(x) * quantile)) - 1].mean())) if len(x) > 1 else 0.1
     modes = x.copy()
     for _ in range(rounds):
         near = np.linalg.norm(modes[:, None] - x[None], axis=2) <= width

@@ -1,7 +1,7 @@
 """Clustering of tracks: a registry of algorithms that run per group (an airport, a day), and the form for groups of any size.
 
-A group's tracks have to be together for the exact algorithms, so its size is checked first; ``features_kmeans`` takes
-larger ones.
+A group's tracks have to be together for the exact algorithms, so its size is checked first.  Larger groups go to
+``features_kmeans`` for the spectral ones and are refused by the others.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from . import cluster_kernels as k
 from . import similarity as s
 
-#: Tracks in a group at most for the exact algorithms.
+#: Tracks in a group at most for the exact algorithms, and the algorithms with a form for larger groups.
 EXACT = 700
+SPECTRAL = ("SCC", "LSCC")
 
 
 def _consensus(likelihood: bool) -> Callable:
@@ -34,13 +35,17 @@ ALGORITHMS: dict[str, Callable] = {
 
 
 def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int = EXACT) -> DataFrame:
-    """(group, algorithm, track_id, cluster_id, is_noise): the named algorithm on every group of points (track_id, seq, x, y, z)."""
+    """(group, algorithm, track_id, cluster_id, is_noise): the named algorithm on every group of points (track_id, seq, x, y, z);
+    the spectral ones take groups above ``most`` tracks by k-means on features."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm}")
-    largest = points.groupBy(group).agg(F.countDistinct("track_id").alias("n")).agg(F.max("n").alias("m")).first().m or 0
-    if largest > most:
-        raise ValueError(f"a group has {largest} tracks; {algorithm} takes {most} at most, features_kmeans any number")
+    large = [r[group] for r in points.groupBy(group).agg(F.countDistinct("track_id").alias("n")).where(F.col("n") > most).collect()]
+    if large and algorithm not in SPECTRAL:
+        raise ValueError(f"{len(large)} groups have more than {most} tracks; {algorithm} takes {most} at most, features_kmeans any number")
     run_ = ALGORITHMS[algorithm]
+    own = [points.where(F.col(group).eqNullSafe(F.lit(v))) for v in large]
+    for v in large:
+        points = points.where(~F.col(group).eqNullSafe(F.lit(v)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["track_id", "seq"])
@@ -49,7 +54,11 @@ def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int = E
         return pd.DataFrame({group: pdf[group].iloc[0], "algorithm": algorithm, "track_id": ids, "cluster_id": label.astype("int32"), "is_noise": label < 0})
 
     kind = dict(points.dtypes)[group]
-    return points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, algorithm string, track_id long, cluster_id int, is_noise boolean")
+    out = points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, algorithm string, track_id long, cluster_id int, is_noise boolean")
+    for v, p in zip(large, own, strict=True):
+        found = features_kmeans(p.withColumns({"v": F.lit(0.0), "t": F.col("seq").cast("double")})).select(F.lit(v).cast(kind).alias(group), F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), "cluster_id", F.lit(False).alias("is_noise"))
+        out = out.unionByName(found)
+    return out
 
 
 def features_kmeans(points: DataFrame, seed: int = 42) -> DataFrame:
@@ -73,7 +82,7 @@ def compare(points: DataFrame, names: tuple[str, ...] = tuple(ALGORITHMS), group
 
     from .geometry import direction
 
-    found = reduce(DataFrame.unionByName, (cluster(points, name, group) for name in names)).where("not is_noise")
+    found = reduce(DataFrame.unionByName, (cluster(points, name, group) for name in names)).where("not is_noise").localCheckpoint()
     vec = found.join(direction(points), "track_id").select("algorithm", F.concat_ws("/", "algorithm", group, "cluster_id").alias("label"), F.col("track_id").alias("vec_id"), F.array("ux", "uy", "uz").alias("vector"))
     q = s.quality(vec.select("label", "vec_id", "vector"), s.reference_direction(vec.select("label", "vec_id", "vector")))
     sizes = vec.groupBy("algorithm", "label").agg(F.count("*").alias("n")).join(q, "label")
@@ -102,18 +111,21 @@ def centres(points: DataFrame) -> DataFrame:
 
 
 def similarities(points: DataFrame, group: str = "grp", most: int = EXACT) -> DataFrame:
-    """(i, j, curvature, spatial, shape, polar, multiscale) of the pairs of tracks in each group of ``most`` at most."""
-    largest = points.groupBy(group).agg(F.countDistinct("track_id").alias("n")).agg(F.max("n").alias("m")).first().m or 0
-    if largest > most:
-        raise ValueError(f"a group has {largest} tracks; {most} at most are compared")
+    """(i, j, curvature, spatial, shape, polar, multiscale) of all pairs of tracks in each group.  A group is dealt into blocks of
+    about ``most`` / 2 tracks, and each pair of blocks is compared on its own."""
     measures = {"curvature": k.curvature_similarity, "spatial": k.spatial_similarity, "shape": k.shape_similarity, "polar": k.polar_similarity, "multiscale": k.multiscale_affinity}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [(i, t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.sort_values(["track_id", "seq"]).groupby("track_id")]
-        rows = [(a, b, *(float(f(p, q)) for f in measures.values())) for x, (a, p) in enumerate(own) for b, q in own[x + 1 :]]
+        own = [(i, t["own"].iloc[0], t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.sort_values(["track_id", "seq"]).groupby("track_id")]
+        within = bool((pdf["left"] == pdf["right"]).iloc[0])
+        rows = [(a, b, *(float(f(p, q)) for f in measures.values())) for x, (a, m, p) in enumerate(own) for b, n, q in own[x + 1 :] if within or m != n]
         return pd.DataFrame(rows, columns=["i", "j", *measures])
 
-    return points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, "i long, j long, " + ", ".join(f"{m} double" for m in measures))
+    parts = points.groupBy(F.col(group).alias("__group")).agg(F.ceil(2 * F.countDistinct("track_id") / F.lit(max(1, most))).alias("parts"))
+    dealt = points.join(parts, F.col(group).eqNullSafe(F.col("__group"))).select(group, "track_id", "seq", "x", "y", "z", "parts", F.pmod(F.xxhash64("track_id"), "parts").alias("own"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select(group, "track_id", "seq", "x", "y", "z", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
+    return dealt.groupBy(group, "left", "right").applyInPandas(run, "i long, j long, " + ", ".join(f"{m} double" for m in measures))
 
 
 def representative_lines(points: DataFrame, tracks: int = 30, steps: int = 60) -> DataFrame:
@@ -136,18 +148,24 @@ def zones_of(centre: DataFrame, cells: int = 20) -> DataFrame:
     return near.groupBy("gx", "gy").agg(F.min_by("cluster_id", F.struct(F.expr("pow(x - px, 2) + pow(y - py, 2)"), "cluster_id")).alias("cluster_id"))
 
 
-def adaptive_mean_shift(points: DataFrame, group: str = "grp", widths: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)) -> DataFrame:
-    """The mean-shift labels of the quantile in ``widths`` with the best 0.6 * mean share + 0.4 / (1 + var(size) / n), by group."""
+def adaptive_mean_shift(points: DataFrame, group: str = "grp", widths: tuple[float, ...] = tuple(k / 20 for k in range(1, 11)), clusters: int = 10, most: int = EXACT) -> DataFrame:
+    """The mean-shift labels of the bandwidth in ``widths`` with the best 0.6 * mean share + 0.4 / (1 + var(size) / clusters), by
+    group; bandwidths without a cluster or with more than ``clusters`` don't count, and if none is left all tracks are noise."""
+    largest = points.groupBy(group).agg(F.countDistinct("track_id").alias("n")).agg(F.max("n").alias("m")).first().m or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} tracks; mean shift takes {most} at most")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, tracks = zip(*((i, t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.sort_values(["track_id", "seq"]).groupby("track_id")), strict=True)
-        best = None
+        best = (0.0, np.full(len(tracks), -1))
         for w in widths:
-            label = k.mean_shift(list(tracks), quantile=w)
-            sizes = np.bincount(label[label >= 0]) if (label >= 0).any() else np.zeros(0)
+            label = k.mean_shift(list(tracks), width=w)
+            sizes = np.bincount(label[label >= 0])
             sizes = sizes[sizes > 0]
-            score = 0.6 * float((sizes / len(label)).mean()) + 0.4 / (1 + float(sizes.var()) / len(label)) if len(sizes) else 0.0
-            if best is None or score > best[0]:
+            if not 0 < len(sizes) <= clusters:
+                continue
+            score = 0.6 * float((sizes / len(label)).mean()) + 0.4 / (1 + float(sizes.var()) / len(sizes))
+            if score > best[0]:
                 best = (score, label)
         return pd.DataFrame({group: pdf[group].iloc[0], "track_id": ids, "cluster_id": best[1].astype("int32"), "score": best[0]})
 

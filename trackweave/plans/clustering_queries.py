@@ -1,4 +1,4 @@
-"""Queries of the clustering algorithms; groups are airports."""
+"""Queries of the clustering algorithms; groups are airports, the comparisons take one sample of all tracks."""
 
 from __future__ import annotations
 
@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from trackweave.operators import clustering as cl
 from trackweave.operators import sector as sc
+from trackweave.operators.selection import even_tracks
 from trackweave.sources.adapters import flights, members, trackpoints
 
 from .registry import register
 from .track_queries import r
 
+#: Tracks of a comparison, the reference's default limit.
+COMPARED = 300
+
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of at most some dozen tracks: the airport and the track's number over 90."""
-    own = flights(spark, d).select("track_id", F.concat_ws("-", "airportid", F.floor(F.col("track_id") / 90)).alias("grp"))
-    return trackpoints(spark, d).join(own, "track_id")
+    """All points with their airport as the group."""
+    return trackpoints(spark, d).join(flights(spark, d).select("track_id", F.col("airportid").alias("grp")), "track_id")
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    """All algorithms on one group: at most ``COMPARED`` evenly spaced tracks of all."""
+    own = even_tracks(flights(spark, d), COMPARED).select("track_id", F.lit("all").alias("grp"))
+    return cl.compare(trackpoints(spark, d).join(own, "track_id"))
 
 
 def _one(name: str):
@@ -34,7 +43,7 @@ def feature_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @register("algorithm_comparison")
 def algorithm_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return cl.compare(_grouped(spark, d), ("RANSAC", "MLESAC", "MeanShift"))
+    return _compared(spark, d)
 
 
 CENTRES = "cen2 as (select cluster_id, avg(x) as x, avg(y) as y, avg(z) as z from (select cluster_id, track_id, avg(x) as x, avg(y) as y, avg(z) as z from tp join member using (track_id) group by all) group by cluster_id)"
@@ -67,7 +76,7 @@ def adaptive_mean_shift(spark: SparkSession, d: str) -> DataFrame:
 
 @register("best_algorithm")
 def best_algorithm(spark: SparkSession, d: str) -> DataFrame:
-    return cl.best_algorithm(cl.compare(_grouped(spark, d), ("RANSAC", "MLESAC")))
+    return cl.best_algorithm(_compared(spark, d))
 
 
 @register("representative_lines", """
