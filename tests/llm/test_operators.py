@@ -309,6 +309,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(docs, toxicity.train(empty.withColumn("toxic", F.lit(None).cast("int")))).count() == docs.count()
 
 
+def test_toxicity_of_a_group_named_again(spark):
+    rng = random.Random(5)
+    made = []
+    for i in range(400):
+        w = [f"w{rng.randrange(200)}" for _ in range(30)]
+        if i % 8 == 0:
+            w[3] = rng.choice(["idiot", "moron"])
+        if i % 4 == 0 or i % 16 == 1:
+            w[5] = w[9] = w[14] = "muslim"
+        made.append((i, " ".join(w), int(i % 4 == 0)))
+    fair = toxicity.train(spark.createDataFrame(made, "doc_id long, text string, toxic int"), fairness=50.0)
+    texts = [(k, " ".join(["w1"] + [t] * n)) for k, (t, n) in enumerate((t, n) for n in (1, 2, 3) for t in ("muslim", "hindu"))]
+    got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string"), fair).collect()}
+    assert all(abs(got[k] - got[k + 1]) < 0.05 for k in (0, 2, 4))
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(4)
     words = [f"w{chr(97 + i % 26)}{i}" for i in range(200)]

@@ -61,17 +61,23 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     more = [key]
     for level in range(2, LEVELS + 1):
         again = key[count >= level]
-        more.append((again & ~np.int64(mask)) | (mix64((again & mask).astype(np.uint64) + np.uint64(level << 32)) >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+        more.append((again & ~np.int64(mask)) | _again(again & mask, level))
     key = np.unique(np.concatenate(more))
     return key & mask, np.searchsorted(key >> HASH_BITS, np.arange(n + 1))
 
 
-def term_features() -> list[list[np.ndarray]]:
-    """By kind, each identity term's features: all that a counterfactual exchanges."""
+def _again(cells: np.ndarray, level: int) -> np.ndarray:
+    """The further features of cells that occur ``level`` times."""
+    return (mix64(cells.astype(np.uint64) + np.uint64(level << 32)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+def term_features(times: int = 1) -> list[list[np.ndarray]]:
+    """By kind, the features of each identity term that stands ``times`` times: all that a counterfactual exchanges."""
     out = []
     for terms in IDENTITY_TERMS.values():
-        raw = "".join(terms).encode()
-        offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in terms])))
+        texts = [" ".join([t] * times).encode() for t in terms]
+        raw = b"".join(texts)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         cells, bounds = features(np.frombuffer(raw, dtype=np.uint8), offsets)
         out.append([cells[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
     return out
@@ -103,22 +109,24 @@ def fit(cells: np.ndarray, bounds: np.ndarray, labels: np.ndarray, *, fairness:
     """The model by Adam on all rows.
 
     ``fairness`` weighs the mean squared change of the logit over all counterfactuals of the rows that name a group: each of
-    its terms exchanged for each other term of the kind.
+    its terms exchanged, wherever it stands, for each other term of the kind.
     """
     n = len(labels)
     if not n or labels.min() == labels.max():
         rate = float(labels.mean()) if n else 0.5
         return Model(np.zeros(1 << HASH_BITS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     rows = np.repeat(np.arange(n), np.diff(bounds))
-    kinds = term_features()
+    levels = [term_features(level) for level in range(1, LEVELS + 1)]
     words = [np.array([_cells_of(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))[0][0] for t in terms]) for terms in IDENTITY_TERMS.values()]
     share = np.bincount(cells, minlength=1 << HASH_BITS) / n
-    active = np.unique(np.concatenate([chosen(cells, rows, labels), *(c for k in kinds for c in k)]))
+    active = np.unique(np.concatenate([chosen(cells, rows, labels), *(c for kinds in levels for k in kinds for c in k)]))
     keep = np.zeros(1 << HASH_BITS, dtype=bool)
     keep[active] = True
     used = keep[cells]
     rows, local = rows[used], np.searchsorted(active, cells[used])
-    named = [(np.stack([np.isin(active, c).astype(float) for c in k]), share[w]) for k, w in zip(kinds, words, strict=True)]
+    least = [[share[_again(w, level) if level > 1 else w] for w in words] for level in range(1, LEVELS + 1)]
+    times = [[np.maximum(0, a - b) for a, b in zip(x, y, strict=True)] for x, y in zip(least, least[1:], strict=False)] + least[-1:]
+    named = [(np.stack([np.isin(active, c).astype(float) for c in k]), s) for kinds, own in zip(levels, times, strict=True) for k, s in zip(kinds, own, strict=True)]
     named = [(m, s) for m, s in named if s.any()]
     wa, b = np.zeros(len(active)), 0.0
     m, v, mb, vb = np.zeros(len(active)), np.zeros(len(active)), 0.0, 0.0
