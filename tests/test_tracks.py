@@ -216,6 +216,19 @@ def test_large_groups(spark):
     assert len(label) == 15 and len({label[i] for i in range(8)} | {label[i] for i in range(8, 15)}) == 2
 
 
+def test_pairs_of_large_groups(spark):
+    from trackweave.operators import similarity
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, i, rng.normal(size=4).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "label int, vec_id long, vector array<double>")
+    whole = sorted(map(tuple, similarity.cosine_pairs(df).collect()))
+    assert len(whole) == 2 * 30 * 29 // 2
+    assert whole == sorted(map(tuple, similarity.cosine_pairs(df, most=7).collect()))
+    a, b = ({r.label: r.bandwidth for r in similarity.bandwidth(df, most=n).collect()} for n in (7, 5000))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
 def test_adaptive_mean_shift_takes_bandwidths(spark):
     rows = [("g", i, k + 1, 1000.0 * k, 300.0 * k * (i // 5), 50.0 * k) for i in range(10) for k in range(10)]
     df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")

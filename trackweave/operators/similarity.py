@@ -1,7 +1,7 @@
 """Distances, reference directions and affinities of vectors and tracks.
 
-Pairs are made inside a group (a cluster, a sample of bounded size), some hundred tracks at most.
-``pairs`` refuses larger groups unless told otherwise, so that no query turns quadratic by accident.
+Pairs are made inside a group (a cluster, a sample of bounded size).  A large group is dealt into blocks, so no task joins more
+than two of them.
 """
 
 from __future__ import annotations
@@ -68,13 +68,23 @@ def inliers(vectors: DataFrame, references: DataFrame, threshold: float, group:
 
 
 def pairs(vectors: DataFrame, group: str = "label", key: str = "vec_id", most: int = 5_000) -> DataFrame:
-    """(group, i, j, a, b) with i < j inside each group; groups above ``most`` rows are refused."""
-    largest = vectors.groupBy(group).count().agg(F.max("count").alias("m")).first().m or 0
+    """(group, i, j, a, b) with i < j inside each group; groups above ``most`` rows are joined by pairs of blocks of about ``most``."""
+    sizes = vectors.groupBy(group).count()
+    largest = sizes.agg(F.max("count").alias("m")).first().m or 0
+    on = [group]
     if largest > most:
-        raise ValueError(f"a group has {largest} rows; pairs are made for {most} at most")
-    left = vectors.select(group, F.col(key).alias("i"), F.col("vector").alias("a"))
-    right = vectors.select(group, F.col(key).alias("j"), F.col("vector").alias("b"))
-    return left.join(right, group).where("i < j")
+        on += ["__low", "__high"]
+        vectors = vectors.join(sizes.select(group, F.ceil(F.col("count") / most).alias("__parts")), group)
+        vectors = vectors.withColumn("__own", F.pmod(F.xxhash64(key), "__parts")).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+        vectors = vectors.withColumns({"__low": F.least("__own", "__other"), "__high": F.greatest("__own", "__other")})
+    extra = ["__own"] if largest > most else []
+    left = vectors.select(*on, F.col(key).alias("i"), F.col("vector").alias("a"), *extra)
+    right = vectors.select(*on, F.col(key).alias("j"), F.col("vector").alias("b"), *(F.col(c).alias("__their") for c in extra))
+    met = left.join(right, on).where("i < j")
+    if extra:
+        # Inside the task of two blocks, pairs of one block are left to that block's own task.
+        met = met.where("__low = __high or __own <> __their")
+    return met.select(group, "i", "j", "a", "b")
 
 
 def cosine_pairs(vectors: DataFrame, **options) -> DataFrame:
