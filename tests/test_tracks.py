@@ -229,6 +229,16 @@ def test_pairs_of_large_groups(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_many_zones_and_centres(spark):
+    bounds = [f"{m}_{c}" for c in "xyz" for m in ("min", "max")]
+    box = spark.createDataFrame([(1, *[0.0, 1e6] * 3)], ["cluster_id", *bounds])
+    zones = spark.range(10_001).select("id", *((F.col("id") * 10.0 + (5.0 if b[:3] == "max" else 0.0)).alias(b) for b in bounds))
+    assert sector.zone_conflicts(box, zones).count() == 10_001
+    centre = spark.range(120_000).select(F.col("id").cast("int").alias("cluster_id"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    got = {(r.gx, r.gy): r.cluster_id for r in clustering.zones_of(centre, 4).collect()}
+    assert got[3, 3] == round(119_999 * 3.5 / 4) and len(got) == 16
+
+
 def test_adaptive_mean_shift_takes_bandwidths(spark):
     rows = [("g", i, k + 1, 1000.0 * k, 300.0 * k * (i // 5), 50.0 * k) for i in range(10) for k in range(10)]
     df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")

@@ -139,12 +139,12 @@ def representative_lines(points: DataFrame, tracks: int = 30, steps: int = 60) -
 
 
 def zones_of(centre: DataFrame, cells: int = 20) -> DataFrame:
-    """(gx, gy, cluster_id): the nearest centre of every cell of a grid over the centres' extent; centres are few."""
+    """(gx, gy, cluster_id): the nearest centre of every cell of a grid over the centres' extent; the grid is broadcast."""
     box = centre.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     axis = F.sequence(F.lit(0), F.lit(cells - 1))
     grid = box.select("*", F.explode(axis).alias("gx")).select("*", F.explode(axis).alias("gy"))
     grid = grid.select("gx", "gy", F.expr(f"x0 + (x1 - x0) * (gx + 0.5D) / {cells}").alias("px"), F.expr(f"y0 + (y1 - y0) * (gy + 0.5D) / {cells}").alias("py"))
-    near = grid.join(F.broadcast(centre.select("cluster_id", "x", "y").limit(100_000)))
+    near = centre.select("cluster_id", "x", "y").join(F.broadcast(grid))
     return near.groupBy("gx", "gy").agg(F.min_by("cluster_id", F.struct(F.expr("pow(x - px, 2) + pow(y - py, 2)"), "cluster_id")).alias("cluster_id"))
 
 

@@ -69,11 +69,14 @@ def eps_components(rows: DataFrame, keys: list[str], eps: float) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def zone_conflicts(boxes: DataFrame, zones: DataFrame) -> DataFrame:
-    """(cluster_id, zone): boxes that touch a zone; zones without all bounds touch nothing.  Zones are few and broadcast."""
+def zone_conflicts(boxes: DataFrame, zones: DataFrame, most: int = 10_000) -> DataFrame:
+    """(cluster_id, zone): boxes that touch a zone; zones without all bounds touch nothing.  ``most`` zones are broadcast;
+    more are met as a distributed product with the boxes."""
     z = zones.where(" and ".join(f"{m}_{c} is not null" for c in "xyz" for m in ("min", "max")))
     touch = " and ".join(f"b.min_{c} <= z.max_{c} and z.min_{c} <= b.max_{c}" for c in "xyz")
-    return boxes.alias("b").join(F.broadcast(z.limit(10_000)).alias("z"), e(touch)).select("b.cluster_id", F.col("z.id").alias("zone"))
+    small = z.limit(most + 1).count() <= most
+    met = boxes.alias("b").join(F.broadcast(z).alias("z"), e(touch)) if small else boxes.hint("shuffle_replicate_nl").alias("b").join(z.alias("z"), e(touch))
+    return met.select("b.cluster_id", F.col("z.id").alias("zone"))
 
 
 def trimmed(boxes: DataFrame, zones: DataFrame) -> DataFrame:
