@@ -151,14 +151,14 @@ def test_contamination_of_rows_that_share_an_id(spark):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b c d a"), (2, "b x x x x a")], "doc_id long, text string")
-    data, offsets = decontamination.text_buffer(decontamination.pa.array(["a b"]))
-    h = decontamination._words(data, offsets).hashes()
-    terms = decontamination.np.sort(h)
-    a, b = (int(decontamination.np.searchsorted(terms, x)) for x in h)
-    index = decontamination.build_index(docs, "doc_id", "text", terms)
-    found = decontamination.proximity_matches(index, a, b, 3).collect()
-    assert sorted((r.doc_id, r.position, r.other) for r in found) == [(1, 0, 1), (1, 4, 1)]
+    texts = {1: "a b c d a", 2: "b x x x x a", 3: "a b c d a", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    data, offsets = next(decontamination.chunks(decontamination.pa.array(["a b"])))[2:]
+    a, b = decontamination._words(data, offsets).hashes().view("int64").tolist()
+    bits = decontamination.bit_map(spark.createDataFrame([(a,), (b,)], "term long"), "term")
+    found = decontamination.proximity_matches(decontamination.build_index(docs, "text", bits), a, b, 3).collect()
+    key = decontamination._key(texts[1].encode())
+    assert sorted((r.k1, r.k2, r.position, r.other) for r in found) == [(*key, 0, 1), (*key, 4, 1)]
 
 
 def test_fingerprints(docs, rows, empty):

@@ -1,168 +1,233 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of postings (term, doc_id, positions) of training tokens, kept for the terms that are asked for: the
-rarest of each phrase, by counts over the whole corpus.  A phrase's matches are found by intersecting its rarest terms'
-lists after taking off each term's offset; the survivors are confirmed on the texts, so answers are exact.  The phrases
-and their terms come from a test set, whose size is checked before it is broadcast; the postings stay distributed, and
-a document's list never leaves its document, so a frequent term is many rows of many documents and no hot key.
+1. The test items' windows become *phrases* with their words, terms (word hashes) and items, in tasks.
+2. The terms are counted over the whole corpus, and each phrase's rarest ones are chosen.
+3. The index is a stored table of postings (term, text, positions) of the chosen terms over all training texts.  A text is
+   known by a 128-bit key of its bytes, so rows that repeat, or have no id, share postings and answers.
+4. A phrase's starts in a text are the offset-adjusted positions that all its chosen terms agree on.  The words at each
+   start are compared with the phrase's, so the matches are exact; they give the hit words and the items.
+
+Nothing that grows with the corpus or the test set is at the driver: of terms and keys only a bit map of a fixed size, which
+thins out what tasks send; a wrong bit sends more, and the joins that follow drop it.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches, table, written
-from .textops import LOWER, NOT_ALNUM, Words, chunks, split_words, text_buffer, window_hashes
+from .textops import LOWER, NOT_ALNUM, Words, chunks, split_words
 
-#: Most words of all test phrases together; a larger test set is refused, it has to come in parts.
-MAX_TEST_WORDS = 20_000_000
-#: Documents with likely matches are broadcast up to this number; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Bits of a map of terms or keys; its size doesn't depend on the input.
+MAP_BITS = 24
+#: Distinct terms that a task counts before it sends them on.
+COUNTED = 1 << 20
+#: Results are broadcast up to this size, and joined by a shuffle beyond it.
+BROADCAST_BYTES = 32 << 20
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return split_words(LOWER[data], offsets, NOT_ALNUM)
 
 
-@dataclass(frozen=True)
-class TestSet:
-    """Word hashes of the items, and their windows: item, first word, width."""
-
-    ids: tuple
-    hashes: np.ndarray
-    bounds: np.ndarray
-    item: np.ndarray
-    first: np.ndarray
-    size: np.ndarray
-    terms: np.ndarray
-
-
-def read_items(items: DataFrame, item_id: str, text: str, width: int) -> TestSet:
-    """The test set on the driver, after a check of its size; null texts and texts without words have no window."""
-    chars = items.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first().n
-    if chars > 2 * MAX_TEST_WORDS:
-        raise ValueError("the test set is too large to broadcast; give it in parts")
-    got = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).toArrow().combine_chunks()
-    texts = got.column("t").combine_chunks() if got.num_rows else pa.array([], pa.string())
-    words = _words(*text_buffer(texts))
-    hashes = words.hashes()
-    item, first, size = [], [], []
-    for i, n in enumerate(words.counts.tolist()):
-        if n:
-            w = min(n, width)
-            item += [i] * (n - w + 1)
-            first += range(int(words.bounds[i]), int(words.bounds[i]) + n - w + 1)
-            size += [w] * (n - w + 1)
-    as_int = lambda x: np.array(x, dtype=np.int64)
-    return TestSet(tuple(got.column("i").to_pylist()), hashes, words.bounds, as_int(item), as_int(first), as_int(size), np.unique(hashes))
-
-
-def term_counts(docs: DataFrame, text: str, terms: np.ndarray) -> np.ndarray:
-    """How often each of the sorted ``terms`` occurs in the whole corpus; each task sends one row for each term it has."""
-    asked = docs.sparkSession.sparkContext.broadcast(terms)
+def _key(raw: bytes) -> tuple[int, int]:
+    """Two signed 64-bit halves of a 128-bit hash."""
+    digest = xxhash.xxh3_128_digest(raw)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+def _keys(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | tuple[None, None]]:
+    """The keys of the texts; none for null."""
+    raw = data.tobytes()
+    return [_key(raw[a:b]) if known else (None, None) for a, b, known in zip(offsets[:-1].tolist(), offsets[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
+
+
+def phrases(items: DataFrame, *, item_id: str = "item_id", text: str = "text", width: int = 13) -> DataFrame:
+    """(p1, p2, words, terms, items): the distinct windows of ``width`` words of the items, an item of fewer words being one.
+
+    p1, p2 is a key of the words, ``words`` has them joined by a space, ``terms`` their hashes, ``items`` the ids of all items that
+    have the window (null ids left out).  Null texts and texts without words have no window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = asked.value
-        counts = np.zeros(len(own), dtype=np.int64)
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(1)):
+                words = _words(data, offsets)
+                hashes, raw = words.hashes().view(np.int64), words.data.tobytes()
+                for i in range(b - a):
+                    at, end = int(words.bounds[i]), int(words.bounds[i + 1])
+                    n = min(end - at, width)
+                    own = [raw[x:y] for x, y in zip(words.start[at:end].tolist(), words.end[at:end].tolist(), strict=True)]
+                    for s in range(0, end - at - n + 1 if n else 0, 4096):
+                        firsts = range(s, min(s + 4096, end - at - n + 1))
+                        joined = [b" ".join(own[f : f + n]) for f in firsts]
+                        keys = [_key(j) for j in joined]
+                        terms = hashes[(at + np.array(firsts))[:, None] + np.arange(n)]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([k[0] for k in keys], pa.int64()),
+                                pa.array([k[1] for k in keys], pa.int64()),
+                                pa.array([j.decode() for j in joined], pa.string()),
+                                pa.ListArray.from_arrays(pa.array(np.arange(0, terms.size + 1, n), pa.int32()), pa.array(terms.ravel())),
+                                pa.array([batch.column(0)[a + i].as_py()] * len(keys), pa.string()),
+                            ],
+                            names=["p1", "p2", "words", "terms", "item"],
+                        )
+
+    source = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+    windows = map_batches(source, run, "p1 long, p2 long, words string, terms array<long>, item string")
+    return windows.groupBy("p1", "p2").agg(F.first("words").alias("words"), F.first("terms").alias("terms"), F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def bit_map(values: DataFrame, column: str) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits with those of the values' leading bits set; each task ORs its own words of 64 bits."""
+    cell = F.shiftrightunsigned(column, 64 - MAP_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - MAP_BITS}) & 63 as int))")
+    rows = values.where(F.col(column).isNotNull()).groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Indices of the unsigned values whose bit is set."""
+    cell = values >> np.uint64(64 - MAP_BITS)
+    return np.flatnonzero((bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1))
+
+
+def term_counts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
+    """(term, n): occurrences in the whole corpus of at least the terms in ``bits``; tasks count before the shuffle."""
+    asked = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
-                place = lookup(own, _words(data, offsets).hashes())
-                counts += np.bincount(place[place >= 0], minlength=len(own))
-        have = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(counts[have])], names=["term", "n"])
-
-    out = np.zeros(len(terms), dtype=np.int64)
-    if len(terms):
-        for r in map_batches(docs.select(F.col(text).cast("string").alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            out[r.term] = r.n
-    return out
-
-
-def lookup(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Index in the sorted ``terms`` or -1, through a table of the hashes' top bits."""
-    if not len(terms):
-        return np.full(len(hashes), -1, dtype=np.int64)
-    bits = max(8, min(22, int(len(terms)).bit_length() + 5))
-    shift = np.uint64(64 - bits)
-    seen = np.zeros(1 << bits, dtype=bool)
-    seen[(terms >> shift).astype(np.int64)] = True
-    out = np.full(len(hashes), -1, dtype=np.int64)
-    maybe = np.flatnonzero(seen[(hashes >> shift).astype(np.int64)])
-    h = hashes[maybe]
-    place = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-    hit = terms[place] == h
-    out[maybe[hit]] = place[hit]
-    return out
-
-
-def build_index(docs: DataFrame, doc_id: str, text: str, terms: np.ndarray) -> DataFrame:
-    """Postings (term, row, positions) of the sorted ``terms``; term is the index in ``terms``."""
-    asked = docs.sparkSession.sparkContext.broadcast(terms)
+                hashes = _words(data, offsets).hashes()
+                new, n = np.unique(hashes[marked(asked.value, hashes)], return_counts=True)
+                terms, place = np.unique(np.concatenate((terms, new)), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate((counts, n)), minlength=len(terms)).astype(np.int64)
+                if len(terms) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "n"])
+                    terms, counts = terms[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "n"])
+
+    return map_batches(docs.select(F.col(text).cast("string").alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def rarest(known: DataFrame, counts: DataFrame, lists: int = 2) -> DataFrame:
+    """(p1, p2, rank, terms, offset, term): each phrase's ``lists`` rarest terms (all of a shorter one), ties by place; phrases with a
+    term that the corpus lacks are left out."""
+    spread = known.select("p1", "p2", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    own = spread.join(counts, "term").groupBy("p1", "p2", "size").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("t"))
+    own = own.where("size(t) = size").withColumn("t", F.slice("t", 1, lists)).withColumn("terms", F.size("t"))
+    return own.select("p1", "p2", "terms", F.posexplode("t").alias("rank", "t")).select("p1", "p2", "rank", "terms", "t.offset", "t.term")
+
+
+def build_index(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
+    """Postings (term, k1, k2, positions) of at least the terms in ``bits`` over all texts; k1, k2 is the text's key."""
+    asked = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = asked.value
         for batch in batches:
-            for a, _, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(0)):
                 words = _words(data, offsets)
-                place = lookup(own, words.hashes())
-                at = np.flatnonzero(place >= 0)
+                hashes = words.hashes()
+                at = marked(asked.value, hashes)
                 if not len(at):
                     continue
                 doc = np.searchsorted(words.bounds, at, side="right") - 1
-                order = np.lexsort((at, place[at], doc))
+                order = np.lexsort((at, hashes[at], doc))
                 at, doc = at[order], doc[order]
-                term = place[at]
-                cut = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
+                term = hashes[at].view(np.int64)
+                cut = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(term, prepend=~term[0]) != 0))
+                keys = _keys(batch.column(0).slice(a, b - a), data, offsets)
                 positions = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)), pa.int32()), pa.array((at - words.bounds[doc]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(term[cut]), batch.column(0).take(pa.array(a + doc[cut])), positions], names=["term", "doc_id", "positions"])
+                own = [keys[d] for d in doc[cut].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(term[cut]), pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64()), positions], names=["term", "k1", "k2", "positions"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "term long, doc_id long, positions array<int>")
+    return map_batches(docs.select(F.col(text).cast("string").alias("text")), run, "term long, k1 long, k2 long, positions array<int>")
 
 
-def phrase_starts(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, doc_id, start) where all listed terms of a phrase stand at their offsets.
+def phrase_starts(index: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(p1, p2, k1, k2, start) where all chosen terms of a phrase (table of ``rarest``) stand at their offsets in a text.
 
-    ``phrases`` has phrase, term, offset, rank (0: the rarest) and terms, the number of listed terms; it is the small side, and
-    its size has been checked.  The rarest term's lists give the places; the others' are intersected with them.  Rows that
-    repeat a doc_id give a start once for each, so the distinct terms are counted.
+    Texts that repeat give a start once for each, so the distinct ranks are counted; tasks drop repeats before the shuffle.
     """
-    places = index.select("term", "doc_id", F.explode("positions").alias("position")).join(F.broadcast(phrases), "term")
-    places = places.select("phrase", "doc_id", (F.col("position") - F.col("offset")).alias("start"), "rank", "terms").where("start >= 0")
-    return places.groupBy("phrase", "doc_id", "start").agg(F.countDistinct("rank").alias("n"), F.max("terms").alias("terms")).where("n = terms").select("phrase", "doc_id", "start")
+    places = index.select("term", "k1", "k2", F.explode("positions").alias("position")).join(chosen, "term")
+    places = places.select("p1", "p2", "k1", "k2", (F.col("position") - F.col("offset")).alias("start"), "rank", "terms").where("start >= 0")
+    return places.groupBy("p1", "p2", "k1", "k2", "start").agg(F.countDistinct("rank").alias("n"), F.max("terms").alias("terms")).where("n = terms").select("p1", "p2", "k1", "k2", "start")
 
 
 def proximity_matches(index: DataFrame, first: int, second: int, within: int) -> DataFrame:
-    """(doc_id, position, other): every place of term ``first`` with a place of ``second`` at most ``within`` words away."""
-    a = index.where(F.col("term") == first).select("doc_id", F.col("positions").alias("p"))
-    b = index.where(F.col("term") == second).select("doc_id", F.col("positions").alias("q"))
-    near = a.join(b, "doc_id").select("doc_id", "q", F.explode("p").alias("position"))
-    return near.select("doc_id", "position", F.explode(F.filter("q", lambda x: F.abs(x - F.col("position")) <= within)).alias("other"))
-
-
-def _plan(test: TestSet, counts: np.ndarray, lists: int) -> tuple[list[tuple], np.ndarray]:
-    """Distinct phrases with their ``lists`` rarest terms (phrase, term, offset, rank, terms); phrase of each window."""
-    place = np.searchsorted(test.terms, test.hashes)
-    seen: dict[tuple, int] = {}
-    rows: list[tuple] = []
-    of = np.zeros(len(test.item), dtype=np.int64)
-    for k, (f, n) in enumerate(zip(test.first.tolist(), test.size.tolist(), strict=True)):
-        own = place[f : f + n]
-        key = tuple(own.tolist())
-        if key not in seen:
-            seen[key] = len(seen)
-            if counts[own].min() > 0:
-                rank = np.lexsort((np.arange(n), counts[own]))[:lists]
-                rows += [(seen[key], int(own[o]), int(o), r, len(rank)) for r, o in enumerate(rank)]
-        of[k] = seen[key]
-    return rows, of
+    """(k1, k2, position, other): every place of term ``first`` in a text with a place of ``second`` at most ``within`` words away."""
+    distinct = index.groupBy("term", "k1", "k2").agg(F.first("positions").alias("positions"))
+    a = distinct.where(F.col("term") == first).select("k1", "k2", F.col("positions").alias("p"))
+    b = distinct.where(F.col("term") == second).select("k1", "k2", F.col("positions").alias("q"))
+    near = a.join(b, ["k1", "k2"]).select("k1", "k2", "q", F.explode("p").alias("position"))
+    return near.select("k1", "k2", "position", F.explode(F.filter("q", lambda x: F.abs(x - F.col("position")) <= within)).alias("other"))
+
+
+def _texts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
+    """(k1, k2, text) of at least the texts whose k1 is in ``bits``, each once."""
+    asked = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(0)):
+                column = batch.column(0).slice(a, b - a)
+                keys = _keys(column, data, offsets)
+                at = marked(asked.value, np.array([k[0] or 0 for k in keys], dtype=np.int64).view(np.uint64))
+                at = at[[keys[i][0] is not None for i in at.tolist()]] if len(at) else at
+                if len(at):
+                    own = [keys[i] for i in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64()), column.take(pa.array(at))], names=["k1", "k2", "text"])
+
+    found = map_batches(docs.select(F.col(text).cast("string").alias("text")), run, "k1 long, k2 long, text string")
+    return found.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+
+
+def _confirmed(candidates: DataFrame) -> DataFrame:
+    """(k1, k2, n_hit, items) of the texts with a start where the phrase's words stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                data, offsets = next(chunks(batch.column(2).slice(i, 1)))[2:]
+                words = _words(data, offsets)
+                raw, start, end = words.data.tobytes(), words.start.tolist(), words.end.tolist()
+                hit, mine = np.zeros(len(start), dtype=bool), set()
+                for found in batch.column(3)[i].as_py():
+                    own, s = found["words"].encode().split(b" "), found["start"]
+                    if s + len(own) <= len(start) and all(raw[x:y] == w for x, y, w in zip(start[s:], end[s:], own)):  # noqa: B905
+                        hit[s : s + len(own)] = True
+                        mine.update(found["items"])
+                if hit.any():
+                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), int(hit.sum()), sorted(mine)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["k1", "k2", "n_hit", "items"])
+
+    return map_batches(candidates.select("k1", "k2", "text", "found"), run, "k1 long, k2 long, n_hit long, items array<string>")
+
+
+def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, lists: int = 2) -> DataFrame:
+    """(k1, k2, n_hit, items): for the key of every text that has a phrase, how many of its words are inside one, and the sorted ids of
+    the items it comes from."""
+    known = written(phrases(items, item_id=item_id, text=item_text, width=width), "phrases")
+    counts = term_counts(docs, text, bit_map(known.select(F.explode("terms").alias("term")), "term"))
+    chosen = written(rarest(known, counts, lists), "rarest")
+    index = written(build_index(docs, text, bit_map(chosen, "term")), "postings")
+    starts = phrase_starts(index, chosen).join(known.select("p1", "p2", "words", "items"), ["p1", "p2"])
+    found = written(starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "words", "items")).alias("found")), "starts")
+    return written(_confirmed(_texts(docs, text, bit_map(found, "k1")).join(found, ["k1", "k2"])), "hits")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, lists: int = 2, share: int = 20, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -172,71 +237,30 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     Words are runs of ASCII letters and digits and of everything outside ASCII, lower-cased (A-Z).  A window is ``width``
     words of an item, or the whole item if shorter; a document's word inside an occurrence of a window is hit;
     contaminated: n_hit > 0 and share * n_hit >= n_words.  Null and wordless texts have no words and no hits; items
-    without words match nothing; null item ids are left out of ``items``; rows that repeat a doc_id are judged one by one.
+    without words match nothing; null item ids are left out of ``items``; items that repeat count once; rows that repeat a
+    doc_id, or have none, are judged one by one; empty tables give empty or clean results; texts of any length are
+    judged whole.  Columns of ``keep`` with the names of new ones aren't allowed.
     """
-    spark = docs.sparkSession
-    test = read_items(items, item_id, item_text, width)
-    counts = term_counts(docs, text, test.terms)
-    rows, _ = _plan(test, counts, lists)
-    needed = np.array(sorted({r[1] for r in rows}), dtype=np.int64)
-    index = written(build_index(docs, doc_id, text, test.terms[needed]), "postings")
-    phrases = spark.createDataFrame([(p, int(np.searchsorted(needed, t)), o, r, n) for p, t, o, r, n in rows], "phrase long, term long, offset int, rank int, terms int")
-    found = written(phrase_starts(index, phrases).select(F.col("doc_id").alias("__doc")).distinct().withColumn("__likely", F.lit(True)), "found")
-    if found.count() <= BROADCAST_IDS:
-        found = F.broadcast(found)
-    known = spark.sparkContext.broadcast(_windows(test))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = [] if keep is None else ["text", *keep]
+    hits = matches(docs, items, text=text, item_id=item_id, item_text=item_text, width=width, lists=lists)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
-                words = _words(data, offsets)
-                likely = batch.column(2).slice(a, b - a).to_pylist()
-                hit = np.zeros(len(words.start), dtype=bool)
-                names: list[list[str]] = [[] for _ in range(b - a)]
-                hashes = words.hashes() if any(likely) else None
-                for i in np.flatnonzero([x is True for x in likely]).tolist():
-                    at, end = int(words.bounds[i]), int(words.bounds[i + 1])
-                    mine: set[int] = set()
-                    for n, (keys, owners) in known.value.items():
-                        if end - at < n:
-                            continue
-                        one = window_hashes(hashes[at:end], np.array([0, end - at]), n)[0]
-                        place = lookup(keys, one)
-                        for s in np.flatnonzero(place >= 0).tolist():
-                            hit[at + s : at + s + n] = True
-                            mine.update(owners[place[s]])
-                    names[i] = sorted({test.ids[o] for o in mine} - {None})
-                n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), words.bounds[:-1]) * (words.counts > 0)
-                own = [] if keep is None else [batch.column(i).slice(a, b - a) for i in (1, *range(3, batch.num_columns))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *own, pa.array(words.counts), pa.array(n_hit), pa.array(names, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= words.counts))],
-                    names=["doc_id", *([] if keep is None else ["text", *keep]), "n_words", "n_hit", "items", "contaminated"],
-                )
+                counts = split_words(data, offsets, NOT_ALNUM).counts
+                keys = _keys(batch.column(1).slice(a, b - a), data, offsets)
+                own = [batch.column(i).slice(a, b - a) for i in (0, *range(1 if kept else 2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(counts), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", *kept, "n_words", "__k1", "__k2"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(keep or ()))
-    marked = source.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "text", "__likely", *(keep or ()))
-    schema = source.select("doc_id", *([] if keep is None else ["text", *keep])).schema
-    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("items", T.ArrayType(T.StringType())), ("contaminated", "boolean")):
-        schema = schema.add(name, kind)
-    return map_batches(marked, confirm, schema)
-
-
-def _windows(test: TestSet) -> dict[int, tuple[np.ndarray, list[list[int]]]]:
-    """By window size: sorted hashes, and the items of each."""
-    out = {}
-    for n in np.unique(test.size).tolist():
-        own = np.flatnonzero(test.size == n)
-        hashes = np.array([window_hashes(test.hashes[f : f + n], np.array([0, n]), n)[0][0] for f in test.first[own].tolist()], dtype=np.uint64)
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        owners: list[list[int]] = [[] for _ in keys]
-        for k, i in zip(inverse.tolist(), test.item[own].tolist(), strict=True):
-            owners[k].append(i)
-        out[n] = (keys, owners)
-    return out
-
-
-def _digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
+    schema = source.select("doc_id", *kept).schema
+    for name in ("n_words", "__k1", "__k2"):
+        schema = schema.add(name, T.LongType())
+    size = hits.agg(F.coalesce(F.sum(F.expr("40 + aggregate(items, 0L, (a, i) -> a + length(i) + 8)")), F.lit(0)).alias("n")).first().n
+    hits = hits.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "n_hit", "items")
+    out = map_batches(source, run, schema).join(F.broadcast(hits) if size <= BROADCAST_BYTES else hits, ["__k1", "__k2"], "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select("doc_id", *kept, "n_words", "n_hit", "items", "contaminated")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
