@@ -36,16 +36,19 @@ LENGTHS, STEP, REACH, SHARE = (23, 31, 47, 79), 0.1, 40.0, 0.01
 def _found(pattern: str, text: str, kind: int) -> str:
     """SQL for the spans of all matches, leftmost and not overlapping.
 
-    Matches and the pieces between them alternate, so their lengths give the places.
+    Matches and the pieces between them alternate, so their lengths give the places: sums inside blocks of about the root of
+    the number of matches, and sums of the blocks before them, so that many matches don't copy a long array for each.
     """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""if({text} rlike '{p}', aggregate(
-        filter(zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, b) -> named_struct('m', m, 'before', length(b))), x -> x.m is not null),
+    pairs = f"""filter(zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, b) -> named_struct('m', m, 'before', length(b))), x -> x.m is not null)"""
+    blocks = f"""transform(array({pairs}), x -> transform(sequence(0, size(x) - 1, cast(ceil(sqrt(size(x))) as int)), i -> aggregate(slice(x, i + 1, cast(ceil(sqrt(size(x))) as int)),
         named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int,m:string>>)),
-        (acc, x) -> named_struct('at', acc.at + x.before + length(x.m),
-          'out', concat(acc.out, array(named_struct('start', acc.at + x.before, 'kind', {kind}, 'end', acc.at + x.before + length(x.m), 'm', x.m)))),
-        acc -> acc.out),
-      cast(array() as array<struct<start:int,kind:int,end:int,m:string>>))"""
+        (acc, y) -> named_struct('at', acc.at + y.before + length(y.m),
+          'out', concat(acc.out, array(named_struct('start', acc.at + y.before, 'kind', {kind}, 'end', acc.at + y.before + length(y.m), 'm', y.m)))))))[0]"""
+    shifted = f"""transform(array({blocks}), x -> zip_with(x, aggregate(x, named_struct('at', 0, 'out', cast(array() as array<int>)),
+        (acc, y) -> named_struct('at', acc.at + y.at, 'out', concat(acc.out, array(acc.at))), acc -> acc.out),
+        (y, at) -> transform(y.out, s -> named_struct('start', at + s.start, 'kind', s.kind, 'end', at + s.end, 'm', s.m))))[0]"""
+    return f"if({text} rlike '{p}', flatten({shifted}), cast(array() as array<struct<start:int,kind:int,end:int,m:string>>))"
 
 
 def _without_text(column: str) -> str:
@@ -66,12 +69,14 @@ def _battery(tokens: str) -> Column:
       'vowel', transform(s.c, x -> if(instr('aeiouyAEIOUY', x) > 0, 1D, 0D)),
       'class', transform(s.c, x -> case when x between 'a' and 'z' then 1 when x between 'A' and 'Z' then 2 when x between '0' and '9' then 3 else 4 end)))"""
 
+    means = f"transform({counted}, s -> named_struct('s', s, 'code', aggregate(s.code, 0D, (p, q) -> p + q) / s.n, 'vowel', aggregate(s.vowel, 0D, (p, q) -> p + q) / s.n))"
+    centred = f"""transform({means}, r -> named_struct('start', r.s.start, 'end', r.s.end, 'n', r.s.n, 'a', r.s.a, 'squares', r.s.squares, 'class', r.s.class,
+      'code', transform(r.s.code, x -> x - r.code), 'vowel', transform(r.s.vowel, x -> x - r.vowel)))"""
+
     def serial(x: str) -> str:
-        mean = f"(aggregate({x}, 0D, (p, q) -> p + q) / s.n)"
-        above = f"aggregate(zip_with(slice({x}, 1, s.n - 1), slice({x}, 2, s.n - 1), (p, q) -> (p - {mean}) * (q - {mean})), 0D, (p, q) -> p + q)"
-        return f"coalesce(try_divide({above}, aggregate({x}, 0D, (p, q) -> p + (q - {mean}) * (q - {mean}))), 0D)"
+        return f"coalesce(try_divide(aggregate(zip_with(slice({x}, 1, s.n - 1), slice({x}, 2, s.n - 1), (p, q) -> p * q), 0D, (p, q) -> p + q), aggregate({x}, 0D, (p, q) -> p + q * q)), 0D)"
 
-    tested = f"""transform({counted}, s -> named_struct('start', s.start, 'end', s.end, 'n', s.n, 'a', s.a, 'd', greatest(0.3D, s.a * 0.06D - 1),
+    tested = f"""transform({centred}, s -> named_struct('start', s.start, 'end', s.end, 'n', s.n, 'a', s.a, 'd', greatest(0.3D, s.a * 0.06D - 1),
       'chi', s.a * s.squares / s.n - s.n, 'serial', {serial('s.code')}, 'vowels', {serial('s.vowel')},
       'runs', 1 + aggregate(zip_with(slice(s.class, 1, s.n - 1), slice(s.class, 2, s.n - 1), (p, q) -> if(p = q, 0, 1)), 0, (p, q) -> p + q)))"""
     random = f"filter({tested}, s -> (s.chi - (s.a - 1)) / sqrt(2 * (s.a - 1)) <= 4 and abs(s.serial) * sqrt(s.n) <= 4)"
@@ -104,10 +109,13 @@ def scan(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     """``keep`` columns with ``spans``: array<struct<start, kind, end>> sorted by start, then kind (index in ``KINDS``).
 
     Places are code points, ends exclusive.  Null texts count as empty and have no spans; repeated rows are scanned one by one.
-    Tokens that touch a pattern's span are left to the pattern, and digits alone aren't tested.
+    Tokens that touch a pattern's span are left to the pattern, and digits alone aren't tested.  Texts and tokens of any
+    length are scanned whole, in time that grows little faster than they do.  Spans that start together come in the order
+    of their kinds.  An empty table gives an empty result.  A column of ``keep`` may have any name but ``spans``.
     """
     text_ = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = df.select(*keep, text_.alias("__text"))
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    base = df.select(*(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), text_.alias("__text"))
     base = base.withColumn("__assign", F.expr(_found(ASSIGN, "__text", 0)))
     value = ASSIGN.replace("\\", "\\\\").replace("'", "\\'")
     base = base.withColumn("__assign", F.expr(f"filter(__assign, s -> length(regexp_extract(s.m, '{value}', 2)) >= 8)"))
@@ -115,11 +123,11 @@ def scan(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     base = base.withColumn("__base", F.array_sort(F.concat(*(F.expr(_without_text(c)) for c in ("__assign", "__access", "__hex")))))
     base = base.withColumn("__token", F.expr("filter(__token, t -> not t.m rlike '^[0-9]+$' and not exists(__base, b -> b.start < t.end and t.start < b.end))"))
     classes = "case " + " ".join(f"when length(t.m) <= {n} then {i}" for i, n in enumerate(LENGTHS)) + f" else {len(LENGTHS)} end"
-    found = base.select(*keep, F.col("__base").cast(SPAN).alias("base"), F.expr(f"transform(__token, t -> {classes})").alias("tested"), _battery("__token").alias("tokens"))
+    found = base.select(*kept, F.col("__base").cast(SPAN).alias("base"), F.expr(f"transform(__token, t -> {classes})").alias("tested"), _battery("__token").alias("tokens"))
     found = written(found, "tokens")
     limits = ", ".join("double('inf')" if math.isinf(z) else f"{z}D" for z in _thresholds(found))
     random = F.expr(f"transform(filter(tokens, t -> t.z >= element_at(array({limits}), t.class + 1)), t -> named_struct('start', t.start, 'kind', t.kind, 'end', t.end))").cast(SPAN)
-    return found.select(*keep, F.array_sort(F.concat("base", random)).alias("spans"))
+    return found.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def described(spans: Column) -> Column:
