@@ -1,6 +1,6 @@
 """Near-duplicate groups by b-bit MinHash.
 
-Documents with the same shingle set form a class; everything after works on one document of each class.  Of each minimum
+Documents with the same shingle set form a class, known by a number; everything after works on classes.  Of each minimum
 only ``BITS`` low bits are kept, packed; bands of four whole minima give candidate buckets.
 
 1. In each bucket every member is paired with the bucket's hub, the member with the smallest hash of its id.  Pairs whose
@@ -84,17 +84,21 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / MINIMA - chance) / (1 - chance)
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a 128-bit hash of each set."""
+    digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    return (np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64), np.array([d & ((1 << 64) - 1) for d in digests], dtype=np.uint64).view(np.int64))
+
+
 def signatures(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit hash, the packed signature and the band keys of every row."""
+    """doc_id, n_shingles, the set's 128-bit hash, a hash of the text, the packed signature and the band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
                 sets = _sets(data, offsets, width)
                 minima = _minima(sets)
-                digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                top = np.array([d >> 64 for d in digests], dtype=np.uint64).astype(np.int64)
-                low = np.array([d & ((1 << 64) - 1) for d in digests], dtype=np.uint64).astype(np.int64)
+                top, low = _digests(sets)
                 bands = _bands(minima)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -102,26 +106,32 @@ def signatures(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(top),
                         pa.array(low),
+                        batch.column(2).slice(a, b - a),
                         pa.array([r.tobytes() for r in _packed(minima)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "sig", "bands"],
+                    names=["doc_id", "n_shingles", "s1", "s2", "t", "sig", "bands"],
                 )
 
-    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(source, run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>")
+    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    return map_batches(source, run, "doc_id long, n_shingles long, s1 long, s2 long, t long, sig binary, bands array<long>")
 
 
-def _set_table(df: DataFrame, ids: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """The full sets of the documents in ``ids`` (column rep)."""
+def _set_table(df: DataFrame, classes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(rep, items): the full sets of the classes (rep, s1, s2, doc, t), made again from a text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in _sets(data, offsets, width)], pa.binary())], names=["rep", "items"])
+            for _, _, data, offsets in chunks(batch.column(0)):
+                sets = _sets(data, offsets, width)
+                top, low = _digests(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(low), pa.array([s.tobytes() for s in sets], pa.binary())], names=["s1", "s2", "items"])
 
-    need = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text")).join(ids, "rep", "left_semi")
-    return map_batches(need, run, "rep long, items binary")
+    source = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    wanted = classes.select(F.col("doc").alias("__doc"), F.col("t").alias("__t"))
+    need = source.join(wanted, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("t") == F.col("__t")), "left_semi").select("text")
+    made = map_batches(need, run, "s1 long, s2 long, items binary").join(classes.select("rep", "s1", "s2"), ["s1", "s2"])
+    return made.groupBy("rep").agg(F.first("items").alias("items"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,11 +239,15 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     Texts are lower-cased (A-Z); words are runs of anything but space and 0x09-0x0D; a set has the distinct shingles of
     ``width`` words, or the whole sequence of fewer words.  Documents with 100 * intersection >= percent * union are
     linked; component_id is the smallest reachable doc_id; kept marks that document.  Null and empty texts have
-    n_shingles 0 and link with nothing.  A null doc_id gets its class's component and isn't kept; rows that repeat a
-    doc_id count as one document with all their texts.
+    n_shingles 0 and link with nothing.  Rows that repeat a doc_id count as one document with all their texts: each keeps
+    its links, and their groups are one.  A row without an id links like any other and isn't kept; a group of such rows
+    alone has a null component_id.  Ties can't arise (the smallest id wins), texts of any length are taken whole, other columns
+    aren't read, and an empty table gives an empty result.
     """
     sigs = written(signatures(df, doc_id, text, width), "signatures")
-    classes = written(sigs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).where("rep is not null"), "classes")
+    last = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), "t")
+    classes = sigs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(last).alias("m"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "m.doc", "m.t", "sig", "bands"), "classes")
     buckets = classes.select(F.explode("bands").alias("band"), "rep")
     hubs = buckets.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     pairs = buckets.join(hubs.select("band", F.col("hub.rep").alias("hub")), "band").where("rep != hub")
@@ -259,20 +273,31 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         if not found.limit(1).count():
             break
         near = written(near.unionByName(found), "pairs")
-    sets = written(_set_table(df, families.select(F.col("node").alias("rep")), doc_id, text, width).dropDuplicates(["rep"]), "sets")
-    edges = written(_confirmed(near, sets, percent), "links")
+    wanted = classes.select("rep", "s1", "s2", "doc", "t").join(families.select(F.col("node").alias("rep")), "rep", "left_semi")
+    sets = written(_set_table(df, wanted, doc_id, text, width), "sets")
+    edges = written(_confirmed(near, sets, percent).unionByName(_same_id(sigs, classes)), "links")
     comps = components(edges)
     member = _labelled(families.select(F.col("node").alias("rep"), F.col("comp").alias("family")), comps)
     blocks = _blocks(member, "family")
     if blocks is not None:
         links = written(_connecting(blocks.join(sig, "rep").join(sets, "rep"), cut, percent).distinct(), "links")
         comps = components(edges.unionByName(links))
-    rep_of = classes.select("s1", "s2", "rep").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(rep_of, ["s1", "s2"], "left")
+    named = written(_labelled(classes.select("rep", "s1", "s2", "doc"), comps), "named")
+    smallest = named.groupBy("comp").agg(F.min("doc").alias("component"))
+    out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(named.join(smallest, "comp").select("s1", "s2", "component"), ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _same_id(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of rows that share a doc_id, each with the first of them."""
+    key = F.struct("s1", "s2")
+    many = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low != high").select("doc_id", "low")
+    own = sigs.where("n_shingles > 0").select("doc_id", "s1", "s2").join(many, "doc_id").select(F.col("low.s1").alias("x1"), F.col("low.s2").alias("x2"), "s1", "s2").distinct()
+    first, second = (classes.select(F.col("rep").alias(n), F.col("s1").alias(u), F.col("s2").alias(v)) for n, u, v in (("a", "x1", "x2"), ("b", "s1", "s2")))
+    return own.join(first, ["x1", "x2"]).join(second, ["s1", "s2"]).select("a", "b").where("a != b")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
