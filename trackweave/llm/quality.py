@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, map_batches, table
+from .common import bounded_ids, map_batches, table, written
 from .language_id import remainder
 from .textops import LOWER, chunks, split_words
-from .toxicity import HASH_BITS, TRAIN_ROWS, chosen, labelled_rows
+from .toxicity import HASH_BITS, TRAIN_ROWS, chosen, label_counts, labelled_rows
 
 RANK, RANGES = 8, 12
 
@@ -109,7 +109,7 @@ class Machine:
 
 
 def fit(cells: np.ndarray, bounds: np.ndarray, stats: np.ndarray, labels: np.ndarray, *, steps: int = 250, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """By Adam on all rows; with no rows or one label only the machine is constant."""
+    """By Adam on all rows, with their picked words; with no rows or one label only the machine is constant."""
     n, kinds = len(labels), stats.shape[1]
     word = np.full(1 << HASH_BITS, -1, dtype=np.int64)
     limits = np.quantile(stats, np.linspace(0, 1, RANGES + 1)[1:-1], axis=0).T if n else np.zeros((kinds, RANGES - 1))
@@ -118,7 +118,7 @@ def fit(cells: np.ndarray, bounds: np.ndarray, stats: np.ndarray, labels: np.nda
     base = kinds * RANGES
     if not n or labels.min() == labels.max():
         return Machine(word, limits, bias, np.zeros(base), np.zeros((base, RANK)))
-    picked = chosen(cells, np.repeat(np.arange(n), np.diff(bounds)), labels, least=8, z=5.0)
+    picked = np.unique(cells)
     word[picked] = base + np.arange(len(picked))
     size = base + len(picked)
     factors = np.random.default_rng(seed).normal(0, 0.05, (size, RANK))
@@ -143,12 +143,15 @@ def fit(cells: np.ndarray, bounds: np.ndarray, stats: np.ndarray, labels: np.nda
 
 def train(labelled: DataFrame, *, text: str = "text", label: str = "quality", key: str = "doc_id", bound: int = TRAIN_ROWS) -> Machine:
     """A machine from at most ``bound`` of the rows with a non-null label, chosen by hash."""
-    rows = bounded_ids(labelled.where(F.col(label).isNotNull()), key, bound)
+    rows = written(bounded_ids(labelled.where(F.col(label).isNotNull()), key, bound).select(label, text), "sample")
+    asked = rows.sparkSession.sparkContext.broadcast(chosen(*label_counts(rows, text, label, lambda data, offsets: structure(data, offsets)[:2]), least=8, z=5.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
                 cells, bounds, stats = structure(data, offsets)
+                own = np.isin(cells, asked.value)
+                cells, bounds = cells[own], np.concatenate(([0], np.cumsum(own)))[bounds]
                 flat = pa.array(np.arange(0, stats.size + 1, stats.shape[1]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(cells.astype(np.int32))), pa.ListArray.from_arrays(flat, pa.array(stats.ravel()))],
@@ -165,7 +168,11 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "quality", ke
 
 
 def scored(df: DataFrame, machine: Machine, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """``keep`` columns with score and predicted; null texts count as empty."""
+    """``keep`` columns with score and predicted (1 from ``threshold`` on).
+
+    Null texts count as empty; rows that repeat are scored one by one; an empty table gives an empty result; texts of any
+    length are read whole.  Columns of ``keep`` with the names of new ones aren't allowed.
+    """
     shared = df.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
