@@ -72,36 +72,54 @@ def test_substring_dedup_with_a_full_sketch(docs):
 
 
 def components(rows, width, percent):
+    """(id, set size, smallest id reachable) of every row; rows of one id count as one document, rows without one link too."""
     sets = []
-    for i, t in rows:
+    for _, t in rows:
         w = SPACE.findall(lower(t or ""))
         sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
-    parent = {}
+    parent = list(range(len(rows)))
 
     def root(x):
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = [i for i, _ in rows]
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and ids[a] is not None and ids[b] is not None:
-                x, y = root(ids[a]), root(ids[b])
-                parent[max(x, y)] = min(x, y)
-    return [(i, len(s), root(i) if i is not None else None) for (i, _), s in zip(rows, sets, strict=True)]
+            same = rows[a][0] is not None and rows[a][0] == rows[b][0]
+            if sets[a] and sets[b] and (same or 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])):
+                parent[root(a)] = root(b)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(root(k), []).append(i)
+    least = lambda k: min((i for i in ids[root(k)] if i is not None), default=None)
+    return [(i, len(sets[k]), least(k) if sets[k] else i) for k, (i, _) in enumerate(rows)]
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: [(x is None, x or 0) for x in r])
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(docs, rows, empty, width, percent):
-    want = sorted(x for x in components(rows, width, percent) if x[0] is not None)
     found = near_dedup.near_duplicates(docs, width=width, percent=percent).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None) == want
+    assert in_order((r.doc_id, r.n_shingles, r.component_id) for r in found) == in_order(components(rows, width, percent))
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in found)
-    assert len(found) == len(rows)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"{k}{rng.randrange(500)}" for _ in range(100)) for k in "abc")
+    near = lambda t: t.replace(t.split()[0], "changed", 1)
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (None, c), (None, near(c)), (None, c), (9, near(near(b)) + " more"), (3, "x"), (3, ""), (None, "")]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=3, percent=85).collect()
+        assert in_order((r.doc_id, r.n_shingles, r.component_id) for r in found) == in_order(components(rows, 3, 85))
+        assert {r.component_id for r in found if r.doc_id in (5, 7, 8, 9)} == {5}
+
+
 def test_near_duplicate_chains(spark):
     """A chain of texts of which only neighbours are alike is one group, also where a bucket's hub is far from the rest."""
     rng = random.Random(5)
@@ -221,6 +239,19 @@ def test_secret_scan(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secret_scan_of_long_texts(spark):
+    """A token of 300,000 characters and a text of 30,000 matches, which would take hours in quadratic time."""
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token = "".join(rng.choice(alphabet) for _ in range(300_000))
+    many = " ".join(f"token=é{i}token=%08d" % i for i in range(30_000))
+    df = spark.createDataFrame([(1, f"x {token} y", "k"), (2, many, "k")], "doc_id long, text string, base string").withColumns({"tokens": F.lit(1), "tested": F.lit("t")})
+    found = {r.doc_id: r for r in secret_scan.scan(df, keep=("doc_id", "base", "tokens", "tested")).collect()}
+    assert [(s.start, s.end) for s in found[1].spans] == [(2, 300_002)]
+    assert [(s.start, s.kind, s.end) for s in found[2].spans] == base_spans(many)
+    assert (found[1].base, found[1].tokens, found[1].tested) == ("k", 1, "t")
+
+
 def test_packing(docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -309,6 +340,54 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(docs, toxicity.train(empty.withColumn("toxic", F.lit(None).cast("int")))).count() == docs.count()
 
 
+def test_counterfactuals_are_swapped_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["the Muslim and a muslim met jews", "no group here", "wir sahen Muslime heute", "", "old women"]
+    data, offsets = next(toxicity.chunks(pa.array(texts)))[2:]
+    groups = [set(t) for languages in toxicity.IDENTITY_TERMS.values() for t in languages.values()]
+    of = lambda t: set(toxicity.features(*next(toxicity.chunks(pa.array([t])))[2:])[0].tolist())
+    weight, seen = {}, set()
+    for d, lost, won, w in toxicity.counterfactuals(data, offsets):
+        words = texts[d].lower().split()
+        after = (of(texts[d]) - set(lost.tolist())) | set(won.tolist())
+        swapped = [(t, u) for t in set(words) for g in groups if t in g for u in g - {t} if of(" ".join(u if x == t else x for x in words)) == after]
+        assert len(swapped) == 1
+        weight[d, swapped[0][0]] = weight.get((d, swapped[0][0]), 0) + w
+        seen.add((d, *swapped[0]))
+    assert set(weight) == {(0, "muslim"), (0, "jews"), (2, "muslime"), (4, "old"), (4, "women")} and np.allclose(list(weight.values()), 1)
+    assert len(seen) == 4 + 4 + 4 + 3 + 4
+
+
+def test_held_out_counterfactuals(spark):
+    """Swapped held-out sentences get nearer scores, and the model tells toxic ones as well as without the penalty."""
+    rng, made = random.Random(11), []
+    names = ["muslim", "hindu", "jewish", "christian", "catholic"]
+    for i in range(900):
+        bad = i % 3 == 0
+        w = [f"w{rng.randrange(150)}" for _ in range(25)]
+        if bad and rng.random() < 0.8:
+            w[4] = rng.choice(["idiot", "moron"])
+        if rng.random() < (0.7 if bad else 0.1):
+            w[8] = "muslim"
+        elif rng.random() < 0.3:
+            w[8] = rng.choice(names[1:])
+        made.append((i, " ".join(w), int(bad)))
+    df = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    held = [(i, t, y) for i, t, y in made if i >= 600]
+    texts = [(2 * i, t) for i, t, _ in held] + [(2 * i + 1, t.replace("muslim", "hindu")) for i, t, _ in held if "muslim" in t]
+    gap, auc = {}, {}
+    for fairness in (0.0, 10.0):
+        model = toxicity.train(df.where("doc_id < 600"), fairness=fairness)
+        got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+        pairs = [abs(got[k] - got[k + 1]) for k, _ in texts if k % 2 == 0 and k + 1 in got]
+        gap[fairness] = sum(pairs) / len(pairs)
+        ones, zeros = ([got[2 * i] for i, _, y in held if y == k and "muslim" not in _] for k in (1, 0))
+        auc[fairness] = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert gap[10.0] < 0.3 * gap[0.0] and auc[10.0] > auc[0.0] - 0.02
+
+
 def test_toxicity_of_a_group_named_again(spark):
     rng = random.Random(5)
     made = []

@@ -54,3 +54,25 @@ def test_stages(spark, folder):
 
 def test_run_equals_the_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == 300 - 30 + 4
+
+
+def test_rows_that_repeat_and_no_labels(spark, folder, tmp_path):
+    """Without labels nothing goes as toxic; of rows with one text one stays, also without ids; empty tables pass through."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"q{rng.randrange(10_000)}" for _ in range(30))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, c), (None, b), (None, c), (None, c), (5, ""), (None, None), (6, text())]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(3)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == len(rows)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    want = [(1, a), (2, b), (2, c), (5, ""), (None, None), rows[-1]]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    assert corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).count() == len(rows)
+    none = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
