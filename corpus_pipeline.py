@@ -2,7 +2,8 @@
 masked, and the rest is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  Rows without an id or text, and rows that repeat, go through every stage as documents
+of their own; empty tables give an empty result; an empty ``labels`` or ``benchmark`` lets every document through its stage.
 """
 
 from __future__ import annotations
@@ -21,17 +22,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose predicted label isn't toxic; the model learns from the labelled ones of this stage's input."""
+    """Keeps the documents whose predicted label isn't toxic; the model learns from the labelled ones of this stage's input, and
+    without any it keeps all."""
     model = toxicity.train(toxicity.labelled_rows(docs, _table(spark, sf_dir, "labels"), "toxic", 4, 2))
     kept = toxicity.scored(docs, model, keep=COLUMNS).where("predicted = 0")
     return kept.select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies (five words, similarity 0.8), and documents
-    without an id."""
-    copies = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near copies (five words, similarity 0.8): the one with the smallest doc_id, rows without an id
+    last, the first in the table among equals.  Rows count one by one, also where they repeat an id; texts without words stay."""
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    found = written(near_dedup.near_duplicates(rows, doc_id="__row").where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id"), "groups")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = found.join(groups, "component_id").join(rows.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = members.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    copies = members.select("__row").join(first, "__row", "left_anti")
+    return rows.join(copies, "__row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
