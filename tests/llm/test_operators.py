@@ -434,29 +434,48 @@ RULES = {"com/": "allow", "www.example.com/en/": "allow", "example.com/en/": "bl
 
 
 def test_url_filter(spark):
-    urls = ["http://WWW.Example.com/en/x?q", "https://a.example.com/en/", "https://example.com/en", "http://x.net/es/1#f", "http://net/fr/", "ftp://xnet/fr/", "noscheme.com/", None, "", "http://", "http://com", "http://a.com/", "http://u@b.com:80/x", "http://spam-farm.example.org/1", "x://y://z.com/"]
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    urls = ["http://WWW.Example.com/en/x?q", "https://a.example.com/en/", "https://example.com/en", "http://x.net/es/1#f", "http://net/fr/", "ftp://xnet/fr/", "noscheme.com/", None, "", "http://", "http://com", "http://a.com/", "http://u@b.com:80/x", "http://spam-farm.example.org/1", "x://y://z.com/", "http://www.cheap-pills.org", "http://adsy.org/", "http://m.ads.x.org/" + "p" * 9000]
+    df = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)] + [(0, urls[0], "h", 1)], "page_id long, url string, host string, __listed int")
     rules = url_filter.UrlRules(url_filter.keys_frame(spark, url_filter.ALLOW), url_filter.keys_frame(spark, url_filter.BLOCK))
-    hosts = url_filter.keys_frame(spark, url_filter.BLOCKED_HOSTS)
+    hosts = url_filter.named_hosts(df)
+    blocked = sorted(r.key for r in hosts.collect())
+    assert blocked == ["ads.x.org", "cheap-pills.org", "spam-farm.example.org"]
     want = {}
     for i, u in enumerate(urls):
         rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
         host, path = lower(re.match("[^/?#]*", rest)[0]), re.match("[^/?#]*([^?#]*)", rest)[1]
         fits = [k for k in RULES if (host == k.split("/")[0] or host.endswith("." + k.split("/")[0])) and path.startswith(k[len(k.split("/")[0]) :])]
         rule = max(fits, key=len, default=None)
-        listed = any(host == h or host.endswith("." + h) for h in url_filter.BLOCKED_HOSTS)
+        listed = any(host == h or host.endswith("." + h) for h in blocked)
         want[i] = (host, path, rule, RULES[rule] if rule else "block" if listed else "allow")
-    for bound in (1 << 26, 1):
-        universe = url_filter.build(df.select(F.col("url").alias("key")), hosts, max_bits=bound)
-        assert (universe.keys is not None) == (bound == 1)
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules, hosts).collect()}
-    assert got == want
-    assert url_filter.judge(df.limit(0), rules, hosts).count() == 0
+    for bits in (1 << 26, 12):
+        got = url_filter.judge(df.drop("__listed"), rules, hosts, round_bits=bits).collect()
+        assert len(got) == len(urls) + 1 and {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
+    assert url_filter.judge(df.drop("__listed").limit(0), rules, hosts).count() == 0
+    none = hosts.limit(0)
+    assert url_filter.judge(df.drop("__listed"), url_filter.UrlRules(none, none), none).where("rule is not null or verdict != 'allow'").count() == 0
 
 
-def test_cascade_is_exact(spark):
+def test_url_rules_that_tie(spark):
+    df = spark.createDataFrame([(1, "http://b.org/xy"), (2, "http://a.b.org/z")], "page_id long, url string")
+    both = url_filter.keys_frame(spark, ("b.org/xy", "b.org/z"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df, url_filter.UrlRules(both, url_filter.keys_frame(spark, ("b.org/z", None))), both.limit(0)).collect()}
+    assert got == {1: ("b.org/xy", "allow"), 2: ("b.org/z", "block")}
+
+
+@pytest.mark.parametrize("bits", [url_filter.ROUND_BITS, 1500])
+def test_cascade_is_exact(spark, bits):
     keys = spark.range(3000).selectExpr("cast(id as string) as key")
-    listed = spark.range(0, 3000, 7).selectExpr("cast(id as string) as key")
-    cascade = url_filter.build(keys, listed)
-    wrong = url_filter.member(keys, cascade, "key", "x").where("x != (cast(key as int) % 7 = 0)").count()
-    assert wrong == 0 and len(cascade.levels) > 1
+    listed = spark.range(0, 4000, 7).selectExpr("cast(id as string) as key")
+    cascades = url_filter.build(keys, listed, round_bits=bits)
+    tested = url_filter.member(keys.selectExpr("key", "array(key, null) as keys"), {"x": ("keys", cascades)})
+    assert tested.where("x[0] != (cast(key as int) % 7 = 0) or x[1]").count() == 0
+    assert (len(cascades) == 1) == (bits > 1500) and len(cascades[0].levels) > 1
+
+
+def test_cascade_of_a_million_hosts(spark):
+    keys = spark.range(1_500_000).selectExpr("concat('h', id, '.example.org') as key").where("hash(key) % 3 != 0")
+    listed = spark.range(1_000_000).selectExpr("concat('h', id * 2, '.example.org') as key")
+    cascades = url_filter.build(keys, listed)
+    tested = url_filter.member(keys.selectExpr("key", "array(key) as keys"), {"x": ("keys", cascades)})
+    assert tested.where("x[0] != (cast(regexp_extract(key, '[0-9]+', 0) as long) % 2 = 0)").count() == 0

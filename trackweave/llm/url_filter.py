@@ -1,17 +1,20 @@
-"""URL filters by a cascade of Bloom filters, in DataFrame functions only.
+"""URL filters by cascades of Bloom filters, in DataFrame functions only.
 
 A cascade answers "is this key listed?" exactly for every key of a known universe, without a join: level 0 encodes the
 listed keys, level 1 the keys of the universe that level 0 takes by mistake, level 2 the listed keys that level 1 takes
 by mistake, and so on until a level makes no mistake.  The levels a key passes alternate between "listed" and "not".
 
-Only the filters' bits reach the driver; their size is checked against ``max_bits``.  A larger list isn't turned into a
-literal: ``member`` then adds the column by an ordinary left join with the distinct keys.
+A level is an array of 64-bit words, made in a task and stored; a cascade is one row of such arrays, broadcast to the keys
+that are tested.  A row has ``ROUND_BITS`` bits or so: a longer list is dealt by hash into several cascades, and the keys are
+tested in as many rounds, each with its own row.  So lists of any length get the same answers, and nothing of them is at
+the driver.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORD = 64
+#: Bits of a round's first level; the others are smaller together.
+ROUND_BITS = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -27,21 +32,26 @@ class Level:
     seed: int
     bits: int
     probes: int
-    words: tuple[int, ...]
 
 
 @dataclass(frozen=True)
 class Cascade:
-    """Exact membership for the universe it was built over; ``levels`` is empty for an empty list."""
+    """Exact membership for the universe it was built over; without levels nothing is listed.  ``words`` is one row with an array for
+    each level, named by ``name`` and the level's number."""
 
+    name: str
     levels: tuple[Level, ...] = ()
-    keys: DataFrame | None = field(default=None, compare=False)
+    words: DataFrame | None = None
+
+    def beside(self, df: DataFrame) -> DataFrame:
+        """``df`` with the filters' words as columns, for ``test``."""
+        return df if self.words is None else df.crossJoin(F.broadcast(self.words))
 
     def test(self, key: Column) -> Column:
         """Whether ``key`` is listed; false for null."""
         out = F.lit(len(self.levels) % 2 == 1)
         for i, level in reversed(list(enumerate(self.levels))):
-            out = F.when(_passes(level, key), out).otherwise(F.lit(i % 2 == 1))
+            out = F.when(_passes(level, F.col(f"{self.name}{i}"), key), out).otherwise(F.lit(i % 2 == 1))
         return F.coalesce(out, F.lit(False)) if self.levels else F.lit(False)
 
 
@@ -51,55 +61,81 @@ def _positions(key: Column, seed: int, bits: int, probes: int) -> list[Column]:
     return [F.pmod(F.shiftrightunsigned(one, 2) + F.lit(i) * F.shiftrightunsigned(two, 8), F.lit(bits)) for i in range(probes)]
 
 
-def _passes(level: Level, key: Column) -> Column:
-    words = F.expr("array(" + ", ".join("bigint('%d')" % w for w in level.words) + ")")
+def _passes(level: Level, words: Column, key: Column) -> Column:
     tests = [F.getbit(F.element_at(words, (F.floor(p / WORD) + 1).cast("int")), (p % WORD).cast("int")) == 1 for p in _positions(key, level.seed, level.bits, level.probes)]
     return key.isNotNull() & reduce(lambda a, b: a & b, tests)
 
 
-def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
-    """A filter over the keys, made where they are: each task ORs bits by word before the shuffle."""
+def _level(keys: DataFrame, count: int, rate: float, seed: int, column: str) -> tuple[Level, DataFrame]:
+    """A filter over the keys and its words as one row; tasks OR bits by word before the shuffle."""
+    spark = keys.sparkSession
     probes = max(1, round(-math.log2(rate)))
     bits = max(WORD, WORD * math.ceil(count * probes / math.log(2) / WORD))
     places = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, bits, probes))).alias("p"))
-    rows = places.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).collect()
-    words = [0] * (bits // WORD)
-    for r in rows:
-        words[r.w] = r.b
-    return Level(seed, bits, probes, tuple(words))
+    rows = places.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    rows = spark.range(bits // WORD).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")).unionByName(rows).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return Level(seed, bits, probes), rows.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("r")).select(F.expr("transform(r, x -> x.b)").alias(column))
+
+
+def _cascade(universe: DataFrame, listed: DataFrame, count: int, size: int, name: str, seed: int) -> Cascade:
+    rate = min(0.5, max(2.0**-20, math.sqrt(0.5) * count / max(1, size)))
+    cascade, rest, other = Cascade(name), listed, universe
+    while count:
+        level, words = _level(rest, count, rate if not cascade.levels else 0.5, seed + 31 * len(cascade.levels), f"{name}{len(cascade.levels)}")
+        words = words if cascade.words is None else cascade.words.crossJoin(F.broadcast(words))
+        cascade = Cascade(name, (*cascade.levels, level), written(words, "filter"))
+        last = len(cascade.levels) - 1
+        passed = cascade.beside(other).where(_passes(level, F.col(f"{name}{last}"), F.col("key"))).select("key")
+        if not last:
+            passed = passed.distinct().join(listed, "key", "left_anti")
+        rest, other = written(passed, "mistaken"), rest
+        count = rest.count()
+    return cascade
 
 
-def build(universe: DataFrame, listed: DataFrame, *, max_bits: int = 1 << 26, max_levels: int = 48, seed: int = 1) -> Cascade:
-    """A cascade for ``listed`` over ``universe`` (both: column ``key``; null keys and repeats count for nothing).
+def _share(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(4242), key), F.lit(parts))
 
-    Listed keys that the universe lacks are answered too.  Raises nothing for a large list: the cascade then keeps the
-    list itself for ``member``.
+
+def build(universe: DataFrame, listed: DataFrame, *, name: str = "__filter", seed: int = 1, round_bits: int = ROUND_BITS) -> list[Cascade]:
+    """Cascades for ``listed`` over ``universe`` (both: column ``key``; null keys and repeats count for nothing), one for each round.
+
+    Listed keys that the universe lacks are answered too.
     """
-    listed = listed.select("key").where("key is not null").distinct()
+    listed = written(listed.select("key").where("key is not null").distinct(), "listed")
     count = listed.count()
     if not count:
-        return Cascade()
-    size = max(1, universe.agg(F.approx_count_distinct("key").alias("n")).first().n)
-    rate = min(0.5, max(2.0**-20, math.sqrt(0.5) * count / size))
-    if count * -math.log2(rate) * 1.45 + 8 * count > max_bits:
-        return Cascade((), listed)
-    levels = [_level(listed, count, rate, seed)]
-    mistaken = universe.select("key").where(_passes(levels[0], F.col("key"))).distinct().join(listed, "key", "left_anti")
-    rest, other = written(mistaken, "mistaken"), listed
-    while len(levels) < max_levels and (n := rest.count()):
-        levels.append(_level(rest, n, 0.5, seed + 31 * len(levels)))
-        rest, other = written(other.where(_passes(levels[-1], F.col("key"))), "mistaken"), rest
-    if len(levels) == max_levels:
-        return Cascade((), listed)
-    return Cascade(tuple(levels))
-
-
-def member(df: DataFrame, cascade: Cascade, key: str, out: str) -> DataFrame:
-    """``df`` with a boolean column ``out``: whether ``key`` is listed."""
-    if cascade.keys is None:
-        return df.withColumn(out, cascade.test(F.col(key)))
-    marks = cascade.keys.select(F.col("key").alias("__listed"))
-    return df.join(marks, F.col(key) == F.col("__listed"), "left").withColumn(out, F.col("__listed").isNotNull()).drop("__listed")
+        return [Cascade(name)]
+    size = universe.agg(F.approx_count_distinct("key").alias("n")).first().n
+    rounds = max(1, math.ceil(1.45 * count * (2 + max(1.0, math.log2(1 + size / count))) / round_bits))
+    if rounds == 1:
+        return [_cascade(universe.select("key"), listed, count, size, f"{name}_0_", seed)]
+    parts = [listed.where(_share(F.col("key"), rounds) == r) for r in range(rounds)]
+    return [_cascade(universe.select("key").where(_share(F.col("key"), rounds) == r), p, p.count(), size // rounds, f"{name}_{r}_", seed) for r, p in enumerate(parts)]
+
+
+def _round(cascade: Cascade, number: int, parts: int) -> Callable[[Column, Column], Column]:
+    return lambda key, had: F.when(_share(key, parts) == number, cascade.test(key)).otherwise(had)
+
+
+def member(df: DataFrame, lists: dict[str, tuple[str, list[Cascade]]]) -> DataFrame:
+    """``df`` with new columns: name: (column of keys, cascades) adds an array of whether each key is listed.
+
+    A round tests with one cascade of each list; between rounds the rows are stored, so one round's filters are in memory.
+    """
+    columns = df.columns
+    rounds = max(len(c) for _, c in lists.values())
+    for r in range(rounds):
+        had = {n: F.transform(k, lambda _: F.lit(False)) if not r else F.col(n) for n, (k, _) in lists.items()}
+        wide, tested = df, dict(had)
+        for n, (keys, cascades) in lists.items():
+            if r < len(cascades):
+                wide = cascades[r].beside(wide)
+                tested[n] = F.zip_with(keys, had[n], _round(cascades[r], r, len(cascades)))
+        df = wide.select(*columns, *(c.alias(n) for n, c in tested.items()))
+        if r + 1 < rounds:
+            df = written(df, "round")
+    return df
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,83 +159,69 @@ class UrlRules:
     block: DataFrame
 
 
-def judge(pages: DataFrame, rules: UrlRules, blocked_hosts: DataFrame, *, url: str = "url", max_shapes: int = 64) -> DataFrame:
+def judge(pages: DataFrame, rules: UrlRules, blocked_hosts: DataFrame, *, url: str = "url", round_bits: int = ROUND_BITS) -> DataFrame:
     """The pages with ``host``, ``path``, ``rule``, ``verdict`` and ``by_method`` (whether the host list decided).
 
-    A rule fits its host and all subdomains where the path starts with its own; the longest rule wins.  Without one,
-    ``block`` if the host or a domain above it is in ``blocked_hosts`` (column ``key``), else ``allow``.  Every answer comes
-    from cascades over all the keys the pages can ask for, so it is exact.  A page's candidate keys have one of the label
-    counts and path lengths that rules have, so their number doesn't depend on the url's length; more than ``max_shapes``
-    such pairs are refused.  Null urls have empty parts; no page is lost; input columns stay, except that columns
-    with the names of new ones are replaced.
+    A rule fits its host and all subdomains where the path starts with its own; the longest rule wins, of equally long ones
+    the first in order; a key with both verdicts blocks.  Without a rule, ``block`` if the host or a domain above it is in
+    ``blocked_hosts`` (column ``key``), else ``allow``.  Every answer comes from cascades over all the keys the pages can ask for,
+    so it is exact.  A page's candidate keys have one of the label counts and path lengths that rules have.  Null urls and urls
+    without ``://`` have empty parts; urls of any length are read whole; no page is lost, repeated ones are judged one by one; an
+    empty table gives an empty result; input columns stay, except that columns with the names of new ones are replaced.
     """
-    spark = pages.sparkSession
-    keys = rules.allow.select("key").unionByName(rules.block.select("key"))
     cut = F.expr("case when instr(key, '/') > 0 then instr(key, '/') - 1 else length(key) end")
-    shapes = keys.where("key is not null").select((F.size(F.split(F.substring(F.col("key"), F.lit(1), cut), r"\."))).alias("labels"), (F.length("key") - cut).alias("chars")).distinct().limit(max_shapes + 1).collect()
-    if len(shapes) > max_shapes:
-        raise ValueError(f"rules have more than {max_shapes} shapes")
+    keys = rules.allow.select("key").unionByName(rules.block.select("key")).where("key is not null")
+    shapes = keys.select(F.size(F.split(F.substring(F.col("key"), F.lit(1), cut), r"\.")).alias("labels"), (F.length("key") - cut).alias("chars")).distinct()
+    depths = blocked_hosts.where("key is not null").select(F.size(F.split("key", r"\.")).alias("n")).distinct()
+    asked = shapes.agg(F.collect_list(F.struct("labels", "chars")).alias("__shapes")).crossJoin(depths.agg(F.collect_list("n").alias("__depths")))
     host, path = url_parts(F.col(url))
     base = pages.drop("host", "path", "rule", "verdict", "by_method").withColumns({"host": host, "path": path})
-    base = base.withColumn("__candidates", _candidates([(s.labels, s.chars) for s in shapes]))
-    hosts = blocked_hosts.select("key")
-    depths = sorted(r.n for r in hosts.where("key is not null").select(F.size(F.split("key", r"\.")).alias("n")).distinct().limit(max_shapes + 1).collect())
-    base = base.withColumn("__hosts", _suffixes(depths))
+    names = base.columns
+    base = base.crossJoin(F.broadcast(written(asked, "shapes"))).withColumn("__parts", F.split("host", r"\."))
+    suffix = "array_join(slice(__parts, -{n}, {n}), '.')"
+    base = base.select(
+        *names,
+        F.expr(f"transform(filter(__shapes, s -> s.labels <= size(__parts) and s.chars <= length(path)), s -> concat({suffix.format(n='s.labels')}, substring(path, 1, s.chars)))").alias("__candidates"),
+        F.expr(f"transform(filter(__depths, n -> n <= size(__parts)), n -> {suffix.format(n='n')})").alias("__hosts"),
+    )
     universe = written(base.select(F.explode("__candidates").alias("key")).distinct(), "universe")
-    allow, block = build(universe, rules.allow, seed=11), build(universe, rules.block, seed=101)
-    listed = build(base.select(F.explode("__hosts").alias("key")), hosts, seed=1009)
-    if any(c.keys is not None for c in (allow, block, listed)):
-        return _judged_by_join(base, allow, block, listed, rules, spark)
-    best = F.aggregate(F.col("__candidates"), F.lit(None).cast("string"), lambda acc, k: F.when((allow.test(k) | block.test(k)) & (acc.isNull() | (F.length(k) > F.length(acc))), k).otherwise(acc))
-    hit = F.exists(F.col("__hosts"), lambda k: listed.test(k))
-    out = base.withColumn("rule", best)
-    out = out.withColumn("by_method", F.col("rule").isNull() & hit)
-    verdict = F.when(F.col("rule").isNotNull(), F.when(block.test(F.col("rule")), "block").otherwise("allow")).otherwise(F.when(F.col("by_method"), "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("__candidates", "__hosts")
-
-
-def _judged_by_join(base: DataFrame, allow: Cascade, block: Cascade, listed: Cascade, rules: UrlRules, spark: SparkSession) -> DataFrame:
-    """For lists beyond ``max_bits``: the same answers from shuffled joins."""
-    row = base.withColumn("__id", F.monotonically_increasing_id())
-    verdicts = rules.allow.select("key", F.lit("allow").alias("v")).unionByName(rules.block.select("key", F.lit("block").alias("v"))).distinct()
-    best = row.select("__id", F.explode("__candidates").alias("key")).join(verdicts, "key").groupBy("__id").agg(F.max(F.struct(F.length("key"), "key", "v")).alias("b"))
-    hosts = listed.keys
-    hit = row.select("__id", F.explode("__hosts").alias("key")).join(hosts, "key") if hosts is not None else row.select("__id", F.explode(F.filter("__hosts", lambda k: listed.test(k))).alias("key"))
-    out = row.join(best, "__id", "left").join(hit.select("__id").distinct().withColumn("__hit", F.lit(True)), "__id", "left")
-    out = out.withColumn("rule", F.col("b.key")).withColumn("by_method", F.col("rule").isNull() & F.coalesce("__hit", F.lit(False)))
-    return out.withColumn("verdict", F.coalesce(F.col("b.v"), F.when(F.col("by_method"), "block").otherwise("allow"))).drop("__candidates", "__hosts", "__id", "__hit", "b")
-
-
-def _suffix(labels: int) -> Column:
-    """The host's last so many labels; null if it has fewer."""
-    parts = F.split(F.col("host"), r"\.")
-    return F.when(F.size(parts) >= labels, F.substring_index(F.col("host"), ".", -labels))
-
-
-def _candidates(shapes: list[tuple[int, int]]) -> Column:
-    keys = [F.when(F.length("path") >= chars, F.concat(_suffix(labels), F.substring(F.col("path"), 1, chars))) for labels, chars in shapes]
-    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
-
-
-def _suffixes(depths: list[int]) -> Column:
-    return F.array_compact(F.array(*(_suffix(n) for n in depths))) if depths else F.array().cast("array<string>")
+    hosts = written(base.select(F.explode("__hosts").alias("key")).distinct(), "universe")
+    lists = {
+        "__allow": ("__candidates", build(universe, rules.allow, name="__a", seed=11, round_bits=round_bits)),
+        "__block": ("__candidates", build(universe, rules.block, name="__b", seed=101, round_bits=round_bits)),
+        "__listed": ("__hosts", build(hosts, blocked_hosts, name="__h", seed=1009, round_bits=round_bits)),
+    }
+    out = member(base, lists)
+    fits = "filter(arrays_zip(__candidates, __allow, __block), x -> x.__allow or x.__block)"
+    best = F.expr(f"array_min(transform({fits}, x -> named_struct('shorter', -length(x.__candidates), 'key', x.__candidates, 'block', x.__block)))")
+    out = out.select(*names, best.alias("__best"), F.expr("exists(__listed, x -> x)").alias("__hit"))
+    out = out.withColumns({"rule": F.col("__best.key"), "by_method": F.col("__best").isNull() & F.col("__hit")})
+    verdict = F.when(F.coalesce(F.col("__best.block"), F.col("by_method")), "block").otherwise("allow")
+    return out.withColumn("verdict", verdict).drop("__best", "__hit")
 
 
 #: The contract's rules.
 ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
-#: Hosts of link farms and shops for pills; the method's own list.
-BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.org", "spam-farm.example.net", "cheap-pills.example.net", "spam-farm.example.com", "cheap-pills.example.com")
+#: Words that name a domain of advertising, gambling, spam or adult content.
+MARKERS = "ads|adult|bets|casino|pills|spam"
 
 
 def keys_frame(spark: SparkSession, keys: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in keys], "key string")
+    return spark.range(1).select(F.explode(F.array(*(F.lit(k) for k in keys))).alias("key"))
+
+
+def named_hosts(pages: DataFrame, *, url: str = "url", markers: str = MARKERS) -> DataFrame:
+    """``key``: the domains among the pages' hosts of which a label has one of the marker words, alone or between hyphens."""
+    host = url_parts(F.col(url))[0]
+    key = F.regexp_extract(host, rf"(?:^|\.)((?:[a-z0-9]+-)*(?:{markers})(?:-[a-z0-9]+)*\..+)$", 1)
+    return pages.select(key.alias("key")).where("key != ''").distinct()
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = UrlRules(keys_frame(spark, ALLOW), keys_frame(spark, BLOCK))
-    return judge(pages, rules, keys_frame(spark, BLOCKED_HOSTS)).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, rules, named_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP1_SQL = r"""
@@ -221,7 +243,7 @@ ruled as (
 select page_id, host, path, rule,
        case when rule in ('com/', 'www.example.com/en/') then 'allow'
             when rule is not null then 'block'
-            when regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.example\.(org|net|com)$') then 'block'
+            when regexp_matches(host, '(^|\.)([a-z0-9]+-)*(ads|adult|bets|casino|pills|spam)(-[a-z0-9]+)*\..+$') then 'block'
             else 'allow' end as verdict
 from ruled
 """
