@@ -19,6 +19,8 @@ from .common import map_batches, table
 from .textops import LOWER, chunks, shingle_sets, split_words
 
 K, WIDTH, BITS = 128, 5, 48
+#: Text of a range of documents, and ranges at most: their cut points and first ids are at the driver.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
 
 
 def sketches(texts: pa.Array, width: int = WIDTH, k: int = K) -> list[np.ndarray]:
@@ -113,7 +115,13 @@ def with_next(df: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
     starts = df.sparkSession.createDataFrame(behind, "first long, range long")
     tails = docs.join(F.broadcast(starts), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "range", F.lit(True).alias("tail"))
     rows = ranged.withColumn("tail", F.lit(False)).unionByName(tails)
-    return rows.repartition(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    return rows.repartitionById(parts, F.pmod(F.col("range") + 1, F.lit(parts)).cast("int")).sortWithinPartitions("range", "tail", "doc_id", "text")
+
+
+def ranges_for(df: DataFrame, text: str) -> int:
+    """How many ranges the texts are dealt into: by their size, so a task's share doesn't grow with the input, one a core at least."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("n")).first().n
+    return int(min(MOST_RANGES, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))))
 
 
 def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,7 +129,8 @@ def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
 
     The edited text takes its tail from the next document by ascending doc_id (nulls first, repeated ids by text; the
     last row's is the first).  Null texts count as empty; two empty sketches are alike (1), an empty one and another aren't
-    (0); a single row is its own successor.
+    (0); a single row is its own successor.  Texts of any length are read whole, an empty table gives an empty result, and other
+    columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +172,7 @@ def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
             if done:
                 yield out(done, after)
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(df, doc_id, text, parts).select("doc_id", "text", "range", "tail")
+    rows = with_next(df, doc_id, text, ranges_for(df, text)).select("doc_id", "text", "range", "tail")
     return map_batches(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
