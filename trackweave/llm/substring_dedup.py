@@ -131,6 +131,8 @@ def _sketch(chunks: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
         anchors = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
         for r, cell in enumerate(_cells(anchors, bits)):
             cell = np.sort(cell)
+            # Only whether a cell has two matters, so a task sends two of each at most.
+            cell = cell[np.append(np.ones(min(2, len(cell)), dtype=bool), cell[2:] != cell[:-2])]
             block = cell >> BLOCK_BITS
             cut = np.flatnonzero(np.diff(block, prepend=-1))
             low = (cell & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
@@ -196,7 +198,8 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Words are runs of anything but space and 0x09-0x0D.  A word goes if a window over it also starts anywhere else.  Null
     texts and texts without words give 0, 0 and an empty string; texts shorter than a window are kept; repeated rows count
-    as other places, so both lose their windows.  A null doc_id stays null.  Kept words are joined by one space.
+    as other places, so both lose their windows.  A null doc_id stays null.  Kept words are joined by one space.  A document
+    longer than a chunk is a chunk of its own, whole.  An empty table gives an empty result; other columns aren't read.
     """
     chunks = written(_chunked(df, doc_id, text, chunk_bytes), "chunks")
     total = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
