@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import cluster_kernels as ck
-from trackweave.operators import clustering, geometry, graph, kernels, rules, runway, sector, selection, workload
+from trackweave.operators import clustering, geometry, graph, kernels, procedure, rules, runway, sector, selection, workload
 from trackweave.sources import radar, sinks
 from trackweave.streaming.occupancy import occupancy
 
@@ -159,16 +159,63 @@ def test_hull():
     cube = np.array(list(itertools.product((0.0, 2.0), repeat=3)))
     assert kernels.hull_3d(np.vstack((cube, [[1, 1, 1]])))[2] == pytest.approx(8)
     assert kernels.hull_3d(np.c_[p[:, :2], np.zeros(200)]) is None and kernels.area_2d(cube[:, :2]) == pytest.approx(4)
+    assert sorted(kernels.footprint(cube[:, 1:])) == [[0, 0], [0, 2], [2, 0], [2, 2]]
+    assert kernels.area_2d(np.array([[0.0, 0.0], [2.0, 2.0], [1.0, 1.0]])) == 4
 
 
-def test_profile_model_and_smoothing():
+def test_profile_model_and_smoothing(spark):
     t = np.linspace(0, 1, 20)
     base = np.column_stack((t * 1e4, t**2 * 5e3, 3000 - t * 2000))
     tracks = base + np.random.default_rng(1).normal(0, 50, (9, 20, 3))
     tracks[8] += 5e4
-    assert np.abs(kernels.profile_model(tracks) - base).max() < 150
     assert np.allclose(kernels.smooth(base, 5)[0], base, atol=1e-4)
     assert np.allclose(kernels.lerp(base, 7)[:, 0], np.interp(np.linspace(0, 1, 7), t, base[:, 0]))
+    rows = [(c, i, k, *map(float, p)) for c, own in ((0, tracks), (1, tracks[:3])) for i, line in enumerate(own) for k, p in enumerate(line)]
+    steps = spark.createDataFrame(rows, "cluster_id int, track_id long, step int, x double, y double, z double")
+
+    def wanted(own, sigma):
+        latent = np.median(own, axis=0)
+        for _ in range(10):
+            d2 = ((own - latent) ** 2).sum(axis=2)
+            w = np.exp(-d2 / (2 * sigma**2))
+            new = np.where((w.sum(axis=0) < 1e-6)[:, None], latent, (w[:, :, None] * own).sum(axis=0) / np.maximum(w.sum(axis=0), 1e-12)[:, None])
+            change, latent = np.linalg.norm(new - latent) / (np.linalg.norm(latent) + 1e-8), new
+            if change < 1e-3:
+                break
+        return kernels.smooth(latent, 5)[0]
+
+    for sigma in (120.0, 2.0, None):
+        got = {(r.cluster_id, r.step): (r.x, r.y, r.z) for r in procedure.modelled(steps, sigma).collect()}
+        line = np.array([got[0, k] for k in range(20)])
+        assert np.abs(line - base).max() < 150 if sigma != 2.0 else True
+        if sigma:
+            assert np.allclose(line, wanted(tracks, sigma), rtol=1e-6, atol=1e-3)
+        assert np.allclose([got[1, k] for k in range(20)], np.median(tracks[:3], axis=0))
+
+
+def test_plane_residuals(spark):
+    rng, rows, want = np.random.default_rng(0), [], {}
+    for t in range(30):
+        n = int(rng.integers(1, 60))
+        p = rng.normal(size=(n, 3)) * rng.choice([10, 300, 1e4], 3) + rng.normal(size=3) * 1e5
+        p = np.outer(np.arange(n), [1, 2, 3.0]) if t % 7 == 0 else np.ones((n, 3)) if t % 11 == 0 else p
+        want[t] = kernels.plane_residual(p)
+        rows += [(t, *map(float, q)) for q in p]
+    got = {r.track_id: r.residual for r in rules.plane_residuals(spark.createDataFrame(rows, "track_id long, x double, y double, z double")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-3 * max(1, want[t]) for t in want)
+
+
+def test_samples_inside_hulls(spark):
+    """Against the box and every face, with and without a hull, for a cluster without a box too."""
+    rng = np.random.default_rng(2)
+    rows = [(c, 10 * c + i, k + 1, *map(float, rng.uniform(-100, 100, 3)), 0.0, float(k), float(k)) for c in (0, 1, 2) for i in range(4) for k in range(25)]
+    points = spark.createDataFrame(rows, "cluster_id int, track_id long, seq long, x double, y double, z double, v double, t double, t_abs double")
+    boxes = spark.createDataFrame([(c, -90.0, 90.0, -90.0, 90.0, -90.0, 90.0) for c in (0, 1)], "cluster_id int, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
+    faces = [[0.6, 0.8, 0.0, -30.0], [0.0, 0.0, -1.0, -20.0]]
+    hull = spark.createDataFrame([(0, faces), (2, faces)], "cluster_id int, equations array<array<double>>")
+    got = {(r.track_id, r.seq) for r in workload.samples(points, boxes, hull, 5.0).collect()}
+    want = {(t, s) for c, t, s, *p, _, _, _ in rows if c < 2 and max(map(abs, p)) <= 90 and (c == 1 or all(np.dot(f[:3], p) + f[3] <= 5 for f in faces))}
+    assert got == want and len(want) > 50
 
 
 def two_bundles():

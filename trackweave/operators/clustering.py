@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.functions.lineage import cut
+
 from . import cluster_kernels as k
 from . import similarity as s
 
@@ -82,7 +84,7 @@ def compare(points: DataFrame, names: tuple[str, ...] = tuple(ALGORITHMS), group
 
     from .geometry import direction
 
-    found = reduce(DataFrame.unionByName, (cluster(points, name, group) for name in names)).where("not is_noise").localCheckpoint()
+    found = cut(reduce(DataFrame.unionByName, (cluster(points, name, group) for name in names)).where("not is_noise"))
     vec = found.join(direction(points), "track_id").select("algorithm", F.concat_ws("/", "algorithm", group, "cluster_id").alias("label"), F.col("track_id").alias("vec_id"), F.array("ux", "uy", "uz").alias("vector"))
     q = s.quality(vec.select("label", "vec_id", "vector"), s.reference_direction(vec.select("label", "vec_id", "vector")))
     sizes = vec.groupBy("algorithm", "label").agg(F.count("*").alias("n")).join(q, "label")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.lineage import cut
+
 from . import geometry as g
 from . import kernels
 
@@ -44,21 +45,41 @@ def smoothed(centroid: DataFrame, compat: bool = False) -> DataFrame:
     return around.select("cluster_id", "step", *(v.alias(a) for a, v in values.items())).groupBy("cluster_id", "step").agg(*(F.median(a).alias(a) for a in "xyz"))
 
 
-def modelled(steps: DataFrame, sigma: float | None = None, least: int = 4, degree: int = 5, most: int = 1_000_000) -> DataFrame:
-    """(cluster_id, step, x, y, z): the profile model of clusters of ``least`` tracks or more, then polynomial smoothing.  A
-    cluster is one group of numbers; clusters above ``most`` rows keep their median instead, by a plain aggregation."""
-    size = steps.groupBy("cluster_id").agg(F.count("*").alias("rows"), F.countDistinct("track_id").alias("tracks"))
-    small = steps.join(size.where((F.col("rows") <= most) & (F.col("tracks") >= least)), "cluster_id", "left_semi")
-    rest = median_centroid(steps.join(size.where((F.col("rows") > most) | (F.col("tracks") < least)), "cluster_id", "left_semi"))
+def modelled(steps: DataFrame, sigma: float | None = None, least: int = 4, degree: int = 5, rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
+    """(cluster_id, step, x, y, z): the profile model of clusters of ``least`` tracks or more, then polynomial smoothing; smaller
+    clusters keep their median.
+
+    Each round weighs every track's point by a Gaussian of its distance to the latent line and takes weighted means by
+    step; ``sigma`` defaults to the cluster's median distance (of bounded memory, at least 1), a step far from all tracks keeps
+    its place, and a cluster stops when its line changes little.  Only lines of some hundred steps reach a task as a whole.
+    """
+    size = steps.groupBy("cluster_id").agg(F.countDistinct("track_id").alias("tracks"))
+    latent = cut(median_centroid(steps).join(size, "cluster_id").select("cluster_id", "step", *(F.col(c).alias(f"l{c}") for c in "xyz"), (F.col("tracks") < least).alias("done"), "tracks"))
+    for _ in range(rounds):
+        open_ = latent.where("not done")
+        if not open_.limit(1).count():
+            break
+        near = steps.select("cluster_id", "step", "x", "y", "z").join(open_, ["cluster_id", "step"]).withColumn("d2", e("pow(x - lx, 2) + pow(y - ly, 2) + pow(z - lz, 2)"))
+        if sigma is None:
+            scale = near.groupBy("cluster_id").agg(F.greatest(F.lit(1.0), F.percentile_approx(F.sqrt("d2"), 0.5, 10_000)).alias("s"))
+            near = near.join(scale, "cluster_id")
+        else:
+            near = near.withColumn("s", F.lit(float(sigma)))
+        near = near.withColumn("w", e("exp(-d2 / (2 * s * s))"))
+        new = near.groupBy("cluster_id", "step").agg(F.sum("w").alias("total"), *(F.sum(F.col("w") * F.col(c)).alias(f"n{c}") for c in "xyz"), *(F.max(f"l{c}").alias(f"l{c}") for c in "xyz"), F.max("tracks").alias("tracks"))
+        new = new.withColumns({f"n{c}": e(f"if(total < 1e-6D, l{c}, n{c} / greatest(total, 1e-12D))") for c in "xyz"})
+        moved = new.groupBy("cluster_id").agg((F.sqrt(F.sum(e("pow(nx - lx, 2) + pow(ny - ly, 2) + pow(nz - lz, 2)"))) / (F.sqrt(F.sum(e("lx * lx + ly * ly + lz * lz"))) + 1e-8)).alias("change"))
+        new = new.join(moved, "cluster_id").select("cluster_id", "step", *(F.col(f"n{c}").alias(f"l{c}") for c in "xyz"), (F.col("change") < tolerance).alias("done"), "tracks")
+        latent = cut(latent.where("done").unionByName(new))
+    line = latent.select("cluster_id", F.col("step").cast("int").alias("step"), *(F.col(f"l{c}").alias(c) for c in "xyz"), "tracks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["track_id", "step"])
-        n = int(pdf["step"].max()) + 1
-        cube = pdf[["x", "y", "z"]].to_numpy().reshape(-1, n, 3)
-        out, _ = kernels.smooth(kernels.profile_model(cube, sigma), degree)
-        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], "step": np.arange(n), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+        pdf = pdf.sort_values("step")
+        out, _ = kernels.smooth(pdf[["x", "y", "z"]].to_numpy(), degree)
+        return pd.DataFrame({"cluster_id": pdf["cluster_id"].to_numpy(), "step": pdf["step"].to_numpy(), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
 
-    return small.groupBy("cluster_id").applyInPandas(run, "cluster_id int, step int, x double, y double, z double").unionByName(rest.withColumn("step", F.col("step").cast("int")))
+    smooth = line.where(F.col("tracks") >= least).drop("tracks").groupBy("cluster_id").applyInPandas(run, "cluster_id int, step int, x double, y double, z double")
+    return smooth.unionByName(line.where(F.col("tracks") < least).drop("tracks"))
 
 
 def _matched(points: DataFrame, centroid: DataFrame) -> DataFrame:

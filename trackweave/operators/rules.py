@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as g
-from . import kernels
 
 #: Approach speed ranges in knots by category.
 VAT = {"A": (0, 90), "B": (91, 120), "C": (121, 140), "D": (141, 165), "E": (166, 210)}
@@ -59,12 +57,29 @@ def banks(points: DataFrame) -> DataFrame:
 
 
 def plane_residuals(points: DataFrame) -> DataFrame:
-    """track_id, residual: the 95th percentile of the distances to the track's best plane."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]], "residual": [kernels.plane_residual(pdf[["x", "y", "z"]].to_numpy())]})
-
-    return points.select("track_id", "x", "y", "z").groupBy("track_id").applyInPandas(run, "track_id long, residual double")
+    """track_id, residual: the 95th percentile of the distances to the track's best plane; 0 below four points.
+
+    The plane's normal is the eigenvector of the scatter matrix's smallest eigenvalue: the eigenvalue from the characteristic
+    polynomial's angle, the vector from the adjugate of the shifted matrix, twice, the second time with the vector's own quotient.
+    """
+    w = Window.partitionBy("track_id")
+    c = points.select("track_id", *((F.col(a) - F.avg(a).over(w)).alias(a) for a in "xyz"), F.count("*").over(w).alias("n"))
+    pairs = ("xx", "yy", "zz", "xy", "xz", "yz")
+    c = c.withColumns({p: F.sum(F.col(p[0]) * F.col(p[1])).over(w) for p in pairs}).withColumn("trace", e("xx + yy + zz"))
+    c = c.withColumns({p: e(f"if(trace > 0, {p} / trace, 0D)") for p in pairs})
+    c = c.withColumn("spread", e("sqrt((pow(xx - 1 / 3D, 2) + pow(yy - 1 / 3D, 2) + pow(zz - 1 / 3D, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)"))
+    det = "((xx - 1 / 3D) * ((yy - 1 / 3D) * (zz - 1 / 3D) - yz * yz) - xy * (xy * (zz - 1 / 3D) - yz * xz) + xz * (xy * yz - (yy - 1 / 3D) * xz))"
+    c = c.withColumn("least", e(f"1 / 3D + 2 * spread * cos(acos(greatest(-1D, least(1D, if(spread > 0, {det} / (2 * pow(spread, 3)), 0D)))) / 3 + 2 * pi() / 3)"))
+    start = "case when abs(c0) >= abs(c1) and abs(c0) >= abs(c2) then {0} when abs(c1) >= abs(c2) then {1} else {2} end"
+    for vector in ((("c0", "d01", "d02"), ("d01", "c1", "d12"), ("d02", "d12", "c2")), None):
+        c = c.withColumns({"c0": e("(yy - least) * (zz - least) - yz * yz"), "c1": e("(xx - least) * (zz - least) - xz * xz"), "c2": e("(xx - least) * (yy - least) - xy * xy"), "d01": e("xz * yz - xy * (zz - least)"), "d02": e("xy * yz - xz * (yy - least)"), "d12": e("xy * xz - yz * (xx - least)")})
+        if vector:
+            c = c.withColumns({f"v{i}": e(start.format(*row)) for i, row in enumerate(vector)})
+        else:
+            c = c.withColumns({"w0": e("c0 * v0 + d01 * v1 + d02 * v2"), "w1": e("d01 * v0 + c1 * v1 + d12 * v2"), "w2": e("d02 * v0 + d12 * v1 + c2 * v2")}).withColumns({"v0": F.col("w0"), "v1": F.col("w1"), "v2": F.col("w2")})
+        c = c.withColumn("norm", e("sqrt(v0 * v0 + v1 * v1 + v2 * v2)")).withColumns({f"v{i}": e(f"if(norm > 0, v{i} / norm, 0D)") for i in range(3)})
+        c = c.withColumn("least", e("xx * v0 * v0 + yy * v1 * v1 + zz * v2 * v2 + 2 * (xy * v0 * v1 + xz * v0 * v2 + yz * v1 * v2)"))
+    return c.groupBy("track_id").agg(F.percentile(e("abs(x * v0 + y * v1 + z * v2)"), 0.95).alias("residual"), F.max("n").alias("n")).select("track_id", e("if(n < 4, 0D, residual)").alias("residual"))
 
 
 def radar(points: DataFrame) -> DataFrame:
@@ -73,19 +88,19 @@ def radar(points: DataFrame) -> DataFrame:
 
 
 def risks(points: DataFrame, tracks: DataFrame, *, with_plane: bool = True) -> DataFrame:
-    """(track_id, check, type, severity): one row for each rule that a track breaks."""
+    """(track_id, check, type, severity, detail): one row for each rule that a track breaks, with the values that break it."""
     c = category(points, tracks)
-    row = lambda check, kind, severity: F.struct(F.lit(check).alias("check"), F.lit(kind).alias("type"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"))
-    found = descent(points, c).join(speeds(points, c).drop("upper"), "track_id").join(banks(points), "track_id")
-    found = found.join(radar(points) if with_plane else g.acceleration_max(points).withColumns({"jump": F.col("max_acceleration") > ACCELERATION, "scatter": F.lit(False)}), "track_id")
+    row = lambda check, kind, severity, text, *values: F.struct(F.lit(check).alias("check"), F.lit(kind).alias("type"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), F.format_string(text, *values).alias("detail"))
+    found = descent(points, c).join(speeds(points, c), "track_id").join(banks(points), "track_id")
+    found = found.join(radar(points) if with_plane else g.acceleration_max(points).withColumns({"jump": F.col("max_acceleration") > ACCELERATION, "residual": F.lit(0.0), "scatter": F.lit(False)}), "track_id")
     rows = [
-        F.when(F.col("steep"), row("profile", "PROFILE", "HIGH")),
-        F.when(F.col("low"), row("profile", "PROFILE", "HIGH")),
-        F.when(F.col("unstable"), row("speed", "UNSTABLE_APPROACH", "MEDIUM")),
-        F.when(F.col("fast"), row("speed", "INTERMEDIATE_SPEED", "MEDIUM")),
-        F.when(F.col("severity").isNotNull(), row("bank", "DANGEROUS_MANEUVER", F.col("severity"))),
-        F.when(F.col("jump"), row("radar", "TECH_FAILURE", "HIGH")),
-        F.when(F.col("scatter"), row("radar", "TECH_FAILURE", "MEDIUM")),
+        F.when(F.col("steep"), row("profile", "PROFILE", "HIGH", "gradient %.3f over %.3f", F.col("max_gradient"), F.col("allowed"))),
+        F.when(F.col("low"), row("profile", "PROFILE", "HIGH", "%.0f ft below the protection surface", F.col("below"))),
+        F.when(F.col("unstable"), row("speed", "UNSTABLE_APPROACH", "MEDIUM", "final speed %.0f kt", F.col("final"))),
+        F.when(F.col("fast"), row("speed", "INTERMEDIATE_SPEED", "MEDIUM", "intermediate speed %.0f kt", F.col("middle"))),
+        F.when(F.col("severity").isNotNull(), row("bank", "DANGEROUS_MANEUVER", F.col("severity"), "bank %.1f degrees at point %d", F.col("bank"), F.col("at"))),
+        F.when(F.col("jump"), row("radar", "TECH_FAILURE", "HIGH", "acceleration %.1f ft/s2", F.col("max_acceleration"))),
+        F.when(F.col("scatter"), row("radar", "TECH_FAILURE", "MEDIUM", "%.0f ft off the plane", F.col("residual"))),
     ]
     return found.select("track_id", F.inline(F.array_compact(F.array(*rows))))
 

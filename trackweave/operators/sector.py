@@ -99,12 +99,12 @@ def trimmed(boxes: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def hulls(points: DataFrame, most: int = 5000) -> DataFrame:
-    """cluster_id, volume, vertices, equations (outward normals and offsets), footprint areas, degenerate: of an even sample of
+    """cluster_id, volume, vertices, equations (outward normals and offsets), footprints and their areas, degenerate: of an even sample of
     ``most`` points of each cluster (points with cluster_id).  A hull needs a cluster's sample together, hence the bound."""
     from .selection import even_sample
 
     sample = even_sample(points, most, ("cluster_id",), ("track_id", "seq")).select("cluster_id", "track_id", "seq", "x", "y", "z")
-    schema = "cluster_id int, volume double, vertices array<array<double>>, equations array<array<double>>, area_xy double, area_xz double, area_yz double, degenerate boolean"
+    schema = "cluster_id int, volume double, vertices array<array<double>>, equations array<array<double>>, area_xy double, area_xz double, area_yz double, footprint_xy array<array<double>>, footprint_xz array<array<double>>, footprint_yz array<array<double>>, degenerate boolean"
     return sample.groupBy("cluster_id").applyInPandas(kernels.hull_rows, schema)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as g
+from .sector import XY_BUFFER
 
 BIN, CONFLICT_BIN, HORIZONTAL, VERTICAL = 300.0, 60.0, 18228.0, 1000.0
 #: Markers of aircraft that need more attention.
@@ -14,10 +15,19 @@ ATTENTION = "heavy|b747|b777|a340|a380|mil|military|ввс"
 e = F.expr
 
 
-def samples(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points (with cluster_id) inside their sector, with velocities over the whole track."""
+def samples(points: DataFrame, boxes: DataFrame, hull: DataFrame | None = None, buffer: float = XY_BUFFER) -> DataFrame:
+    """Points (with cluster_id) inside their sector, with velocities over the whole track.
+
+    Inside is inside the box and, with ``hull`` (cluster_id, equations), no further than ``buffer`` outside any face; a cluster
+    without a box has no points inside, one without a hull or with a degenerate one is its box.
+    """
     v = g.velocities(points, ("cluster_id", "track_id"))
-    return v.join(boxes.select("cluster_id", *(f"{m}_{c}" for c in "xyz" for m in ("min", "max"))), "cluster_id").where("x between min_x and max_x and y between min_y and max_y and z between min_z and max_z")
+    sector = boxes.select("cluster_id", *(f"{m}_{c}" for c in "xyz" for m in ("min", "max")))
+    inside = v.join(sector, "cluster_id").where("x between min_x and max_x and y between min_y and max_y and z between min_z and max_z")
+    if hull is None:
+        return inside
+    faces = hull.select("cluster_id", "equations")
+    return inside.join(faces, "cluster_id", "left").where(f"equations is null or forall(equations, q -> q[0] * x + q[1] * y + q[2] * z + q[3] <= {buffer})").drop("equations")
 
 
 def occupancy(inside: DataFrame, bin_seconds: float = BIN) -> DataFrame:

@@ -14,22 +14,27 @@ from .registry import register
 from .track_queries import INNER, TURN, r
 
 BOX = """
-cp as (select m.cluster_id, tp.* from tp join member m using (track_id)),
+cp as (select m.cluster_id, tp.* replace (tp.t_abs % 7200 as t_abs) from tp join member m using (track_id)),
 box as (
   select cluster_id, min(x) - 1215.2 as min_x, max(x) + 1215.2 as max_x, min(y) - 1215.2 as min_y, max(y) + 1215.2 as max_y,
          min(z) - 300 as min_z, max(z) + 300 as max_z, greatest(0, quantile_cont(z, 0.02) - 300) as floor_ft, quantile_cont(z, 0.98) + 300 as ceiling_ft
   from cp group by cluster_id having count(*) >= 4)"""
-#: A smaller box, so that points lie inside and outside.
+#: A smaller box and two faces of a hull across it, so that points lie inside and outside of either.
 CORE = BOX + """,
 core as (select cluster_id, min_x + (max_x - min_x) * 0.2 as min_x, max_x, min_y, max_y, min_z + 1000 as min_z, max_z from box)"""
-SAMPLES = CORE + """,
+FACES = """,
+face as (
+  select cluster_id, sqrt(0.5) as nx, sqrt(0.5) as ny, -(min(x + y) + 0.8 * (max(x + y) - min(x + y))) * sqrt(0.5) as d from cp group by cluster_id
+  union all select cluster_id, -sqrt(0.5), sqrt(0.5), -(min(y - x) + 0.9 * (max(y - x) - min(y - x))) * sqrt(0.5) from cp group by cluster_id)"""
+SAMPLES = CORE + FACES + """,
 vel as (
   select track_id, seq, coalesce(dx / case when dt = 0 then 1e-8 else dt end, ex / case when et = 0 then 1e-8 else et end, 0) as vx,
          coalesce(dy / case when dt = 0 then 1e-8 else dt end, ey / case when et = 0 then 1e-8 else et end, 0) as vy,
          coalesce(dz / case when dt = 0 then 1e-8 else dt end, ez / case when et = 0 then 1e-8 else et end, 0) as vz from st),
 ins as (
   select cp.*, vx, vy, vz from cp join core c using (cluster_id) join vel using (track_id, seq)
-  where x between c.min_x and c.max_x and y between c.min_y and c.max_y and z between c.min_z and c.max_z)"""
+  where x between c.min_x and c.max_x and y between c.min_y and c.max_y and z between c.min_z and c.max_z
+    and not exists (select 1 from face f where f.cluster_id = cp.cluster_id and f.nx * x + f.ny * y + f.d > 1215.2))"""
 METRICS = SAMPLES + f""",
 ist as (
   select *, x - px as dx, y - py as dy, z - pz as dz, fx - x as ex, fy - y as ey, fz - z as ez from (
@@ -51,29 +56,40 @@ wocc as (
     from (select distinct cluster_id, cast(floor(t_abs / 300) as bigint) as bin, track_id from ins) p left join met using (cluster_id, track_id) group by all) group by cluster_id)"""
 CONF = """,
 pairs as (
-  select a.cluster_id, cast(floor(a.t_abs / 864000) as bigint) as bin, a.track_id as track_a, b.track_id as track_b, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) as h,
+  select a.cluster_id, cast(floor(a.t_abs / 60) as bigint) as bin, a.track_id as track_a, b.track_id as track_b, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) as h,
          abs(a.z - b.z) as v, (a.t_abs + b.t_abs) / 2 as tm,
          -((b.x - a.x) * (b.vx - a.vx) + (b.y - a.y) * (b.vy - a.vy) + (b.z - a.z) * (b.vz - a.vz)) as closing,
          (a.vx * b.vx + a.vy * b.vy + a.vz * b.vz) / (sqrt(a.vx * a.vx + a.vy * a.vy + a.vz * a.vz) * sqrt(b.vx * b.vx + b.vy * b.vy + b.vz * b.vz) + 1e-8) as cosine
-  from ins a join ins b on a.cluster_id = b.cluster_id and floor(a.t_abs / 864000) = floor(b.t_abs / 864000) and a.track_id < b.track_id
+  from ins a join ins b on a.cluster_id = b.cluster_id and floor(a.t_abs / 60) = floor(b.t_abs / 60) and a.track_id < b.track_id
   where abs(a.z - b.z) <= 1000 and power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 18228.0 * 18228.0),
 conv as (select *, case when closing <= 0 then 0 else least(1, closing / 10000) * (0.5 + 0.5 * greatest(0, -cosine)) end as c from pairs),
 conf as (
   select cluster_id, bin, track_a, track_b, h as horizontal_ft, tm as time, v as vertical_ft, c as convergence,
          case when h / 18228 < 0.5 and v / 1000 < 0.5 and c > 0.6 then 'HIGH' when h / 18228 < 0.8 and v / 1000 < 0.8 then 'MEDIUM' else 'LOW' end as severity
   from (select *, row_number() over (partition by cluster_id, bin, track_a, track_b order by h, tm, v, c) as rn from conv where c > 0) where rn = 1)"""
-#: Events are weeks apart, so the test queries use bins of ten days.
-WIDE = 864000.0
+#: Events are weeks apart; the queries of sectors take their times within two hours, so tracks meet.
+SPAN = 7200
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     points, tracks = trackpoints(spark, d), flights(spark, d)
-    clustered = sc.cluster_points(points, members(tracks))
+    clustered = sc.cluster_points(points, members(tracks)).withColumn("t_abs", F.col("t_abs") % SPAN)
     boxes = sc.sector_bounds(clustered)
     core = boxes.withColumns({"min_x": F.expr("min_x + (max_x - min_x) * 0.2D"), "min_z": F.col("min_z") + 1000})
     return clustered, tracks, boxes, core
 
 
+def _faces(clustered: DataFrame) -> DataFrame:
+    """Two faces for each cluster: (cluster_id, equations)."""
+    g = clustered.groupBy("cluster_id").agg(F.min(F.expr("x + y")).alias("a"), F.max(F.expr("x + y")).alias("b"), F.min(F.expr("y - x")).alias("c"), F.max(F.expr("y - x")).alias("d"))
+    return g.select("cluster_id", F.expr("array(array(sqrt(0.5D), sqrt(0.5D), 0D, -(a + 0.8D * (b - a)) * sqrt(0.5D)), array(-sqrt(0.5D), sqrt(0.5D), 0D, -(c + 0.9D * (d - c)) * sqrt(0.5D)))").alias("equations"))
+
+
+def _inside(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    clustered, tracks, _, core = _parts(spark, d)
+    return wl.samples(clustered, core, _faces(clustered)), tracks, core
+
+
 @register("sector_bounds", f"with {BOX} select cluster_id, " + ", ".join(r(c, c) for c in ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z", "floor_ft", "ceiling_ft")) + ", round((max_x - min_x) * (max_y - min_y) * (max_z - min_z), 0) as volume from box", "tp member")
 def sector_bounds(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d)[2].withColumn("volume", F.round("volume", 0))
@@ -146,33 +162,28 @@ def trimmed_sectors(spark: SparkSession, d: str) -> DataFrame:
 
 @register("sector_membership", f"with {SAMPLES} select cluster_id, track_id, count(*) as n from ins group by all", "tp st member")
 def sector_membership(spark: SparkSession, d: str) -> DataFrame:
-    clustered, _, _, core = _parts(spark, d)
-    return wl.samples(clustered, core).groupBy("cluster_id", "track_id").agg(F.count("*").alias("n"))
+    return _inside(spark, d)[0].groupBy("cluster_id", "track_id").agg(F.count("*").alias("n"))
 
 
 @register("occupancy", f"with {METRICS}{OCC} select * from occ", "tp st member flights")
 def occupancy(spark: SparkSession, d: str) -> DataFrame:
-    clustered, _, _, core = _parts(spark, d)
-    return wl.occupancy(wl.samples(clustered, core))
+    return wl.occupancy(_inside(spark, d)[0])
 
 
 @register("track_metrics", f"with {METRICS} select cluster_id, track_id, " + ", ".join(r(c, c) for c in ("dwell", "curvature", "gradient", "complexity", "entry_time", "exit_time")) + " from met", "tp st member flights")
 def track_metrics(spark: SparkSession, d: str) -> DataFrame:
-    clustered, tracks, _, core = _parts(spark, d)
-    return wl.track_metrics(wl.samples(clustered, core), tracks)
+    return wl.track_metrics(*_inside(spark, d)[:2])
 
 
 @register("weighted_occupancy", f"with {METRICS}{OCC} select cluster_id, {r('weighted', 'weighted')} from wocc", "tp st member flights")
 def weighted_occupancy(spark: SparkSession, d: str) -> DataFrame:
-    clustered, tracks, _, core = _parts(spark, d)
-    inside = wl.samples(clustered, core)
+    inside, tracks, _ = _inside(spark, d)
     return wl.weighted_occupancy(inside, wl.track_metrics(inside, tracks))
 
 
 @register("conflicts", f"with {SAMPLES}{CONF} select cluster_id, bin, track_a, track_b, round(horizontal_ft, 6) as horizontal_ft, round(time, 3) as time, round(vertical_ft, 6) as vertical_ft, round(convergence, 6) as convergence, severity from conf", "tp st member")
 def conflicts(spark: SparkSession, d: str) -> DataFrame:
-    clustered, _, _, core = _parts(spark, d)
-    return wl.conflicts(wl.samples(clustered, core), window=WIDE).withColumn("time", F.round("time", 3))
+    return wl.conflicts(_inside(spark, d)[0]).withColumn("time", F.round("time", 3))
 
 
 @register("workload_index", f"""
@@ -183,9 +194,8 @@ select cluster_id, round(coalesce(weighted, 0), 6) as weighted, coalesce(peak, 0
        round(coalesce(dwell, 0), 6) as dwell, round(coalesce(weighted, 0) + 5 * coalesce(conflicts, 0) + 1.5 * coalesce(peak, 0), 6) as workload
 from core left join wocc using (cluster_id) left join pk using (cluster_id) left join nc using (cluster_id) left join mm using (cluster_id)""", "tp st member flights")
 def workload_index(spark: SparkSession, d: str) -> DataFrame:
-    clustered, tracks, _, core = _parts(spark, d)
-    inside = wl.samples(clustered, core)
-    return wl.index(core, inside, wl.track_metrics(inside, tracks), wl.conflicts(inside, window=WIDE))
+    inside, tracks, core = _inside(spark, d)
+    return wl.index(core, inside, wl.track_metrics(inside, tracks), wl.conflicts(inside))
 
 
 ARR = """
@@ -256,4 +266,4 @@ def tbo_routes(spark: SparkSession, d: str) -> DataFrame:
 
 @register("sector_hulls")
 def sector_hulls(spark: SparkSession, d: str) -> DataFrame:
-    return sc.hulls(_parts(spark, d)[0]).select("cluster_id", "volume", F.size("vertices").alias("vertices"), F.size("equations").alias("facets"), "area_xy", "area_xz", "area_yz", "degenerate")
+    return sc.hulls(_parts(spark, d)[0]).select("cluster_id", "volume", F.size("vertices").alias("vertices"), F.size("equations").alias("facets"), *(F.size(f"footprint_{p}").alias(f"corners_{p}") for p in ("xy", "xz", "yz")), "area_xy", "area_xz", "area_yz", "degenerate")

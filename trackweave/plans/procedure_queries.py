@@ -11,7 +11,7 @@ from trackweave.operators import sector as sc
 from trackweave.operators import workload as wl
 from trackweave.sources.adapters import flights, members, trackpoints
 
-from .cluster_queries import BOUND, CONF, METRICS, OCC, WIDE, _parts
+from .cluster_queries import BOUND, CONF, METRICS, OCC, _inside, _parts
 from .registry import register
 from .track_queries import COURSE, INNER, RADIUS, r
 
@@ -37,15 +37,32 @@ bk as (
   select track_id, max(bank) as max_bank, max(first) as at_seq, max(bank) filter (seq = first) as bank, bool_or(bank > lim * 1.25) filter (seq = first) as strong
   from bk2 where first is null or seq <= first group by track_id)"""
 ACC = " + ".join(f"power((e{c} / greatest(et, 1) - d{c} / greatest(dt, 1)) / greatest(et, 1), 2)" for c in "xyz")
+#: Distance to the best plane: the smallest eigenvalue by Newton's method on the characteristic polynomial from below, the
+#: normal as the longest column of the adjugate.
+PLANE = """
+pm as (select track_id, avg(x) as mx, avg(y) as my, avg(z) as mz, count(*) as n from tp group by 1),
+pc as (select track_id, n, x - mx as x, y - my as y, z - mz as z from tp join pm using (track_id)),
+p0 as (select track_id, max(n) as n, sum(x*x) as a, sum(y*y) as b, sum(z*z) as c, sum(x*y) as u, sum(x*z) as v, sum(y*z) as w, sum(x*x + y*y + z*z) as t from pc group by 1),
+p1 as (select track_id, n, a / t as a, b / t as b, c / t as c, u / t as u, v / t as v, w / t as w from p0 where t > 0),
+p2 as (select *, a*b + a*c + b*c - u*u - v*v - w*w as s, a*b*c + 2*u*v*w - a*w*w - b*v*v - c*u*u as d from p1),
+p3 as (select *, list_reduce([0.0] || list_transform(range(1, 60), lambda i: 0.0), lambda l, k: l - (((l - 1) * l + s) * l - d) / greatest((3 * l - 2) * l + s, 1e-300)) as l from p2),
+p4 as (select *, (b-l)*(c-l) - w*w as c0, (a-l)*(c-l) - v*v as c1, (a-l)*(b-l) - u*u as c2, v*w - u*(c-l) as d01, u*w - v*(b-l) as d02, u*v - w*(a-l) as d12 from p3),
+p5 as (
+  select track_id, n, case when abs(c0) >= abs(c1) and abs(c0) >= abs(c2) then [c0, d01, d02] when abs(c1) >= abs(c2) then [d01, c1, d12] else [d02, d12, c2] end as m from p4),
+plane as (
+  select t.track_id, case when max(p5.n) >= 4 then quantile_cont(abs(x*m[1] + y*m[2] + z*m[3]) / sqrt(m[1]*m[1] + m[2]*m[2] + m[3]*m[3]), 0.95) else 0 end as residual
+  from pc t join p5 using (track_id) group by 1)"""
 RISK = f"{DESC},{SPEED[len(CAT) + 2:]},{BANK}" + f""",
 acc as (select track_id, coalesce(max(case when {INNER} then sqrt({ACC}) end), 0) as a from st group by track_id),
+{PLANE},
 risk as (
   select track_id, 'profile' as "check", 'PROFILE' as type, 'HIGH' as severity from de where g > allowed
   union all select track_id, 'profile', 'PROFILE', 'HIGH' from de where below > 150
   union all select track_id, 'speed', 'UNSTABLE_APPROACH', 'MEDIUM' from sp where final > up + 20
   union all select track_id, 'speed', 'INTERMEDIATE_SPEED', 'MEDIUM' from sp where middle > up + 30
   union all select track_id, 'bank', 'DANGEROUS_MANEUVER', case when strong then 'HIGH' else 'MEDIUM' end from bk where at_seq is not null
-  union all select track_id, 'radar', 'TECH_FAILURE', 'HIGH' from acc where a > 96.5)"""
+  union all select track_id, 'radar', 'TECH_FAILURE', 'HIGH' from acc where a > 96.5
+  union all select track_id, 'radar', 'TECH_FAILURE', 'MEDIUM' from plane where residual > 1500)"""
 
 
 def _tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -74,31 +91,31 @@ def bank_rule(spark: SparkSession, d: str) -> DataFrame:
     return ru.banks(trackpoints(spark, d))
 
 
-@register("radar_rule")
+@register("radar_rule", f"with acc as (select track_id, coalesce(max(case when {INNER} then sqrt({ACC}) end), 0) as a from st group by track_id),{PLANE} select track_id, {r('a', 'max_acceleration')}, round(residual, 2) as residual, a > 96.5 as jump, residual > 1500 as scatter from acc join plane using (track_id)", "tp st")
 def radar_rule(spark: SparkSession, d: str) -> DataFrame:
-    return ru.radar(trackpoints(spark, d))
+    return ru.radar(trackpoints(spark, d)).withColumn("residual", F.round("residual", 2))
 
 
 @register("rule_risks", f'with {RISK} select track_id, "check", type, severity from risk', "tp st flights")
 def rule_risks(spark: SparkSession, d: str) -> DataFrame:
-    return ru.risks(*_tracks(spark, d), with_plane=False)
+    return ru.risks(*_tracks(spark, d)).drop("detail")
 
 
 @register("risk_rollup", f"with {RISK} select f.track_id, count(type) as risk_count, case when bool_or(severity = 'HIGH') then 'HIGH' when bool_or(severity = 'MEDIUM') then 'MEDIUM' else 'NONE' end as max_severity from flights f left join risk using (track_id) group by f.track_id", "tp st flights")
 def risk_rollup(spark: SparkSession, d: str) -> DataFrame:
     p, t = _tracks(spark, d)
-    return ru.rollup(ru.risks(p, t, with_plane=False), t)
+    return ru.rollup(ru.risks(p, t), t)
 
 
 @register("risk_totals", f"with {RISK} select cluster_id, type, count(*) as n, count(distinct track_id) as tracks from risk join member using (track_id) group by rollup (cluster_id, type)", "tp st flights member")
 def risk_totals(spark: SparkSession, d: str) -> DataFrame:
     p, t = _tracks(spark, d)
-    return ru.totals(ru.risks(p, t, with_plane=False), members(t))
+    return ru.totals(ru.risks(p, t), members(t))
 
 
-@register("svd_residual")
+@register("svd_residual", f"with {PLANE} select track_id, round(residual, 2) as residual from plane", "tp")
 def svd_residual(spark: SparkSession, d: str) -> DataFrame:
-    return ru.plane_residuals(trackpoints(spark, d))
+    return ru.plane_residuals(trackpoints(spark, d)).withColumn("residual", F.round("residual", 2))
 
 
 def _lerp(source: str, at: str, cols: str = "xyz", prefix: str = "") -> str:
@@ -198,7 +215,7 @@ def top_anomalies(spark: SparkSession, d: str) -> DataFrame:
 @register("anomaly_risks", f"with {ANOM},{RISK}, n as (select track_id, count(*) as n from risk group by 1) select a.track_id, cast(rank as integer) as rank, coalesce(n, 0) as rule_risks from an a left join n using (track_id)", "tp st flights member")
 def anomaly_risks(spark: SparkSession, d: str) -> DataFrame:
     p, t = _tracks(spark, d)
-    counts = ru.risks(p, t, with_plane=False).groupBy("track_id").agg(F.count("*").alias("rule_risks"))
+    counts = ru.risks(p, t).groupBy("track_id").agg(F.count("*").alias("rule_risks"))
     return pr.anomalies(pr.deviations(*_centroid(spark, d))).join(counts, "track_id", "left").select("track_id", "rank", F.coalesce("rule_risks", F.lit(0)).alias("rule_risks"))
 
 
@@ -278,9 +295,8 @@ def geojson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _workload(spark: SparkSession, d: str) -> DataFrame:
-    clustered, tracks, _, core = _parts(spark, d)
-    inside = wl.samples(clustered, core)
-    return wl.index(core, inside, wl.track_metrics(inside, tracks), wl.conflicts(inside, window=WIDE))
+    inside, tracks, core = _inside(spark, d)
+    return wl.index(core, inside, wl.track_metrics(inside, tracks), wl.conflicts(inside))
 
 
 IDX = METRICS + OCC + CONF + """,
@@ -310,7 +326,7 @@ select cluster_id, round(workload + 5 * coalesce(rk.n, 0) + 100 * coalesce(ac.n,
 def top_clusters(spark: SparkSession, d: str) -> DataFrame:
     p, t = _tracks(spark, d)
     m = members(t)
-    rk = ru.risks(p, t, with_plane=False).join(m, "track_id").groupBy("cluster_id").agg(F.count("*").alias("risks"))
+    rk = ru.risks(p, t).join(m, "track_id").groupBy("cluster_id").agg(F.count("*").alias("risks"))
     ac = pr.anomaly_statistics(pr.anomalies(pr.deviations(*_centroid(spark, d)))).select("cluster_id", "anomalies")
     out = _workload(spark, d).join(rk, "cluster_id", "left").join(ac, "cluster_id", "left").fillna(0, ["risks", "anomalies"])
     return out.select("cluster_id", F.expr("workload + 5 * risks + 100 * anomalies").alias("priority")).orderBy(F.desc("priority"), "cluster_id").limit(5)

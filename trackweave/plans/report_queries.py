@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.functions.lineage import cut
 from trackweave.operators import clustering as cl
 from trackweave.operators import rules as ru
 from trackweave.operators import sector as sc
@@ -12,7 +13,8 @@ from trackweave.operators import selection as sl
 from trackweave.sources import sinks
 from trackweave.sources.adapters import flights, members, trackpoints
 
-from .analysis import analyse
+from .analysis import analyse, clustered_members, digest
+from .cluster_queries import CORE, FACES, SPAN, _faces, _parts
 from .procedure_queries import ANOM, RISK, _centroid, pr
 from .registry import register
 from .track_queries import r
@@ -20,7 +22,7 @@ from .track_queries import r
 
 @register("top_risk_types", f"with {RISK} select type, count(*) as n from risk group by type order by n desc, type limit 5", "tp st flights")
 def top_risk_types(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.top_risk_types(ru.risks(trackpoints(spark, d), flights(spark, d), with_plane=False))
+    return sinks.top_risk_types(ru.risks(trackpoints(spark, d), flights(spark, d)))
 
 
 @register("top_cluster_anomalies", f"with {ANOM}, t as (select *, row_number() over (partition by cluster_id order by round(score, 6) desc, track_id) as k from an) select cluster_id, track_id, {r('score', 'score')} from t where k <= 5", "tp member")
@@ -43,8 +45,11 @@ def run_history(spark: SparkSession, d: str) -> DataFrame:
 
 @register("full_analysis")
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of every airport by likelihood consensus, then all tables; a row for each table."""
     tracks = flights(spark, d)
-    return analyse(trackpoints(spark, d), tracks, members(tracks), conflict_window=864000.0).statistics
+    points = cut(trackpoints(spark, d).withColumn("t_abs", F.col("t_abs") % SPAN))
+    found = clustered_members(points.join(tracks.select("track_id", F.col("airportid").alias("grp")), "track_id"))
+    return digest(analyse(points, tracks, cut(found)))
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,12 +69,18 @@ def representative_track(spark: SparkSession, d: str) -> DataFrame:
 @register("context_totals", f"with {ANOM},{RISK} select (select count(*) from an where is_anomaly) as anomalies, (select count(*) from risk) as risks", "tp st flights member")
 def context_totals(spark: SparkSession, d: str) -> DataFrame:
     found = _found(spark, d).agg(F.sum(F.col("is_anomaly").cast("long")).alias("anomalies"))
-    return found.crossJoin(ru.risks(trackpoints(spark, d), flights(spark, d), with_plane=False).agg(F.count("*").alias("risks")))
+    return found.crossJoin(ru.risks(trackpoints(spark, d), flights(spark, d)).agg(F.count("*").alias("risks")))
 
 
-@register("hull_membership")
+@register("hull_membership", f"with {CORE}{FACES} select cluster_id, count(*) as n from cp where not exists (select 1 from face f where f.cluster_id = cp.cluster_id and f.nx * x + f.ny * y + f.d > 1215.2) group by 1", "tp member")
 def hull_membership(spark: SparkSession, d: str) -> DataFrame:
-    p = sc.cluster_points(trackpoints(spark, d), members(flights(spark, d)))
+    p = _parts(spark, d)[0]
+    return sc.inside_hull(p, _faces(p)).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@register("own_hull_membership")
+def own_hull_membership(spark: SparkSession, d: str) -> DataFrame:
+    p = _parts(spark, d)[0]
     return sc.inside_hull(p, sc.hulls(p), 0.001).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
