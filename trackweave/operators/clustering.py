@@ -97,13 +97,23 @@ def best_algorithm(compared: DataFrame, metric: str = "quality", largest: bool =
 
 
 def merge_small(members: DataFrame, centres: DataFrame, most: int = 10) -> DataFrame:
-    """(cluster_id, merged_id, size): the ``most`` largest clusters keep their id, every other goes to the nearest of these."""
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    kept = sizes.orderBy(F.desc("size"), "cluster_id").limit(most).join(centres, "cluster_id").select(F.col("cluster_id").alias("kept"), *(F.col(c).alias(f"k{c}") for c in "xyz"))
-    rest = sizes.join(kept.select(F.col("kept").alias("cluster_id")), "cluster_id", "left_anti").join(centres, "cluster_id")
-    near = rest.join(F.broadcast(kept)).groupBy("cluster_id", "size").agg(F.min_by("kept", F.struct(F.expr("pow(x - kx, 2) + pow(y - ky, 2) + pow(z - kz, 2)"), "kept")).alias("merged_id"))
-    own = sizes.join(kept.select(F.col("kept").alias("cluster_id")), "cluster_id", "left_semi").withColumn("merged_id", F.col("cluster_id"))
-    return own.select("cluster_id", "merged_id", "size").unionByName(near.select("cluster_id", "merged_id", "size"))
+    """(cluster_id, merged_id, size): the ``most`` largest clusters keep their id; the others, largest first, each go to the kept one
+    whose centre is nearest, and move that centre by their tracks.
+
+    A fold in order over the clusters' sizes and centres, one row of a few numbers a cluster; ties go to the smaller id, clusters
+    without a centre to the largest.
+    """
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size")).join(centres.select("cluster_id", "x", "y", "z"), "cluster_id", "left")
+    listed = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), "cluster_id", "size", "x", "y", "z"))).alias("c"))
+    far = "if(r.x is null, 0D, coalesce(pow(s.x - r.x, 2) + pow(s.y - r.y, 2) + pow(s.z - r.z, 2), double('inf')))"
+    near = f"array_min(transform(acc.kept, (s, i) -> struct({far} as d, i as at))).at"
+    mean = ", ".join(f"'{c}', (s.{c} * s.size + coalesce(r.{c}, s.{c}) * r.size) / (s.size + r.size)" for c in "xyz")
+    step = f"""transform(array({near}), k -> named_struct(
+        'kept', transform(acc.kept, (s, i) -> if(i = k, named_struct('less', s.less, 'cluster_id', s.cluster_id, 'size', s.size + r.size, {mean}), s)),
+        'out', concat(acc.out, array(named_struct('cluster_id', r.cluster_id, 'merged_id', acc.kept[k].cluster_id, 'size', r.size)))))[0]"""
+    kept = f"transform(slice(c, 1, {most}), s -> named_struct('cluster_id', s.cluster_id, 'merged_id', s.cluster_id, 'size', s.size))"
+    fold = f"aggregate(slice(c, {most + 1}, greatest(0, size(c) - {most})), named_struct('kept', slice(c, 1, {most}), 'out', {kept}), (acc, r) -> {step}, acc -> acc.out)"
+    return listed.select(F.inline(F.expr(fold)))
 
 
 def centres(points: DataFrame) -> DataFrame:

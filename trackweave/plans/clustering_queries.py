@@ -56,9 +56,14 @@ def cluster_centres(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("merged_clusters", f"""
-with {CENTRES}, sz as (select cluster_id, count(*) as size from member group by 1), kept as (select cluster_id as kept from sz order by size desc, cluster_id limit 4)
-select s.cluster_id, case when s.cluster_id in (select kept from kept) then s.cluster_id else
-  (select arg_min(kept, power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) from kept join cen2 b on b.cluster_id = kept, cen2 a where a.cluster_id = s.cluster_id) end as merged_id, size from sz s""", "tp member")
+with recursive {CENTRES}, sz as (select cluster_id, count(*) as size from member group by 1),
+own as (select *, row_number() over (order by size desc, cluster_id) as i from sz join cen2 using (cluster_id)),
+fold as (
+  select cast(4 as bigint) as i, (select list({{'kept': cluster_id, 'n': size, 'x': x, 'y': y, 'z': z}} order by i) from own where i <= 4) as st, -1 as cluster_id, -1 as merged_id, cast(0 as bigint) as size
+  union all
+  select r.i, list_transform(st, lambda s: case when s.kept = k then {{'kept': s.kept, 'n': s.n + r.size, 'x': (s.x * s.n + r.x * r.size) / (s.n + r.size), 'y': (s.y * s.n + r.y * r.size) / (s.n + r.size), 'z': (s.z * s.n + r.z * r.size) / (s.n + r.size)}} else s end), r.cluster_id, k, r.size
+  from (select f.st, r.*, list_sort(list_transform(st, lambda s: {{'d': power(s.x - r.x, 2) + power(s.y - r.y, 2) + power(s.z - r.z, 2), 'k': s.kept}}))[1].k as k from fold f join own r on r.i = f.i + 1) r)
+select cluster_id, merged_id, size from fold where cluster_id >= 0 union all select cluster_id, cluster_id, size from own where i <= 4""", "tp member")
 def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
     m = members(flights(spark, d))
     return cl.merge_small(m, cl.centres(sc.cluster_points(trackpoints(spark, d), m)), 4)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.functions.lineage import cut
+from trackweave.functions.lineage import cut, shared_folder
 from trackweave.operators import clustering as cl
 from trackweave.operators import rules as ru
+from trackweave.operators import runway as rw
 from trackweave.operators import sector as sc
 from trackweave.operators import selection as sl
 from trackweave.sources import sinks
 from trackweave.sources.adapters import flights, members, trackpoints
 
 from .analysis import analyse, clustered_members, digest
-from .cluster_queries import CORE, FACES, SPAN, _faces, _parts
-from .procedure_queries import ANOM, RISK, _centroid, pr
+from .cluster_queries import ARR, CORE, FACES, SPAN, _faces, _parts
+from .clustering_queries import _compared
+from .procedure_queries import ANOM, CENTROID, IDX, RISK, _centroid, _workload, pr
 from .registry import register
 from .track_queries import r
 
@@ -89,3 +93,74 @@ def merged_anomalies(spark: SparkSession, d: str) -> DataFrame:
     counts = pr.anomaly_statistics(_found(spark, d)).select("cluster_id", "anomalies")
     merged = counts.select("cluster_id", F.floor(F.col("cluster_id") / 5).alias("merged_id"))
     return cl.merged_sums(counts, merged, "anomalies")
+
+
+#: Cluster rows of the report.
+ROWS = f"""{IDX},{RISK},{ANOM.replace(CENTROID, 'lens as' + CENTROID.split('lens as', 1)[1], 1)},
+vis as (
+  select cluster_id, count(*) as size, arg_max(rw, n * 1e6 - first) as runway from member join (
+    select cluster_id, trim(runwayname) as rw, count(*) as n, min(load_seq) as first from member join flights using (track_id)
+    where lower(trim(runwayname)) not in ('', 'nan', 'none', 'null') group by all) using (cluster_id) group by cluster_id),
+siz as (select cluster_id, count(*) as size from member group by 1),
+rkc as (select cluster_id, count(*) as n from risk join member using (track_id) group by 1),
+anc as (select cluster_id, count(*) filter (is_anomaly) as n, least(1, avg(score) * 0.6 + avg(case when is_anomaly then 1.0 else 0 end) * 0.4) as rsk from an group by 1),
+crow as (
+  select v.cluster_id, s.size, v.runway, coalesce(a.n, 0) as anomalies, coalesce(k.n, 0) as risks, coalesce(workload, 0) as workload,
+         case when rsk < 0.3 then 'LOW' when rsk < 0.6 then 'MEDIUM' when rsk is null then 'NONE' else 'HIGH' end as risk_level
+  from vis v join siz s using (cluster_id) left join idx using (cluster_id) left join rkc k using (cluster_id) left join anc a using (cluster_id) where s.size > 1)"""
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    p, t = trackpoints(spark, d), flights(spark, d)
+    m, found = members(t), _found(spark, d)
+    risk = ru.risks(p, t).join(m, "track_id").groupBy("cluster_id").agg(F.count("*").alias("risks"))
+    return sinks.cluster_rows(sl.visible_clusters(m, t), _workload(spark, d), pr.anomaly_statistics(found), risk, pr.overall_risk(found))
+
+
+@register("cluster_report_rows", f"with {ROWS} select cluster_id, size, runway, anomalies, risks, {r('workload', 'workload')}, risk_level from crow", "tp st flights member")
+def cluster_report_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d)
+
+
+@register("cluster_csv", f"with {ROWS} select cluster_id::varchar as cluster_id, size::varchar as size, runway, anomalies::varchar as anomalies, risks::varchar as risks, printf('=\"%.1f\"', workload) as workload, risk_level from crow", "tp st flights member")
+def cluster_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The written file, read again."""
+    path = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
+    sinks.write_cluster_csv(_rows(spark, d), path)
+    return spark.read.option("sep", ";").option("escape", '"').csv(path, header=True).toDF("cluster_id", "size", "runway", "anomalies", "risks", "workload", "risk_level")
+
+
+@register("runway_text", f"""
+with {ARR}, h as (select runway, floor(eta / 3600) as hour, count(*) as n from arr group by all), b as (select runway, sum(n) as arrivals, max(n) as busiest from h group by runway),
+s as (select runway, count(*) filter (coalesce(eta - le < required, false)) as violations, sum(delay) as total_delay, avg(delay) as mean_delay from seq group by runway),
+j as (select b.runway, arrivals::bigint as arrivals, coalesce(violations, 0) as violations, coalesce(total_delay, 0) as total_delay, coalesce(mean_delay, 0) as mean_delay, case when b.runway = 'NOT_SPECIFIED' then 0 else busiest end as lph from b left join s using (runway))
+select runway as place, printf('Runway %s: arrivals %d, busiest hour %d, use %.0f%%, violations %d, mean delay %.0f s', runway, arrivals, lph, least(1.5, lph / 36.0) * 100, violations, mean_delay) as line from j
+union all select '', printf('Arrivals %d, violations %d, delay %.0f s', sum(arrivals)::bigint, sum(violations)::bigint, sum(total_delay)) from j""", "tp st flights member")
+def runway_text(spark: SparkSession, d: str) -> DataFrame:
+    t = flights(spark, d)
+    a = rw.arrivals(trackpoints(spark, d), t, members(t))
+    return sinks.runway_lines(rw.summary(a, rw.sequence(a)))
+
+
+@register("full_report", f"""
+with {ROWS}, tot as (select (select count(*) from member) as tracks, count(*) as clusters, sum(conflicts)::bigint as conflicts, max(workload) as w, (select count(*) filter (is_anomaly) from an) as anomalies,
+  (select count(*) from risk) as risks, (select count(distinct track_id) from risk) as risky from idx),
+top as (select *, row_number() over (partition by cluster_id order by score desc, track_id) as k, case when rank = 1 or score > 0.7 then 'high' when score > 0.4 then 'medium' else 'low' end as lv from an)
+select 1 as section, '' as place, printf('Tracks %d, clusters %d', tracks, clusters) as line from tot
+union all select 2, '', printf('Largest workload %.1f, conflicts %d', w, conflicts) from tot
+union all select 3, '', printf('Anomalies %d (%.1f%%), rule risks %d on %d tracks', anomalies, anomalies * 100.0::double / tracks, risks, risky) from tot
+union all select 5, printf('%010d', cluster_id), printf('Cluster %d: tracks %d, runway %s, anomalies %d, risks %d, W=%.1f, risk %s', cluster_id, size, runway, anomalies, risks, workload, risk_level) from crow
+union all select 6, printf('%010d/%03d', cluster_id, k), printf('Cluster %d, track %s: score %.2f%%, level %s', cluster_id, track_id::varchar, score * 100, lv) from top where k <= 5""", "tp st flights member")
+def full_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report's sections but the runways, which ``runway_text`` has."""
+    p, t = trackpoints(spark, d), flights(spark, d)
+    m, found, load = members(t), _found(spark, d), _workload(spark, d)
+    a = rw.arrivals(p, t, m)
+    risk = ru.risks(p, t).agg(F.count("*").alias("risks"), F.countDistinct("track_id").alias("risky_tracks"))
+    total = load.agg(F.count("*").alias("clusters"), F.sum("conflicts").alias("conflicts"), F.max("workload").alias("max_workload")).crossJoin(found.agg(F.count("*").alias("tracks"), F.sum(F.col("is_anomaly").cast("long")).alias("anomalies"))).crossJoin(risk)
+    return sinks.full_report(total, rw.summary(a, rw.sequence(a)), _rows(spark, d), found).where("section != 4")
+
+
+@register("algorithm_text")
+def algorithm_text(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.algorithm_lines(_compared(spark, d))

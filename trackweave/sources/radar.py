@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ FULL = ("eventid", "trackstart_date", "trackstart_time", "trackend_time", "airpo
 OPTIONAL = ("owner_name", "waypoint", "other_port")
 SHORT = tuple(f for f in FULL if f not in OPTIONAL)
 NUMBERS = ("min_alt", "max_alt", "min_range", "max_range")
-SCHEMA = "source_file string, opnum string, " + ", ".join(f"{f} string" for f in FULL) + ", count string, lines array<string>, corrupt string"
+SCHEMA = "source_file string, block int, opnum string, " + ", ".join(f"{f} string" for f in FULL) + ", count string, lines array<string>, corrupt string"
 
 
 def blocks(name: str, text: str) -> Iterator[dict]:
@@ -30,7 +31,7 @@ def blocks(name: str, text: str) -> Iterator[dict]:
     """
     lines = text.splitlines()
     starts = [i for i, line in enumerate(lines) if line.startswith("TRACK")] + [len(lines)]
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
+    for number, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
         head, own = lines[a].split(), [line.strip() for line in lines[a + 1 : b]]
         first = next((i for i, line in enumerate(own) if "," in line), len(own))
         layout, counted = None, False
@@ -41,7 +42,7 @@ def blocks(name: str, text: str) -> Iterator[dict]:
             if first == len(fields):
                 layout = fields
                 break
-        row = {"source_file": name, "opnum": head[1] if len(head) > 1 else None, "count": None, "lines": [], "corrupt": None}
+        row = {"source_file": name, "block": number, "opnum": head[1] if len(head) > 1 else None, "count": None, "lines": [], "corrupt": None}
         if layout is None:
             yield row | {"corrupt": "\n".join(own)}
             continue
@@ -56,7 +57,7 @@ def blocks(name: str, text: str) -> Iterator[dict]:
 
 def _rows(batches: Iterator[pa.RecordBatch], texts) -> Iterator[pa.RecordBatch]:
     """The blocks of the files in batches of (path, content); ``texts`` gives a file's parts as (name, text)."""
-    kinds = [pa.field(c.split()[0], pa.list_(pa.string()) if "array" in c else pa.string()) for c in SCHEMA.split(", ")]
+    kinds = [pa.field(c.split()[0], pa.list_(pa.string()) if "array" in c else pa.int32() if c.endswith(" int") else pa.string()) for c in SCHEMA.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = [row for name, text in texts(path, content) for row in blocks(name, text)]
@@ -68,31 +69,46 @@ def _named(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str] | str, pattern: str = "*.lt6") -> DataFrame:
     """Raw blocks of ``.lt6`` files or folders of them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lt6").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths).select("path", "content")
     return files.mapInArrow(lambda batches: _rows(batches, lambda path, content: [(_named(path), content.decode("utf-8", "replace"))]), SCHEMA)
 
 
 def read_archives(spark: SparkSession, paths: list[str] | str, members: list[str] | None = None) -> DataFrame:
-    """Raw blocks of the ``.lt6`` members of ZIP archives; of the named ones only, if given; missing members are skipped."""
+    """Raw blocks of the ``.lt6`` members of ZIP archives; of the named ones only, if given (``member`` of every
+    archive, or ``archive.zip/member``); missing members are skipped, and an archive that can't be read is one corrupt block."""
     wanted = None if members is None else set(members)
 
     def texts(path: str, content: bytes) -> list[tuple[str, str]]:
-        with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-            names = sorted(n for n in z.namelist() if n.endswith(".lt6") and (wanted is None or n in wanted or _named(n) in wanted))
-            return [(_named(n), z.read(n).decode("utf-8", "replace")) for n in names]
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                names = sorted(n for n in z.namelist() if n.endswith(".lt6") and (wanted is None or n in wanted or _named(n) in wanted or f"{_named(path)}/{_named(n)}" in wanted))
+                return [(f"{_named(path)}/{_named(n)}", z.read(n).decode("utf-8", "replace")) for n in names]
+        except (zipfile.BadZipFile, zlib.error) as broken:
+            return [(_named(path), f"TRACK\nunreadable archive: {broken}")]
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path", "content")
     return files.mapInArrow(lambda batches: _rows(batches, texts), SCHEMA)
 
 
+def lt6_blocks(tracks: DataFrame, points: DataFrame) -> DataFrame:
+    """``value``: the text of each track's block in the short layout, for ``write.text``; nulls are blank lines."""
+    packed = points.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.concat_ws(",", *(F.col(c).cast("string") for c in "xyzvt")).alias("line")))).alias("p"))
+    have = set(tracks.columns)
+    header = [F.coalesce(F.date_format("trackstart_date", "MM/dd/yyyy") if f == "trackstart_date" and f in have else F.col(f).cast("string") if f in have else F.lit(None), F.lit("")) for f in SHORT]
+    body = F.array_join(F.transform("p", lambda q: q["line"]), "\n")
+    return tracks.join(packed, "track_id").select(F.concat_ws("\n", F.concat(F.lit("TRACK "), F.col("track_id").cast("string")), *header, F.size("p").cast("string"), body).alias("value"))
+
+
 def archive_members(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """archive, member, size, compressed of every ``.lt6`` member."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                if not zipfile.is_zipfile(io.BytesIO(bytes(content))):
+                    continue
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                     info = sorted((i for i in z.infolist() if i.filename.endswith(".lt6")), key=lambda i: i.filename)
                     yield pd.DataFrame({"archive": _named(path), "member": [i.filename for i in info], "size": [i.file_size for i in info], "compressed": [i.compress_size for i in info]})
@@ -101,6 +117,11 @@ def archive_members(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return files.mapInPandas(run, "archive string, member string, size long, compressed long")
 
 
+def archive_totals(members: DataFrame) -> DataFrame:
+    """archive, members, size, compressed of each archive and (archive null) of all."""
+    return members.rollup("archive").agg(F.count("*").alias("members"), F.sum("size").alias("size"), F.sum("compressed").alias("compressed"))
+
+
 def range_members(first: int, last: int, prefix: str = "2006010") -> list[str]:
     """Names of the days' files from ``first`` to ``last``."""
     return [f"{prefix}{n}.lt6" for n in range(first, last + 1)]
@@ -121,24 +142,28 @@ def read_tracks(spark: SparkSession, mode: str, paths: list[str] | str, *, membe
 
 
 def read_default(spark: SparkSession, config: str, table: str | None = None) -> DataFrame:
-    """The stored table if it has rows, else what a JSON file names: mode ``files`` (files) or ``archive`` (archive, files)."""
+    """The stored table if it has rows, else what a JSON file names: mode ``files`` (files) or ``archive`` (archive, files); paths
+    without a root start at the JSON file's folder."""
     if table is not None:
         stored = spark.read.parquet(table)
         if stored.limit(1).count():
             return stored
     c = spark.read.schema("mode string, files array<string>, archive string").json(config, multiLine=True).first()
+    base = config.rsplit("/", 1)[0] if "/" in config else "."
+    whole = lambda path: path if path.startswith("/") or "://" in path else f"{base}/{path}"
     if c.mode == "archive":
-        return read_archives(spark, c.archive, c.files)
-    return read_tracks(spark, c.mode, c.files)
+        return read_archives(spark, whole(c.archive), c.files)
+    return read_tracks(spark, c.mode, [whole(f) for f in c.files])
 
 
 def tracks(raw: DataFrame) -> DataFrame:
     """One row per track with typed header fields; of a repeated track_id the last in load order, with the number of copies.
 
-    Blank fields are null; altitudes and ranges are whole numbers or null.
+    Load order is by file name, then by place in the file.  Blank fields are null; altitudes and ranges are whole numbers or null.
     """
     number = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("long"))
-    base = raw.withColumns({"load_seq": F.monotonically_increasing_id(), "track_id": F.concat_ws("_", "opnum", F.coalesce("eventid", F.lit("0")))})
+    names = raw.select("source_file").distinct().agg(F.sort_array(F.collect_list("source_file")).alias("f")).select(F.posexplode("f").alias("file", "source_file"))
+    base = raw.join(F.broadcast(names), "source_file").withColumns({"load_seq": F.shiftleft(F.col("file").cast("long"), 32) + F.col("block"), "track_id": F.concat_ws("_", "opnum", F.coalesce("eventid", F.lit("0")))})
     out = base.select("track_id", "load_seq", "source_file", F.col("opnum").try_cast("long").alias("opnum"), *(number(f).alias(f) if f in NUMBERS else F.to_date(F.try_to_timestamp("trackstart_date", F.lit("MM/dd/yyyy"))).alias(f) if f == "trackstart_date" else F.col(f) for f in FULL), "lines", F.col("corrupt"))
     last = Window.partitionBy("track_id").orderBy(F.desc("load_seq"))
     return out.withColumns({"copies": F.count("*").over(Window.partitionBy("track_id")), "__r": F.row_number().over(last)}).where("__r = 1").drop("__r")

@@ -14,9 +14,58 @@ def write_csv(tracks: DataFrame, points: DataFrame, folder: str) -> None:
     points.join(tracks.select("track_id", F.col("opnum").alias("track_opnum"), F.col("load_seq").alias("track_idx")), "track_id").write.mode("overwrite").csv(f"{folder}/all_track_points", header=True)
 
 
+def cluster_rows(visible: DataFrame, workload: DataFrame, anomalies: DataFrame, risk: DataFrame, overall: DataFrame) -> DataFrame:
+    """cluster_id, size, runway, anomalies, risks, workload, risk_level of the visible clusters; zeros and NONE where nothing is known.
+
+    ``visible`` has cluster_id, size, runway; ``anomalies`` cluster_id, anomalies; ``risk`` cluster_id, risks; ``overall`` cluster_id, level.
+    """
+    out = visible.select("cluster_id", "size", "runway").join(workload.select("cluster_id", "workload"), "cluster_id", "left").join(anomalies.select("cluster_id", "anomalies"), "cluster_id", "left")
+    out = out.join(risk.select("cluster_id", "risks"), "cluster_id", "left").join(overall.select("cluster_id", F.col("level").alias("risk_level")), "cluster_id", "left")
+    return out.fillna(0, ["anomalies", "risks"]).fillna(0.0, ["workload"]).fillna("NONE", ["risk_level"]).select("cluster_id", "size", "runway", "anomalies", "risks", "workload", "risk_level")
+
+
 def write_cluster_csv(rows: DataFrame, path: str) -> None:
-    """Semicolons, with the index as text for spreadsheets."""
-    rows.withColumn("workload", F.concat(F.lit('="'), F.format_string("%.2f", "workload"), F.lit('"'))).write.mode("overwrite").option("sep", ";").option("quote", "").csv(path, header=True)
+    """Semicolons, a byte order mark before the first name, quoted where needed, with the index as text for spreadsheets."""
+    text = rows.withColumn("workload", F.concat(F.lit('="'), F.format_string("%.1f", "workload"), F.lit('"')))
+    text.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]).write.mode("overwrite").option("sep", ";").option("escape", '"').csv(path, header=True)
+
+
+def runway_lines(summary: DataFrame) -> DataFrame:
+    """(place, line): totals of all runways, then a line for each."""
+    one = summary.select(F.col("runway").alias("place"), F.format_string("Runway %s: arrivals %d, busiest hour %d, use %.0f%%, violations %d, mean delay %.0f s", "runway", "arrivals", "landings_per_hour", F.col("utilization") * 100, "violations", "mean_delay").alias("line"))
+    every = summary.agg(F.sum("arrivals").alias("a"), F.sum("violations").alias("v"), F.sum("total_delay").alias("d"))
+    return every.select(F.lit("").alias("place"), F.format_string("Arrivals %d, violations %d, delay %.0f s", "a", "v", "d").alias("line")).unionByName(one)
+
+
+def algorithm_lines(compared: DataFrame) -> DataFrame:
+    """(place, line): a line for each algorithm."""
+    return compared.select(F.col("algorithm").alias("place"), F.format_string("%s: clusters %d, tracks %d, quality %.1f%%", "algorithm", "clusters", "tracks", F.col("quality") * 100).alias("line"))
+
+
+def cluster_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.format_string("%010d", "cluster_id").alias("place"), F.format_string("Cluster %d: tracks %d, runway %s, anomalies %d, risks %d, W=%.1f, risk %s", "cluster_id", "size", "runway", "anomalies", "risks", "workload", "risk_level").alias("line"))
+
+
+def anomaly_lines(found: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` highest scores of each cluster."""
+    top = found.withColumn("__r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "track_id"))).where(F.col("__r") <= most)
+    return top.select(F.format_string("%010d/%03d", "cluster_id", "__r").alias("place"), F.format_string("Cluster %d, track %s: score %.2f%%, level %s", "cluster_id", F.col("track_id").cast("string"), F.col("score") * 100, "level").alias("line"))
+
+
+def full_report(statistics: DataFrame, runways: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(section, place, line): the six sections of the report: totals, load, anomalies and risks, runways, clusters, top anomalies.
+
+    ``statistics`` is one row with clusters, tracks, conflicts, max_workload, anomalies, risks, risky_tracks.
+    """
+    said = {
+        1: F.format_string("Tracks %d, clusters %d", "tracks", "clusters"),
+        2: F.format_string("Largest workload %.1f, conflicts %d", "max_workload", "conflicts"),
+        3: F.format_string("Anomalies %d (%.1f%%), rule risks %d on %d tracks", "anomalies", F.col("anomalies") * 100 / F.greatest(F.lit(1), "tracks"), "risks", "risky_tracks"),
+    }
+    out = statistics.select(F.inline(F.array(*(F.struct(F.lit(k).alias("section"), F.lit("").alias("place"), line.alias("line")) for k, line in said.items()))))
+    for k, lines in ((4, runway_lines(runways)), (5, cluster_lines(rows)), (6, anomaly_lines(found))):
+        out = out.unionByName(lines.select(F.lit(k).alias("section"), "place", "line"))
+    return out
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str = "track_id") -> DataFrame:
