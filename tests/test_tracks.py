@@ -135,6 +135,23 @@ def test_schedule_equals_the_recursion(spark):
             assert g.scheduled == pytest.approx(now)
 
 
+def test_schedule_across_empty_slots_and_without_eta(spark):
+    rows = [(i, "09", float(v) if v is not None else None, w) for i, (v, w) in enumerate([(None, "medium"), (0, "heavy"), (0, "medium"), (10, "medium"), (59, "heavy"), (61, "medium"), (700, "heavy"), (5000, "medium"), (5001, "medium")])]
+    df = spark.createDataFrame(rows, "load_seq long, runway string, eta double, wake string").withColumns({"track_id": F.col("load_seq"), "optimal_eta": -F.col("eta")})
+    got = sorted(runway.sequence(df).collect(), key=lambda r: r.number)
+    assert [r.load_seq for r in got] == list(range(9)) and got[0].scheduled is None
+    c, best, lead = 0, None, None
+    for r in got:
+        need = 180 if lead is not None and lead.wake == "heavy" and r.wake != "heavy" else 120
+        c += 0 if lead is None else need
+        if r.eta is not None:
+            best = r.eta - c if best is None else max(best, r.eta - c)
+            assert r.required == need and r.scheduled == pytest.approx(c + best)
+            assert r.overtaking == (lead is not None and lead.eta is not None and r.eta > lead.eta)
+        lead = r
+    assert runway.sequence(df.limit(0)).count() == 0
+
+
 def test_reassignment_is_optimal(spark):
     rows = [(f"a{i}", 0, i, "30L", 0.0, 100.0 * i, 0.0, 0.0, "medium") for i in range(6)] + [("b", 0, 9, "30R", 0.0, 5000.0, 0.0, 0.0, "medium")]
     df = spark.createDataFrame(rows, "track_id string, cluster_id int, load_seq long, runway string, start double, eta double, optimal_eta double, delay double, wake string")
@@ -294,6 +311,21 @@ def test_adaptive_mean_shift_takes_bandwidths(spark):
     assert abs(found[0][1] - 0.7) < 1e-9
 
 
+@pytest.mark.parametrize("spread", [1.5, 4.0, 30.0])
+def test_eps_components_equal_all_pairs(spark, spread):
+    rng = np.random.default_rng(int(spread))
+    crowd = np.vstack((rng.normal(0, spread, (150, 3)), rng.normal(0, 0.4, (150, 3)), rng.normal(0, 0.3, (150, 3)) + [2.6, 0, 0]))
+    group = rng.integers(0, 2, len(crowd))
+    rows = [(f"g{g}", f"n{i:04}", *map(float, p)) for i, (g, p) in enumerate(zip(group, crowd, strict=True))] + [("g0", "n9", None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, node string, x double, y double, z double")
+    got = {r.node: r.comp for r in sector.eps_components(df, ["g"], 1.0).collect()}
+    near = (((crowd[:, None] - crowd[None]) ** 2).sum(axis=2) <= 1.0) & (group[:, None] == group[None])
+    label = np.arange(len(crowd))
+    while (new := np.where(near, label[None], len(crowd)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    assert got == {f"n{i:04}": f"n{c:04}" for i, c in enumerate(label)} | {"n9": "n9"}
+
+
 def test_components_and_eps(spark):
     rng = random.Random(2)
     rows = [(f"n{i:03d}", "k", rng.random() * 30, rng.random() * 30, 0.0) for i in range(120)]

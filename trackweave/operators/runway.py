@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.lineage import cut
+
 from . import geometry as g
 
 NOT_SPECIFIED = "NOT_SPECIFIED"
@@ -26,19 +28,33 @@ def arrivals(points: DataFrame, tracks: DataFrame, members: DataFrame) -> DataFr
     return out.select("track_id", "cluster_id", "load_seq", "runway", "start", "eta", "optimal_eta", F.greatest(F.lit(0.0), F.col("eta") - F.col("optimal_eta")).alias("delay"), "wake")
 
 
-def sequence(arrived: DataFrame) -> DataFrame:
+def sequence(arrived: DataFrame, width: float = 60.0) -> DataFrame:
     """Order by eta on each specified runway, spacing, risks and the earliest schedule that keeps all spacings.
 
-    The schedule S_i = max(eta_i, S_{i-1} + r_i) is C_i + max over j <= i of (eta_j - C_j), where C sums the spacings.
+    The schedule S_i = max(eta_i, S_{i-1} + r_i) is C_i + max over j <= i of (eta_j - C_j), where C sums the spacings.  Both are
+    taken inside slots of ``width`` seconds first and then over the slots, of which a runway has few, so no task orders all of a
+    runway's arrivals.  Ties go by load order; arrivals without an eta come first and have no schedule.
     """
-    order = Window.partitionBy("runway").orderBy("eta", "load_seq")
+    key = ["runway", "slot"]
+    rows = cut(arrived.where(F.col("runway") != NOT_SPECIFIED).withColumn("slot", F.coalesce(F.floor(F.col("eta") / width), F.lit(-(2**62)))))
+    order = Window.partitionBy(*key).orderBy("eta", "load_seq", "track_id")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = arrived.where(F.col("runway") != NOT_SPECIFIED).withColumns({"number": F.row_number().over(order), "lead_wake": F.lag("wake").over(order), "lead_eta": F.lag("eta").over(order), "lead_optimal": F.lag("optimal_eta").over(order)})
-    out = out.withColumn("required", e(f"if(lead_wake = 'heavy' and wake != 'heavy', {HEAVY_SPACING}, {SPACING})"))
-    out = out.withColumns({"spacing": e("eta - lead_eta"), "violation": e("coalesce(eta - lead_eta < required, false)"), "overtaking": e("coalesce(optimal_eta < lead_optimal and eta > lead_eta, false)")})
+    slots = Window.partitionBy("runway").orderBy("slot")
+    earlier = slots.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by(F.struct("wake", "eta", "optimal_eta"), F.struct("eta", "load_seq", "track_id"))
+    ends = rows.groupBy(*key).agg(F.count("*").alias("n"), last.alias("last"))
+    ends = ends.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.lag("last").over(slots).alias("prior"))
+    out = rows.withColumns({"at": F.row_number().over(order), "lead": F.lag(F.struct("wake", "eta", "optimal_eta")).over(order)}).join(ends, key)
+    out = out.withColumns({"number": (F.col("before") + F.col("at")).cast("int"), "lead": e("if(at = 1, prior, lead)")})
+    out = out.withColumn("required", e(f"if(lead.wake = 'heavy' and wake != 'heavy', {HEAVY_SPACING}, {SPACING})"))
+    out = out.withColumns({"spacing": e("eta - lead.eta"), "violation": e("coalesce(eta - lead.eta < required, false)"), "overtaking": e("coalesce(optimal_eta < lead.optimal_eta and eta > lead.eta, false)")})
     out = out.withColumn("c", F.sum(e("if(number = 1, 0, required)")).over(running))
-    out = out.withColumn("scheduled", F.col("c") + F.max(F.col("eta") - F.col("c")).over(running))
-    return out.withColumn("sequence_delay", e("greatest(0D, scheduled - eta)")).drop("lead_wake", "lead_eta", "lead_optimal", "c")
+    out = out.withColumn("m", F.max(F.col("eta") - F.col("c")).over(running))
+    sums = out.groupBy(*key).agg(F.max("c").alias("total"), F.max(F.col("eta") - F.col("c")).alias("peak"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    sums = sums.select(*key, (F.max(F.col("peak") - F.col("base")).over(earlier) + F.col("base")).alias("carried"))
+    out = out.join(sums, key).withColumn("scheduled", F.col("c") + F.greatest("m", "carried"))
+    return out.withColumn("sequence_delay", e("greatest(0D, scheduled - eta)")).drop("slot", "before", "prior", "at", "lead", "c", "m", "carried")
 
 
 def summary(arrived: DataFrame, ordered: DataFrame) -> DataFrame:

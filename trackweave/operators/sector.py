@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.lineage import cut
+
 from . import kernels
 
 XY_BUFFER, Z_BUFFER = 1215.2, 300.0
@@ -38,7 +40,7 @@ def boundary_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def fixes(boundary: DataFrame, eps: float = 2500.0) -> DataFrame:
     """One row for each group of boundary points that are linked by steps of ``eps`` at most (two points or more); all of a
-    cluster's points make one fix if there is no such group.  Groups are components of a grid-joined graph."""
+    cluster's points make one fix if there is no such group.  Groups are components of a graph of grid cells."""
     linked = eps_components(boundary.withColumn("node", F.concat_ws("/", "cluster_id", "kind", "track_id")), ["cluster_id", "kind"], eps)
     sized = linked.withColumn("n", F.count("*").over(Window.partitionBy("cluster_id", "kind", "comp")))
     own = sized.withColumn("any", F.max((F.col("n") > 1).cast("int")).over(Window.partitionBy("cluster_id", "kind")))
@@ -49,24 +51,74 @@ def fixes(boundary: DataFrame, eps: float = 2500.0) -> DataFrame:
     return named.select("cluster_id", "kind", F.concat("kind", F.lit("-"), F.col("cluster_id"), F.lit("-"), F.col("k")).alias("name"), *(F.col(f"c{c}").alias(c) for c in "xyz"), "radius_ft", "track_count")
 
 
-def eps_pairs(rows: DataFrame, keys: list[str], eps: float, node: str = "node") -> DataFrame:
-    """(a, b), a < b, of rows of one group closer than ``eps``: an equi-join on grid cells of that size and their neighbours."""
-    cell = [F.floor(F.col(c) / eps).alias(f"g{c}") for c in "xyz"]
-    left = rows.select(*keys, F.col(node).alias("a"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *cell)
-    shift = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    right = rows.select(*keys, F.col(node).alias("b"), *(F.col(c).alias(f"b{c}") for c in "xyz"), *cell)
-    for c in "xyz":
-        right = right.withColumn("s", F.explode(shift)).withColumn(f"g{c}", F.col(f"g{c}") + F.col("s")).drop("s")
-    near = left.join(right, [*keys, "gx", "gy", "gz"]).where("a < b and pow(ax - bx, 2) + pow(ay - by, 2) + pow(az - bz, 2) <= " + str(eps * eps))
-    return near.select("a", "b")
+def _boxed(rows: DataFrame, keys: list[str], side: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the cell (gx, gy, gz) of a grid of ``side``, and one row a cell with its points' box and smallest node."""
+    cell = rows.withColumns({f"g{c}": F.floor(F.col(c) / side) for c in "xyz"})
+    return cell, cell.groupBy(*keys, "gx", "gy", "gz").agg(F.min("node").alias("name"), *(f(c).alias(f"{m}{c}") for c in "xyz" for m, f in (("l", F.min), ("h", F.max))))
+
+
+def _gap(a: str, b: str) -> str:
+    """Squared distance between two boxes."""
+    return " + ".join(f"pow(greatest(0D, {a}.l{c} - {b}.h{c}, {b}.l{c} - {a}.h{c}), 2)" for c in "xyz")
+
+
+def _span(a: str, b: str) -> str:
+    """Squared distance at most between points of two boxes."""
+    return " + ".join(f"pow(greatest({a}.h{c} - {b}.l{c}, {b}.h{c} - {a}.l{c}), 2)" for c in "xyz")
+
+
+def eps_edges(rows: DataFrame, keys: list[str], eps: float, parts: int = 4) -> DataFrame:
+    """(a, b) of smallest nodes of cells, which link the same rows as all pairs closer than ``eps`` would.
+
+    All rows of a cell of diagonal ``eps`` are linked, so only cells need edges, each with its 62 later neighbours.  Boxes of
+    the rows decide most: too far apart, or near at any two rows.  The undecided are split into ``parts`` a side; only where these
+    don't decide either, rows near the other's box are compared one by one.  So a crowded place never makes all of its pairs.
+    """
+    near, most = range(-2, 3), eps * eps
+    marked, boxes = _boxed(rows, keys, eps / 3**0.5 * (1 - 1e-9))
+    boxes = cut(boxes)
+    later = [(i, j, k) for i in near for j in near for k in near if (i, j, k) > (0, 0, 0)]
+    steps = F.array(*(F.struct(*(F.lit(v).alias(f"s{c}") for c, v in zip("xyz", s, strict=True))) for s in later))
+    left = boxes.withColumn("step", F.explode(steps)).withColumns({f"g{c}": F.col(f"g{c}") + F.col(f"step.s{c}") for c in "xyz"}).drop("step")
+    same = " and ".join(f"a.{c} = b.{c}" for c in (*keys, "gx", "gy", "gz"))
+    met = cut(left.alias("a").join(boxes.alias("b"), e(same)).where(f"{_gap('a', 'b')} <= {most}").selectExpr("a.name as a", "b.name as b", f"{_span('a', 'b')} <= {most} as sure"))
+    sure = met.where("sure").select("a", "b")
+    open_ = met.where("not sure").select("a", "b")
+    if not open_.limit(1).count():
+        return sure
+    own = marked.join(boxes.select(*keys, "gx", "gy", "gz", "name"), [*keys, "gx", "gy", "gz"]).select("name", "node", "x", "y", "z")
+    own = own.join(open_.selectExpr("explode(array(a, b)) as name").distinct(), "name")
+    small, fine = _boxed(own.withColumnRenamed("name", "cell"), ["cell"], eps / 3**0.5 / parts)
+    fine, small = cut(fine), small.select("cell", "node", "x", "y", "z", "gx", "gy", "gz")
+    split = open_.alias("p").join(fine.alias("a"), e("p.a = a.cell")).join(fine.alias("b"), e("p.b = b.cell")).where(f"{_gap('a', 'b')} <= {most}")
+    split = cut(split.selectExpr("p.a", "p.b", "a.name as fa", "b.name as fb", f"{_span('a', 'b')} <= {most} as sure"))
+    certain = split.where("sure").select("a", "b").distinct()
+    rest = split.where("not sure").join(certain, ["a", "b"], "left_anti")
+    points = small.join(fine.select("cell", "gx", "gy", "gz", "name"), ["cell", "gx", "gy", "gz"]).select("name", "node", "x", "y", "z")
+    box = fine.select("name", *(f"{m}{c}" for c in "xyz" for m in "lh"))
+    outside = " + ".join(f"pow(greatest(0D, q.l{c} - r.{c}, r.{c} - q.h{c}), 2)" for c in "xyz")
+
+    def side(mine: str, other: str) -> DataFrame:
+        """Rows of one side of the open pairs that are near the other side's box."""
+        at = rest.alias("p").join(points.alias("r"), e(f"p.{mine} = r.name")).join(box.alias("q"), e(f"p.{other} = q.name")).where(f"{outside} <= {most}")
+        return at.select("p.a", "p.b", "fa", "fb", "r.x", "r.y", "r.z")
+
+    same = " and ".join(f"u.{c} = v.{c}" for c in ("a", "b", "fa", "fb"))
+    close = side("fa", "fb").alias("u").join(side("fb", "fa").alias("v"), e(same)).where(" + ".join(f"pow(u.{c} - v.{c}, 2)" for c in "xyz") + f" <= {most}")
+    return sure.unionByName(certain).unionByName(close.select("u.a", "u.b").distinct())
 
 
 def eps_components(rows: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """``rows`` with ``comp``, the smallest node of its connected part of the graph of steps of ``eps``."""
+    """``rows`` (node, x, y, z) with ``comp``, the smallest node of its connected part of the graph of steps of ``eps``; a row without a
+    place is alone."""
     from .graph import components
 
-    comps = components(eps_pairs(rows, keys, eps))
-    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = cut(rows)
+    placed = rows.where("x is not null and y is not null and z is not null")
+    marked, boxes = _boxed(placed, keys, eps / 3**0.5 * (1 - 1e-9))
+    comps = components(eps_edges(placed, keys, eps)).withColumnRenamed("node", "name")
+    own = marked.join(boxes.select(*keys, "gx", "gy", "gz", "name"), [*keys, "gx", "gy", "gz"]).join(comps, "name", "left")
+    return rows.join(own.select("node", F.coalesce("comp", "name").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def zone_conflicts(boxes: DataFrame, zones: DataFrame, most: int = 10_000) -> DataFrame:

@@ -61,14 +61,16 @@ def even_tracks(tracks: DataFrame, most: int) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, column: str, parts: int = 64) -> DataFrame:
-    """``__i``, the rank by ``column`` from 0, and ``__n``: ranks inside ranges plus the sizes of the ranges before."""
-    ranges = rows.withColumn("__part", F.floor(F.col(column) / F.greatest(F.lit(1), F.lit(rows.agg(F.max(column).alias("m")).first().m or 1) / parts)).cast("long"))
-    sizes = ranges.groupBy("__part").count().collect()
+    """``__i``, the rank by ``column`` (nulls first) from 0, and ``__n``: ranks inside ranges of about equal size plus the sizes of the
+    ranges before."""
+    bounds = sorted(set(rows.approxQuantile(column, [i / parts for i in range(1, parts)], 0.002)))
+    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    ranges = rows.withColumn("__part", F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(column)))))
     total, before = 0, []
-    for r in sorted(sizes, key=lambda r: (r["__part"] is None, r["__part"])):
+    for r in sorted(ranges.groupBy("__part").count().collect(), key=lambda r: r["__part"]):
         before.append((r["__part"], total))
         total += r["count"]
-    starts = rows.sparkSession.createDataFrame(before or [(0, 0)], "__part long, __before long")
+    starts = rows.sparkSession.createDataFrame(before or [(0, 0)], "__part int, __before long")
     local = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
     return ranges.withColumn("__local", local).join(F.broadcast(starts), "__part").withColumns({"__i": F.col("__local") + F.col("__before"), "__n": F.lit(total)}).drop("__part", "__local", "__before")
 
