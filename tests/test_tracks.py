@@ -258,7 +258,38 @@ def test_cluster_operator(spark):
     out = clustering.cluster(df, "MLESAC")
     assert out.count() == 15
     with pytest.raises(ValueError):
-        clustering.cluster(df, "MLESAC", most=3)
+        clustering.cluster(df, "Nothing")
+
+
+@pytest.mark.parametrize("name", ["RANSAC", "MLESAC"])
+def test_consensus_of_a_large_group(spark, name):
+    own = two_bundles()
+    rows = [(g, i, k + 1, *map(float, p)) for g, many in (("g", len(own)), ("few", 2)) for i, t in enumerate(own[:many]) for k, p in enumerate(t)]
+    rows += [("g", 90, 1, 0.0, 0.0, 0.0), ("g", 91, 1, 5.0, 5.0, 0.0), ("g", 91, 2, 5.0, 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")
+    found = clustering.cluster(df, name, most=3).collect()
+    label = {r.track_id: r.cluster_id for r in found if r.grp == "g"}
+    assert len(found) == 19 and len(label) == 17
+    assert label.pop(90) == label.pop(91) == -1 and min(label.values()) == 0
+    assert not {label[i] for i in range(8)} & {label[i] for i in range(8, 15)}
+    assert sorted(set(label.values())) == list(range(len(set(label.values()))))
+
+
+def test_mean_shift_of_a_large_group_equals_the_kernel(spark):
+    from trackweave.operators import large_clusters as lc
+
+    rng = np.random.default_rng(8)
+    own = two_bundles() + [np.cumsum(rng.normal(0, 900, (int(rng.integers(3, 12)), 3)), axis=0) for _ in range(12)]
+    rows = [("g", i, k + 1, *map(float, p)) for i, t in enumerate(own) for k, p in enumerate(t)]
+    df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")
+    x, n, parts = lc.features(df, 8)
+    assert (n, parts) == (27, 4)
+    for width in (0.3, 2.0, None):
+        w = lc.width_of(x, n, parts, 0.2) if width is None else width
+        got = {r.track_id: r.cluster_id for r in lc.shifted(x, parts, w).collect()}
+        assert [got[i] for i in range(27)] == ck.mean_shift(own, width=width).tolist()
+    whole, large = (sorted(map(tuple, clustering.adaptive_mean_shift(df, widths=(0.1, 0.5, 1.5), most=m).collect())) for m in (700, 3))
+    assert [r[:3] for r in whole] == [r[:3] for r in large] and whole[0][3] == pytest.approx(large[0][3])
 
 
 def test_groups_are_whole(spark):

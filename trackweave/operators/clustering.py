@@ -1,7 +1,7 @@
 """Clustering of tracks: a registry of algorithms that run per group (an airport, a day), and the form for groups of any size.
 
-A group's tracks have to be together for the exact algorithms, so its size is checked first.  Larger groups go to
-``features_kmeans`` for the spectral ones and are refused by the others.
+A group of at most ``EXACT`` tracks is one task's work.  Larger groups go to ``features_kmeans`` for the spectral algorithms and to
+rounds of jobs (``large_clusters``) for the others.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from trackweave.functions.lineage import cut
 
 from . import cluster_kernels as k
+from . import large_clusters as lc
 from . import similarity as s
 
-#: Tracks in a group at most for the exact algorithms, and the algorithms with a form for larger groups.
+#: Tracks in a group at most that one task takes.
 EXACT = 700
-SPECTRAL = ("SCC", "LSCC")
 
 
 def _consensus(likelihood: bool) -> Callable:
@@ -36,18 +36,37 @@ ALGORITHMS: dict[str, Callable] = {
 }
 
 
+def _spectral_large(points: DataFrame) -> DataFrame:
+    """Only places count, so speeds and times may be missing."""
+    return features_kmeans(points.select("track_id", "seq", "x", "y", "z", F.lit(0.0).alias("v"), F.col("seq").cast("double").alias("t")))
+
+
+#: (track_id, cluster_id) of a group of any size, from its points and the number of tracks that a task takes.
+LARGE: dict[str, Callable] = {
+    "RANSAC": lambda points, most: lc.consensus(points, exact=most),
+    "MLESAC": lambda points, most: lc.consensus(points, likelihood=True, exact=most),
+    "SCC": lambda points, most: _spectral_large(points),
+    "LSCC": lambda points, most: _spectral_large(points),
+    "MeanShift": lambda points, most: lc.mean_shift(points),
+}
+
+
+def _by_size(points: DataFrame, group: str, most: int) -> tuple[DataFrame, list[tuple[object, DataFrame]]]:
+    """Points of the groups of at most ``most`` tracks, and each larger group with its points."""
+    sizes = points.groupBy(group).agg(F.countDistinct("track_id").alias("n"))
+    large = [(r[group], points.where(F.col(group).eqNullSafe(F.lit(r[group])))) for r in sizes.where(F.col("n") > most).collect()]
+    for v, _ in large:
+        points = points.where(~F.col(group).eqNullSafe(F.lit(v)))
+    return points, large
+
+
 def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int = EXACT) -> DataFrame:
     """(group, algorithm, track_id, cluster_id, is_noise): the named algorithm on every group of points (track_id, seq, x, y, z);
-    the spectral ones take groups above ``most`` tracks by k-means on features."""
+    groups above ``most`` tracks one after the other by the algorithm's form for any size."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm}")
-    large = [r[group] for r in points.groupBy(group).agg(F.countDistinct("track_id").alias("n")).where(F.col("n") > most).collect()]
-    if large and algorithm not in SPECTRAL:
-        raise ValueError(f"{len(large)} groups have more than {most} tracks; {algorithm} takes {most} at most, features_kmeans any number")
+    points, large = _by_size(points, group, most)
     run_ = ALGORITHMS[algorithm]
-    own = [points.where(F.col(group).eqNullSafe(F.lit(v))) for v in large]
-    for v in large:
-        points = points.where(~F.col(group).eqNullSafe(F.lit(v)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["track_id", "seq"])
@@ -57,22 +76,25 @@ def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int = E
 
     kind = dict(points.dtypes)[group]
     out = points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, algorithm string, track_id long, cluster_id int, is_noise boolean")
-    for v, p in zip(large, own, strict=True):
-        found = features_kmeans(p.withColumns({"v": F.lit(0.0), "t": F.col("seq").cast("double")})).select(F.lit(v).cast(kind).alias(group), F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), "cluster_id", F.lit(False).alias("is_noise"))
-        out = out.unionByName(found)
+    for v, p in large:
+        found = LARGE[algorithm](p, most).select(F.lit(v).cast(kind).alias(group), F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), F.col("cluster_id").cast("int").alias("cluster_id"))
+        out = out.unionByName(found.withColumn("is_noise", F.col("cluster_id") < 0))
     return out
 
 
 def features_kmeans(points: DataFrame, seed: int = 42) -> DataFrame:
-    """(track_id, cluster_id) by k-means on standardised track features, for any number of tracks: k = sqrt(n / 2) in 2 to 12."""
+    """(track_id, cluster_id) by k-means on the 17 track features without the number of points, each track's vector brought to length
+    1, for any number of tracks: k = sqrt(n / 2) in 2 to 12."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    f = s.track_features(points)
+    f = cut(s.track_features(points).drop("points"))
     columns = [c for c in f.columns if c != "track_id"]
-    z = s.standardised(f, columns)
-    n = z.count()
-    x = VectorAssembler(inputCols=columns, outputCol="features").transform(z)
+    n = f.count()
+    if n < 2:
+        return f.select("track_id", F.lit(0).alias("cluster_id"))
+    size = F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))) + s.EPS
+    x = VectorAssembler(inputCols=columns, outputCol="features").transform(f.select("track_id", *((F.col(c) / size).alias(c) for c in columns)))
     model = KMeans(k=int(min(12, max(2, (n / 2) ** 0.5))), seed=seed, maxIter=100).fit(x)
     return model.transform(x).select("track_id", F.col("prediction").alias("cluster_id"))
 
@@ -162,10 +184,9 @@ def zones_of(centre: DataFrame, cells: int = 20) -> DataFrame:
 
 def adaptive_mean_shift(points: DataFrame, group: str = "grp", widths: tuple[float, ...] = tuple(k / 20 for k in range(1, 11)), clusters: int = 10, most: int = EXACT) -> DataFrame:
     """The mean-shift labels of the bandwidth in ``widths`` with the best 0.6 * mean share + 0.4 / (1 + var(size) / clusters), by
-    group; bandwidths without a cluster or with more than ``clusters`` don't count, and if none is left all tracks are noise."""
-    largest = points.groupBy(group).agg(F.countDistinct("track_id").alias("n")).agg(F.max("n").alias("m")).first().m or 0
-    if largest > most:
-        raise ValueError(f"a group has {largest} tracks; mean shift takes {most} at most")
+    group; bandwidths without a cluster or with more than ``clusters`` don't count, and if none is left all tracks are noise.  Groups above
+    ``most`` tracks go one after the other by rounds of jobs."""
+    points, large = _by_size(points, group, most)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, tracks = zip(*((i, t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.sort_values(["track_id", "seq"]).groupby("track_id")), strict=True)
@@ -182,7 +203,11 @@ def adaptive_mean_shift(points: DataFrame, group: str = "grp", widths: tuple[flo
         return pd.DataFrame({group: pdf[group].iloc[0], "track_id": ids, "cluster_id": best[1].astype("int32"), "score": best[0]})
 
     kind = dict(points.dtypes)[group]
-    return points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, track_id long, cluster_id int, score double")
+    out = points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, track_id long, cluster_id int, score double")
+    for v, p in large:
+        found = lc.adaptive(p, widths, clusters)
+        out = out.unionByName(found.select(F.lit(v).cast(kind).alias(group), F.col("track_id").cast("long").alias("track_id"), "cluster_id", "score"))
+    return out
 
 
 def merged_sums(values: DataFrame, merged: DataFrame, column: str) -> DataFrame:
