@@ -291,6 +291,21 @@ def test_encoder_is_exact():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == e.whole(text).tolist()
 
 
+def test_best_exchange_equals_all_steps():
+    rng = random.Random(5)
+    for _ in range(300):
+        low, high = (sorted(rng.randint(1, 30) for _ in range(rng.randint(1, 6))) for _ in range(2))
+        room = rng.randint(1, 14)
+        gives = [([p], p) for p in low] + [([p, q], p + q) for x, p in enumerate(low) for q in low[x + 1 :]]
+        gains = [n - back for g, n in gives for back in ([0] if len(g) == 1 else []) + high if 0 < n - back <= room]
+        got = packing._best_exchange(low, high, room)
+        assert (got is None) == (not gains)
+        if got is not None:
+            gain, given, taken = got
+            assert gain == max(gains) == sum(given) - sum(taken) and len(given) <= 2 and len(taken) <= 1 and (len(given) == 1 or taken)
+            assert all(given.count(n) <= low.count(n) for n in given) and all(n in high for n in taken)
+
+
 def test_local_search_empties_bins():
     lengths = [7, 6, 5, 5, 4, 3]
     bins = packing.empty_bins([[0], [1], [2], [3], [4], [5]], lengths, 10)

@@ -11,7 +11,7 @@ wastes less than a bin, so many groups cost nothing, and no task holds more than
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,40 +180,58 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _best_exchange(low: list[int], high: list[int], room: int) -> tuple[int, list[int], list[int]] | None:
+    """(gain, lengths given, lengths taken) of the step with the largest gain of ``room`` at most: one piece for none or one, or two
+    pieces for one.  Bins are sorted lengths; equal pieces count once, so a bin has few sums and all of them are looked at."""
+    single = sorted(set(low))
+    double = {p + q: (p, q) for x, p in enumerate(single) for q in single[x:] if p != q or low[bisect_left(low, p) + 1 : bisect_left(low, p) + 2] == [p]}
+    sums = sorted(double)
+    best = None
+    for back in (0, *sorted(set(high))):
+        for values, pair in ((single, False), (sums, True)):
+            at = bisect_right(values, back + room) - 1
+            if (pair and not back) or at < 0 or values[at] - back <= (best[0] if best else 0):
+                continue
+            best = values[at] - back, list(double[values[at]]) if pair else [values[at]], [back] if back else []
+    return best
+
+
 def empty_bins(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = 64) -> list[list[int]]:
     """Local search: the emptiest bin gives pieces to fuller underfull bins until it is empty or nothing fits.
 
     Each step moves a piece or exchanges one or two of its pieces for one of the fuller bin, with the largest gain that
-    fits there; the sum of squared fills rises with every step.  ``tries`` bins at most are tried.
+    fits there; the sum of squared fills rises with every step.  The search ends when as many bins are
+    left as the pieces need at least, or when ``tries`` bins in a row couldn't be emptied.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
+    own = [sorted(lengths[i] for i in b) for b in bins]
+    fill = [sum(b) for b in own]
     order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (-fill[k], k))
-    stuck, least = 0, -(-sum(fill) // capacity)
-    left = len(bins)
+    stuck, left, least = 0, len(bins), -(-sum(fill) // capacity)
     while len(order) > 1 and stuck < tries and left > least:
         low = order.pop()
         for k in order:
-            room = capacity - fill[k]
-            while room and bins[low]:
-                give = [((i,), lengths[i]) for i in bins[low]] + [((i, j), lengths[i] + lengths[j]) for x, i in enumerate(bins[low]) for j in bins[low][x + 1 :]][:512]
-                best = max(((n - back, g, t) for g, n in give for t, back in [(None, 0)] * (len(g) == 1) + [(t, lengths[t]) for t in bins[k]] if 0 < n - back <= room), default=None, key=lambda m: (m[0], m[1]))
-                if best is None:
+            while fill[k] < capacity and own[low]:
+                step = _best_exchange(own[low], own[k], capacity - fill[k])
+                if step is None:
                     break
-                gain, given, taken = best
-                bins[low] = [i for i in bins[low] if i not in given]
-                bins[k] += given
-                if taken is not None:
-                    bins[k].remove(taken)
-                    bins[low].append(taken)
+                gain, given, taken = step
+                for n in given:
+                    own[low].remove(n)
+                    insort(own[k], n)
+                for n in taken:
+                    own[k].remove(n)
+                    insort(own[low], n)
                 fill[k] += gain
                 fill[low] -= gain
-                room -= gain
-            if not bins[low]:
+            if not own[low]:
                 break
-        stuck = 0 if not bins[low] else stuck + 1
-        left -= not bins[low]
+        stuck = stuck + 1 if own[low] else 0
+        left -= not own[low]
         order = [k for k in order if fill[k] < capacity]
-    return [b for b in bins if b]
+    pieces: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        pieces.setdefault(n, []).append(i)
+    return [[pieces[n].pop() for n in b] for b in own if b]
 
 
 def packed(parts: DataFrame, *, capacity: int = 4096, group_rows: int = 20_000) -> DataFrame:
