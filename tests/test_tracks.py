@@ -301,6 +301,20 @@ def test_groups_are_whole(spark):
     assert {"RANSAC", "MLESAC", "SCC", "LSCC"} <= compared <= set(clustering.ALGORITHMS)
 
 
+def test_arinc_rows_and_geojson_agree(spark):
+    from trackweave.plans.catalog import QUERIES
+
+    lines = {}
+    for r in sorted(QUERIES["arinc"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: (r.procedure_id, r.seq)):
+        assert r.waypoint_id and r.alt_low_ft <= r.alt_high_ft and -90 <= r.lat <= 90 and -180 <= r.lon <= 180
+        lines.setdefault(r.procedure_id, []).append((r.lon, r.lat, r.z))
+    features = [json.loads(r.feature) for r in QUERIES["geojson"](spark, "/root/testdata/sf0.001").collect()]
+    assert lines and {f["properties"]["procedure_id"] for f in features} == set(lines)
+    for f in features:
+        assert f["type"] == "Feature" and f["geometry"]["type"] == "LineString"
+        assert np.allclose(f["geometry"]["coordinates"], lines[f["properties"]["procedure_id"]], atol=1e-5)
+
+
 def test_large_groups(spark):
     rows = [("g", i, k + 1, *map(float, p)) for i, t in enumerate(two_bundles()) for k, p in enumerate(t)]
     df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")
