@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,6 +169,34 @@ def test_reassignment_is_optimal(spark):
     assert (plan[0].cost if plan else late([100.0 * i for i in range(6)])) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_reassignment_equals_all_masks(spark, seed):
+    """Costs of all masks by the recursion; arrivals with one eta, heavy aircraft, movable ones amid the others, and without an eta."""
+    rng = random.Random(seed)
+    rows = [(f"a{i}", 0, i, "30L", 0.0, float(rng.randrange(0, 5000, 50)), 0.0, 0.0, rng.choice(["heavy", "medium"])) for i in range(40)]
+    rows += [(f"b{i}", 0, 100 + i, "30R", 0.0, float(rng.randrange(0, 9000, 50)), 0.0, 0.0, rng.choice(["heavy", "medium"])) for i in range(30 if seed else 0)]
+    rows += [("b", 0, 200, "30R", 0.0, 8000.0, 0.0, 0.0, "heavy"), ("n", 0, 300, "30L", 0.0, None, 0.0, 0.0, "heavy")]
+    df = spark.createDataFrame(rows, "track_id string, cluster_id int, load_seq long, runway string, start double, eta double, optimal_eta double, delay double, wake string")
+    own = sorted((r for r in rows if r[3] == "30L" and r[5] is not None), key=lambda r: -r[2])
+    fixed, last, there = own[5:], own[:5], [r for r in rows if r[3] == "30R"]
+
+    def late(these):
+        out, now, lead = 0.0, None, None
+        for r in sorted(these, key=lambda r: (r[5], r[2])):
+            now = r[5] if now is None else max(r[5], now + (180 if lead == "heavy" and r[8] != "heavy" else 120))
+            out, lead = out + now - r[5], r[8]
+        return out
+
+    def cost(m):
+        moved = [r for k, r in enumerate(last) if m >> k & 1]
+        hours = Counter(r[5] // 3600 for r in there + moved)
+        return late(fixed + [r for r in last if r not in moved]) + late(there + moved) + 45 * len(moved) + 1000 * max(0.0, min(1.5, max(hours.values()) / 36) - 0.85)
+
+    best = min(range(32), key=lambda m: (round(cost(m), 6), m.bit_count(), m))
+    plan = [r for r in runway.reassignment(df, overload=0.1, movable=5).collect() if r.source == "30L"]
+    assert [(r.target, round(r.cost, 4), r.moved) for r in plan] == [("30R", round(cost(best), 4), sorted(r[0] for k, r in enumerate(last) if best >> k & 1))]
+
+
 def test_hull():
     rng = np.random.default_rng(0)
     p = rng.normal(size=(200, 3))
