@@ -52,7 +52,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("cells", [1 << 28, 1 << 10])
+def test_substring_dedup(docs, rows, empty, cells):
+    """With the sketch broadcast, and left in its blocks."""
     for width in (3, 35):
         starts = {}
         split = [(i, SPACE.findall(t or "")) for i, t in rows]
@@ -61,9 +63,9 @@ def test_substring_dedup(docs, rows, empty):
                 starts.setdefault(tuple(w[p : p + width]), []).append((k, p))
         gone = {(k, q) for places in starts.values() if len(places) > 1 for k, p in places for q in range(p, p + width)}
         want = sorted(((i is None, i or 0), len(w), sum((k, q) in gone for q in range(len(w))), " ".join(x for q, x in enumerate(w) if (k, q) not in gone)) for k, (i, w) in enumerate(split))
-        found = substring_dedup.remove_repeats(docs, width=width, gram=min(16, width), chunk_bytes=2000).collect()
+        found = substring_dedup.remove_repeats(docs, width=width, gram=min(16, width), max_cells=cells, chunk_bytes=2000).collect()
         assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.n_removed, r.kept_text) for r in found) == want
-    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert substring_dedup.remove_repeats(empty, max_cells=cells).count() == 0
 
 
 def test_substring_dedup_with_a_full_sketch(docs):

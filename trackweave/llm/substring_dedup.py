@@ -7,8 +7,8 @@ which makes the sketches small.
 
 1. Documents are gathered into chunks of some megabytes, written once to the shared folder.
 2. Each task adds the anchors' places of its chunks to a count-min sketch; the sketches are merged block by block.  Only
-   whether a cell has two or more is kept, one bit a cell; ``max_cells`` bounds it, so it may be broadcast at any input.
-   A full sketch lets more windows through to the second pass, but never loses one.
+   whether a cell has two or more is kept, one bit a cell.  Its cells grow with the words; up to ``max_cells`` the sketch
+   is broadcast, beyond it stays in its blocks: each chunk sends its anchors' cells there and gets a bit back for each.
 3. Windows estimated repeated are sent to buckets by hash: each chunk sends a window's 128-bit hash once, with a mark if
    the chunk itself has it twice, so a passage in a third of all documents costs a bucket one entry a chunk.
 4. Buckets answer one bit for each entry; each chunk then marks the covered words and writes its documents.
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ from .textops import Words, mix64, split_words, text_buffer, window_hashes
 BLOCK_BITS = 16
 #: Answers are broadcast to the chunks up to this size; beyond it chunks and answers are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Cells of a block that stays where it was merged, at most (2 to this number).
+STAY_BITS = 22
+ANSWERS = "array<struct<bucket: bigint, again: binary>>"
+QUESTION_SCHEMA = "bucket long, chunk long, keys binary, twice binary"
 CHUNK_SCHEMA = "chunk long, words long, ids array<long>, texts array<string>"
 
 
@@ -123,7 +128,7 @@ def _cells(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(chunks: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
     """For both rows of the merged sketch, a bit for each cell that counts two or more."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         for batch in batches:
             for row in range(batch.num_rows):
@@ -150,7 +155,7 @@ def _sketch(chunks: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
             counts = np.bincount(np.frombuffer(b"".join(cells), dtype=np.uint16), minlength=1 << BLOCK_BITS)
             yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.packbits(counts >= 2, bitorder="little").tobytes()], pa.binary())], names=["block", "cells"])
 
-    parts = map_batches(chunks.select("texts"), partial, "block long, cells binary").repartition(F.col("block"))
+    parts = map_batches(chunks.select("texts"), cells_of, "block long, cells binary").repartition(F.col("block"))
     out = np.zeros((2, (1 << bits) // 8), dtype=np.uint8)
     step = (1 << BLOCK_BITS) // 8
     for row in map_batches(parts, merge, "block long, cells binary").collect():
@@ -163,16 +168,118 @@ def _pair(column: pa.Array, row: int) -> tuple[Words, np.ndarray]:
     return _chunk_words(column[row].values)
 
 
-def _candidates(texts: pa.Array, sketch: np.ndarray, bits: int, width: int, gram: int, buckets: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _question(chunk: int, bucket: np.ndarray, keys: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
+    """The keys of a chunk, which are in order of their buckets, as one row a bucket with a bit for those that it has twice."""
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(cut[1:], len(keys))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[cut]),
+            pa.array(np.repeat(np.int64(chunk), len(cut))),
+            pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+            pa.array([np.packbits(twice[a:b], bitorder="little").tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+        ],
+        names=["bucket", "chunk", "keys", "twice"],
+    )
+
+
+def _answers(questions: DataFrame, kind: type, columns: int) -> DataFrame:
+    """By chunk, for each bucket that has something to say: a bit for each key, set if all chunks together have it twice or more."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+        now = None
+
+        def settle() -> pa.RecordBatch:
+            keys = np.concatenate([k for _, k, _ in rows])
+            weight = np.concatenate([t for _, _, t in rows])
+            order = np.lexsort(keys.T[::-1])
+            k = keys[order]
+            fresh = np.ones(len(k), dtype=bool)
+            fresh[1:] = (k[1:] != k[:-1]).any(axis=1)
+            group = np.cumsum(fresh) - 1
+            again = np.empty(len(k), dtype=bool)
+            again[order] = np.bincount(group, weights=weight[order])[group] >= 2
+            cut = np.cumsum([0] + [len(x) for _, x, _ in rows])
+            said = [(c, np.packbits(again[a:b], bitorder="little").tobytes()) for (c, _, _), a, b in zip(rows, cut[:-1], cut[1:], strict=True) if again[a:b].any()]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in said], pa.int64()), pa.array([now] * len(said), pa.int64()), pa.array([s for _, s in said], pa.binary())], names=["chunk", "bucket", "again"])
+
+        for batch in batches:
+            for b, c, keys, twice in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if b != now and rows:
+                    yield settle()
+                    rows = []
+                now = b
+                k = np.frombuffer(keys, dtype=kind).reshape(-1, columns)
+                rows.append((c, k, 1 + np.unpackbits(np.frombuffer(twice, dtype=np.uint8), bitorder="little")[: len(k)]))
+        if rows:
+            yield settle()
+
+    replies = map_batches(questions.repartition(F.col("bucket")).sortWithinPartitions("bucket"), answer, "chunk long, bucket long, again binary")
+    return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("replies"))
+
+
+def _told(bucket: np.ndarray, replies: list[dict] | None) -> np.ndarray:
+    """The bits that answer the keys of a chunk, given the buckets of its keys in the order they were sent."""
+    said = {r["bucket"]: r["again"] for r in replies or ()}
+    out = np.zeros(len(bucket), dtype=np.uint8)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+        if (bits := said.get(int(bucket[a]))) is not None:
+            out[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")[: b - a]
+    return out
+
+
+def _looked_up(sketch: np.ndarray, bits: int, anchor: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether windows with these anchors are estimated repeated, from the whole sketch."""
+    c0, c1 = _cells(anchor, bits)
+    return (sketch[0][c0 >> 3] >> (c0 & 7).astype(np.uint8)) & (sketch[1][c1 >> 3] >> (c1 & 7).astype(np.uint8)) & 1
+
+
+def _stay(bits: int) -> int:
+    """Bits of a cell's place in its block: 64 blocks at least."""
+    return min(STAY_BITS, bits - 6)
+
+
+def _own_cells(places: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of the sketch: the order of a chunk's distinct anchors by cell, their blocks and their places in these."""
+    for r, cell in enumerate(_cells(places, bits)):
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        yield order, (r << 40) + (cell >> _stay(bits)), (cell & ((1 << _stay(bits)) - 1)).astype(np.uint32)
+
+
+def _asked(replies: list[dict] | None, bits: int, anchor: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """As ``_looked_up``, from the bits that the sketch's blocks sent to this chunk."""
+    distinct = np.unique(places)
+    found = np.ones(len(distinct), dtype=np.uint8)
+    for order, block, _ in _own_cells(distinct, bits):
+        found[order] &= _told(block, replies)
+    return found[np.searchsorted(distinct, anchor)]
+
+
+def _sketch_in_place(chunks: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
+    """By chunk, the answers of the merged sketch's blocks to its anchors' cells."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                distinct, counts = np.unique(_anchors(*_pair(batch.column(1), row), width, gram)[2], return_counts=True)
+                if len(distinct):
+                    for order, block, cell in _own_cells(distinct, bits):
+                        yield _question(batch.column(0)[row].as_py(), block, cell, counts[order] > 1)
+
+    return _answers(map_batches(chunks.select("chunk", "texts"), send, QUESTION_SCHEMA), np.uint32, 1)
+
+
+def _candidates(texts: pa.Array, estimate: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, gram: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words; of windows estimated repeated: first words; their distinct hashes in order of (bucket, hash); the index of
     each window in these; and how often each occurs here."""
     words, hashes = _chunk_words(texts)
-    anchor, valid, _ = _anchors(words, hashes, width, gram)
+    anchor, valid, places = _anchors(words, hashes, width, gram)
     where = np.flatnonzero(valid)
     if len(where):
-        c0, c1 = _cells(anchor[where], bits)
-        hit = (sketch[0][c0 >> 3] >> (c0 & 7).astype(np.uint8)) & (sketch[1][c1 >> 3] >> (c1 & 7).astype(np.uint8)) & 1
-        where = where[hit == 1]
+        where = where[estimate(anchor[where], places) == 1]
     if not len(where):
         return words, where, np.zeros((0, 2), dtype=np.uint64), where, where
     bounds = np.array([0, len(hashes)])
@@ -200,74 +307,39 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     texts and texts without words give 0, 0 and an empty string; texts shorter than a window are kept; repeated rows count
     as other places, so both lose their windows.  A null doc_id stays null.  Kept words are joined by one space.  A document
     longer than a chunk is a chunk of its own, whole.  An empty table gives an empty result; other columns aren't read.
+    A sketch of more than ``max_cells`` cells a row isn't broadcast, but asked where it is.
     """
     chunks = written(_chunked(df, doc_id, text, chunk_bytes), "chunks")
     total = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
-    bits = min(int(math.log2(max_cells)), max(BLOCK_BITS, math.ceil(math.log2(max(1, total)))))
+    bits = max(BLOCK_BITS, math.ceil(math.log2(max(1, total))))
     buckets = max(64, total >> 20)
-    sketch = df.sparkSession.sparkContext.broadcast(_sketch(chunks, width, gram, bits))
+    if 1 << bits <= max_cells:
+        sketch = df.sparkSession.sparkContext.broadcast(_sketch(chunks, width, gram, bits))
+        chunks = chunks.withColumn("known", F.lit(None).cast(ANSWERS))
+    else:
+        sketch = None
+        known = _sketch_in_place(chunks, width, gram, bits).withColumnRenamed("replies", "known")
+        chunks = written(chunks.join(known, "chunk", "left"), "chunks-known")
+
+    def estimate(known: pa.Scalar) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        return partial(_looked_up, sketch.value, bits) if sketch is not None else partial(_asked, known.as_py(), bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, _, keys, _, counts = _candidates(batch.column(1)[row].values, sketch.value, bits, width, gram, buckets)
-                if not len(keys):
-                    continue
-                bucket = _bucket(keys, buckets)
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(cut[1:], len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[cut]),
-                        pa.array(np.repeat(np.int64(batch.column(0)[row].as_py()), len(cut))),
-                        pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
-                        pa.array([np.packbits(counts[a:b] > 1, bitorder="little").tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
-                    ],
-                    names=["bucket", "chunk", "keys", "twice"],
-                )
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, np.ndarray, np.ndarray]] = []
-        now = None
-
-        def settle() -> pa.RecordBatch:
-            keys = np.concatenate([k for _, k, _ in rows])
-            weight = np.concatenate([t for _, _, t in rows])
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            k = keys[order]
-            fresh = np.ones(len(k), dtype=bool)
-            fresh[1:] = (k[1:] != k[:-1]).any(axis=1)
-            group = np.cumsum(fresh) - 1
-            again = np.empty(len(k), dtype=bool)
-            again[order] = np.bincount(group, weights=weight[order])[group] >= 2
-            cut = np.cumsum([0] + [len(x) for _, x, _ in rows])
-            bits_of = [np.packbits(again[a:b], bitorder="little").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows]), pa.array([now] * len(rows), pa.int64()), pa.array(bits_of, pa.binary())], names=["chunk", "bucket", "again"])
-
-        for batch in batches:
-            for b, c, keys, twice in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if b != now and rows:
-                    yield settle()
-                    rows = []
-                now = b
-                k = np.frombuffer(keys, dtype=np.uint64).reshape(-1, 2)
-                rows.append((c, k, 1 + np.unpackbits(np.frombuffer(twice, dtype=np.uint8), bitorder="little")[: len(k)]))
-        if rows:
-            yield settle()
+                _, _, keys, _, counts = _candidates(batch.column(1)[row].values, estimate(batch.column(2)[row]), width, gram)
+                if len(keys):
+                    yield _question(batch.column(0)[row].as_py(), _bucket(keys, buckets), keys, counts > 1)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, texts, replies = batch.column(0)[row].values, batch.column(1)[row].values, batch.column(2)[row].as_py()
-                words, where, keys, index, _ = _candidates(texts, sketch.value, bits, width, gram, buckets)
+                words, where, keys, index, _ = _candidates(texts, estimate(batch.column(3)[row]), width, gram)
                 n = len(words.start)
                 gone = np.zeros(n, dtype=bool)
                 if len(keys):
-                    said = {r["bucket"]: r["again"] for r in replies}
-                    bucket = _bucket(keys, buckets)
-                    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    ends = np.append(cut[1:], len(keys))
-                    again = np.concatenate([np.unpackbits(np.frombuffer(said[int(bucket[a])], dtype=np.uint8), bitorder="little")[: b - a] for a, b in zip(cut, ends, strict=True)])
+                    again = _told(_bucket(keys, buckets), replies)
                     first = where[again[index] == 1]
                     step = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(step, first, 1)
@@ -277,13 +349,12 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 kept = _kept(words, gone)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    parts = map_batches(chunks.select("chunk", "texts"), send, "bucket long, chunk long, keys binary, twice binary")
-    replies = map_batches(parts.repartition(F.col("bucket")).sortWithinPartitions("bucket"), answer, "chunk long, bucket long, again binary")
-    replies = written(replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("replies")), "replies")
+    questions = map_batches(chunks.select("chunk", "texts", "known"), send, QUESTION_SCHEMA)
+    replies = written(_answers(questions, np.uint64, 2), "replies")
     size = replies.agg(F.coalesce(F.sum(F.expr("aggregate(replies, 0L, (a, r) -> a + length(r.again) + 32)")), F.lit(0)).alias("n")).first().n
     if size <= BROADCAST_BYTES:
         replies = F.broadcast(replies)
-    joined = chunks.drop("words").join(replies, "chunk", "left").select("ids", "texts", "replies")
+    joined = chunks.drop("words").join(replies, "chunk", "left").select("ids", "texts", "replies", "known")
     return map_batches(joined, finish, "doc_id long, n_words long, n_removed long, kept_text string", rows=4)
 
 
