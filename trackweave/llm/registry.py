@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprint, language_id, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, url_filter
+from . import decontamination, fingerprint, language_id, manifest, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
 }
