@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprint, language_id, manifest, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, url_filter
+from . import decontamination, fingerprint, language_id, manifest, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
