@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprint, language_id, manifest, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, url_filter, whitening
+from . import decontamination, fingerprint, language_id, manifest, near_dedup, packing, quality, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,

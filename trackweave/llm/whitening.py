@@ -60,7 +60,7 @@ def jacobi(r: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
             worst = max(worst, float(share.max(initial=0.0)))
             turn = share > 1e-16
             zeta = (yy - xx) / np.where(turn, 2 * xy, 1.0)
-            tan = np.where(turn, np.where(zeta < 0, -1.0, 1.0) / (np.abs(zeta) + np.sqrt(1 + zeta * zeta)), 0.0)
+            tan = np.where(turn, np.where(zeta < 0, -1.0, 1.0) / (np.abs(zeta) + np.hypot(1, zeta)), 0.0)
             cos = 1 / np.sqrt(1 + tan * tan)
             sin = cos * tan
             a[:, i], a[:, j] = cos * x - sin * y, sin * x + cos * y
