@@ -239,15 +239,19 @@ def packed(parts: DataFrame, *, capacity: int = 4096, group_rows: int = 20_000)
 
     ``parts`` has to be a stored table, so that its rows come in the same order when a task runs again: groups and numbers
     follow the row numbers, which also deals out rows that repeat.  Full pieces are sequences of their own.  Rows that repeat, and null ids, are pieces like any other; an empty input gives an
-    empty result; lengths are from 1 to ``capacity``.
+    empty result; lengths are from 1 to ``capacity``.  Other columns may have any name but sequence_id and offset, which are refused.
     """
-    names = parts.columns
-    part = parts.withColumn("__row", F.monotonically_increasing_id())
+    if clash := {"sequence_id", "offset"} & set(parts.columns):
+        raise ValueError(f"columns have names of new ones: {sorted(clash)}")
+    own = {"doc_id", "piece", "length"}
+    plain = {c: c if c in own else f"__c{i}" for i, c in enumerate(parts.columns)}
+    names = list(plain.values())
+    part = parts.select(*(F.col(f"`{c}`").alias(n) for c, n in plain.items()), F.monotonically_increasing_id().alias("__row"))
     full = part.where(F.col("length") == capacity)
     rest = part.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_rows))
     group = F.pmod(F.xxhash64("__row"), F.lit(groups))
-    schema = rest.select(*names).withColumn("group", F.lit(0).cast("long")).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
+    schema = rest.select(*names).withColumn("__group", F.lit(0).cast("long")).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True]).reset_index(drop=True)
@@ -259,12 +263,12 @@ def packed(parts: DataFrame, *, capacity: int = 4096, group_rows: int = 20_000)
             for i in own:
                 sequence[i], offset[i] = b, at
                 at += lengths[i]
-        return pdf[names].assign(group=key[0], sequence_id=sequence, offset=offset)
+        return pdf[names].assign(__group=key[0], sequence_id=sequence, offset=offset)
 
     out = rest.withColumn("__group", group).drop("__row").groupBy("__group").applyInPandas(run, schema)
-    out = out.withColumn("sequence_id", (F.col("group") + 1) * F.lit(1 << 32) + F.col("sequence_id")).drop("group")
+    out = out.withColumn("sequence_id", (F.col("__group") + 1) * F.lit(1 << 32) + F.col("sequence_id")).drop("__group")
     alone = full.withColumns({"sequence_id": -1 - F.col("__row"), "offset": F.lit(0).cast("long")}).drop("__row")
-    return out.unionByName(alone)
+    return out.unionByName(alone).select(*(F.col(n).alias(c) for c, n in plain.items()), "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
