@@ -26,7 +26,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=\x00-])[A-Za-z0-9+/_=\x00-]{20,}"
+#: Stands for each character of a pattern's span while tokens are looked for; a text's own one counts as another character.
+COVER, OTHER = "\\u0000", "\\u0001"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 #: Upper limits of the classes of lengths, the histogram's width and reach, and the accepted share of false discoveries.
@@ -51,6 +53,13 @@ def _found(pattern: str, text: str, kind: int) -> str:
     return f"if({text} rlike '{p}', flatten({shifted}), cast(array() as array<struct<start:int,kind:int,end:int,m:string>>))"
 
 
+def _masked(text: str, pattern: str, wanted: str = "true") -> str:
+    """SQL for the text with every match for which ``wanted`` holds overwritten by as many ``COVER`` characters."""
+    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    cover = f"if({wanted}, repeat('{COVER}', length(m)), m)"
+    return f"if({text} rlike '{p}', array_join(zip_with(split({text}, '{p}', -1), regexp_extract_all({text}, '{p}', 0), (b, m) -> concat(b, coalesce({cover}, ''))), ''), {text})"
+
+
 def _without_text(column: str) -> str:
     return f"transform({column}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
 
@@ -110,7 +119,8 @@ def scan(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
     Places are code points, ends exclusive.  Null texts count as empty and have no spans; repeated rows are scanned one by one.
     Tokens that touch a pattern's span are left to the pattern, and digits alone aren't tested.  Texts and tokens of any
-    length are scanned whole, in time that grows little faster than they do.  Spans that start together come in the order
+    length, and any number of matches, are scanned whole: spans are covered in the text and a token that shows cover is dropped, so
+    spans and tokens are never held against each other, and time grows little faster than the text.  Spans that start together come in the order
     of their kinds.  An empty table gives an empty result.  A column of ``keep`` may have any name but ``spans``.
     """
     text_ = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -119,9 +129,13 @@ def scan(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     base = base.withColumn("__assign", F.expr(_found(ASSIGN, "__text", 0)))
     value = ASSIGN.replace("\\", "\\\\").replace("'", "\\'")
     base = base.withColumn("__assign", F.expr(f"filter(__assign, s -> length(regexp_extract(s.m, '{value}', 2)) >= 8)"))
-    base = base.withColumns({"__access": F.expr(_found(ACCESS, "__text", 1)), "__hex": F.expr(_found(HEX, "__text", 2)), "__token": F.expr(_found(TOKEN, "__text", 3))})
+    base = base.withColumns({"__access": F.expr(_found(ACCESS, "__text", 1)), "__hex": F.expr(_found(HEX, "__text", 2))})
     base = base.withColumn("__base", F.array_sort(F.concat(*(F.expr(_without_text(c)) for c in ("__assign", "__access", "__hex")))))
-    base = base.withColumn("__token", F.expr("filter(__token, t -> not t.m rlike '^[0-9]+$' and not exists(__base, b -> b.start < t.end and t.start < b.end))"))
+    base = base.withColumn("__text", F.expr(f"translate(__text, '{COVER}', '{OTHER}')"))
+    for pattern, wanted in ((ASSIGN, f"length(regexp_extract(m, '{value}', 2)) >= 8"), (ACCESS, "true"), (HEX, "true")):
+        base = base.withColumn("__text", F.expr(_masked("__text", pattern, wanted)))
+    base = base.withColumn("__token", F.expr(_found(TOKEN, "__text", 3)))
+    base = base.withColumn("__token", F.expr(f"filter(__token, t -> not t.m rlike '^[0-9]+$' and instr(t.m, '{COVER}') = 0)"))
     classes = "case " + " ".join(f"when length(t.m) <= {n} then {i}" for i, n in enumerate(LENGTHS)) + f" else {len(LENGTHS)} end"
     found = base.select(*kept, F.col("__base").cast(SPAN).alias("base"), F.expr(f"transform(__token, t -> {classes})").alias("tested"), _battery("__token").alias("tokens"))
     found = written(found, "tokens")
@@ -137,11 +151,17 @@ def described(spans: Column) -> Column:
 
 
 def redacted(text: str, spans: str, mask: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones as one) replaced by ``mask``; null stays null."""
-    return F.expr(f"""if(size({spans}) = 0, {text}, aggregate({spans}, named_struct('at', 0, 'out', ''),
+    """The text with every span (overlapping ones as one) replaced by ``mask``; null stays null.
+
+    Spans go in blocks of about the root of their number: a block's stretch is cut from the text once, and its spans from the stretch.
+    """
+    blocks = f"transform(sequence(0, size({spans}) - 1, cast(ceil(sqrt(size({spans}))) as int)), i -> slice({spans}, i + 1, cast(ceil(sqrt(size({spans}))) as int)))"
+    ends = "aggregate(transform(bs, b -> array_max(transform(b, s -> s.end))), array(0), (acc, e) -> concat(acc, array(greatest(element_at(acc, -1), e))))"
+    piece = f"""transform(array(substring({text}, lo + 1, greatest(0, array_max(transform(b, s -> s.end)) - lo))), w -> aggregate(b, named_struct('at', lo, 'out', ''),
       (acc, s) -> named_struct('at', greatest(acc.at, s.end),
-        'out', concat(acc.out, if(s.start >= acc.at, concat(substring({text}, acc.at + 1, s.start - acc.at), '{mask}'), ''))),
-      acc -> concat(acc.out, substring({text}, acc.at + 1, greatest(0, length({text}) - acc.at)))))""")
+        'out', concat(acc.out, if(s.start >= acc.at, concat(substring(w, acc.at - lo + 1, s.start - acc.at), '{mask}'), ''))), acc -> acc.out))[0]"""
+    whole = f"concat(array_join(zip_with(bs, slice(es, 1, size(bs)), (b, lo) -> {piece}), ''), substring({text}, element_at(es, -1) + 1, greatest(0, length({text}) - element_at(es, -1))))"
+    return F.expr(f"if(size({spans}) = 0, {text}, transform(array({blocks}), bs -> transform(array({ends}), es -> {whole})[0])[0])")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
