@@ -188,41 +188,3 @@ def mean_shift(tracks: list[np.ndarray], quantile: float = 0.2, rounds: int = 30
             label[label == c] = -1
     return label
 
-
-def consensus(ids: list, tracks: list[np.ndarray], *, likelihood: bool = False, threshold: float = 0.5, cosine: float = 0.3, trials: int = 300, least: int = 2, seed: int = 42, oriented: bool = True) -> np.ndarray:
-    """Greedy bundles: a line through two points of all remaining tracks' z-scored points by consensus (or likelihood), then
-    the tracks along it; alone the nearest track if there are fewer than ``least``.  ``oriented`` turns the line along the
-    majority of the tracks."""
-    label = np.full(len(tracks), -1)
-    vectors = np.array([direction(p) for p in tracks]).reshape(-1, 3)
-    left = [i for i in range(len(tracks)) if len(tracks[i]) >= 2 and np.linalg.norm(vectors[i]) > 0]
-    rng, number = np.random.default_rng(seed), 0
-    while left:
-        points = np.concatenate([tracks[i][:, :2] for i in left]).astype(float)
-        centre, scale = points.mean(axis=0), points.std(axis=0) + EPS
-        z = (points - centre) / scale
-        best, line = -np.inf, None
-        for a, b in rng.integers(0, len(z), (trials, 2)):
-            d = z[b] - z[a]
-            n = np.linalg.norm(d)
-            if n < EPS:
-                continue
-            d = d / n
-            off = np.abs((z[:, 0] - z[a, 0]) * d[1] - (z[:, 1] - z[a, 1]) * d[0])
-            score = np.log(0.7 * np.exp(-(off**2) / (2 * threshold**2 + EPS)) + 0.03 + EPS).sum() if likelihood else (off <= threshold).sum()
-            if score > best:
-                best, line = score, (z[a], d)
-        if line is None:
-            break
-        p, d = line
-        if oriented and (vectors[left][:, :2] @ d >= 0).mean() < 0.5:
-            d = -d
-        ref = unit(np.array([d[0], d[1], np.median(vectors[left][:, 2])]))
-        dist = {i: float(np.median(np.abs(((tracks[i][:, 0] - centre[0]) / scale[0] - p[0]) * d[1] - ((tracks[i][:, 1] - centre[1]) / scale[1] - p[1]) * d[0]))) for i in left}
-        own = [i for i in left if dist[i] <= threshold and 1 - unit(vectors[i]) @ ref <= cosine]
-        if len(own) < least:
-            own = [min(left, key=lambda i: (dist[i], i))]
-        label[own] = number
-        number += 1
-        left = [i for i in left if label[i] < 0]
-    return label

@@ -17,19 +17,19 @@ from trackweave.functions.lineage import cut
 
 from . import cluster_kernels as k
 from . import large_clusters as lc
+from . import lines
 from . import similarity as s
 
 #: Tracks in a group at most that one task takes.
 EXACT = 700
 
 
-def _consensus(likelihood: bool) -> Callable:
-    return lambda ids, tracks: k.consensus(ids, tracks, likelihood=likelihood)
-
-
+#: Algorithms with one form for groups of any size, all groups together: (group, track_id, cluster_id) from points and the group.
+WHOLE: dict[str, Callable] = {
+    "RANSAC": lines.bundles,
+    "MLESAC": lambda points, group: lines.bundles(points, group, likelihood=True),
+}
 ALGORITHMS: dict[str, Callable] = {
-    "RANSAC": _consensus(False),
-    "MLESAC": _consensus(True),
     "SCC": lambda ids, tracks: k.spectral(tracks),
     "LSCC": lambda ids, tracks: k.laplacian_clusters(tracks),
     "MeanShift": lambda ids, tracks: k.mean_shift(tracks),
@@ -43,8 +43,6 @@ def _spectral_large(points: DataFrame) -> DataFrame:
 
 #: (track_id, cluster_id) of a group of any size, from its points and the number of tracks that a task takes.
 LARGE: dict[str, Callable] = {
-    "RANSAC": lambda points, most: lc.consensus(points, exact=most),
-    "MLESAC": lambda points, most: lc.consensus(points, likelihood=True, exact=most),
     "SCC": lambda points, most: _spectral_large(points),
     "LSCC": lambda points, most: _spectral_large(points),
     "MeanShift": lambda points, most: lc.mean_shift(points),
@@ -63,6 +61,10 @@ def _by_size(points: DataFrame, group: str, most: int) -> tuple[DataFrame, list[
 def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int = EXACT) -> DataFrame:
     """(group, algorithm, track_id, cluster_id, is_noise): the named algorithm on every group of points (track_id, seq, x, y, z);
     groups above ``most`` tracks one after the other by the algorithm's form for any size."""
+    kind = dict(points.dtypes)[group]
+    if algorithm in WHOLE:
+        found = WHOLE[algorithm](points.select(group, "track_id", "seq", "x", "y", "z"), group)
+        return found.select(group, F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), "cluster_id", (F.col("cluster_id") < 0).alias("is_noise"))
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm}")
     points, large = _by_size(points, group, most)
@@ -74,7 +76,6 @@ def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int = E
         label = np.asarray(run_(list(ids), list(tracks)))
         return pd.DataFrame({group: pdf[group].iloc[0], "algorithm": algorithm, "track_id": ids, "cluster_id": label.astype("int32"), "is_noise": label < 0})
 
-    kind = dict(points.dtypes)[group]
     out = points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, algorithm string, track_id long, cluster_id int, is_noise boolean")
     for v, p in large:
         found = LARGE[algorithm](p, most).select(F.lit(v).cast(kind).alias(group), F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), F.col("cluster_id").cast("int").alias("cluster_id"))
@@ -99,7 +100,7 @@ def features_kmeans(points: DataFrame, seed: int = 42) -> DataFrame:
     return model.transform(x).select("track_id", F.col("prediction").alias("cluster_id"))
 
 
-def compare(points: DataFrame, names: tuple[str, ...] = tuple(ALGORITHMS), group: str = "grp") -> DataFrame:
+def compare(points: DataFrame, names: tuple[str, ...] = (*WHOLE, *ALGORITHMS), group: str = "grp") -> DataFrame:
     """algorithm, clusters, tracks, mean_size, quality: all algorithms on the same tracks; quality is the mean cosine likeness of
     the tracks to their cluster's direction."""
     from functools import reduce

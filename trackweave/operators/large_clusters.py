@@ -1,13 +1,10 @@
-"""Consensus lines and mean shift on a group too large for one task: rounds of jobs over tracks and pairs of blocks of tracks.
+"""Mean shift on a group too large for one task: rounds of jobs over pairs of blocks of tracks.
 
-A task holds some tracks, or two blocks of ``BLOCK`` feature vectors; what comes to the driver are a round's lines, sums and
-counts.  The work is that of the algorithms: one pass over the remaining tracks for each line, and all distances between modes and
-tracks for each shift.
+A task holds two blocks of ``BLOCK`` feature vectors; what comes to the driver are a round's sums and counts.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,111 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.functions.lineage import cut, shared_folder
+from trackweave.functions.lineage import cut
 
 from . import cluster_kernels as k
+from .lines import packed
 
 #: Feature vectors in a block.
 BLOCK = 1000
 e = F.expr
 
 
-def packed(points: DataFrame) -> DataFrame:
-    """(track_id, xs, ys, zs, ux, uy, uz): a track's points in order and its direction, zeros for one that ends where it starts."""
-    p = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("p"))
-    p = p.select("track_id", *(e(f"transform(p, q -> cast(q.{c} as double))").alias(f"{c}s") for c in "xyz"))
-    p = p.withColumns({f"d{c}": e(f"element_at({c}s, -1) - {c}s[0]") for c in "xyz"}).withColumn("len", e("sqrt(dx * dx + dy * dy + dz * dz)"))
-    return p.select("track_id", "xs", "ys", "zs", *(e(f"if(len < {k.EPS}D, 0D, d{c} / len)").alias(f"u{c}") for c in "xyz"))
-
-
-def _off(xs: np.ndarray, ys: np.ndarray, frame: tuple, lines: np.ndarray) -> np.ndarray:
-    """Distances of points to lines (a place and a direction each), in z-scores: a row a point, a column a line."""
-    cx, cy, sx, sy = frame
-    x, y = (np.asarray(xs) - cx) / sx, (np.asarray(ys) - cy) / sy
-    return np.abs((x[:, None] - lines[:, 0]) * lines[:, 3] - (y[:, None] - lines[:, 1]) * lines[:, 2])
-
-
-def _line(left: DataFrame, frame: tuple, seed: int, trials: int, threshold: float, likelihood: bool) -> np.ndarray | None:
-    """The best of ``trials`` lines through two points, drawn by hash from all points of ``left``."""
-    cx, cy, sx, sy = frame
-    place = left.select("track_id", F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p"))
-    drawn = place.select("p.xs", "p.ys", F.xxhash64("track_id", "i", F.lit(seed)).alias("h")).orderBy("h", "xs", "ys").limit(2 * trials).select("xs", "ys").collect()
-    z = np.array([((r.xs - cx) / sx, (r.ys - cy) / sy) for r in drawn])
-    pairs = len(z) // 2
-    d = z[pairs : 2 * pairs] - z[:pairs]
-    size = np.linalg.norm(d, axis=1)
-    lines = np.column_stack((z[:pairs], d / np.maximum(size, k.EPS)[:, None]))[size >= k.EPS]
-    if not len(lines):
-        return None
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(lines))
-        for pdf in batches:
-            for xs, ys in zip(pdf["xs"], pdf["ys"], strict=True):
-                off = _off(xs, ys, frame, lines)
-                total += np.log(0.7 * np.exp(-(off**2) / (2 * threshold**2 + k.EPS)) + 0.03 + k.EPS).sum(axis=0) if likelihood else (off <= threshold).sum(axis=0)
-        yield pd.DataFrame({"line": np.arange(len(lines)), "score": total})
-
-    best = left.select("xs", "ys").mapInPandas(score, "line long, score double").groupBy("line").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "line").first()
-    return lines[best.line]
-
-
-def consensus(points: DataFrame, *, likelihood: bool = False, threshold: float = 0.5, cosine: float = 0.3, trials: int = 300, least: int = 2, seed: int = 42, exact: int = 700) -> DataFrame:
-    """(track_id, cluster_id) as ``cluster_kernels.consensus`` finds bundles, a round of jobs for each; the last ``exact`` tracks go to
-    that kernel.  Medians of directions are approximate to a ten-thousandth of the ranks; tracks without a direction get -1."""
-    spark = points.sparkSession
-    tracks = cut(packed(points))
-    left = tracks.where("size(xs) >= 2 and (ux != 0 or uy != 0 or uz != 0)")
-    store, number, lone = f"{shared_folder(spark)}/bundles-{uuid.uuid4().hex}", 0, []
-    schema = f"track_id {dict(tracks.dtypes)['track_id']}, cluster_id int"
-
-    def keep(labels: DataFrame) -> None:
-        labels.select("track_id", F.col("cluster_id").cast("int").alias("cluster_id")).write.mode("append").parquet(store)
-
-    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("track_id")
-        own = [np.column_stack(t) for t in zip(pdf["xs"], pdf["ys"], pdf["zs"], strict=True)]
-        label = k.consensus(list(pdf["track_id"]), own, likelihood=likelihood, threshold=threshold, cosine=cosine, trials=trials, least=least, seed=seed)
-        return pd.DataFrame({"track_id": pdf["track_id"], "cluster_id": np.where(label < 0, label, label + number).astype("int32")})
-
-    while True:
-        open_ = left.where(~F.col("track_id").isin(lone)) if lone else left
-        many = open_.agg(F.count("*").alias("n"), F.percentile_approx("uz", 0.5, 10_000).alias("uz")).first()
-        if many.n <= exact:
-            keep(open_.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(rest, schema))
-            break
-        place = open_.select(F.inline(F.arrays_zip("xs", "ys"))).agg(F.avg("xs").alias("cx"), F.avg("ys").alias("cy"), F.stddev_pop("xs").alias("sx"), F.stddev_pop("ys").alias("sy")).first()
-        frame = (place.cx, place.cy, place.sx + k.EPS, place.sy + k.EPS)
-        line = _line(open_, frame, seed + number, trials, threshold, likelihood)
-        if line is None:
-            break
-        dx, dy = map(float, line[2:])
-        if open_.agg(F.avg(e(f"if(ux * {dx}D + uy * {dy}D >= 0, 1D, 0D)")).alias("along")).first().along < 0.5:
-            dx, dy = -dx, -dy
-        ref = k.unit(np.array([dx, dy, many.uz]))
-
-        def fit(batches: Iterator[pd.DataFrame], frame: tuple = frame, line: np.ndarray = line, ref: np.ndarray = ref) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                dist = [float(np.median(_off(xs, ys, frame, line[None]))) for xs, ys in zip(pdf["xs"], pdf["ys"], strict=True)]
-                turn = 1 - k.unit(pdf[["ux", "uy", "uz"]].to_numpy()) @ ref
-                yield pd.DataFrame({"track_id": pdf["track_id"], "dist": dist, "own": (np.array(dist) <= threshold) & (turn <= cosine)})
-
-        fitted = cut(open_.select("track_id", "xs", "ys", "ux", "uy", "uz").mapInPandas(fit, f"track_id {dict(tracks.dtypes)['track_id']}, dist double, own boolean"))
-        own = fitted.where("own").select("track_id")
-        if own.limit(least).count() >= least:
-            keep(own.withColumn("cluster_id", F.lit(number)))
-            left, lone = cut(open_.join(own, "track_id", "left_anti")), []
-        else:
-            nearest = fitted.orderBy("dist", "track_id").limit(1).select("track_id")
-            keep(nearest.withColumn("cluster_id", F.lit(number)))
-            lone.append(nearest.first().track_id)
-            if len(lone) > 50:
-                left, lone = cut(open_.where(F.col("track_id") != lone[-1])), []
-        number += 1
-    found = spark.read.schema(schema).parquet(store) if number or many.n else spark.createDataFrame([], schema)
-    return tracks.select("track_id").join(found, "track_id", "left").select("track_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
-
-
 def _blocks(left: DataFrame, right: DataFrame, parts: int, run: Callable, schema: str) -> DataFrame:
     """``run`` on every block of ``left`` with every block of ``right``: two pandas frames in, rows out."""
     every: Column = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
