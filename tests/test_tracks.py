@@ -276,8 +276,7 @@ def test_clusterings_find_bundles():
     tracks = two_bundles()
     label = ck.mean_shift(tracks)
     assert not set(label[:8]) & (set(label[8:]) - {-1})
-    assert len(ck.spectral(tracks)) == len(ck.laplacian_clusters(tracks)) == 15
-    assert ck.spectral(tracks[:1]).tolist() == [0] and ck.mean_shift([]).tolist() == []
+    assert ck.mean_shift([]).tolist() == []
 
 
 def test_cluster_operator(spark):

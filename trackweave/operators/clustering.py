@@ -1,7 +1,7 @@
 """Clustering of tracks: a registry of algorithms that run per group (an airport, a day), and the form for groups of any size.
 
-A group of at most ``EXACT`` tracks is one task's work.  Larger groups go to ``features_kmeans`` for the spectral algorithms and to
-rounds of jobs (``large_clusters``) for the others.
+Consensus lines and spectral clustering take groups of any size, all together.  For mean shift a group of at most ``EXACT`` tracks is
+one task's work; larger ones go through rounds of jobs (``large_clusters``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from trackweave.functions.lineage import cut
 from . import cluster_kernels as k
 from . import large_clusters as lc
 from . import lines
+from . import pair_kernels as pk
 from . import similarity as s
+from . import spectral
 
 #: Tracks in a group at most that one task takes.
 EXACT = 700
@@ -28,27 +30,19 @@ EXACT = 700
 WHOLE: dict[str, Callable] = {
     "RANSAC": lines.bundles,
     "MLESAC": lambda points, group: lines.bundles(points, group, likelihood=True),
+    "SCC": spectral.spectral,
+    "LSCC": spectral.laplacian,
 }
-ALGORITHMS: dict[str, Callable] = {
-    "SCC": lambda ids, tracks: k.spectral(tracks),
-    "LSCC": lambda ids, tracks: k.laplacian_clusters(tracks),
-    "MeanShift": lambda ids, tracks: k.mean_shift(tracks),
-}
+#: Algorithms that leave groups above ``EXACT`` tracks to k-means on features, as the ones they follow do.
+BOUNDED = {"SCC", "LSCC"}
+ALGORITHMS: dict[str, Callable] = {"MeanShift": lambda ids, tracks: k.mean_shift(tracks)}
 
 
-def _spectral_large(points: DataFrame) -> DataFrame:
+def _feature_clusters(points: DataFrame) -> DataFrame:
     """Only places count, so speeds and times may be missing."""
     return features_kmeans(points.select("track_id", "seq", "x", "y", "z", F.lit(0.0).alias("v"), F.col("seq").cast("double").alias("t")))
 
 
-#: (track_id, cluster_id) of a group of any size, from its points and the number of tracks that a task takes.
-LARGE: dict[str, Callable] = {
-    "SCC": lambda points, most: _spectral_large(points),
-    "LSCC": lambda points, most: _spectral_large(points),
-    "MeanShift": lambda points, most: lc.mean_shift(points),
-}
-
-
 def _by_size(points: DataFrame, group: str, most: int) -> tuple[DataFrame, list[tuple[object, DataFrame]]]:
     """Points of the groups of at most ``most`` tracks, and each larger group with its points."""
     sizes = points.groupBy(group).agg(F.countDistinct("track_id").alias("n"))
@@ -58,29 +52,34 @@ def _by_size(points: DataFrame, group: str, most: int) -> tuple[DataFrame, list[
     return points, large
 
 
-def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int = EXACT) -> DataFrame:
-    """(group, algorithm, track_id, cluster_id, is_noise): the named algorithm on every group of points (track_id, seq, x, y, z);
-    groups above ``most`` tracks one after the other by the algorithm's form for any size."""
+def cluster(points: DataFrame, algorithm: str, group: str = "grp", most: int | None = EXACT) -> DataFrame:
+    """(group, algorithm, track_id, cluster_id, is_noise): the named algorithm on every group of points (track_id, seq, x, y, z).
+
+    Groups above ``most`` tracks go one after the other, to k-means on features for the spectral algorithms and to rounds of jobs
+    for mean shift; without ``most`` the spectral algorithms take groups of any size themselves.
+    """
+    if algorithm not in WHOLE and algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm}")
     kind = dict(points.dtypes)[group]
+    points = points.select(group, "track_id", "seq", "x", "y", "z")
+    large = []
+    if most is not None and (algorithm in BOUNDED or algorithm in ALGORITHMS):
+        points, large = _by_size(points, group, most)
     if algorithm in WHOLE:
-        found = WHOLE[algorithm](points.select(group, "track_id", "seq", "x", "y", "z"), group)
-        return found.select(group, F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), "cluster_id", (F.col("cluster_id") < 0).alias("is_noise"))
-    if algorithm not in ALGORITHMS:
-        raise ValueError(f"unknown algorithm {algorithm}")
-    points, large = _by_size(points, group, most)
-    run_ = ALGORITHMS[algorithm]
+        out = WHOLE[algorithm](points, group)
+    else:
+        run_ = ALGORITHMS[algorithm]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["track_id", "seq"])
-        ids, tracks = zip(*((i, t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.groupby("track_id")), strict=True)
-        label = np.asarray(run_(list(ids), list(tracks)))
-        return pd.DataFrame({group: pdf[group].iloc[0], "algorithm": algorithm, "track_id": ids, "cluster_id": label.astype("int32"), "is_noise": label < 0})
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["track_id", "seq"])
+            ids, tracks = zip(*((i, t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.groupby("track_id")), strict=True)
+            return pd.DataFrame({group: pdf[group].iloc[0], "track_id": ids, "cluster_id": np.asarray(run_(list(ids), list(tracks))).astype("int32")})
 
-    out = points.select(group, "track_id", "seq", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} {kind}, algorithm string, track_id long, cluster_id int, is_noise boolean")
+        out = points.groupBy(group).applyInPandas(run, f"{group} {kind}, track_id long, cluster_id int")
     for v, p in large:
-        found = LARGE[algorithm](p, most).select(F.lit(v).cast(kind).alias(group), F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), F.col("cluster_id").cast("int").alias("cluster_id"))
-        out = out.unionByName(found.withColumn("is_noise", F.col("cluster_id") < 0))
-    return out
+        found = _feature_clusters(p) if algorithm in BOUNDED else lc.mean_shift(p)
+        out = out.unionByName(found.select(F.lit(v).cast(kind).alias(group), "track_id", F.col("cluster_id").cast("int").alias("cluster_id")))
+    return out.select(group, F.lit(algorithm).alias("algorithm"), F.col("track_id").cast("long").alias("track_id"), "cluster_id", (F.col("cluster_id") < 0).alias("is_noise"))
 
 
 def features_kmeans(points: DataFrame, seed: int = 42) -> DataFrame:
@@ -148,19 +147,19 @@ def centres(points: DataFrame) -> DataFrame:
 def similarities(points: DataFrame, group: str = "grp", most: int = EXACT) -> DataFrame:
     """(i, j, curvature, spatial, shape, polar, multiscale) of all pairs of tracks in each group.  A group is dealt into blocks of
     about ``most`` / 2 tracks, and each pair of blocks is compared on its own."""
-    measures = {"curvature": k.curvature_similarity, "spatial": k.spatial_similarity, "shape": k.shape_similarity, "polar": k.polar_similarity, "multiscale": k.multiscale_affinity}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [(i, t["own"].iloc[0], t[["x", "y", "z"]].to_numpy(dtype=float)) for i, t in pdf.sort_values(["track_id", "seq"]).groupby("track_id")]
-        within = bool((pdf["left"] == pdf["right"]).iloc[0])
-        rows = [(a, b, *(float(f(p, q)) for f in measures.values())) for x, (a, m, p) in enumerate(own) for b, n, q in own[x + 1 :] if within or m != n]
-        return pd.DataFrame(rows, columns=["i", "j", *measures])
+        ids, side = np.array([i for i, _, _ in own], dtype=np.int64), np.array([m for _, m, _ in own])
+        i, j = np.nonzero((ids[:, None] < ids) & (bool((pdf["left"] == pdf["right"]).iloc[0]) | (side[:, None] != side)))
+        tracks = [t for _, _, t in own]
+        return pd.DataFrame({"i": ids[i], "j": ids[j], **{name: f(tracks, tracks)[i, j] for name, f in pk.MEASURES.items()}})
 
     parts = points.groupBy(F.col(group).alias("__group")).agg(F.ceil(2 * F.countDistinct("track_id") / F.lit(max(1, most))).alias("parts"))
     dealt = points.join(parts, F.col(group).eqNullSafe(F.col("__group"))).select(group, "track_id", "seq", "x", "y", "z", "parts", F.pmod(F.xxhash64("track_id"), "parts").alias("own"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select(group, "track_id", "seq", "x", "y", "z", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-    return dealt.groupBy(group, "left", "right").applyInPandas(run, "i long, j long, " + ", ".join(f"{m} double" for m in measures))
+    return dealt.groupBy(group, "left", "right").applyInPandas(run, "i long, j long, " + ", ".join(f"{m} double" for m in pk.MEASURES))
 
 
 def representative_lines(points: DataFrame, tracks: int = 30, steps: int = 60) -> DataFrame:
