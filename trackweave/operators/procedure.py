@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.lineage import cut
+from trackweave.functions.quantiles import quantiles, ranks
 
 from . import geometry as g
 from . import kernels
@@ -30,7 +31,7 @@ def aligned(points: DataFrame, most: int = 100) -> DataFrame:
 
 def median_centroid(steps: DataFrame) -> DataFrame:
     """(cluster_id, step, x, y, z): the median of the aligned tracks at every step."""
-    return steps.groupBy("cluster_id", "step").agg(*(F.median(c).alias(c) for c in "xyz"))
+    return quantiles(steps, ["cluster_id", "step"], {c: (F.col(c), 0.5) for c in "xyz"})
 
 
 def smoothed(centroid: DataFrame, compat: bool = False) -> DataFrame:
@@ -88,13 +89,14 @@ def _matched(points: DataFrame, centroid: DataFrame) -> DataFrame:
     packed = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("p"))
     line = centroid.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("step", "x", "y", "z"))).alias("c"))
     both = packed.join(line, "cluster_id").withColumn("m", F.least(F.size("p"), F.size("c")))
-    rows = both.select(*keys, "p", "c", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("step"))
-    out = rows
-    for arr, prefix in (("p", ""), ("c", "c")):
-        at = f"if(m <= 1, 0D, step * (size({arr}) - 1) / cast(m - 1 as double))"
-        lo = f"cast(least(floor({at}), size({arr}) - 1) as int)"
-        out = out.withColumns({f"{prefix}{a}": e(f"element_at({arr}, {lo} + 1).{a} + ({at} - {lo}) * (element_at({arr}, least({lo} + 2, size({arr}))).{a} - element_at({arr}, {lo} + 1).{a})") for a in "xyz"})
-    return out.drop("p", "c")
+
+    def at(arr: str, a: str) -> str:
+        place = f"if(m <= 1, 0D, s * (size({arr}) - 1) / cast(m - 1 as double))"
+        low = f"cast(least(floor({place}), size({arr}) - 1) as int)"
+        return f"element_at({arr}, {low} + 1).{a} + ({place} - {low}) * (element_at({arr}, least({low} + 2, size({arr}))).{a} - element_at({arr}, {low} + 1).{a})"
+
+    fields = ", ".join(f"{at(arr, a)} as {prefix}{a}" for arr, prefix in (("p", ""), ("c", "c")) for a in "xyz")
+    return both.select(*keys, "m", e(f"inline(transform(sequence(0, m - 1), s -> struct(s as step, {fields})))"))
 
 
 def _moves(matched: DataFrame) -> DataFrame:
@@ -115,9 +117,11 @@ def deviations(points: DataFrame, centroid: DataFrame, cosine: bool = True) -> D
 
 def anomalies(deviation: DataFrame, percentile: float = 0.95) -> DataFrame:
     """Rank by cosine distance (ties by track), anomaly flag above the percentile, score against the first, level."""
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("cosine_distance"), "track_id")
-    thr = deviation.groupBy("cluster_id").agg(F.percentile("cosine_distance", percentile).alias("threshold"))
-    out = deviation.join(thr, "cluster_id").withColumns({"rank": F.row_number().over(order), "top": F.first("squared_sum").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    deviation = cut(deviation)
+    thr = quantiles(deviation, ["cluster_id"], {"threshold": (F.col("cosine_distance"), percentile)})
+    out = ranks(deviation, "cluster_id", [("cosine_distance", True), ("track_id", False)])
+    top = deviation.groupBy("cluster_id").agg(F.min_by("squared_sum", F.struct(-F.col("cosine_distance"), "track_id")).alias("top"))
+    out = out.join(thr, "cluster_id").join(top, "cluster_id")
     out = out.withColumns({"is_anomaly": F.col("cosine_distance") > F.col("threshold"), "score": e("squared_sum / (top + 1e-8D)")})
     return out.withColumn("level", e("case when rank = 1 or score > 0.7D then 'high' when score > 0.4D then 'medium' else 'low' end")).drop("threshold", "top")
 

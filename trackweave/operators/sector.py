@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.lineage import cut
+from trackweave.functions.quantiles import quantiles
 
 from . import kernels
 
@@ -24,10 +25,10 @@ def sector_bounds(points: DataFrame, least: int = 4) -> DataFrame:
         F.count("*").alias("n"),
         *((F.min(c) - b).alias(f"min_{c}") for c, b in (("x", XY_BUFFER), ("y", XY_BUFFER), ("z", Z_BUFFER))),
         *((F.max(c) + b).alias(f"max_{c}") for c, b in (("x", XY_BUFFER), ("y", XY_BUFFER), ("z", Z_BUFFER))),
-        F.greatest(F.lit(0.0), F.percentile("z", 0.02) - Z_BUFFER).alias("floor_ft"),
-        (F.percentile("z", 0.98) + Z_BUFFER).alias("ceiling_ft"),
     )
-    return g.where(F.col("n") >= least).drop("n").withColumn("volume", e("(max_x - min_x) * (max_y - min_y) * (max_z - min_z)"))
+    limits = quantiles(points, ["cluster_id"], {"low": (F.col("z"), 0.02), "high": (F.col("z"), 0.98)})
+    limits = limits.select("cluster_id", F.greatest(F.lit(0.0), F.col("low") - Z_BUFFER).alias("floor_ft"), (F.col("high") + Z_BUFFER).alias("ceiling_ft"))
+    return g.where(F.col("n") >= least).drop("n").join(limits, "cluster_id").withColumn("volume", e("(max_x - min_x) * (max_y - min_y) * (max_z - min_z)"))
 
 
 def boundary_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -42,8 +43,9 @@ def fixes(boundary: DataFrame, eps: float = 2500.0) -> DataFrame:
     """One row for each group of boundary points that are linked by steps of ``eps`` at most (two points or more); all of a
     cluster's points make one fix if there is no such group.  Groups are components of a graph of grid cells."""
     linked = eps_components(boundary.withColumn("node", F.concat_ws("/", "cluster_id", "kind", "track_id")), ["cluster_id", "kind"], eps)
-    sized = linked.withColumn("n", F.count("*").over(Window.partitionBy("cluster_id", "kind", "comp")))
-    own = sized.withColumn("any", F.max((F.col("n") > 1).cast("int")).over(Window.partitionBy("cluster_id", "kind")))
+    sizes = linked.groupBy("cluster_id", "kind", "comp").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("cluster_id", "kind").agg(F.max((F.col("n") > 1).cast("int")).alias("any"))
+    own = linked.join(sizes.join(several, ["cluster_id", "kind"]), ["cluster_id", "kind", "comp"])
     kept = own.where("n > 1 or any = 0").withColumn("group", e("if(any = 0, '', comp)"))
     centre = kept.groupBy("cluster_id", "kind", "group").agg(*(F.avg(c).alias(f"c{c}") for c in "xyz"), F.countDistinct("track_id").alias("track_count"))
     far = kept.join(centre, ["cluster_id", "kind", "group"]).groupBy("cluster_id", "kind", "group").agg(F.max(e("sqrt(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2))")).alias("radius_ft"))
