@@ -144,7 +144,7 @@ def bundles(points: DataFrame, group: str, *, likelihood: bool = False, threshol
         n[pdf["angle"], pdf["cell"]] = pdf["n"]
         found = peaks(n[:, :-2], weights)
         sense = np.where(n[:, -2] >= n[:, -1], 1.0, -1.0)[np.rint(found[:, 0] * ANGLES / np.pi).astype(int)]
-        return pd.DataFrame({"h": pdf["g"].iloc[:1].to_numpy(), "lines": [np.column_stack((found[:, :2], sense)).ravel()]})
+        return pd.DataFrame({"g": pdf["g"].iloc[:1].to_numpy(), "lines": [np.column_stack((found[:, :2], sense)).ravel()]})
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -159,10 +159,11 @@ def bundles(points: DataFrame, group: str, *, likelihood: bool = False, threshol
     while True:
         place = left.select("g", "uz", F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p")).groupBy(F.col("g").alias("h"))
         place = place.agg(F.avg("p.xs").alias("cx"), F.avg("p.ys").alias("cy"), (F.stddev_pop("p.xs") + EPS).alias("sx"), (F.stddev_pop("p.ys") + EPS).alias("sy"), F.percentile_approx(e("if(i = 0, uz, null)"), 0.5, 10_000).alias("climb"))
-        framed = left.join(cut(place), F.col("g").eqNullSafe(F.col("h"))).drop("h")
+        framed = left.join(place, F.col("g").eqNullSafe(F.col("h"))).drop("h")
         cells = framed.select("g", "xs", "ys", "ux", "uy", "cx", "cy", "sx", "sy").mapInPandas(counted, f"g {kind}, angle int, cell int, n long")
-        lines = cut(cells.groupBy("g", "angle", "cell").agg(F.sum("n").alias("n")).groupBy("g").applyInPandas(top, f"h {kind}, lines array<double>"))
-        found = framed.join(lines, F.col("g").eqNullSafe(F.col("h"))).select("g", "track_id", "xs", "ys", "ux", "uy", "uz", "cx", "cy", "sx", "sy", "climb", "lines")
+        top_lines = cells.groupBy("g", "angle", "cell").agg(F.sum("n").alias("n")).groupBy("g").applyInPandas(top, f"g {kind}, lines array<double>")
+        lines = cut(top_lines.join(place, F.col("g").eqNullSafe(F.col("h"))).drop("g"))
+        found = left.join(lines, F.col("g").eqNullSafe(F.col("h"))).select("g", "track_id", "xs", "ys", "ux", "uy", "uz", "cx", "cy", "sx", "sy", "climb", "lines")
         found = cut(found.mapInPandas(assign, f"g {kind}, track_id {name}, line int"))
         full = found.where("line >= 0").groupBy(F.col("g").alias("h"), F.col("line").alias("l")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
         taken = cut(found.join(full, F.col("g").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).select("g", "track_id", F.lit(number).alias("round"), "line"))

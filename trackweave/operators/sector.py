@@ -152,14 +152,28 @@ def trimmed(boxes: DataFrame, zones: DataFrame) -> DataFrame:
     return boxes.crossJoin(listed).withColumn("box", e(fold)).select("cluster_id", *(F.col(f"box.{m}_{c}").alias(f"{m}_{c}") for c in "xyz" for m in ("min", "max")))
 
 
-def hulls(points: DataFrame, most: int = 5000) -> DataFrame:
+def hulls(points: DataFrame, most: int | None = 5000, chunk: int = 5000) -> DataFrame:
     """cluster_id, volume, vertices, equations (outward normals and offsets), footprints and their areas, degenerate: of an even sample of
-    ``most`` points of each cluster (points with cluster_id).  A hull needs a cluster's sample together, hence the bound."""
+    ``most`` points of each cluster (points with cluster_id), or without ``most`` of all its points.
+
+    All points of a cluster go through rounds of partial hulls: about ``chunk`` of them in a task leave the corners of their hull,
+    and the corners are dealt anew until a cluster's fit one task.
+    """
     from .selection import even_sample
 
-    sample = even_sample(points, most, ("cluster_id",), ("track_id", "seq")).select("cluster_id", "track_id", "seq", "x", "y", "z")
+    rows = points if most is None else even_sample(points, most, ("cluster_id",), ("track_id", "seq"))
+    rows = rows.select("cluster_id", "x", "y", "z")
+    while most is None:
+        sizes = cut(rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / chunk).alias("parts")))
+        before = sizes.agg(F.max("parts").alias("m"), F.sum("parts").alias("s")).first()
+        if (before.m or 0) <= 1:
+            break
+        dealt = rows.join(sizes, "cluster_id").withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), F.col("parts")))
+        rows = cut(dealt.groupBy("cluster_id", "part").applyInPandas(kernels.outermost_rows, "cluster_id int, x double, y double, z double"))
+        if rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / chunk).alias("parts")).agg(F.sum("parts")).first()[0] >= before.s:
+            chunk *= 2
     schema = "cluster_id int, volume double, vertices array<array<double>>, equations array<array<double>>, area_xy double, area_xz double, area_yz double, footprint_xy array<array<double>>, footprint_xz array<array<double>>, footprint_yz array<array<double>>, degenerate boolean"
-    return sample.groupBy("cluster_id").applyInPandas(kernels.hull_rows, schema)
+    return rows.groupBy("cluster_id").applyInPandas(kernels.hull_rows, schema)
 
 
 def inside_hull(points: DataFrame, hull: DataFrame, buffer: float = XY_BUFFER) -> DataFrame:

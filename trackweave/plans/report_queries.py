@@ -85,7 +85,7 @@ def hull_membership(spark: SparkSession, d: str) -> DataFrame:
 @register("own_hull_membership")
 def own_hull_membership(spark: SparkSession, d: str) -> DataFrame:
     p = _parts(spark, d)[0]
-    return sc.inside_hull(p, sc.hulls(p), 0.001).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return sc.inside_hull(p, sc.hulls(p, None), 0.001).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 @register("merged_anomalies", f"with {ANOM} select cluster_id // 5 as merged_id, count(*) filter (is_anomaly) as total from an group by 1", "tp member")
