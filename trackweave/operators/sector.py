@@ -9,6 +9,7 @@ from trackweave.functions.lineage import cut
 from trackweave.functions.quantiles import quantiles
 
 from . import kernels
+from .boxes import touching
 
 XY_BUFFER, Z_BUFFER = 1215.2, 300.0
 
@@ -123,20 +124,19 @@ def eps_components(rows: DataFrame, keys: list[str], eps: float) -> DataFrame:
     return rows.join(own.select("node", F.coalesce("comp", "name").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def zone_conflicts(boxes: DataFrame, zones: DataFrame, most: int = 10_000) -> DataFrame:
-    """(cluster_id, zone): boxes that touch a zone; zones without all bounds touch nothing.  ``most`` zones are broadcast;
-    more are met as a distributed product with the boxes."""
-    z = zones.where(" and ".join(f"{m}_{c} is not null" for c in "xyz" for m in ("min", "max")))
-    touch = " and ".join(f"b.min_{c} <= z.max_{c} and z.min_{c} <= b.max_{c}" for c in "xyz")
-    small = z.limit(most + 1).count() <= most
-    met = boxes.alias("b").join(F.broadcast(z).alias("z"), e(touch)) if small else boxes.hint("shuffle_replicate_nl").alias("b").join(z.alias("z"), e(touch))
-    return met.select("b.cluster_id", F.col("z.id").alias("zone"))
+def zone_conflicts(boxes: DataFrame, zones: DataFrame) -> DataFrame:
+    """(cluster_id, zone): boxes that touch a zone; zones without all bounds touch nothing."""
+    return touching(boxes, zones).select(F.col("a_cluster_id").alias("cluster_id"), F.col("b_id").alias("zone"))
 
 
 def trimmed(boxes: DataFrame, zones: DataFrame) -> DataFrame:
     """Boxes cut back from each touching zone in order, along the axis with the smallest positive overlap; a cut that would
-    empty the box is undone."""
-    listed = F.broadcast(zones.agg(F.array_sort(F.collect_list(F.struct("id", *(f"{m}_{c}" for c in "xyz" for m in ("min", "max"))))).alias("zones")))
+    empty the box is undone.
+
+    A cut box lies inside the uncut one, so the zones that touch it are among those that touched it before any cut.
+    """
+    met = touching(boxes, zones).select(F.col("a_cluster_id").alias("cluster_id"), F.struct(*(F.col(f"b_{c}").alias(c) for c in ("id", *(f"{m}_{a}" for a in "xyz" for m in ("min", "max"))))).alias("z"))
+    listed = met.groupBy("cluster_id").agg(F.array_sort(F.collect_list("z")).alias("zones"))
     state = "struct(min_x, max_x, min_y, max_y, min_z, max_z)"
     touch = " and ".join(f"b.min_{c} <= z.max_{c} and z.min_{c} <= b.max_{c}" for c in "xyz")
     over = {c: f"(least(b.max_{c}, z.max_{c}) - greatest(b.min_{c}, z.min_{c}))" for c in "xyz"}
@@ -148,8 +148,8 @@ def trimmed(boxes: DataFrame, zones: DataFrame) -> DataFrame:
         low, high = f"if({below}, b.min_{c}, greatest(b.min_{c}, z.max_{c}))", f"if({below}, least(b.max_{c}, z.min_{c}), b.max_{c})"
         fields = ", ".join(f"'min_{a}', {low if a == c else f'b.min_{a}'}, 'max_{a}', {high if a == c else f'b.max_{a}'}" for a in "xyz")
         cut += f"when {positive[c]} = {least} then if({low} < {high}, named_struct({fields}), b) "
-    fold = f"aggregate(zones, {state}, (b, z) -> if({touch} and {least} < double('inf'), {cut} else b end, b))"
-    return boxes.crossJoin(listed).withColumn("box", e(fold)).select("cluster_id", *(F.col(f"box.{m}_{c}").alias(f"{m}_{c}") for c in "xyz" for m in ("min", "max")))
+    fold = f"if(zones is null, {state}, aggregate(zones, {state}, (b, z) -> if({touch} and {least} < double('inf'), {cut} else b end, b)))"
+    return boxes.join(listed, "cluster_id", "left").withColumn("box", e(fold)).select("cluster_id", *(F.col(f"box.{m}_{c}").alias(f"{m}_{c}") for c in "xyz" for m in ("min", "max")))
 
 
 def hulls(points: DataFrame, most: int | None = 5000, chunk: int = 5000) -> DataFrame:
