@@ -52,13 +52,37 @@ def test_files(spark, folder):
 
 
 def test_archives(spark, folder):
-    assert [r.member for r in radar.archive_members(spark, folder).collect()] == ["20060101.lt6", "20060102.lt6"]
+    assert [r.member for r in radar.archive_members(radar.archive_files(spark, folder)).collect()] == ["20060101.lt6", "20060102.lt6"]
     assert radar.read_tracks(spark, "archive", folder, members=["20060101.lt6", "missing.lt6"]).count() == 1
     assert radar.read_tracks(spark, "range", folder, first=1, last=5).count() == 5
     with pytest.raises(ValueError):
         radar.read_tracks(spark, "mongo", folder)
 
 
+def test_broken_members_are_corrupt_blocks(spark):
+    import io
+
+    def packed(**how):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", **how) as z:
+            for day in (1, 2):
+                z.writestr(f"2006010{day}.lt6", lt6([f"TRACK {day}", *SHORT, "12", *POINTS] * 20))
+        return bytearray(out.getvalue())
+
+    torn, whole, odd = packed(compression=zipfile.ZIP_DEFLATED), packed(), packed(compression=zipfile.ZIP_BZIP2)
+    torn[60:90] = b"x" * 30
+    files = spark.createDataFrame([("a/torn.zip", torn), ("a/whole.zip", whole), ("odd.zip", odd), ("none.zip", bytearray(b"no archive"))], "path string, content binary")
+    found = {(r.source_file, r.corrupt is not None): r.opnum for r in radar.archive_blocks(files.repartition(2)).collect()}
+    assert found == {("torn.zip/20060101.lt6", True): None, ("torn.zip/20060102.lt6", False): "2", ("whole.zip/20060101.lt6", False): "1", ("whole.zip/20060102.lt6", False): "2", ("odd.zip/20060101.lt6", False): "1", ("odd.zip/20060102.lt6", False): "2", ("none.zip", True): None}
+
+
+def test_load_order_follows_the_list(spark, folder):
+    raw = radar.read_tracks(spark, "files", folder)
+    first = lambda order: [r.source_file for r in radar.tracks(raw, order).orderBy("load_seq").collect()]
+    assert first(None) == ["20060101.lt6"] + ["20060102.lt6"] * 3
+    assert first(["20060102.lt6", "missing.lt6"]) == ["20060102.lt6"] * 3 + ["20060101.lt6"]
+
+
 def test_points_without_a_count(spark):
     rows = list(radar.blocks("f", lt6(["TRACK 5", *FULL, *POINTS[:3], "1,2,3,4"])))
     assert rows[0]["count"] is None and len(rows[0]["lines"]) == 4
@@ -361,6 +385,34 @@ def test_many_zones_and_centres(spark):
     assert got[3, 3] == round(119_999 * 3.5 / 4) and len(got) == 16
 
 
+def test_a_failing_algorithm_keeps_the_others(spark, monkeypatch):
+    def fails(points, group):
+        raise ValueError("no lines today")
+
+    monkeypatch.setitem(clustering.WHOLE, "RANSAC", fails)
+    rows = [("g", i, k + 1, *map(float, p)) for i, t in enumerate(two_bundles()[:6]) for k, p in enumerate(t)]
+    df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double").withColumn("t", F.col("seq").cast("double"))
+    found = {r.algorithm: r for r in clustering.compare(df, ("RANSAC", "MLESAC")).collect()}
+    assert found["RANSAC"].error == "no lines today" and found["RANSAC"].clusters is None
+    assert found["MLESAC"].error is None and found["MLESAC"].tracks > 0
+    text = {r.place: r.line for r in sinks.algorithm_lines(clustering.compare(df, ("RANSAC", "MLESAC"))).collect()}
+    assert text["RANSAC"] == "RANSAC: error: no lines today" and text["MLESAC"].startswith("MLESAC: clusters ")
+    assert clustering.best_algorithm(clustering.compare(df, ("RANSAC", "MLESAC"))).first().algorithm == "MLESAC"
+
+
+def test_hypothesis_of_a_sample(spark):
+    from trackweave.operators import similarity
+
+    df = spark.createDataFrame([("a", i, [1.0, float(i)]) for i in range(40)] + [("b", 1, [0.0, 2.0])], "label string, vec_id long, vector array<double>")
+    out = {r.label: r for r in similarity.hypothesis(df, 5, seed=1).collect()}
+    again = {r.label: r for r in similarity.hypothesis(df.repartition(6), 5, seed=1).collect()}
+    assert out == again and out["b"].sample == [1] and len(out["a"].sample) == 5
+    assert out["b"].reference == pytest.approx([0.0, 1.0], abs=1e-6)
+    own = np.array([[1.0, i] for i in out["a"].sample])
+    mean = (own / np.linalg.norm(own, axis=1, keepdims=True)).mean(axis=0)
+    assert out["a"].reference == pytest.approx((mean / np.linalg.norm(mean)).tolist(), abs=1e-6)
+
+
 def test_adaptive_mean_shift_takes_bandwidths(spark):
     rows = [("g", i, k + 1, 1000.0 * k, 300.0 * k * (i // 5), 50.0 * k) for i in range(10) for k in range(10)]
     df = spark.createDataFrame(rows, "grp string, track_id long, seq long, x double, y double, z double")

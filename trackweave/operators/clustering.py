@@ -100,17 +100,27 @@ def features_kmeans(points: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def compare(points: DataFrame, names: tuple[str, ...] = (*WHOLE, *ALGORITHMS), group: str = "grp") -> DataFrame:
-    """algorithm, clusters, tracks, mean_size, quality: all algorithms on the same tracks; quality is the mean cosine likeness of
-    the tracks to their cluster's direction."""
+    """algorithm, clusters, tracks, mean_size, quality, error: all algorithms on the same tracks; quality is the mean cosine likeness of
+    the tracks to their cluster's direction.  An algorithm that fails is a row with its error and no numbers."""
     from functools import reduce
 
     from .geometry import direction
 
-    found = cut(reduce(DataFrame.unionByName, (cluster(points, name, group) for name in names)).where("not is_noise"))
-    vec = found.join(direction(points), "track_id").select("algorithm", F.concat_ws("/", "algorithm", group, "cluster_id").alias("label"), F.col("track_id").alias("vec_id"), F.array("ux", "uy", "uz").alias("vector"))
+    found, errors = [], []
+    for name in names:
+        try:
+            found.append(cut(cluster(points, name, group).where("not is_noise")))
+        except Exception as failure:  # noqa: BLE001 - whatever goes wrong in one algorithm is its row
+            errors.append((name, str(failure).splitlines()[0] if str(failure) else type(failure).__name__))
+    failed = points.sparkSession.createDataFrame(errors, "algorithm string, error string")
+    failed = failed.select("algorithm", *(F.lit(None).cast(t).alias(c) for c, t in (("clusters", "long"), ("tracks", "long"), ("mean_size", "double"), ("quality", "double"))), "error")
+    if not found:
+        return failed
+    vec = reduce(DataFrame.unionByName, found).join(direction(points), "track_id").select("algorithm", F.concat_ws("/", "algorithm", group, "cluster_id").alias("label"), F.col("track_id").alias("vec_id"), F.array("ux", "uy", "uz").alias("vector"))
     q = s.quality(vec.select("label", "vec_id", "vector"), s.reference_direction(vec.select("label", "vec_id", "vector")))
     sizes = vec.groupBy("algorithm", "label").agg(F.count("*").alias("n")).join(q, "label")
-    return sizes.groupBy("algorithm").agg(F.count("*").alias("clusters"), F.sum("n").alias("tracks"), F.avg("n").alias("mean_size"), F.avg("quality").alias("quality"))
+    out = sizes.groupBy("algorithm").agg(F.count("*").alias("clusters"), F.sum("n").alias("tracks"), F.avg("n").alias("mean_size"), F.avg("quality").alias("quality"))
+    return out.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 
 def best_algorithm(compared: DataFrame, metric: str = "quality", largest: bool = True) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.quantiles import ranks
+
 e = F.expr
 EPS = 1e-8
 
@@ -154,3 +156,12 @@ def track_features(points: DataFrame) -> DataFrame:
     turn = g.curvature_signature(points).groupBy("track_id").agg(F.avg("turn").alias("turn_mean"), F.stddev_pop("turn").alias("turn_std"))
     out = ends.join(g.direction(points), "track_id").join(spread, "track_id").join(turn, "track_id", "left")
     return out.fillna(0.0, ["turn_mean", "turn_std"])
+
+
+def hypothesis(vectors: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """(label, sample, reference): the reference direction of ``size`` vectors of each label (label, vec_id, vector), drawn by the hash of
+    their ids; of all of them, if there are fewer."""
+    ranked = ranks(vectors.withColumn("drawn", F.xxhash64(F.lit(seed), "vec_id")), "label", [("drawn", False), ("vec_id", False)])
+    own = ranked.where(F.col("rank") <= size).drop("drawn", "rank")
+    ids = own.groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("sample"))
+    return ids.join(reference_direction(own), "label")

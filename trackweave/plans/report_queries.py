@@ -130,12 +130,15 @@ def cluster_csv(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.option("sep", ";").option("escape", '"').csv(path, header=True).toDF("cluster_id", "size", "runway", "anomalies", "risks", "workload", "risk_level")
 
 
-@register("runway_text", f"""
+RUNWAY_LINES = f"""
 with {ARR}, h as (select runway, floor(eta / 3600) as hour, count(*) as n from arr group by all), b as (select runway, sum(n) as arrivals, max(n) as busiest from h group by runway),
 s as (select runway, count(*) filter (coalesce(eta - le < required, false)) as violations, sum(delay) as total_delay, avg(delay) as mean_delay from seq group by runway),
 j as (select b.runway, arrivals::bigint as arrivals, coalesce(violations, 0) as violations, coalesce(total_delay, 0) as total_delay, coalesce(mean_delay, 0) as mean_delay, case when b.runway = 'NOT_SPECIFIED' then 0 else busiest end as lph from b left join s using (runway))
 select runway as place, printf('Runway %s: arrivals %d, busiest hour %d, use %.0f%%, violations %d, mean delay %.0f s', runway, arrivals, lph, least(1.5, lph / 36.0) * 100, violations, mean_delay) as line from j
-union all select '', printf('Arrivals %d, violations %d, delay %.0f s', sum(arrivals)::bigint, sum(violations)::bigint, sum(total_delay)) from j""", "tp st flights member")
+union all select '', printf('Arrivals %d, violations %d, delay %.0f s', sum(arrivals)::bigint, sum(violations)::bigint, sum(total_delay)) from j"""
+
+
+@register("runway_text", RUNWAY_LINES, "tp st flights member")
 def runway_text(spark: SparkSession, d: str) -> DataFrame:
     t = flights(spark, d)
     a = rw.arrivals(trackpoints(spark, d), t, members(t))
@@ -149,16 +152,39 @@ top as (select *, row_number() over (partition by cluster_id order by score desc
 select 1 as section, '' as place, printf('Tracks %d, clusters %d', tracks, clusters) as line from tot
 union all select 2, '', printf('Largest workload %.1f, conflicts %d', w, conflicts) from tot
 union all select 3, '', printf('Anomalies %d (%.1f%%), rule risks %d on %d tracks', anomalies, anomalies * 100.0::double / tracks, risks, risky) from tot
+union all select 4, place, line from ({RUNWAY_LINES})
 union all select 5, printf('%010d', cluster_id), printf('Cluster %d: tracks %d, runway %s, anomalies %d, risks %d, W=%.1f, risk %s', cluster_id, size, runway, anomalies, risks, workload, risk_level) from crow
 union all select 6, printf('%010d/%03d', cluster_id, k), printf('Cluster %d, track %s: score %.2f%%, level %s', cluster_id, track_id::varchar, score * 100, lv) from top where k <= 5""", "tp st flights member")
 def full_report(spark: SparkSession, d: str) -> DataFrame:
-    """The report's sections but the runways, which ``runway_text`` has."""
+    total, runways, _ = _totals(spark, d)
+    return sinks.full_report(total, runways, _rows(spark, d), _found(spark, d))
+
+
+def _totals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The report's one row of totals, the runways' summary, and the clusters' workload."""
     p, t = trackpoints(spark, d), flights(spark, d)
     m, found, load = members(t), _found(spark, d), _workload(spark, d)
     a = rw.arrivals(p, t, m)
     risk = ru.risks(p, t).agg(F.count("*").alias("risks"), F.countDistinct("track_id").alias("risky_tracks"))
     total = load.agg(F.count("*").alias("clusters"), F.sum("conflicts").alias("conflicts"), F.max("workload").alias("max_workload")).crossJoin(found.agg(F.count("*").alias("tracks"), F.sum(F.col("is_anomaly").cast("long")).alias("anomalies"))).crossJoin(risk)
-    return sinks.full_report(total, rw.summary(a, rw.sequence(a)), _rows(spark, d), found).where("section != 4")
+    return total, rw.summary(a, rw.sequence(a)), load
+
+
+@register("conclusions", f"""
+with {ROWS}, tot as (select (select count(*) from member) as tracks, count(*) as clusters, sum(conflicts)::bigint as conflicts, max(workload) as w, (select count(*) filter (is_anomaly) from an) as anomalies,
+  (select count(*) from risk) as risks, (select count(distinct track_id) from risk) as risky, max(workload * 0.9) - max(workload) as dw, sum(trunc(conflicts * 0.85)) - sum(conflicts) as dc from idx),
+use as (with {ARR}, h as (select runway, floor(eta / 3600) as hour, count(*) as n from arr group by all), b as (select runway, sum(n) as arrivals, max(n) as busiest from h group by runway),
+  s as (select runway, count(*) filter (coalesce(eta - le < required, false)) as violations from seq group by runway)
+  select sum(arrivals)::bigint as arrivals, coalesce(sum(violations), 0)::bigint as violations, coalesce(string_agg(runway, ', ' order by runway) filter (runway != 'NOT_SPECIFIED' and least(1.5, busiest / 36.0) >= 0.85), 'none') as overloaded from b left join s using (runway))
+select 1 as place, printf('%d tracks processed; %d bundles and as many sectors found.', tracks, clusters) as line from tot
+union all select 2, printf('Largest workload W = %.1f; conflict events: %d.', w, conflicts) from tot
+union all select 3, printf('%d anomalies (%.1f%% of the analysed tracks).', anomalies, anomalies * 100.0::double / tracks) from tot
+union all select 4, printf('%d risks by strict criteria on %d tracks.', risks, risky) from tot
+union all select 5, printf('Runways: %d arrivals, %d spacing violations, overloaded: %s.', arrivals, violations, overloaded) from use
+union all select 6, printf('The what-if scenario changes the largest workload by %.1f and the conflicts by %.0f.', dw, dc::double) from tot""", "tp st flights member")
+def conclusions(spark: SparkSession, d: str) -> DataFrame:
+    total, runways, load = _totals(spark, d)
+    return sinks.conclusions(total, runways, pr.what_if(load))
 
 
 @register("algorithm_text")

@@ -128,3 +128,9 @@ select track_id, """ + ", ".join(f"round(({c} - avg({c}) over ()) / stddev_pop({
 def standard_features(spark: SparkSession, d: str) -> DataFrame:
     out = s.standardised(s.track_features(trackpoints(spark, d)).select("track_id", *_F), _F)
     return out.select("track_id", *(F.round(c, 5).alias(c) for c in _F))
+
+
+@register("direction_hypothesis")
+def direction_hypothesis(spark: SparkSession, d: str) -> DataFrame:
+    """The reference direction of two vectors drawn from each label's."""
+    return s.hypothesis(vectors(spark, d), 2).select("label", F.size("sample").alias("drawn"), F.posexplode("reference").alias("i", "r"))

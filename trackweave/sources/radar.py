@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.ranks import placed
+
 #: The header's fields in file order, and those that the short header lacks.
 FULL = ("eventid", "trackstart_date", "trackstart_time", "trackend_time", "airportid", "acid", "owner_name", "aircrafttype", "aircraft_category", "beacon", "adflag", "waypoint", "other_port", "runwayname", "min_alt", "max_alt", "min_range", "max_range")
 OPTIONAL = ("owner_name", "waypoint", "other_port")
@@ -75,21 +77,68 @@ def read_files(spark: SparkSession, paths: list[str] | str, pattern: str = "*.lt
     return files.mapInArrow(lambda batches: _rows(batches, lambda path, content: [(_named(path), content.decode("utf-8", "replace"))]), SCHEMA)
 
 
-def read_archives(spark: SparkSession, paths: list[str] | str, members: list[str] | None = None) -> DataFrame:
-    """Raw blocks of the ``.lt6`` members of ZIP archives; of the named ones only, if given (``member`` of every
-    archive, or ``archive.zip/member``); missing members are skipped, and an archive that can't be read is one corrupt block."""
+def archive_blocks(files: DataFrame, members: list[str] | None = None) -> DataFrame:
+    """Raw blocks of the ``.lt6`` members of ZIP archives (path, content); of the named ones only, if given (``member`` of every
+    archive, or ``archive.zip/member``).
+
+    A first step cuts archives into members without inflating them; the members are dealt to all tasks, which inflate and read one at a
+    time.  Missing members are skipped; an archive, or a member, that can't be read is one corrupt block.
+    """
     wanted = None if members is None else set(members)
+    schema = pa.schema([("name", pa.string()), ("method", pa.int32()), ("data", pa.binary())])
 
-    def texts(path: str, content: bytes) -> list[tuple[str, str]]:
+    def cut_up(path: str, content: bytes) -> Iterator[tuple[str, int, bytes]]:
         try:
-            with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                names = sorted(n for n in z.namelist() if n.endswith(".lt6") and (wanted is None or n in wanted or _named(n) in wanted or f"{_named(path)}/{_named(n)}" in wanted))
-                return [(f"{_named(path)}/{_named(n)}", z.read(n).decode("utf-8", "replace")) for n in names]
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for i in z.infolist():
+                    name = i.filename
+                    if not name.endswith(".lt6") or not (wanted is None or name in wanted or _named(name) in wanted or f"{_named(path)}/{_named(name)}" in wanted):
+                        continue
+                    head = content[i.header_offset : i.header_offset + 30]
+                    start = i.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                    label = f"{_named(path)}/{_named(name)}"
+                    if i.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) and not i.flag_bits & 1:
+                        yield label, i.compress_type, content[start : start + i.compress_size]
+                        continue
+                    try:
+                        yield label, zipfile.ZIP_STORED, z.read(i)
+                    except (RuntimeError, zipfile.BadZipFile, OSError, EOFError, ValueError) as broken:
+                        yield label, -1, str(broken).encode()
         except (zipfile.BadZipFile, zlib.error) as broken:
-            return [(_named(path), f"TRACK\nunreadable archive: {broken}")]
+            yield _named(path), -2, str(broken).encode()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for name, method, data in cut_up(path, bytes(content)):
+                    yield pa.RecordBatch.from_pylist([{"name": name, "method": method, "data": data}], schema=schema)
+
+    def text(method: int, data: bytes) -> str:
+        if method == -2:
+            return f"TRACK\nunreadable archive: {data.decode()}"
+        if method == -1:
+            return f"TRACK\nunreadable member: {data.decode()}"
+        try:
+            return (zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data).decode("utf-8", "replace")
+        except zlib.error as broken:
+            return f"TRACK\nunreadable member: {broken}"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _rows(iter([pa.RecordBatch.from_pylist([{"path": row["name"], "content": row["data"]}])]), lambda path, content, m=row["method"]: [(path, text(m, content))])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path", "content")
-    return files.mapInArrow(lambda batches: _rows(batches, texts), SCHEMA)
+    cut_ = files.select("path", "content").mapInArrow(split, "name string, method int, data binary")
+    return cut_.repartition(F.xxhash64("name")).mapInArrow(read, SCHEMA)
+
+
+def archive_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, content) of ZIP files or of those in folders."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path", "content")
+
+
+def read_archives(spark: SparkSession, paths: list[str] | str, members: list[str] | None = None) -> DataFrame:
+    return archive_blocks(archive_files(spark, paths), members)
 
 
 def lt6_blocks(tracks: DataFrame, points: DataFrame) -> DataFrame:
@@ -101,8 +150,8 @@ def lt6_blocks(tracks: DataFrame, points: DataFrame) -> DataFrame:
     return tracks.join(packed, "track_id").select(F.concat_ws("\n", F.concat(F.lit("TRACK "), F.col("track_id").cast("string")), *header, F.size("p").cast("string"), body).alias("value"))
 
 
-def archive_members(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """archive, member, size, compressed of every ``.lt6`` member."""
+def archive_members(files: DataFrame) -> DataFrame:
+    """archive, member, size, compressed of every ``.lt6`` member of ZIP archives (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -113,8 +162,7 @@ def archive_members(spark: SparkSession, paths: list[str] | str) -> DataFrame:
                     info = sorted((i for i in z.infolist() if i.filename.endswith(".lt6")), key=lambda i: i.filename)
                     yield pd.DataFrame({"archive": _named(path), "member": [i.filename for i in info], "size": [i.file_size for i in info], "compressed": [i.compress_size for i in info]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path", "content")
-    return files.mapInPandas(run, "archive string, member string, size long, compressed long")
+    return files.select("path", "content").mapInPandas(run, "archive string, member string, size long, compressed long")
 
 
 def archive_totals(members: DataFrame) -> DataFrame:
@@ -137,7 +185,7 @@ def read_tracks(spark: SparkSession, mode: str, paths: list[str] | str, *, membe
         return read_archives(spark, paths, range_members(first, last))
     if mode == "table":
         out = spark.read.parquet(paths if isinstance(paths, str) else paths[0])
-        return out if limit is None else out.limit(limit)
+        return out if limit is None else out.orderBy("load_seq" if "load_seq" in out.columns else "track_id").limit(limit)
     raise ValueError(f"unknown mode {mode}")
 
 
@@ -156,14 +204,18 @@ def read_default(spark: SparkSession, config: str, table: str | None = None) ->
     return read_tracks(spark, c.mode, [whole(f) for f in c.files])
 
 
-def tracks(raw: DataFrame) -> DataFrame:
+def tracks(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per track with typed header fields; of a repeated track_id the last in load order, with the number of copies.
 
-    Load order is by file name, then by place in the file.  Blank fields are null; altitudes and ranges are whole numbers or null.
+    Load order is that of the files in ``order``, then of the others by name, then by place in the file.  Blank fields are null;
+    altitudes and ranges are whole numbers or null.
     """
     number = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("long"))
-    names = raw.select("source_file").distinct().agg(F.sort_array(F.collect_list("source_file")).alias("f")).select(F.posexplode("f").alias("file", "source_file"))
-    base = raw.join(F.broadcast(names), "source_file").withColumns({"load_seq": F.shiftleft(F.col("file").cast("long"), 32) + F.col("block"), "track_id": F.concat_ws("_", "opnum", F.coalesce("eventid", F.lit("0")))})
+    names = raw.select("source_file").distinct().withColumn("all", F.lit(0))
+    listed = raw.sparkSession.createDataFrame([(n, f) for n, f in enumerate(order or [""])], "turn int, source_file string").groupBy("source_file").agg(F.min("turn").alias("turn"))
+    names = names.join(listed, "source_file", "left").withColumn("turn", F.coalesce("turn", F.lit(1 << 30)))
+    names = placed(names, "all", "turn", "source_file").select("source_file", F.col("__place").alias("file"))
+    base = raw.join(names, "source_file").withColumns({"load_seq": F.shiftleft(F.col("file"), 32) + F.col("block"), "track_id": F.concat_ws("_", "opnum", F.coalesce("eventid", F.lit("0")))})
     out = base.select("track_id", "load_seq", "source_file", F.col("opnum").try_cast("long").alias("opnum"), *(number(f).alias(f) if f in NUMBERS else F.to_date(F.try_to_timestamp("trackstart_date", F.lit("MM/dd/yyyy"))).alias(f) if f == "trackstart_date" else F.col(f) for f in FULL), "lines", F.col("corrupt"))
     last = Window.partitionBy("track_id").orderBy(F.desc("load_seq"))
     return out.withColumns({"copies": F.count("*").over(Window.partitionBy("track_id")), "__r": F.row_number().over(last)}).where("__r = 1").drop("__r")

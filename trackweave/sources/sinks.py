@@ -38,8 +38,10 @@ def runway_lines(summary: DataFrame) -> DataFrame:
 
 
 def algorithm_lines(compared: DataFrame) -> DataFrame:
-    """(place, line): a line for each algorithm."""
-    return compared.select(F.col("algorithm").alias("place"), F.format_string("%s: clusters %d, tracks %d, quality %.1f%%", "algorithm", "clusters", "tracks", F.col("quality") * 100).alias("line"))
+    """(place, line): a line for each algorithm, with its error if it failed."""
+    failed = F.format_string("%s: error: %s", "algorithm", "error")
+    said = F.format_string("%s: clusters %d, tracks %d, quality %.1f%%", "algorithm", "clusters", "tracks", F.col("quality") * 100)
+    return compared.select(F.col("algorithm").alias("place"), F.when(F.col("error").isNotNull(), failed).otherwise(said).alias("line"))
 
 
 def cluster_lines(rows: DataFrame) -> DataFrame:
@@ -68,6 +70,23 @@ def full_report(statistics: DataFrame, runways: DataFrame, rows: DataFrame, foun
     return out
 
 
+def conclusions(statistics: DataFrame, runways: DataFrame, what_if: DataFrame) -> DataFrame:
+    """(place, line): the six closing lines of the report, of the statistics of ``full_report``, the runways' summary and the what-if's
+    differences."""
+    change = what_if.agg(*(F.max(F.when(F.col("measure") == m, F.col("delta"))).alias(f"d_{m}") for m in ("max_workload", "conflicts")))
+    use = runways.agg(F.sum("arrivals").alias("arrivals"), F.sum("violations").alias("violations"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("overloaded"), F.col("runway")))), ", ").alias("full"))
+    row = statistics.crossJoin(use).crossJoin(change)
+    lines = [
+        F.format_string("%d tracks processed; %d bundles and as many sectors found.", "tracks", "clusters"),
+        F.format_string("Largest workload W = %.1f; conflict events: %d.", "max_workload", "conflicts"),
+        F.format_string("%d anomalies (%.1f%% of the analysed tracks).", "anomalies", F.col("anomalies") * 100 / F.greatest(F.lit(1), "tracks")),
+        F.format_string("%d risks by strict criteria on %d tracks.", "risks", "risky_tracks"),
+        F.format_string("Runways: %d arrivals, %d spacing violations, overloaded: %s.", "arrivals", "violations", F.when(F.col("full") == "", "none").otherwise(F.col("full"))),
+        F.format_string("The what-if scenario changes the largest workload by %.1f and the conflicts by %.0f.", "d_max_workload", "d_conflicts"),
+    ]
+    return row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("place"), line.alias("line")) for k, line in enumerate(lines, 1)))))
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str = "track_id") -> DataFrame:
     """Rows of both; of a key that both have, the new row."""
     both = current.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
