@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.operators import neighbours as nb
 from trackweave.operators import similarity as s
 from trackweave.sources.adapters import trackpoints, vectors
 
@@ -83,7 +84,16 @@ with {UNIT},{PAIRS}, two as (select i, j, round(sim, 9) as sim from cos_ union a
 near as (select *, row_number() over (partition by i order by sim desc, j) as r from two)
 select a.i, a.j, round(a.sim, 6) as sim from near a join near b on a.i = b.j and a.j = b.i where a.i < a.j and a.r <= 10 and b.r <= 10""", "vec")
 def mutual_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return s.mutual_nearest(s.cosine_pairs(vectors(spark, d)).withColumn("sim", F.round("sim", 9)), 10)
+    return nb.mutual(nb.nearest(vectors(spark, d), 10))
+
+
+@register("neighbour_graph", f"""
+with {UNIT},{PAIRS}, two as (select label, i, j, round(sim, 9) as sim from cos_ union all select label, j, i, round(sim, 9) from cos_)
+select label, i, j, round(sim, 6) as sim, cast(row_number() over (partition by i order by sim desc, j) as integer) as rank from two
+qualify row_number() over (partition by i order by sim desc, j) <= 15""", "vec")
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The 15 nearest of every vector in its label."""
+    return nb.nearest(vectors(spark, d), 15)
 
 
 @register("laplacian", f"with {UNIT},{PAIRS},{MATRIX}, deg as (select i, sum(sim) as d from m group by i) select m.i, m.j, round(case when m.i = m.j then 1 else 0 end - sim / sqrt(a.d * b.d), 6) as value from m join deg a on a.i = m.i join deg b on b.i = m.j", "vec")
