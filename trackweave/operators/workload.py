@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as g
@@ -60,6 +60,21 @@ def weighted_occupancy(inside: DataFrame, metrics: DataFrame, bin_seconds: float
     return bins.groupBy("cluster_id").agg(F.sum("w").alias("weighted"))
 
 
+def converging(met: DataFrame, horizontal: float = HORIZONTAL, vertical: float = VERTICAL, window: float = CONFLICT_BIN) -> DataFrame:
+    """Of pairs of samples (a_.., b_..), those closer than the separations and approaching, with distances, time and convergence."""
+    p = met.where("a_track_id < b_track_id").where(f"abs(a_z - b_z) <= {vertical} and abs(a_t_abs - b_t_abs) <= {window}")
+    p = p.withColumn("horizontal_ft", e("sqrt(pow(a_x - b_x, 2) + pow(a_y - b_y, 2))")).where(F.col("horizontal_ft") <= horizontal)
+    closing = "-((b_x - a_x) * (b_vx - a_vx) + (b_y - a_y) * (b_vy - a_vy) + (b_z - a_z) * (b_vz - a_vz))"
+    cosine = "(a_vx * b_vx + a_vy * b_vy + a_vz * b_vz) / (sqrt(a_vx * a_vx + a_vy * a_vy + a_vz * a_vz) * sqrt(b_vx * b_vx + b_vy * b_vy + b_vz * b_vz) + 1e-8D)"
+    p = p.withColumn("convergence", e(f"if({closing} <= 0, 0D, least(1D, {closing} / 10000D) * (0.5D + 0.5D * greatest(0D, -({cosine}))))")).where("convergence > 0")
+    return p.withColumns({"time": e("(a_t_abs + b_t_abs) / 2"), "vertical_ft": e("abs(a_z - b_z)")})
+
+
+def severity(horizontal: float = HORIZONTAL, vertical: float = VERTICAL) -> Column:
+    h, v = f"horizontal_ft / {horizontal}D", f"vertical_ft / {vertical}D"
+    return e(f"case when {h} < 0.5D and {v} < 0.5D and convergence > 0.6D then 'HIGH' when {h} < 0.8D and {v} < 0.8D then 'MEDIUM' else 'LOW' end")
+
+
 def conflicts(inside: DataFrame, horizontal: float = HORIZONTAL, vertical: float = VERTICAL, window: float = CONFLICT_BIN, sliding: bool = False) -> DataFrame:
     """One row for each pair of tracks and bin with a converging pair of samples closer than the separations.
 
@@ -77,16 +92,10 @@ def conflicts(inside: DataFrame, horizontal: float = HORIZONTAL, vertical: float
     right = right.withColumn("s", F.explode(near)).withColumn("gy", F.col("gy") + F.col("s")).drop("s")
     if sliding:
         right = right.withColumn("s", F.explode(near)).withColumn("bin", F.col("bin") + F.col("s")).drop("s")
-    p = left.join(right, ["cluster_id", "bin", "gx", "gy"]).where("a_track_id < b_track_id").where(f"abs(a_z - b_z) <= {vertical} and abs(a_t_abs - b_t_abs) <= {window}")
-    p = p.withColumn("horizontal_ft", e("sqrt(pow(a_x - b_x, 2) + pow(a_y - b_y, 2))")).where(F.col("horizontal_ft") <= horizontal)
-    closing = "-((b_x - a_x) * (b_vx - a_vx) + (b_y - a_y) * (b_vy - a_vy) + (b_z - a_z) * (b_vz - a_vz))"
-    cosine = "(a_vx * b_vx + a_vy * b_vy + a_vz * b_vz) / (sqrt(a_vx * a_vx + a_vy * a_vy + a_vz * a_vz) * sqrt(b_vx * b_vx + b_vy * b_vy + b_vz * b_vz) + 1e-8D)"
-    p = p.withColumn("convergence", e(f"if({closing} <= 0, 0D, least(1D, {closing} / 10000D) * (0.5D + 0.5D * greatest(0D, -({cosine}))))")).where("convergence > 0")
-    p = p.withColumns({"time": e("(a_t_abs + b_t_abs) / 2"), "vertical_ft": e("abs(a_z - b_z)")})
+    p = converging(left.join(right, ["cluster_id", "bin", "gx", "gy"]), horizontal, vertical, window)
     best = p.groupBy("cluster_id", "bin", F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b")).agg(F.min(F.struct("horizontal_ft", "time", "vertical_ft", "convergence")).alias("m"))
     out = best.select("cluster_id", "bin", "track_a", "track_b", "m.*")
-    h, v = f"horizontal_ft / {horizontal}D", f"vertical_ft / {vertical}D"
-    return out.withColumn("severity", e(f"case when {h} < 0.5D and {v} < 0.5D and convergence > 0.6D then 'HIGH' when {h} < 0.8D and {v} < 0.8D then 'MEDIUM' else 'LOW' end"))
+    return out.withColumn("severity", severity(horizontal, vertical))
 
 
 def index(boxes: DataFrame, inside: DataFrame, metrics: DataFrame, found: DataFrame) -> DataFrame:
