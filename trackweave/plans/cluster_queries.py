@@ -108,15 +108,18 @@ def entry_exit(spark: SparkSession, d: str) -> DataFrame:
     return sc.boundary_points(clustered, core)
 
 
-@register("sector_fixes", f"""
-with recursive {BOUND},
+FIXES = BOUND + """,
 link as (select a.cluster_id, a.kind, a.track_id as a, b.track_id as b from bp a join bp b on a.cluster_id = b.cluster_id and a.kind = b.kind where power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) <= 2500.0 * 2500.0),
 reach as (select cluster_id, kind, a as track_id, a as root from link union select r.cluster_id, r.kind, l.b, r.root from reach r join link l on l.cluster_id = r.cluster_id and l.kind = r.kind and l.a = r.track_id),
 comp as (select cluster_id, kind, track_id, min(cast(root as varchar)) as comp from reach group by all),
 sized as (select bp.*, comp, count(*) over (partition by cluster_id, kind, comp) as n from bp join comp using (cluster_id, kind, track_id)),
 grp as (select *, case when max(n) over (partition by cluster_id, kind) > 1 then comp else '' end as g, max(n) over (partition by cluster_id, kind) as mx from sized),
 kept as (select * from grp where n > 1 or mx = 1),
-ctr as (select cluster_id, kind, g, avg(x) as cx, avg(y) as cy, avg(z) as cz, count(distinct track_id) as track_count from kept group by all)
+ctr as (select cluster_id, kind, g, avg(x) as cx, avg(y) as cy, avg(z) as cz, count(distinct track_id) as track_count from kept group by all)"""
+
+
+@register("sector_fixes", f"""
+with recursive {FIXES}
 select cluster_id, kind, round(cx, 4) as x, round(cy, 4) as y, round(cz, 4) as z, cast(any_value(track_count) as bigint) as track_count, round(max(sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))), 4) as radius_ft
 from kept join ctr using (cluster_id, kind, g) group by cluster_id, kind, g, cx, cy, cz""", "tp member")
 def sector_fixes(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from trackweave.operators import sector as sc
 from trackweave.operators import workload as wl
 from trackweave.sources.adapters import flights, members, trackpoints
 
-from .cluster_queries import BOUND, CONF, METRICS, OCC, _inside, _parts
+from .cluster_queries import BOUND, CONF, FIXES, METRICS, OCC, _inside, _parts
 from .registry import register
 from .track_queries import COURSE, INNER, RADIUS, r
 
@@ -271,22 +271,35 @@ def _waypoints(spark: SparkSession, d: str) -> DataFrame:
     return pr.waypoints(centroid, sc.fixes(sc.boundary_points(points, core)), points)
 
 
-@register("centroid_waypoints", f"""
-with {CENTROID}, cnt as (select cluster_id, count(*) as k from cen group by 1),
-wp as (select c.cluster_id, c.step, x, y, z, row_number() over (partition by c.cluster_id order by c.step) as seq from cen c join cnt using (cluster_id) where c.step in (select cast(floor(i * (k - 1) / 4.0) as bigint) from (select unnest(range(0, 5)) as i))),
+WAYPOINTS = FIXES + ",lens as" + CENTROID.split("lens as", 1)[1] + f""",
+cnt as (select cluster_id, count(*) as k from cen group by 1),
+stops as (
+  select c.cluster_id, 1 as part, c.step as k, printf('C%d-%02d', c.cluster_id, c.step) as name, 'TF' as kind, x, y, z from cen c join cnt n using (cluster_id)
+  where c.step in (select cast(floor(i * (n.k - 1) / 4.0) as bigint) from (select unnest(range(0, 5)) as i))
+  union all
+  select cluster_id, case when kind = 'ENTRY' then 0 else 2 end, 0, kind || '-' || cluster_id || '-' || row_number() over (partition by cluster_id, kind order by track_count desc, g), kind, cx, cy, cz from ctr),
+wp as (select *, row_number() over (partition by cluster_id order by part, k, name) as seq from stops),
+legs as (
+  select cluster_id, seq, x - px as dx, y - py as dy, fx - x as ex, fy - y as ey from (
+    select *, lag(x) over w as px, lag(y) over w as py, lead(x) over w as fx, lead(y) over w as fy from wp window w as (partition by cluster_id order by seq)) where px is not null and fx is not null),
+bends as (select cluster_id, seq, {RADIUS} as radius, {COURSE} as course from legs),
 near as (select w.cluster_id, w.seq, p.track_id, arg_min(p.z, power(p.x - w.x, 2) + power(p.y - w.y, 2)) as pz, arg_min(p.v, power(p.x - w.x, 2) + power(p.y - w.y, 2)) as pv from wp w join cp p on p.cluster_id = w.cluster_id group by all),
-lim as (select cluster_id, seq, avg(pz) as mean, stddev_pop(pz) as sd, quantile_cont(pv, 0.85) as speed from near group by all)
-select cluster_id, seq, printf('C%d-%02d', cluster_id, step) as waypoint_id, round(37.6188056 + y / 364000, 6) as lat, {r('z', 'z')}, {r('greatest(0, mean - 3 * sd)', 'alt_low_ft')}, {r('mean + 3 * sd', 'alt_high_ft')}, {r('speed', 'speed_kt')}
-from wp join lim using (cluster_id, seq)""", "tp member")
+lim as (select cluster_id, seq, avg(pz) as mean, stddev_pop(pz) as sd, quantile_cont(pv, 0.85) as speed from near group by all),
+way as (
+  select cluster_id, seq, name as waypoint_id, case when coalesce(course, 0) > 3 and coalesce(radius, 0) > 0 then 'RF' else kind end as path_type, round(37.6188056 + y / 364000, 6) as lat,
+         round(-122.3754167 + x / (364000 * cos(radians(37.6188056)) + 1e-8), 6) as lon, {r('z', 'z')}, {r('greatest(0, mean - 3 * sd)', 'alt_low_ft')}, {r('mean + 3 * sd', 'alt_high_ft')}, {r('speed', 'speed_kt')}, round(coalesce(radius, 0), 3) as radius_ft
+  from wp join lim using (cluster_id, seq) left join bends using (cluster_id, seq))"""
+
+
+@register("centroid_waypoints", f"with recursive {WAYPOINTS} select * from way", "tp member")
 def centroid_waypoints(spark: SparkSession, d: str) -> DataFrame:
-    points, centroid = _centroid(spark, d)
-    empty = spark.createDataFrame([], "cluster_id int, kind string, name string, x double, y double, z double")
-    return pr.waypoints(centroid, empty, points).select("cluster_id", "seq", "waypoint_id", "lat", "z", "alt_low_ft", "alt_high_ft", "speed_kt")
+    """Entry fixes, five points of the centroid and exit fixes of every cluster, with limits and turns."""
+    return _waypoints(spark, d).withColumn("radius_ft", F.round("radius_ft", 3))
 
 
-@register("arinc")
+@register("arinc", f"with recursive {WAYPOINTS} select 'PROC-' || cluster_id as procedure_id, * exclude (cluster_id) from way", "tp member")
 def arinc(spark: SparkSession, d: str) -> DataFrame:
-    return _waypoints(spark, d).withColumn("procedure_id", F.concat(F.lit("PROC-"), "cluster_id")).drop("cluster_id")
+    return _waypoints(spark, d).withColumns({"procedure_id": F.concat(F.lit("PROC-"), "cluster_id"), "radius_ft": F.round("radius_ft", 3)}).drop("cluster_id")
 
 
 @register("geojson")
