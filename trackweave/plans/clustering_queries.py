@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.operators import clustering as cl
+from trackweave.operators import near_tracks as nt
 from trackweave.operators import sector as sc
 from trackweave.operators.selection import even_tracks
 from trackweave.sources.adapters import flights, members, trackpoints
@@ -101,3 +102,18 @@ g as (select gx, gy, x0 + (x1 - x0) * (gx + 0.5) / 20 as px, y0 + (y1 - y0) * (g
 select gx, gy, arg_min(cluster_id, power(x - px, 2) + power(y - py, 2)) as cluster_id from g, cen2 group by gx, gy""", "tp member")
 def cluster_zones(spark: SparkSession, d: str) -> DataFrame:
     return cl.zones_of(cl.centres(sc.cluster_points(trackpoints(spark, d), members(flights(spark, d)))))
+
+
+@register("near_tracks", """
+with cp as (select m.cluster_id, tp.* from tp join member m using (track_id)), lens as (select cluster_id, track_id, count(*) as n from cp group by all),
+pr as (select a.cluster_id, a.track_id as i, b.track_id as j, a.n as ni, b.n as nj, least(a.n, b.n) as m from lens a join lens b on a.cluster_id = b.cluster_id and a.track_id < b.track_id),
+sp as (select *, unnest(range(0, m)) as v from pr),
+ix as (select *, case when m = 1 then 0 when v = m - 1 then ni - 1 else floor(v * ((ni - 1)::double / (m - 1))) end as li, case when m = 1 then 0 when v = m - 1 then nj - 1 else floor(v * ((nj - 1)::double / (m - 1))) end as lj from sp),
+far as (
+  select ix.cluster_id, i, j, avg(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))) as distance
+  from ix join tp a on a.track_id = i and a.seq = li + 1 join tp b on b.track_id = j and b.seq = lj + 1 group by all)
+select cluster_id, i, j, round(distance, 6) as distance from far where distance <= 40000""", "tp member")
+def near_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of tracks of a cluster within 40,000 ft on average."""
+    own = trackpoints(spark, d).join(members(flights(spark, d)), "track_id")
+    return nt.near_tracks(own, 40_000.0).drop("spatial")
