@@ -12,6 +12,8 @@ from .pair_kernels import SCALE
 
 #: Pieces of a track, those of an end, and the share of a pair's points that the first and the last end have at least.
 PIECES, END, FIRST, LAST = 8, 2, 1 / 5, 1 / 4
+#: Pairs that a task compares.
+PAIRS = 20_000
 e = F.expr
 _BOUNDS = tuple(f"{m}_{c}" for c in "xyz" for m in ("min", "max"))
 
@@ -60,8 +62,10 @@ def near_tracks(points: DataFrame, within: float, *, group: str = "cluster_id")
     own = cut(lines(points.where(F.col(group).isNotNull()), group))
     met = cut(bounded(own, within, group))
     side = lambda k: own.select(group, F.col("track_id").alias(k), F.col("p").alias(f"p_{k}"))
-    both = met.join(side("i"), [group, "i"]).join(side("j"), [group, "j"]).withColumn("m", F.least("n_i", "n_j"))
-    at = lambda k: f"p_{k}[if(m = 1, 0, if(v = m - 1, n_{k} - 1, cast(floor(v * (cast(n_{k} - 1 as double) / (m - 1))) as int)))]"
-    far = "sqrt(" + " + ".join(f"pow({at('i')}.{c} - {at('j')}.{c}, 2)" for c in "xyz") + ")"
-    out = both.withColumn("distance", e(f"aggregate(transform(sequence(0, m - 1), v -> {far}), 0D, (t, d) -> t + d) / m")).where(F.col("distance") <= within)
+    # A pair is small to store and long to compare, so the number of parts goes by pairs, not by bytes.
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, -(-met.count() // PAIRS))
+    both = met.join(side("i"), [group, "i"]).repartition(parts, group, "j").join(side("j"), [group, "j"]).withColumn("m", F.least("n_i", "n_j"))
+    at = lambda k: f"transform(sequence(0, m - 1), v -> p_{k}[if(m = 1, 0, if(v = m - 1, n_{k} - 1, cast(floor(v * (cast(n_{k} - 1 as double) / (m - 1))) as int)))])"
+    far = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in "xyz") + ")"
+    out = both.withColumn("distance", e(f"aggregate(zip_with({at('i')}, {at('j')}, (a, b) -> {far}), 0D, (t, d) -> t + d) / m")).where(F.col("distance") <= within)
     return out.select(group, "i", "j", "distance", F.exp(-F.col("distance") / SCALE).alias("spatial"))
