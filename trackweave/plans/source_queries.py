@@ -80,7 +80,8 @@ def zone_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _archives(spark: SparkSession, d: str, broken: bool = False) -> DataFrame:
-    """(path, content): two ZIP archives of all tracks, a member for each of nine days; the second one torn, if ``broken``."""
+    """(path, content): two ZIP archives of all tracks, a member for each of nine days; the second one torn, if ``broken``.  An archive
+    comes as a file of its name for each day, so that no task packs half of all tracks; torn ones are whole."""
     t = flights(spark, d).withColumns({"eventid": F.lit("0"), "trackend_time": F.lit(None).cast("string"), "trackstart_date": F.lit("2006-01-02").cast("date")})
     text = radar.lt6_blocks(t, trackpoints(spark, d)).withColumn("id", F.regexp_extract("value", "^TRACK ([0-9]+)", 1).cast("long"))
     day = text.groupBy((F.col("id") % 2).alias("a"), (1 + F.col("id") % 9).alias("day")).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("text"))
@@ -90,9 +91,9 @@ def _archives(spark: SparkSession, d: str, broken: bool = False) -> DataFrame:
         with zipfile.ZipFile(out, "w") as z:
             for day, text in sorted(zip(pdf["day"], pdf["text"], strict=True)):
                 z.writestr(f"2006010{day}.lt6", text, zipfile.ZIP_STORED if day % 4 == 0 else zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"path": [f"days{number}.zip"], "content": [out.getvalue()[: -30 if broken and number else None]]})
+        return pd.DataFrame({"path": [f"{pdf['day'].iloc[0]}/days{number}.zip"], "content": [out.getvalue()[: -30 if broken and number else None]]})
 
-    return day.groupBy("a").applyInPandas(pack, "path string, content binary")
+    return day.groupBy("a", *([] if broken else ["day"])).applyInPandas(pack, "path string, content binary")
 
 
 _ZIPPED = "select track_id || '_0' as track_id, acid, 'days' || track_id % 2 || '.zip/2006010' || (1 + track_id % 9) || '.lt6' as source_file from flights"

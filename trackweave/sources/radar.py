@@ -9,6 +9,7 @@ import io
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -22,19 +23,42 @@ FULL = ("eventid", "trackstart_date", "trackstart_time", "trackend_time", "airpo
 OPTIONAL = ("owner_name", "waypoint", "other_port")
 SHORT = tuple(f for f in FULL if f not in OPTIONAL)
 NUMBERS = ("min_alt", "max_alt", "min_range", "max_range")
+#: Blocks that a task holds as rows.
+BLOCKS = 256
 SCHEMA = "source_file string, block int, opnum string, " + ", ".join(f"{f} string" for f in FULL) + ", count string, lines array<string>, corrupt string"
 
 
-def blocks(name: str, text: str) -> Iterator[dict]:
-    """A row for each ``TRACK`` block: header fields by the layout that fits, the count line and the point lines.
+def _lines(text: str | bytes) -> Iterator[str]:
+    """The lines of ``splitlines``, taken piece by piece, so that a long file's lines never stand in memory together."""
+    at, feed = 0, b"\n" if isinstance(text, bytes) else "\n"
+    while at < len(text):
+        end = text.find(feed, at) + 1 or len(text)
+        piece = text[at:end]
+        yield from (piece.decode("utf-8", "replace") if isinstance(piece, bytes) else piece).splitlines()
+        at = end
+
+
+def _cut_at_tracks(text: str | bytes) -> Iterator[tuple[list[str], list[str]]]:
+    """(words of the ``TRACK`` line, stripped lines) of each block."""
+    head, own = None, []
+    for line in _lines(text):
+        if line.startswith("TRACK"):
+            if head is not None:
+                yield head, own
+            head, own = line.split(), []
+        elif head is not None:
+            own.append(line.strip())
+    if head is not None:
+        yield head, own
+
+
+def blocks(name: str, text: str | bytes) -> Iterator[dict]:
+    """A row for each ``TRACK`` block of a text (bytes are UTF-8): header fields by the layout that fits, the count line and the point lines.
 
     The header is 18 lines (15 in the short layout) before the count line or the first point; which one it is, is told by
     where the first line with commas stands.  A block of another shape keeps its lines in ``corrupt``.
     """
-    lines = text.splitlines()
-    starts = [i for i, line in enumerate(lines) if line.startswith("TRACK")] + [len(lines)]
-    for number, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-        head, own = lines[a].split(), [line.strip() for line in lines[a + 1 : b]]
+    for number, (head, own) in enumerate(_cut_at_tracks(text)):
         first = next((i for i, line in enumerate(own) if "," in line), len(own))
         layout, counted = None, False
         for fields in (FULL, SHORT):
@@ -57,14 +81,18 @@ def blocks(name: str, text: str) -> Iterator[dict]:
         yield row | {"lines": [line for line in rest if "," in line]}
 
 
-def _rows(batches: Iterator[pa.RecordBatch], texts) -> Iterator[pa.RecordBatch]:
-    """The blocks of the files in batches of (path, content); ``texts`` gives a file's parts as (name, text)."""
+def _batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Blocks in batches of ``BLOCKS``."""
     kinds = [pa.field(c.split()[0], pa.list_(pa.string()) if "array" in c else pa.int32() if c.endswith(" int") else pa.string()) for c in SCHEMA.split(", ")]
+    while found := list(islice(rows, BLOCKS)):
+        yield pa.RecordBatch.from_pylist(found, schema=pa.schema(kinds))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, one copied at a time."""
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = [row for name, text in texts(path, content) for row in blocks(name, text)]
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema=pa.schema(kinds))
+        for i in range(batch.num_rows):
+            yield tuple(column[i].as_py() for column in batch.columns)
 
 
 def _named(path: str) -> str:
@@ -74,7 +102,7 @@ def _named(path: str) -> str:
 def read_files(spark: SparkSession, paths: list[str] | str, pattern: str = "*.lt6") -> DataFrame:
     """Raw blocks of ``.lt6`` files or folders of them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths).select("path", "content")
-    return files.mapInArrow(lambda batches: _rows(batches, lambda path, content: [(_named(path), content.decode("utf-8", "replace"))]), SCHEMA)
+    return files.mapInArrow(lambda batches: (out for path, content in _each(batches) for out in _batched(blocks(_named(path), content))), SCHEMA)
 
 
 def archive_blocks(files: DataFrame, members: list[str] | None = None) -> DataFrame:
@@ -108,25 +136,23 @@ def archive_blocks(files: DataFrame, members: list[str] | None = None) -> DataFr
             yield _named(path), -2, str(broken).encode()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for name, method, data in cut_up(path, bytes(content)):
-                    yield pa.RecordBatch.from_pylist([{"name": name, "method": method, "data": data}], schema=schema)
+        for path, content in _each(batches):
+            for name, method, data in cut_up(path, content):
+                yield pa.RecordBatch.from_pylist([{"name": name, "method": method, "data": data}], schema=schema)
 
-    def text(method: int, data: bytes) -> str:
+    def text(method: int, data: bytes) -> str | bytes:
         if method == -2:
             return f"TRACK\nunreadable archive: {data.decode()}"
         if method == -1:
             return f"TRACK\nunreadable member: {data.decode()}"
         try:
-            return (zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data).decode("utf-8", "replace")
+            return zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data
         except zlib.error as broken:
             return f"TRACK\nunreadable member: {broken}"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from _rows(iter([pa.RecordBatch.from_pylist([{"path": row["name"], "content": row["data"]}])]), lambda path, content, m=row["method"]: [(path, text(m, content))])
+        for name, method, data in _each(batches):
+            yield from _batched(blocks(name, text(method, data)))
 
     cut_ = files.select("path", "content").mapInArrow(split, "name string, method int, data binary")
     return cut_.repartition(F.xxhash64("name")).mapInArrow(read, SCHEMA)
