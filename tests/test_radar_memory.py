@@ -10,9 +10,10 @@ from trackweave.sources import radar
 HEAD = "\n".join(f"h{i}" for i in range(len(radar.SHORT)))
 
 
-def test_a_long_file_is_never_held_as_lines():
+@pytest.mark.parametrize("kind", [str, str.encode])
+def test_a_long_file_is_never_held_as_lines(kind):
     point = "1.25,2.5,100.0,90.0,3.0\n"
-    content = "".join(f"TRACK {i}\n{HEAD}\n200\n{point * 200}" for i in range(2_000)).encode()
+    content = kind("".join(f"TRACK {i}\n{HEAD}\n200\n{point * 200}" for i in range(2_000)))
     tracemalloc.start()
     found = sum(len(row["lines"]) for row in radar.blocks("f", content))
     peak = tracemalloc.get_traced_memory()[1]
