@@ -58,3 +58,16 @@ def test_gaps_and_small_groups(spark):
     got = nt.near_tracks(table(spark, own, extra), 10.0).collect()
     assert sorted((r.cluster_id, r.i, r.j, r.distance, r.spatial) for r in got) == [(0, 1, 2, 0.0, 1.0), (1, 3, 4, 0.0, 1.0)]
     assert nt.near_tracks(spark.createDataFrame([], SCHEMA), 10.0).count() == 0
+
+
+def test_a_pair_is_no_row_before_it_is_a_result(spark, monkeypatch):
+    """Tracks meet as blocks, so what is shuffled grows with pairs of blocks; blocks of every size give the same pairs."""
+    own = tracks(11, 90)
+    want = brute(own, 20_000.0, monkeypatch)
+    lines = nt.lines(table(spark, own), "cluster_id")
+    for most in (60, 400, 100_000):
+        rows = nt.blocks(lines, 20_000.0, "cluster_id", most).collect()
+        assert len(rows) <= (94 * 94 if most == 60 else 94 * 12 if most == 400 else 94)
+        monkeypatch.setattr(nt.blocks, "__defaults__", (most,))
+        got = {(r.cluster_id, r.i, r.j): r.distance for r in nt._joined(lines, 20_000.0, "cluster_id", True).collect()}
+        assert set(got) == set(want) and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-6, atol=1e-3)
