@@ -47,3 +47,19 @@ def test_hull_against_every_point_as_a_corner():
         off = planes[:, :3] @ v + planes[:, 3]
         assert (np.abs(off) < 1e-9).sum() >= 3
     assert (kernels.outermost(np.zeros((5, 3))) == 0).all()
+
+
+@pytest.mark.parametrize("chunk", [7, 100_000])
+def test_points_meet_faces_as_arrays(spark, chunk):
+    """Parts of a cluster of every size keep the same points, all columns with them; a flat hull holds none back, a missing one all."""
+    rows = [(c, i, 0, *map(float, p)) for c, points in clusters().items() for i, p in enumerate(points)] + [(1, -1, 0, None, 0.0, 0.0), (2, -1, 0, None, 0.0, 0.0), (9, -1, 0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "cluster_id int, track_id long, seq long, x double, y double, z double")
+    small = df.where("cluster_id in (1, 2, 3) and track_id between 0 and 120")
+    hull = sector.hulls(small, None)
+    got = sector.inside_hull(df, hull, 0.25, chunk=chunk)
+    assert got.schema == df.schema
+    planes = {r.cluster_id: np.array(r.equations).reshape(-1, 4) for r in hull.collect()}
+    want = {(r[0], r[1]) for r in rows if r[0] in planes and (not len(planes[r[0]]) or (r[3] is not None and (planes[r[0]][:, :3] @ np.array(r[3:], float) + planes[r[0]][:, 3] <= 0.25).all()))}
+    found = [(r.cluster_id, r.track_id) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and 0 < sum(c == 1 for c, _ in want) < 3000
+    assert "ArrayForAll" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "forall" not in plan
