@@ -495,3 +495,33 @@ def test_streaming_occupancy(spark, tmp_path):
     q.stop()
     got = {str(r.window.start)[11:16]: r.aircraft for r in spark.table("occ").collect()}
     assert got["00:00"] == 3 and got["00:05"] == 2
+
+
+def test_conflicts_of_blocks_of_every_size_and_chunk(spark, monkeypatch):
+    """Blocks of a bin and pieces of a task's work don't matter; a pair's nearest samples count, and pairs aren't shuffled."""
+    rng = random.Random(8)
+    rows = [(i % 2, i, k, rng.uniform(0, 9e4), rng.uniform(-4e4, 4e4), rng.uniform(0, 3e3), rng.uniform(-300, 300), rng.uniform(-300, 300), 1.0, float(rng.randint(0, 240))) for i in range(24) for k in range(8)]
+    rows += [(0, 90, 0, None, 0.0, 0.0, 1.0, 1.0, 1.0, 5.0), (0, 91, 0, float("nan"), 0.0, 0.0, 1.0, 1.0, 1.0, 5.0), (None, 92, 0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "cluster_id int, track_id long, seq long, x double, y double, z double, vx double, vy double, vz double, t_abs double")
+    pairs = workload.converging(df.select("cluster_id", *(F.col(c).alias(f"a_{c}") for c in df.columns[1:])).join(df.select("cluster_id", *(F.col(c).alias(f"b_{c}") for c in df.columns[1:])), "cluster_id"))
+    pairs = pairs.withColumn("bin", F.floor(F.col("a_t_abs") / 60))
+    best = lambda p: {(r.cluster_id, r.bin, r.a_track_id, r.b_track_id): tuple(r.m) for r in p.groupBy("cluster_id", "bin", "a_track_id", "b_track_id").agg(F.min(F.struct("horizontal_ft", "time", "vertical_ft", "convergence")).alias("m")).collect()}
+    want = {False: best(pairs.where("bin = floor(b_t_abs / 60)")), True: best(pairs.where("abs(bin - floor(b_t_abs / 60)) <= 1"))}
+    assert len(want[False]) > 20 and len(want[True]) > len(want[False])
+    for block, most, sliding in ((20_000, 1_000_000, False), (5, 40, False), (5, 40, True)):
+        monkeypatch.setattr(workload.meetings, "__defaults__", (most,))
+        found = workload.conflicts(df, sliding=sliding, block=block)
+        got = {(r.cluster_id, r.bin, r.track_a, r.track_b): (r.horizontal_ft, r.time, r.vertical_ft, r.convergence) for r in found.collect()}
+        assert got.keys() == want[sliding].keys() and all(np.allclose(got[k], want[sliding][k], rtol=1e-12) for k in got)
+    assert "aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().lower().split("flatmapgroups")[0]
+
+
+def test_stored_labels_are_merged_not_broadcast(spark):
+    """A stored table looks small by its compressed size; components never broadcast one."""
+    seen, own = [], graph.cut
+    graph.cut = lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), own(df))[1]
+    try:
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()
+    finally:
+        graph.cut = own
+    assert len(seen) > 2 and not any("Broadcast" in plan for plan in seen)
