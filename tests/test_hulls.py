@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave.operators import kernels, sector
 
@@ -63,3 +64,14 @@ def test_points_meet_faces_as_arrays(spark, chunk):
     found = [(r.cluster_id, r.track_id) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == want and 0 < sum(c == 1 for c, _ in want) < 3000
     assert "ArrayForAll" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "forall" not in plan
+
+
+def test_faces_made_of_the_points_themselves(spark):
+    """Faces that are worked out from the points that meet them have the points' own column of clusters."""
+    rows = [(c, i, 0, float(i), float(c), 0.0) for c in range(3) for i in range(10 + c)]
+    tracks = spark.createDataFrame([(i, c) for c in range(3) for i in range(10 + c)], "track_id long, cluster_id int")
+    df = spark.createDataFrame([(i, c, x, y, z) for c, i, _, x, y, z in rows], "track_id long, own int, x double, y double, z double")
+    df = df.join(tracks, (df.track_id == tracks.track_id) & (df.own == tracks.cluster_id)).select("cluster_id", "own", "x", "y", "z")
+    faces = df.groupBy("cluster_id").agg(F.max("x").alias("m")).select("cluster_id", F.expr("array(array(1D, 0D, 0D, 4D - m))").alias("equations"))
+    found = sector.inside_hull(df, faces, 0.5, chunk=4).groupBy("cluster_id").count().collect()
+    assert {r.cluster_id: r["count"] for r in found} == {0: 6, 1: 7, 2: 8}
