@@ -30,3 +30,13 @@ def test_near_pairs_equal_all_distances():
         for i, j, hit in lc._near(a, b, width):
             got[np.ix_(i, j)] = hit
         assert (got == (lc._far(a, b) <= width)).all()
+
+
+def test_blocks_without_a_near_pair(spark):
+    """Blocks none of whose vectors are within a width give no rows, and the result is that of one task."""
+    rng = np.random.default_rng(3)
+    rows = [("a", i, k + 1, *map(float, p)) for i in range(12) for k, p in enumerate(np.cumsum(rng.normal(0, 900, (4 + i % 5, 3)), axis=0))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = lc.adaptive(df.selectExpr("*", "0 as g"), (0.05, 2.5), 10, block=2)
+    want = clustering.adaptive_mean_shift(df, widths=(0.05, 2.5))
+    assert sorted((r.track_id, r.cluster_id, round(r.score, 9)) for r in found.collect()) == sorted((r.track_id, r.cluster_id, round(r.score, 9)) for r in want.collect())
