@@ -27,6 +27,20 @@ def test_classes_of_copies_give_all_pairs(spark):
         assert (links[a, b] if a != b else own[a]) == pytest.approx(want, abs=1e-12)
 
 
+def test_tracks_go_to_few_blocks(spark):
+    """However many pieces a group has, its tracks go to a few large blocks, whose pieces meet inside tasks."""
+    rng = np.random.default_rng(8)
+    rows = [("g", i, k + 1, *map(float, p)) for i in range(50) for k, p in enumerate(np.cumsum(rng.normal(0, 30, (4 + i % 7, 3)), axis=0))]
+    tracks = clustering._tracks(spark.createDataFrame(rows, SCHEMA), "grp")
+    dealt, pairs = clustering._dealt(tracks, "grp", 6, 1000)
+    assert dealt.count() == 50 * 6 and pairs == 21
+    whole, small, blocks = (sorted(map(tuple, clustering._measured(tracks, "grp", most, held).collect())) for most, held in ((1000, 1000), (6, 1000), (6, 5)))
+    assert len(whole) == 50 * 49 / 2
+    for found in (small, blocks):
+        assert [r[:2] for r in found] == [r[:2] for r in whole]
+        assert np.allclose([r[2:] for r in found], [r[2:] for r in whole], rtol=0, atol=1e-12)
+
+
 def test_a_block_is_measured_in_microseconds_a_pair():
     rng = np.random.default_rng(1)
     a, b = ([np.cumsum(rng.normal(0, 3000, (int(n), 3)), axis=0) for n in rng.integers(45, 99, 175)] for _ in range(2))
