@@ -1,4 +1,4 @@
-"""The full analysis of one crowded cluster: hulls of all its points."""
+"""The full analysis of one crowded cluster: hulls of all its points, and conflicts that are summed but not stored."""
 
 from pathlib import Path
 
@@ -33,3 +33,14 @@ def test_hull_of_all_points(case):
     assert len(p) > 5000 and hull.volume == pytest.approx(volume, rel=1e-9) and {tuple(v) for v in hull.vertices} == {tuple(v) for v in vertices}
     inside = [sorted(map(tuple, workload.samples(points, found.sectors, h).select("track_id", "seq").collect())) for h in (None, found.hulls)]
     assert inside[0] == inside[1] and len(inside[0]) == len(p)
+
+
+def test_conflicts_are_summed_and_not_stored(spark, case):
+    found, _, stored = case
+    assert len(stored) > 10 and not any("convergence" in spark.read.parquet(str(p)).columns for p in stored)
+    rows = found.conflicts.collect()
+    digest = {r.result: r for r in analysis.digest(found).where("result in ('conflicts', 'workload')").collect()}
+    numbers = ("cluster_id", "bin", "track_a", "track_b", "horizontal_ft", "time", "vertical_ft", "convergence")
+    assert len(rows) > 100 and found.workload.first().conflicts == digest["conflicts"].rows == len(rows)
+    assert digest["conflicts"].numbers == len(rows) * len(numbers) and digest["conflicts"].characters == sum(len(r.severity) for r in rows)
+    assert digest["conflicts"].total == pytest.approx(sum(r[c] for r in rows for c in numbers), rel=1e-9)
