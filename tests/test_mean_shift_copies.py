@@ -40,3 +40,21 @@ def test_blocks_without_a_near_pair(spark):
     found = lc.adaptive(df.selectExpr("*", "0 as g"), (0.05, 2.5), 10, block=2)
     want = clustering.adaptive_mean_shift(df, widths=(0.05, 2.5))
     assert sorted((r.track_id, r.cluster_id, round(r.score, 9)) for r in found.collect()) == sorted((r.track_id, r.cluster_id, round(r.score, 9)) for r in want.collect())
+
+
+def test_blocks_are_few_and_large(spark, monkeypatch):
+    """However many small blocks a group would have, its vectors go to a few large ones, which are compared in pieces."""
+    rng = np.random.default_rng(5)
+    rows = [("a", i, k + 1, *map(float, p)) for i in range(40) for k, p in enumerate(np.cumsum(rng.normal(0, 900, (4 + i % 5, 3)), axis=0))]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "0 as g")
+    assert lc.vectors(df, 2)[0].agg({"parts": "max"}).first()[0] == 4
+    monkeypatch.setattr(lc, "HELD", 7)
+    assert lc.vectors(df, 2)[0].agg({"parts": "max"}).first()[0] == 6
+    monkeypatch.setattr(lc, "ACROSS", 37)
+    a, b = rng.normal(0, 1, (300, 15)), rng.normal(0, 1, (400, 15))
+    for width in (3.0, 6.0):
+        got = np.zeros((len(a), len(b)), int)
+        for i, j, hit in lc._near(a, b, width):
+            assert hit.shape[1] <= 37
+            got[np.ix_(i, j)] += 1 + hit
+        assert ((got == 2) == (lc._far(a, b) <= width)).all() and got.max() == 2
