@@ -75,3 +75,29 @@ def test_faces_made_of_the_points_themselves(spark):
     faces = df.groupBy("cluster_id").agg(F.max("x").alias("m")).select("cluster_id", F.expr("array(array(1D, 0D, 0D, 4D - m))").alias("equations"))
     found = sector.inside_hull(df, faces, 0.5, chunk=4).groupBy("cluster_id").count().collect()
     assert {r.cluster_id: r["count"] for r in found} == {0: 6, 1: 7, 2: 8}
+
+
+def test_points_meet_only_the_planes_near_them():
+    """Leaves of points against all planes one by one, with places that aren't numbers, on both sides of every plane."""
+    rng = np.random.default_rng(12)
+    ball = rng.normal(size=(150, 3))
+    _, planes, _ = kernels.hull_3d(ball)
+    p = np.vstack((rng.normal(size=(5000, 3)), ball, np.zeros((300, 3)), [[np.nan, 0, 0], [0, np.inf, 0]]))
+    with np.errstate(invalid="ignore"):
+        for buffer in (-0.3, 0.0, 1e-9, 0.5):
+            want = np.ones(len(p), bool)
+            for a, b, c, d in planes:
+                want &= a * p[:, 0] + b * p[:, 1] + c * p[:, 2] + d <= buffer
+            assert (kernels.within(p, planes, buffer) == want).all() and 0 < want.sum() < 5450
+    assert kernels.within(p, np.zeros((0, 4)), 0.0).all() and not len(kernels.within(p[:0], planes, 0.0))
+
+
+def test_hulls_with_many_corners_are_fast():
+    """A hull nearly all of whose points are corners: the planes aren't made anew for each, nor are all points looked at after every few."""
+    from time import perf_counter
+
+    q = np.random.default_rng(0).normal(size=(3000, 3))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    start = perf_counter()
+    vertices, planes, volume = kernels.hull_3d(q)
+    assert perf_counter() - start < 4.0 and len(vertices) == 3000 and len(planes) == 5996 and volume == pytest.approx(4.1719285854338, rel=1e-9)
